@@ -95,7 +95,7 @@ def rules() -> dict[str, tuple[Column, int]]:
         "symbols": (share("n_symbols") > 0.2, -1),
         "capitals": (some & (F.col("n_capitals") > 0.5 * letters), -1),
         "cries": (some & (share("n_cries") > 0.25), -1),
-        "repeats": (F.col("n_repeat_words") > 0.2 * words, -1),
+        "repeats": ((F.col("n_repeat_words") >= 24) & (F.col("n_repeat_words") > 0.2 * words), -1),
         "dup_lines": ((F.col("n_dup_lines") >= 3) & (F.col("n_dup_lines") > 0.3 * F.col("n_lines")), -1),
         "word_length": (some & ~share("word_chars").between(2.2, 14), -1),
         "no_stops": (some & (F.col("n_stops") < 0.005 * words) & (share("n_symbols") > 0.05), -1),

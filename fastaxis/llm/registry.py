@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fastaxis.llm import decontaminate, packing, pii, quality
+from fastaxis.llm import decontaminate, ngram_join, packing, pii, quality
 from fastaxis.llm.common import documents
 
 
@@ -24,6 +24,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(documents(spark, sf_dir))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -35,6 +39,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_personal_data": op3_personal_data,
     "op7_quality_rules": op7_quality_rules,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fastaxis.llm import decontaminate, ngram_join, packing, pii, quality
+from fastaxis.llm import decontaminate, ngram_join, packing, pii, quality, suffix_dedup
 from fastaxis.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir)).drop("kept")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
@@ -38,6 +42,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_personal_data": op3_personal_data,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_decontamination": op9_decontamination,

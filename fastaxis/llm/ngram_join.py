@@ -16,8 +16,12 @@ What keeps groups small without losing links:
   them, which bounds what is broadcast. A document for which too few fragments remain is
   also represented by the fragments of its whole set, and if these are too few as well,
   by the prefix of its sorted hashes that any linked set must touch;
-* documents that share a fragment are first compared with one of them each. After the
-  components of those links, only pairs in different components are left to compare.
+* documents that share a fragment are first compared with one of them each, the one that
+  shares most fragments with others. After the components of those links, only documents
+  that share a fragment across components are left. Among these the n-grams are ordered by
+  their exact frequency, rarest first; n-grams of one document only count as places, never
+  as rows; and pairs across components that share an n-gram of both prefixes, at places from
+  which their sizes still allow a link, are compared.
 
 Every step is a DataFrame; components are found by written rounds (see graph.components).
 
@@ -36,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fastaxis.llm.common import gram_hashes, mix, remove, slices, span_hashes, text_bytes, white_table, word_spans, written
+from fastaxis.llm.common import gram_hashes, mix, slices, span_hashes, text_bytes, white_table, word_spans, written
 from fastaxis.llm.graph import components
 
 #: Share of all documents from which on an n-gram is left out of the fragments.
@@ -197,17 +201,29 @@ def _parts(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     return screened.mapInArrow(run, "doc long, part int, n long, grams array<long>")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that link: overlaps counted part by part and summed."""
-    needed = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    parts = written(_parts(docs, needed, n), "parts")
     one = parts.select(F.col("doc").alias("a"), "part", F.col("n").alias("na"), F.col("grams").alias("ga"))
     two = parts.select(F.col("doc").alias("b"), "part", F.col("n").alias("nb"), F.col("grams").alias("gb"))
     counted = pairs.join(one, "a").join(two, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("shared"))
     summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
-    out = written(summed.filter(F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * percent).select("a", "b").distinct(), "linked")
-    remove(parts)
-    return out
+    return written(summed.filter(F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * percent).select("a", "b").distinct(), "linked")
+
+
+def across(parts: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the placed documents (doc, c) in different components that may link: prefixes in the order of frequency."""
+    grams = parts.join(placed, "doc").select("doc", "n", "c", F.explode("grams").alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
+    lists = grams.join(often, "gram").groupBy("doc", "n", "c").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams"))
+    # The n-grams of this document alone stand first.
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("grams"))
+    prefixes = lists.filter(prefix > 0).withColumn("alone", F.col("n") - F.size("grams")).select("doc", "n", "c", "alone", F.posexplode(F.slice("grams", F.lit(1), prefix.cast("int"))).alias("rank", "x")).select("doc", "n", "c", "alone", "rank", F.col("x.gram").alias("gram"))
+    prefixes = written(prefixes, "prefixes")
+    x, y = (prefixes.select("gram", *[F.col(k).alias(f"{k}{i}") for k in ("doc", "n", "c", "alone", "rank")]) for i in (1, 2))
+    left = lambda i: F.col(f"n{i}") - F.col(f"alone{i}") - F.col(f"rank{i}")
+    most = F.least("rank1", "rank2") + F.least(left(1), left(2))
+    may = (F.col("c1") != F.col("c2")) & (F.col("doc1") < F.col("doc2")) & (most * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent)
+    return x.join(y, (x["gram"] == y["gram"]) & may).select(F.col("doc1").alias("a"), F.col("doc2").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, hot_share: float = HOT_SHARE) -> DataFrame:
@@ -223,17 +239,19 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, hot_share
     sets = written(sets.join(first, ["n_shingles", "a", "b"], "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("first")), "sets")
 
     group = Window.partitionBy("key")
-    buckets = written(_represented(docs, n, percent, hot).withColumns({"low": F.min("doc").over(group), "high": F.max("doc").over(group)}).filter("low < high").select("key", "doc", "low"), "buckets")
-    shared = buckets.filter("doc > low").groupBy("doc", "low").count()
-    stars = shared.groupBy("doc").agg(F.max_by("low", F.struct("count", -F.col("low"))).alias("low")).select(F.col("low").alias("a"), F.col("doc").alias("b"))
-    links = linked(written(stars, "stars"), docs, n, percent)
+    buckets = written(_represented(docs, n, percent, hot).withColumns({"low": F.min("doc").over(group), "high": F.max("doc").over(group)}).filter("low < high").select("key", "doc"), "buckets")
+    sharing = written(buckets.groupBy("doc").agg(F.count("*").alias("keys")), "sharing")
+    parts = written(_parts(docs, sharing.select("doc"), n).join(sharing.select("doc"), "doc"), "parts")
+    # The hub of a bucket is the document that shares the most; each document meets its most frequent hub.
+    rank = F.struct(F.col("keys"), (-F.col("doc")).alias("minus"))
+    hubs = buckets.join(sharing, "doc").withColumn("hub", -F.max(rank).over(group)["minus"]).filter("doc <> hub")
+    stars = hubs.groupBy("doc", "hub").count().groupBy("doc").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
+    links = linked(written(stars.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct(), "stars"), parts, percent)
 
     found = written(components(links), "components")
-    placed = buckets.select("key", "doc").join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
-    mixed = written(placed.withColumns({"c0": F.min("c").over(group), "c1": F.max("c").over(group)}).filter("c0 < c1").select("key", "doc", "c"), "mixed")
-    other = mixed.select("key", F.col("doc").alias("doc2"), F.col("c").alias("c2"))
-    rest = mixed.join(other, "key").filter((F.col("c") != F.col("c2")) & (F.col("doc") < F.col("doc2"))).select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()
-    links = links.unionByName(linked(written(rest, "rest"), docs, n, percent))
+    joined = buckets.join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
+    mixed = written(joined.withColumns({"c0": F.min("c").over(group), "c1": F.max("c").over(group)}).filter("c0 < c1").select("doc", "c").distinct(), "mixed")
+    links = links.unionByName(linked(written(across(parts, mixed, percent), "across"), parts, percent))
 
     owner = sets.select("doc_id", "first").groupBy("doc_id").agg(F.min("first").alias("first"))
     named = lambda df, c: df.join(owner.withColumnsRenamed({"doc_id": c, "first": f"{c}0"}), c).drop(c).withColumnRenamed(f"{c}0", c)

@@ -38,7 +38,7 @@ from fastaxis.llm.common import mix, powers, slices, text_bytes, written
 GRAM = 32
 _I, _U = np.int64, np.uint64
 #: Bytes of contexts for which one suffix array is sorted, if no single anchor has more.
-ARRAY_BYTES = 4 << 20
+ARRAY_BYTES = 2 << 20
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
@@ -195,11 +195,12 @@ def maximal_repeats(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, left
     size = ends[by] - starts[by]
     width = -(-int(size.max()) // 8) * 8
     out: list[tuple[int, np.ndarray]] = []
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(width, np.uint8)]), width)
     # Rows of the matrix of suffixes are sorted in parts of bounded memory that end between groups.
-    for part in _parts(group, max(1, (32 << 20) // width)):
+    for part in _parts(group, max(1, (6 << 20) // width)):
         b, g, n = by[part], group[part], size[part]
-        place = starts[b][:, None] + np.arange(width)
-        text = np.where(np.arange(width) < n[:, None], data[np.minimum(place, len(data) - 1)], 0).astype(np.uint8)
+        text = rows[starts[b]]
+        text[np.arange(width, dtype=np.int32) >= n[:, None].astype(np.int32)] = 0
         words = text.view(">u8")
         order = np.lexsort((n, *(words[:, j] for j in reversed(range(width // 8))), g))
         text, n, g, b = text[order], n[order], g[order], b[order]

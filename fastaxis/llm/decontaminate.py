@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fastaxis.llm.common import text_bytes
@@ -93,16 +93,17 @@ def _matchers(key: str, parts: list[list[tuple]], window: int) -> Iterator[Match
         yield found
 
 
-def _scan(docs: DataFrame, benchmark: DataFrame, window: int, shard_bytes: int, text: Column, item_text: Column, emit, schema: str) -> DataFrame:
+def _scan(docs: DataFrame, benchmark: DataFrame, window: int, shard_bytes: int, emit, schema, at: int = 1) -> DataFrame:
+    """Scans the texts in column ``at``; emit(batch, data, normal, offsets, counts, hits) makes the result of a batch."""
     spark = docs.sparkSession
-    items = [tuple(r) for r in benchmark.select(F.col("item_id").cast("long"), item_text.cast("string")).toLocalIterator()]
+    items = [tuple(r) for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator()]
     items.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
     parts = spark.sparkContext.broadcast(shards(items, shard_bytes))
     key = hashlib.md5(repr((window, items)).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
+            data, offsets = text_bytes(batch.column(at))
             normal = _NORMAL[data].tobytes()
             words = lambda i: normal[offsets[i] : offsets[i + 1]].split()
             hits: dict[int, tuple[np.ndarray, set]] = {}
@@ -116,32 +117,36 @@ def _scan(docs: DataFrame, benchmark: DataFrame, window: int, shard_bytes: int,
                     matcher.scan(w, hit, found)
                     if len(found) > before or hit.any():
                         hits[i] = hit, found
-            yield from emit(batch.column(0), batch.column(1), data, normal, offsets, counts, hits)
+            yield from emit(batch, data, normal, offsets, counts, hits)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per document: its words, its words inside windows of items, the items found."""
     none = hashlib.sha256(b"").hexdigest()
 
-    def emit(ids, texts, data, normal, offsets, counts, hits):
-        n = len(ids)
+    def emit(batch, data, normal, offsets, counts, hits):
+        ids, n = batch.column(0), len(batch)
         n_hit, n_items, sha = np.zeros(n, np.int64), np.zeros(n, np.int64), [none] * n
         for i, (hit, found) in hits.items():
             named = sorted(str(x) for x in found if x is not None)
             n_hit[i], n_items[i], sha[i] = hit.sum(), len(named), hashlib.sha256(",".join(named).encode()).hexdigest()
         yield pa.record_batch([ids, pa.array(counts), pa.array(n_hit), pa.array(n_items), pa.array(sha), pa.array(n_hit > 0)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return _scan(docs, benchmark, window, shard_bytes, F.col("text"), F.col("text"), emit, SCHEMA)
+    return _scan(_texts(docs), benchmark, window, shard_bytes, emit, SCHEMA)
 
 
 def hit_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The runs of hit words as code point offsets (end exclusive) of the original text."""
 
-    def emit(ids, texts, data, normal, offsets, counts, hits):
+    def emit(batch, data, normal, offsets, counts, hits):
         out = ([], [], [])
-        keys = ids.to_pylist() if hits else []
+        keys = batch.column(0).to_pylist() if hits else []
         for i, (hit, _) in hits.items():
             lo, hi = offsets[i], offsets[i + 1]
             flat = np.frombuffer(normal[lo:hi], np.uint8) != 32
@@ -154,4 +159,15 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_byt
                     column.append(x)
         yield pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["doc_id", "start", "end"])
 
-    return _scan(docs, benchmark, window, shard_bytes, F.col("text"), F.col("text"), emit, SPANS)
+    return _scan(_texts(docs), benchmark, window, shard_bytes, emit, SPANS)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, whose text holds no window of an item."""
+
+    def emit(batch, data, normal, offsets, counts, hits):
+        dirty = np.zeros(len(batch), bool)
+        dirty[[i for i, (hit, _) in hits.items() if hit.any()]] = True
+        yield batch.filter(pa.array(~dirty))
+
+    return _scan(docs, benchmark, window, shard_bytes, emit, docs.schema, docs.columns.index("text"))

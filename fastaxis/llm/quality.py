@@ -62,13 +62,15 @@ def repeated_words(words: Column, n: int) -> Column:
     return bind(words, lambda w: F.when(F.size(w) <= n, F.lit(0).cast("long")).otherwise(bind(windows(w), of)))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """What the rules look at: one narrow row per document."""
+def measured(docs: DataFrame, carried: bool = False) -> DataFrame:
+    """What the rules look at: one narrow row per document, with the whole row as ``row`` if carried."""
+    whole = [F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if carried else []
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t")).select("doc_id", "t", words_of(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda x: F.rtrim(F.translate(x, "\t\x0b\f\r", "    ")) != "").alias("lines"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"), *whole).select(*["row"] * carried, "doc_id", "t", words_of(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda x: F.rtrim(F.translate(x, "\t\x0b\f\r", "    ")) != "").alias("lines"))
     left = lambda pattern: F.length("t") - F.length(F.regexp_replace("t", pattern, ""))
     n = lambda c: c.cast("long")
     return base.select(
+        *["row"] * carried,
         "doc_id",
         n(F.size("w")).alias("n_words"),
         n(F.length(F.array_join("w", ""))).alias("word_chars"),
@@ -134,9 +136,8 @@ def fit(patterns: list[tuple[tuple[bool, ...], int]], votes: list[int]) -> tuple
     return odds(prior), [v * odds(a) for v, a in zip(votes, right, strict=True)]
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """One row per document: measurements, the base verdict, the posterior of being good, and kept."""
-    found = written(measured(docs), "quality")
+def judged(found: DataFrame) -> tuple[Column, Column, Column]:
+    """Fits the model to measured documents: the base rules' failure, the posterior of being good, and the verdict."""
     fired = {k: F.coalesce(when, F.lit(False)) for k, (when, _) in rules().items()}
     patterns = found.select(*[f.alias(k) for k, f in fired.items()]).groupBy(*fired).count().collect()
     z, weights = fit(sorted((tuple(r[:-1]), r[-1]) for r in patterns), [v for _, v in rules().values()])
@@ -145,4 +146,21 @@ def quality(docs: DataFrame) -> DataFrame:
         score = score + F.when(f, F.lit(weight)).otherwise(F.lit(0.0))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     posterior = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), score))))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (posterior >= 0.5)).alias("kept"), posterior.alias("p_good"))
+    return failed, posterior, ~failed & (posterior >= 0.5)
+
+
+def quality(docs: DataFrame) -> DataFrame:
+    """One row per document: measurements, the base verdict, the posterior of being good, and kept."""
+    found = written(measured(docs), "quality")
+    failed, posterior, kept = judged(found)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), posterior.alias("p_good"))
+
+
+def good_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, that quality() keeps.
+
+    The measured rows are written with their texts, which are so read and measured once.
+    """
+    found = written(measured(docs, carried=True), "quality")
+    _, _, kept = judged(found)
+    return found.filter(kept).select(*[F.col("row")[c].alias(c) for c in docs.columns])

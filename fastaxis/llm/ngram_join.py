@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fastaxis.llm.common import gram_hashes, mix, slices, span_hashes, text_bytes, white_table, word_spans, written
+from fastaxis.llm.common import gram_hashes, mix, remove, slices, span_hashes, text_bytes, white_table, word_spans, written
 from fastaxis.llm.graph import components
 
 #: Share of all documents from which on an n-gram is left out of the fragments.
@@ -93,8 +93,12 @@ def fragments(grams: np.ndarray, count: int, salt: int) -> np.ndarray:
     return mix(sums + at[starts] * np.uint64(0xE7037ED1A0B428DB) + np.uint64(salt * 0x8EBC6AF09C88C6E3 % 2**64))
 
 
-def representatives(grams: np.ndarray, hot: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """The hashes under which a set is looked up: linked sets that aren't equal share at least one."""
+def representatives(grams: np.ndarray, hot: np.ndarray, sizes: Sizes) -> list[tuple[np.ndarray, int]]:
+    """The hashes under which a set is looked up, in lots: two linked sets that aren't equal share, in one lot, as many as it needs.
+
+    A lot is numbered by its size class and kind, times 2^20, plus that need: the fragments
+    that can't all differ.
+    """
     n, out = len(grams), []
     k = sizes.class_of(n)
     rare = grams
@@ -105,16 +109,17 @@ def representatives(grams: np.ndarray, hot: np.ndarray, sizes: Sizes) -> np.ndar
         d = sizes.differences(c)
         if d == 0:
             continue
-        count = d + 3 + d // 24
-        found = fragments(rare, count, 2 * c)
-        out.append(found)
+        count = d + 3 + d // 8
+        found = fragments(rare, count, 3 * c)
+        out.append((found, (3 * c << 20) + max(1, len(found) - d)))
         if len(found) <= d:
             if len(rare) < n:
-                out.append(found := fragments(grams, count, 2 * c + 1))
+                found = fragments(grams, count, 3 * c + 1)
+                out.append((found, (3 * c + 1 << 20) + max(1, len(found) - d)))
             if len(found) <= d:
                 prefix = n - -(-sizes.percent * n // 100) + 1
-                out.append(mix(grams[:prefix] + np.uint64(0x589965CC75374CC3)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+                out.append((mix(grams[:prefix] + np.uint64(0x589965CC75374CC3)), (3 * c + 2 << 20) + 1))
+    return out
 
 
 def _surveyed(docs: DataFrame, n: int, share: float) -> DataFrame:
@@ -149,22 +154,23 @@ def _represented(docs: DataFrame, n: int, percent: int, hot) -> DataFrame:
         for batch in batches:
             ids = np.asarray(batch.column(0).fill_null(0), np.int64)
             valid = np.asarray(batch.column(0).is_valid())
-            seen, keys, owners, held = set(), [], [], 0
+            seen, keys, owners, lots, held = set(), [], [], [], 0
             for i, grams in document_sets(batch, n):
                 if not valid[i] or len(grams) < 2 or (key := set_key(grams)) in seen:
                     continue
                 seen.add(key)
-                found = representatives(grams, frequent, sizes)
-                keys.append(found.astype(_SIGNED))
-                owners.append(np.full(len(found), ids[i]))
-                held += len(found)
+                for found, lot in representatives(grams, frequent, sizes):
+                    keys.append(found.astype(_SIGNED))
+                    owners.append(np.full(len(found), ids[i]))
+                    lots.append(np.full(len(found), lot))
+                    held += len(found)
                 if held > 1 << 18:
-                    yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], names=["key", "doc"])
-                    keys, owners, held = [], [], 0
+                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in (keys, owners, lots)], names=["key", "doc", "lot"])
+                    keys, owners, lots, held = [], [], [], 0
             if held:
-                yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], names=["key", "doc"])
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in (keys, owners, lots)], names=["key", "doc", "lot"])
 
-    return docs.mapInArrow(run, "key long, doc long")
+    return docs.mapInArrow(run, "key long, doc long, lot long")
 
 
 def _parts(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
@@ -221,7 +227,8 @@ def across(parts: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     prefixes = written(prefixes, "prefixes")
     x, y = (prefixes.select("gram", *[F.col(k).alias(f"{k}{i}") for k in ("doc", "n", "c", "alone", "rank")]) for i in (1, 2))
     left = lambda i: F.col(f"n{i}") - F.col(f"alone{i}") - F.col(f"rank{i}")
-    most = F.least("rank1", "rank2") + F.least(left(1), left(2))
+    # A pair that links passes this at its first common n-gram, before which it has none in common.
+    most = F.least(left(1), left(2))
     may = (F.col("c1") != F.col("c2")) & (F.col("doc1") < F.col("doc2")) & (most * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent)
     return x.join(y, (x["gram"] == y["gram"]) & may).select(F.col("doc1").alias("a"), F.col("doc2").alias("b")).distinct()
 
@@ -239,18 +246,23 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, hot_share
     sets = written(sets.join(first, ["n_shingles", "a", "b"], "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("first")), "sets")
 
     group = Window.partitionBy("key")
-    buckets = written(_represented(docs, n, percent, hot).withColumns({"low": F.min("doc").over(group), "high": F.max("doc").over(group)}).filter("low < high").select("key", "doc"), "buckets")
-    sharing = written(buckets.groupBy("doc").agg(F.count("*").alias("keys")), "sharing")
+    several = lambda df: df.withColumns({"low": F.min("doc").over(group), "high": F.max("doc").over(group)}).filter("low < high").drop("low", "high")
+    enough = lambda df: df.groupBy("doc", "lot").count().filter(F.col("count") >= F.col("lot") % (1 << 20)).select("doc", "lot")
+    looked_up = written(several(_represented(docs, n, percent, hot)), "looked-up")
+    buckets = written(several(looked_up.join(enough(looked_up), ["doc", "lot"])), "buckets")
+    remove(looked_up)
+    sharing = written(buckets.withColumn("size", F.count("*").over(group)).groupBy("doc").agg(F.sum("size").alias("keys")), "sharing")
     parts = written(_parts(docs, sharing.select("doc"), n).join(sharing.select("doc"), "doc"), "parts")
-    # The hub of a bucket is the document that shares the most; each document meets its most frequent hub.
+    # The hub of a bucket is the document whose buckets hold the most documents, as those of an original do; each document meets its most frequent hub.
     rank = F.struct(F.col("keys"), (-F.col("doc")).alias("minus"))
     hubs = buckets.join(sharing, "doc").withColumn("hub", -F.max(rank).over(group)["minus"]).filter("doc <> hub")
     stars = hubs.groupBy("doc", "hub").count().groupBy("doc").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
     links = linked(written(stars.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct(), "stars"), parts, percent)
 
     found = written(components(links), "components")
-    joined = buckets.join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
-    mixed = written(joined.withColumns({"c0": F.min("c").over(group), "c1": F.max("c").over(group)}).filter("c0 < c1").select("doc", "c").distinct(), "mixed")
+    joined = buckets.join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", "lot", F.coalesce("component", "doc").alias("c"))
+    mixed = written(joined.withColumns({"c0": F.min("c").over(group), "c1": F.max("c").over(group)}).filter("c0 < c1").select("doc", "lot", "c"), "mixed")
+    mixed = written(mixed.join(enough(mixed), ["doc", "lot"]).select("doc", "c").distinct(), "mixed")
     links = links.unionByName(linked(written(across(parts, mixed, percent), "across"), parts, percent))
 
     owner = sets.select("doc_id", "first").groupBy("doc_id").agg(F.min("first").alias("first"))

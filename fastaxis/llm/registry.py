@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fastaxis.llm import decontaminate, line_dedup, ngram_join, packing, pii, quality, suffix_dedup, toxicity
+from fastaxis.llm import decontaminate, licences, line_dedup, ngram_join, packing, pii, quality, suffix_dedup, token_counts, toxicity
 from fastaxis.llm.common import documents
 
 
@@ -17,6 +17,17 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of all documents, and their counts after a standard set of edits."""
+    ranks = tokenizer_file("byte_bpe_50k.tiktoken")
+    made = token_counts.trees(documents(spark, sf_dir, "doc_id", "text"), ranks)
+    return token_counts.edited(made, token_counts.standard_edits(F.col("text")), ranks).select("doc_id", "n_chars_before", "n_tokens_before", "n_chars_after", "n_tokens_after", "n_encoded")
+
+
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir))
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
@@ -52,6 +63,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
+    "op2_licence_scan": op2_licence_scan,
     "op3_personal_data": op3_personal_data,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_toxicity": op5_toxicity,

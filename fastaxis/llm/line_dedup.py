@@ -7,9 +7,10 @@ is below ``min_docs`` is a variable field too, if at least ``min_constant`` of t
 tokens stay; else the line is its own template. A template in ``min_docs`` documents or more
 recurs: its first line (by document, then line) stays, all others are dropped.
 
-Lines are 64-bit hashes of their tokens. Only leaves with several different lines are looked at
-token by token; a sketch of fixed size screens the texts for these, and a join makes the
-screening exact. Counts are combined before their shuffles, so a line that many documents
+Lines are 64-bit hashes of their tokens, and tokens of their leaf, place and bytes. Only leaves
+with several different lines are looked at token by token; a sketch of fixed size screens the
+texts for these, and another one the lines for those that may keep enough tokens, before the
+exact join (what the sketches let through without need changes no result). Counts are combined before their shuffles, so a line that many documents
 share is no large group; joins on lines can be split where they are skewed. Texts are
 shuffled once, for the removal.
 
@@ -72,30 +73,44 @@ def _lines(docs: DataFrame, min_tokens: int, depth: int) -> DataFrame:
     return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc long, at long, leaf long, line long")
 
 
-def _tokens_of(docs: DataFrame, leaves: DataFrame, min_tokens: int, depth: int) -> DataFrame:
-    """(leaf, line, place, token) of the distinct lines of a batch that lie in the leaves, or that the sketch can't tell from them."""
-    bit = F.pmod(F.xxhash64("leaf"), F.lit(SKETCH))
-    rows = leaves.select(bit.alias("bit")).select(F.floor(F.col("bit") / 32).alias("at"), F.expr("shiftleft(1L, cast(bit % 32 as int))").alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits")).collect()
+def _sketch(values: DataFrame, column: str) -> np.ndarray:
+    """A bit for each of SKETCH residues of a column's hashes: a table of fixed size."""
+    bit = F.pmod(F.xxhash64(column), F.lit(SKETCH))
+    rows = values.select(bit.alias("bit")).select(F.floor(F.col("bit") / 32).alias("at"), F.expr("shiftleft(1L, cast(bit % 32 as int))").alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits")).collect()
     table = np.zeros(SKETCH // 32, np.uint32)
     for r in rows:
         table[r[0]] = r[1]
-    sketch = leaves.sparkSession.sparkContext.broadcast(table)
+    return table
+
+
+def _may_be(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = xxhash64_long(values) % SKETCH
+    return ((table[at // 32] >> (at % 32).astype(np.uint32)) & 1).astype(bool)
+
+
+def _keys_of(docs: DataFrame, leaves: DataFrame, min_tokens: int, depth: int) -> DataFrame:
+    """(leaf, line, keys) of a batch's distinct lines that lie in the leaves, or that the sketch can't tell from them.
+
+    A key names a token at its place in its leaf; a variable field's is 0.
+    """
+    sketch = leaves.sparkSession.sparkContext.broadcast(_sketch(leaves, "leaf"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = sketch.value
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
             for lo, hi in slices(offsets):
                 _, _, leaf, line, first, count, hashes = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], min_tokens, depth)
-                at = xxhash64_long(leaf) % SKETCH
-                keep = np.flatnonzero((mask[at // 32] >> (at % 32).astype(np.uint32)) & 1)
+                keep = np.flatnonzero(_may_be(sketch.value, leaf))
                 keep = keep[np.unique(line[keep], return_index=True)[1]]
                 n = count[keep]
                 inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                token = hashes[np.repeat(first[keep], n) + inside].astype(_I)
-                yield pa.record_batch([pa.array(np.repeat(leaf[keep], n)), pa.array(np.repeat(line[keep], n)), pa.array(inside.astype(np.int32)), pa.array(token)], names=["leaf", "line", "place", "token"])
+                token = hashes[np.repeat(first[keep], n) + inside]
+                key = mix(token + mix(np.repeat(leaf[keep], n).astype(_U) + inside.astype(_U) * _U(0xA24BAED4963EE407))).astype(_I)
+                key[token == _FIELD] = 0
+                to = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+                yield pa.record_batch([pa.array(leaf[keep]), pa.array(line[keep]), pa.ListArray.from_arrays(to, pa.array(key))], names=["leaf", "line", "keys"])
 
-    return docs.filter("doc_id is not null").select("text").mapInArrow(run, "leaf long, line long, place int, token long")
+    return docs.filter("doc_id is not null").select("text").mapInArrow(run, "leaf long, line long, keys array<long>")
 
 
 def xxhash64_long(x: np.ndarray) -> np.ndarray:
@@ -115,14 +130,25 @@ def templates(docs: DataFrame, lines: DataFrame, min_docs: int, min_constant: fl
     """(line, template) of the lines that are generalised; any other line is its own template."""
     per_line = written(lines.select("leaf", "line", "doc").distinct().groupBy("leaf", "line").agg(F.count("*").alias("docs")), "line-counts")
     leaves = written(per_line.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("docs")).filter((F.col("lines") > 1) & (F.col("docs") >= min_docs)).select("leaf"), "leaves")
-    found = _tokens_of(docs, leaves, min_tokens, depth).distinct().join(leaves, "leaf")
-    placed = written(found.join(per_line, ["leaf", "line"]).select("leaf", "line", "place", "token", "docs"), "line-tokens")
-    support = placed.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("support")).filter(F.col("support") >= min_docs).select("leaf", "place", "token", F.lit(True).alias("constant"))
-    field = F.lit(int(_FIELD.astype(_I)))
-    constant = F.coalesce("constant", F.lit(False)) & (F.col("token") != field)
-    told = placed.join(support, ["leaf", "place", "token"], "left").select("leaf", "line", "place", constant.alias("constant"), F.when(constant, F.col("token")).otherwise(field).alias("token"))
-    made = told.groupBy("leaf", "line").agg(F.bit_xor(F.xxhash64("leaf", "place", "token")).alias("template"), F.avg(F.col("constant").cast("double")).alias("share"))
-    return made.filter(F.col("share") >= min_constant).select("line", "template")
+    found = _keys_of(docs, leaves, min_tokens, depth).groupBy("leaf", "line").agg(F.first("keys").alias("keys"))
+    placed = written(found.join(per_line, ["leaf", "line"]), "line-keys")
+    each = placed.select("docs", F.explode("keys").alias("key")).filter("key <> 0")
+    constant = written(each.groupBy("key").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("key"), "constants")
+    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(constant, "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(2)
+            to = np.asarray(keys.offsets, _I)
+            flat = np.asarray(keys.flatten(), _I)
+            sums = np.concatenate([[0], np.cumsum(_may_be(sketch.value, flat) & (flat != 0))])
+            to = to - to[0]
+            yield batch.filter(pa.array(sums[to[1:]] - sums[to[:-1]] >= min_constant * np.diff(to) - 1e-9))
+
+    may = placed.select("leaf", "line", "keys").mapInArrow(run, "leaf long, line long, keys array<long>")
+    kept = may.select("leaf", "line", F.size("keys").alias("n"), F.explode("keys").alias("key")).join(constant, "key")
+    made = kept.groupBy("leaf", "line", "n").agg(F.count("*").alias("constants"), F.bit_xor("key").alias("template"))
+    return made.filter(F.col("constants") >= F.col("n") * min_constant - 1e-9).select("line", F.xxhash64("leaf", "template").alias("template"))
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = 3, min_constant: float = 0.6, min_tokens: int = 3, depth: int = 2) -> DataFrame:

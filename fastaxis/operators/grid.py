@@ -43,7 +43,13 @@ def moments(sums: DataFrame) -> DataFrame:
 
 
 def rotated(m: DataFrame, prefix: str, angles: DataFrame) -> DataFrame:
-    """Adds, for every angle (phi, c, s), the moments ff, ss and fs of the fast component and the delayed slow one."""
+    """Adds, for every angle (phi, c, s), the moments ff, ss and fs of the fast component and the delayed slow one.
+
+    The rows are dealt by record and window before the angles multiply them: the work is
+    spread at its true size, and the aggregations by record and window that follow need no
+    shuffle of the grid.
+    """
+    m = m.repartition(int(m.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rec", "window_idx")
     k = lambda p: F.col(f"{prefix}{p}")
     c, s = F.col("c"), F.col("s")
     ff = c * c * k("xx") + 2 * c * s * k("xy") + s * s * k("yy")

@@ -69,6 +69,7 @@ class Classifier:
     def __init__(self, negatives: list[str], seed: int = 17):
         rnd = random.Random(seed)
         filler = [w for text in negatives[:400] for w in normal(text)][:4000] or [b"the", b"of", b"and", b"in"]
+        filler = filler * (64 // len(filler) + 1)
         examples: list[tuple[np.ndarray, int]] = []
         for label, family in enumerate(FAMILIES[1:], 1):
             for text in TEMPLATES[family]:
@@ -88,7 +89,7 @@ class Classifier:
         # Single licence words in prose aren't licences.
         stray = sorted({w for family in TEMPLATES.values() for text in family for w in normal(text)})
         for _ in range(len(stray) * 4):
-            at = rnd.randrange(len(filler))
+            at = rnd.randrange(len(filler) - 16)
             examples.append((hashed([*filler[at : at + 8], rnd.choice(stray), *filler[at + 8 : at + 16]]), 0))
         rnd.shuffle(examples)
         held, learn = examples[::5], [x for i, x in enumerate(examples) if i % 5]
@@ -141,13 +142,13 @@ def stretches(places: np.ndarray, reach: int, first: int, end: int) -> Iterator[
     """Joined ranges of ``reach`` words around places, within first and end."""
     lo = hi = -1
     for p in places.tolist():
-        if hi >= p - reach:
+        if lo >= 0 and hi >= p - reach:
             hi = min(end, p + reach)
             continue
-        if hi >= 0:
+        if lo >= 0:
             yield lo, hi
         lo, hi = max(first, p - reach), min(end, p + reach)
-    if hi >= 0:
+    if lo >= 0:
         yield lo, hi
 
 

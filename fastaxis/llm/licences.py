@@ -54,13 +54,22 @@ def normal(text: str) -> list[bytes]:
     return _WORD[np.frombuffer(text.encode(), np.uint8)].tobytes().split()
 
 
-def hashed(words: list[bytes]) -> np.ndarray:
-    """The distinct buckets of a stretch's one- to three-grams."""
+def grams_of(words: list[bytes], k: int) -> np.ndarray:
+    """64-bit hashes of a stretch's k-grams; none if it has fewer words."""
+    if len(words) < k:
+        return np.zeros(0, np.uint64)
     data = np.frombuffer(b" ".join(words), np.uint8)
     starts, ends, first = word_spans(data, np.array([0, len(data)]))
-    h = span_hashes(data, starts, ends)
-    parts = [gram_hashes(h, first, k)[0] for k in (1, 2, 3) if len(h) >= k]
-    return np.unique(np.concatenate([(p + np.uint64(k * 7919)) % np.uint64(BUCKETS) for k, p in enumerate(parts)] or [np.zeros(0, np.uint64)]).astype(np.int64))
+    return gram_hashes(span_hashes(data, starts, ends), first, k)[0]
+
+
+def bucket(grams: np.ndarray, k: int) -> np.ndarray:
+    return ((grams + np.uint64(k * 7919)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def hashed(words: list[bytes]) -> np.ndarray:
+    """The distinct buckets of a stretch's one- to three-grams."""
+    return np.unique(np.concatenate([bucket(grams_of(words, k), k) for k in (1, 2, 3)]))
 
 
 class Classifier:
@@ -108,8 +117,11 @@ class Classifier:
         loss = lambda t: -sum(np.log(max(self._soft(x, t)[y], 1e-9)) for x, y in held)
         self.temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
         self.held_accuracy = float(np.mean([int(np.argmax(self._soft(x, 1.0)) == y) for x, y in held]))
+        # The templates' own two- and three-grams that favour some family, by their whole hashes: a text's other
+        # n-grams share their buckets only by chance.
         favoured = self.weights[:, 1:].max(axis=1) - self.weights[:, 0]
-        self.active = favoured > 0.1
+        stated = [{g for texts in TEMPLATES.values() for t in texts for g in grams_of(normal(t), k).tolist()} for k in (2, 3)]
+        self.active = [np.array(sorted(g for g in own if favoured[bucket(np.array([g], np.uint64), k)[0]] > 0.1), np.uint64) for k, own in zip((2, 3), stated, strict=True)]
         self.pairs = {f: [frozenset(zip(w, w[1:], strict=False)) for w in map(normal, texts)] for f, texts in TEMPLATES.items()}
 
     @staticmethod
@@ -165,7 +177,9 @@ def _findings(data: np.ndarray, offsets: np.ndarray, model: Classifier, certain:
         # A paragraph of fewer words than k has one gram, which the training knows as no k-gram.
         whole = np.diff(first) >= k
         line = np.repeat(np.arange(len(whole)), np.diff(to))
-        hit = np.flatnonzero(model.active[((grams + np.uint64((k - 1) * 7919)) % np.uint64(BUCKETS)).astype(np.int64)] & whole[line])
+        active = model.active[k - 2]
+        near = np.minimum(np.searchsorted(active, grams), max(len(active) - 1, 0))
+        hit = np.flatnonzero((active[near] == grams) & whole[line]) if len(active) else np.zeros(0, np.int64)
         found.append(np.stack([line[hit], first[line[hit]] + hit - to[line[hit]]]))
     line, place = np.concatenate(found, 1)
     order = np.lexsort((place, line))

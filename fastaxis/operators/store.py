@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,7 +69,7 @@ class Store:
 
 def snapshot(config) -> str:
     """The analysis settings as JSON: no connection, archive or logging settings."""
-    kept = {k: v for k, v in asdict(config).items() if k in ("waveform", "sws", "processing", "velocity_model")}
+    kept = {k: v for k, v in config.to_dict().items() if k in ("waveform", "sws", "processing", "velocity_model")}
     return json.dumps(kept, sort_keys=True)
 
 

@@ -192,4 +192,19 @@ SQL["q_geodesic"] = f"""WITH {RESULTS}, p AS (SELECT event_id, radians(event_lat
  SELECT event_id, round(2 * 6371.0 * asin(sqrt(least(sin((c - a) / 2) ** 2 + cos(a) * cos(c) * sin((d - b) / 2) ** 2, 1.0))), 5) AS distance_km,
   round((degrees(atan2(sin(b - d) * cos(a), cos(c) * sin(a) - sin(c) * cos(a) * cos(b - d))) + 360) % 360, 5) AS backazimuth FROM p"""
 
+#: A crust of constant layers (depth in km, S velocity in km/s).
+CRUST = [(0.0, 2.7), (4.0, 2.7), (4.0, 2.9), (8.0, 2.9), (8.0, 3.3), (30.0, 3.6), (30.0, 3.9), (6371.0, 3.9)]
+
+
+def q_ray_screen(spark, sf_dir):
+    """Travel times, angles and ellipsoidal distances of every result; rays and geodesics are iterations without an SQL form."""
+    import numpy as np
+
+    from fastaxis.operators import raypath
+
+    r = tables.results(spark, sf_dir).select("event_id", "event_latitude", "event_longitude", "event_depth_km", (F.col("event_latitude") + F.col("epi_distance_km") / 1000).alias("station_latitude")).withColumn("station_longitude", F.col("event_longitude") + 0.01)
+    out = raypath.screened(r, np.array(CRUST))
+    return out.select("event_id", *[F.round(c, 4).alias(c) for c in ("s_travel_time_s", "takeoff_angle", "incidence_angle", "epi_distance_km", "backazimuth")], "error")
+
+
 Q |= {k: v for k, v in list(globals().items()) if k.startswith("q_")}

@@ -65,19 +65,22 @@ def angles(spark, first: int = -90, last: int = 89) -> DataFrame:
 
 
 def ev_objective() -> Column:
-    """Eigenvalue ratio; nearly negative values from rounding are 0."""
+    """Eigenvalue ratio; nearly negative values from rounding are 0, and a window without motion has none."""
     root = F.sqrt((F.col("ff") - F.col("ss")) * (F.col("ff") - F.col("ss")) + 4 * F.col("fs") * F.col("fs"))
-    return F.greatest((F.col("ff") + F.col("ss") - root) / (F.col("ff") + F.col("ss") + root), F.lit(0.0))
+    whole = F.col("ff") + F.col("ss") + root
+    return F.when(whole > 0, F.greatest(F.try_divide(F.col("ff") + F.col("ss") - root, whole), F.lit(0.0)))
 
 
 def rc_objective() -> Column:
-    return F.abs(F.col("fs")) / F.sqrt(F.col("ff") * F.col("ss"))
+    """Absolute correlation; none where a component does not move."""
+    whole = F.sqrt(F.greatest(F.col("ff") * F.col("ss"), F.lit(0.0)))
+    return F.when(whole > 0, F.try_divide(F.abs("fs"), whole))
 
 
 def best(grid: DataFrame, objective: Column, largest: bool = False) -> DataFrame:
     """(rec, window_idx, phi, lag, c): the best cell; ties, to nine decimals, go to the first axis and then to the first delay."""
     value = F.round(-objective if largest else objective, 9)
-    found = grid.groupBy("rec", "window_idx").agg(F.min(F.struct(value.alias("c"), F.col("phi"), F.col("lag"))).alias("b"))
+    found = grid.groupBy("rec", "window_idx").agg(F.min(F.when(value.isNotNull(), F.struct(value.alias("c"), F.col("phi"), F.col("lag")))).alias("b"))
     c = -F.col("b.c") if largest else F.col("b.c")
     return found.select("rec", "window_idx", F.col("b.phi").alias("phi"), F.col("b.lag").alias("lag"), c.alias("c"))
 
@@ -98,6 +101,6 @@ def extents(grid: DataFrame, **wanted: tuple[Column, str]) -> DataFrame:
 
 def bests(grid: DataFrame) -> DataFrame:
     """(rec, window_idx) with ev_ and rc_ phi, lag and c: both methods' best cells in one pass over the grid."""
-    cell = lambda v: F.min(F.struct(F.round(v, 9).alias("c"), F.col("phi"), F.col("lag")))
+    cell = lambda v: F.min(F.when(v.isNotNull(), F.struct(F.round(v, 9).alias("c"), F.col("phi"), F.col("lag"))))
     found = grid.groupBy("rec", "window_idx").agg(cell(ev_objective()).alias("e"), cell(-rc_objective()).alias("r"))
     return found.select("rec", "window_idx", *[F.col(f"e.{c}").alias(f"ev_{c}") for c in ("phi", "lag", "c")], *[F.col(f"r.{c}").alias(f"rc_{c}") for c in ("phi", "lag")], (-F.col("r.c")).alias("rc_c"))

@@ -34,7 +34,7 @@ class Settings:
 
 def _spectral_freedom(signals: pd.Series) -> pd.Series:
     def one(x) -> float:
-        n = len(x)
+        n = 0 if x is None else len(x)
         if n < 2:
             return float("nan")
         p = np.abs(np.fft.fft(np.asarray(x, float), 1 << (n - 1).bit_length())) ** 2

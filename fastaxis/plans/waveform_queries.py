@@ -273,7 +273,7 @@ def q_corrected_cc(spark, sf_dir):
     cells = _grid(spark, sf_dir)
     b = grid.best(cells, grid.ev_objective()).drop("c")
     joined = cells.join(b, ["rec", "window_idx", "phi", "lag"])
-    return joined.select("rec", F.col("window_idx").cast("long").alias("window_idx"), F.round(F.coalesce(F.col("fs") / F.sqrt(F.col("ff") * F.col("ss")), F.lit(0.0)), 5).alias("cc_fs"))
+    return joined.select("rec", F.col("window_idx").cast("long").alias("window_idx"), F.round(F.coalesce(F.try_divide("fs", F.sqrt(F.col("ff") * F.col("ss"))), F.lit(0.0)), 5).alias("cc_fs"))
 
 
 SQL["q_corrected_cc"] = f"""WITH {TRACES}, {_WINDOWS}, {_LAGGED}, {_GRID}, b AS (SELECT rec, window_idx, min(struct_pack(c := round(ev, 9), phi := phi, td := td)) AS b FROM o GROUP BY rec, window_idx)

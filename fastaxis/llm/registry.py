@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fastaxis.llm import decontaminate, licences, line_dedup, ngram_join, packing, pii, quality, suffix_dedup, token_counts, toxicity
+from fastaxis.llm import decontaminate, licences, line_dedup, ngram_join, oracle, packing, pii, quality, suffix_dedup, token_counts, toxicity
 from fastaxis.llm.common import documents
 
 
@@ -75,4 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracle.SQL

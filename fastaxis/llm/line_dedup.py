@@ -157,7 +157,8 @@ def drop_recurring(docs: DataFrame, min_docs: int = 3, min_constant: float = 0.6
     lines = written(_lines(texts, min_tokens, depth), "lines")
     named = templates(texts, lines, min_docs, min_constant, min_tokens, depth)
     placed = written(lines.join(named, "line", "left").select("doc", "at", "line", F.coalesce("template", "line").alias("template")), "placed")
-    first = placed.groupBy("template", "doc").agg(F.min("at").alias("at")).groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "at")).alias("first")).filter(F.col("docs") >= min_docs)
+    # A table of its own, so that the join below has plain shuffles on both sides and a hot template's rows can be split.
+    first = written(placed.groupBy("template", "doc").agg(F.min("at").alias("at")).groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "at")).alias("first")).filter(F.col("docs") >= min_docs), "recurring")
     dropped = placed.join(first, "template").filter(F.struct("doc", "at") != F.col("first")).groupBy(F.col("doc").alias("_line_doc")).agg(F.collect_list(F.struct("at", "line")).alias("_dropped"))
     joined = docs.join(dropped, docs["doc_id"].cast("long") == dropped["_line_doc"], "left").drop("_line_doc")
     names = joined.columns

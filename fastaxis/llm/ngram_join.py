@@ -242,7 +242,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, hot_share
     many = survey.filter("kind = 1").groupBy("x").agg(F.sum("n").alias("n")).filter(F.col("n") >= F.lit(max(4.0, sets.count() * hot_share / 2)))
     hot = spark.sparkContext.broadcast(np.sort(np.fromiter((r[0] for r in many.select("x").toLocalIterator()), _SIGNED).astype(np.uint64)))
 
-    first = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("first"))
+    # A table of its own, so that the join has plain shuffles on both sides and the rows of a hot set can be split.
+    first = written(sets.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("first")), "firsts")
     sets = written(sets.join(first, ["n_shingles", "a", "b"], "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("first")), "sets")
 
     group = Window.partitionBy("key")

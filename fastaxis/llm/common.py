@@ -179,3 +179,30 @@ def is_small(df: DataFrame, rows: int) -> bool:
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*[F.col(c) for c in columns]) if columns else df
+
+
+def most_frequent(df: DataFrame, n: str, rows: int) -> DataFrame:
+    """The rows of the largest n, at most ``rows`` of them: those above a cut that a histogram of fixed size finds.
+
+    Nothing is sorted, and no task or driver sees more than the rows that stay.
+    """
+    level = F.floor(F.log2(F.col(n)) * 16)
+    found, held, cut = sorted(map(tuple, df.groupBy(level.alias("level")).count().collect()), reverse=True), 0, None
+    for at, count in found:
+        held += count
+        if held > rows:
+            break
+        cut = at
+    return df.filter(level >= cut) if cut is not None else df.limit(0)
+
+
+def hash_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
+    """At most ``rows`` of a table of ``total`` rows, by the least hashes of a column.
+
+    A first filter leaves about twice as many, so that the sort's partial results stay small
+    however many tasks there are.
+    """
+    h = F.xxhash64(key)
+    if total > 2 * rows:
+        df = df.filter(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * min(1.0, (2 * rows + 1000) / total)))
+    return df.orderBy(F.pmod(h, F.lit(1 << 40)), key).limit(rows)

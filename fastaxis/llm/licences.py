@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fastaxis.llm.common import gram_hashes, slices, span_hashes, text_bytes, word_spans
+from fastaxis.llm.common import gram_hashes, hash_sample, slices, span_hashes, text_bytes, word_spans
 
 #: How licences are named and stated, by family.
 TEMPLATES = {
@@ -145,8 +145,10 @@ class Classifier:
 
 def train(docs: DataFrame, negatives: int = NEGATIVES) -> Classifier:
     """A classifier whose "none" is a sample of the corpus's lines without licence words."""
-    lines = docs.select(F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line")).filter((F.length("line") > 0) & ~F.lower("line").rlike(r"licen[sc]|copyright|rights|spdx|redistribut|permission"))
-    chosen = lines.select(F.substring("line", 1, 400).alias("line"), F.xxhash64("line").alias("h")).orderBy("h", "line").limit(negatives)
+    lines = docs.select(F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line"))
+    total = docs.agg(F.sum(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+    plain = lines.filter((F.length("line") > 0) & ~F.lower("line").rlike(r"licen[sc]|copyright|rights|spdx|redistribut|permission"))
+    chosen = hash_sample(plain, "line", negatives, total).select(F.substring("line", 1, 400))
     return Classifier([r[0] for r in chosen.collect()])
 
 

@@ -196,13 +196,17 @@ def most_frequent(df: DataFrame, n: str, rows: int) -> DataFrame:
     return df.filter(level >= cut) if cut is not None else df.limit(0)
 
 
+def hash_filter(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
+    """About twice ``rows`` of a table of ``total`` rows, those of the least hashes of a column; all of a smaller table."""
+    if total <= 2 * rows:
+        return df
+    return df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int((1 << 40) * min(1.0, (2 * rows + 1000) / total)))
+
+
 def hash_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
     """At most ``rows`` of a table of ``total`` rows, by the least hashes of a column.
 
-    A first filter leaves about twice as many, so that the sort's partial results stay small
-    however many tasks there are.
+    The filter comes first, so that the sort's partial results stay small however many tasks
+    there are. The rows that stay meet in one task: they should be narrow.
     """
-    h = F.xxhash64(key)
-    if total > 2 * rows:
-        df = df.filter(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * min(1.0, (2 * rows + 1000) / total)))
-    return df.orderBy(F.pmod(h, F.lit(1 << 40)), key).limit(rows)
+    return hash_filter(df, key, rows, total).orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 40)), key).limit(rows)

@@ -16,6 +16,9 @@ from fastaxis.llm import decontaminate, line_dedup, ngram_join, packing, quality
 from fastaxis.llm.common import documents, written
 from fastaxis.llm.registry import tokenizer_file
 
+#: Near copies are those whose five-word shingles have a Jaccard similarity of 0.8 or more; op8's four words and 85 % are its SQL's.
+WORDS, PERCENT = 5, 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weighed rules keep."""
@@ -33,8 +36,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id."""
-    found = written(ngram_join.jaccard_components(docs), "groups")
+    """Of each group of linked documents (sets of WORDS-word shingles, PERCENT alike) the one with the smallest doc_id."""
+    found = written(ngram_join.jaccard_components(docs, n=WORDS, percent=PERCENT), "groups")
     gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
     left = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
     repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").head()

@@ -245,3 +245,34 @@ def test_pipeline(spark, tmp_path):
     assert not any(100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) for a in sets for b in sets if a < b)
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(left)
+
+
+def test_pipeline_joins_five_word_shingles(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd, texts = random.Random(8), []
+    for k in range(60):
+        words = D.prose(rnd, rnd.choice([30, 50, 90, 180, 300])).split(" ")
+        for j in range(5):
+            copy = list(words)
+            for _ in range(rnd.randint(0, 2 + len(words) // 60)):
+                copy[rnd.randrange(len(copy))] = rnd.choice("abcdefghij")
+            texts.append((k * 10 + j, " ".join(copy)))
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split(" ")) for i, t in texts)}
+    parent, only_here = {i: i for i in sets}, 0
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+                four = [shingles(t) for i, t in texts if i in (a, b)]
+                only_here += 100 * len(four[0] & four[1]) < 85 * len(four[0] | four[1])
+    assert only_here > 5
+    got = corpus_pipeline.ngram_jaccard_join(spark, spark.createDataFrame(texts, "doc_id long, text string"), str(tmp_path))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(i for i in sets if root(i) == i)

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes at once; a longer document is a slice of its own.
@@ -181,8 +181,8 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.select(*[F.col(c) for c in columns]) if columns else df
 
 
-def most_frequent(df: DataFrame, n: str, rows: int) -> DataFrame:
-    """The rows of the largest n, at most ``rows`` of them: those above a cut that a histogram of fixed size finds.
+def frequency_cut(df: DataFrame, n: str, rows: int) -> Column:
+    """Which rows are those of the largest n, at most ``rows`` of them: those above a cut that a histogram of fixed size finds.
 
     Nothing is sorted, and no task or driver sees more than the rows that stay.
     """
@@ -193,7 +193,7 @@ def most_frequent(df: DataFrame, n: str, rows: int) -> DataFrame:
         if held > rows:
             break
         cut = at
-    return df.filter(level >= cut) if cut is not None else df.limit(0)
+    return level >= cut if cut is not None else F.lit(False)
 
 
 def hash_filter(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:

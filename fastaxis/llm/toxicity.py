@@ -10,10 +10,10 @@ documents outside the models' training, gives the score.
 
 Labels are used only of rows with crc32(doc_id as text) mod 5 other than 0: those of
 remainder CALIBRATION calibrate (a bounded sample of them, CALIBRATION_ROWS), the others
-are counted for the models, all of them. Counting is exact and distributed; the models keep
-the most frequent WORDS words of two occurrences or more and STRINGS strings, so what is
-collected has a fixed bound of about 80 MB at any size of the corpus, and what is
-broadcast one of 10 MB. Scoring is one narrow pass over whole texts.
+and what the sample leaves are counted for the models, all of them. Counting and spelling are exact and
+distributed: written tables hold every word and string, those seen once too. The most
+frequent WORDS words are broadcast (10 MB at most) and scored in the pass over the texts;
+the distinct other words of each row are joined with the table of all others.
 
 Defined results: null is an empty text; a text without words gets the score of no evidence;
 labels of null, or of documents that are not there, are left out, of several labels of a
@@ -31,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fastaxis.llm.common import hash_filter, hash_sample, is_small, most_frequent, remove, slices, span_hashes, text_bytes, word_spans, written
+from fastaxis.llm.common import frequency_cut, hash_sample, is_small, remove, slices, span_hashes, text_bytes, word_spans, written
 
-ORDER, WORDS, STRINGS, CALIBRATION_ROWS, CALIBRATION, DISCOUNT = 6, 800_000, 1_500_000, 50_000, 1, 0.75
+#: WORDS only says which words are broadcast and which are joined.
+ORDER, WORDS, CALIBRATION_ROWS, CALIBRATION, DISCOUNT = 6, 800_000, 50_000, 1, 0.75
 #: Labels up to so many are broadcast to the documents; more are joined by a shuffle.
 SMALL_LABELS = 2_000_000
 _WORD = np.array([b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else b + 32 if 65 <= b < 91 else 32 for b in range(256)], np.uint8)
@@ -106,82 +107,88 @@ def spelled(words: DataFrame) -> DataFrame:
     return words.select("word").mapInArrow(run, "string long, n long").groupBy("string").agg(F.sum("n").alias("n"))
 
 
-def _by(keys: np.ndarray, *weights: np.ndarray) -> list[np.ndarray]:
-    """For each key, the sums of the weights over all equal keys."""
-    _, at = np.unique(keys, return_inverse=True)
-    return [np.bincount(at, w)[at] for w in weights]
-
-
-def shared(keys: np.ndarray, order: int) -> np.ndarray:
-    """The probability of each distinct string's last byte after its first order - 1 bytes, from continuation counts."""
-    if order == 0:
-        return np.full(len(keys), 1 / 256)
-    values, at = np.unique(keys & ((1 << 8 * order) - 1), return_inverse=True)
-    before = np.bincount(at)  # how many distinct longer strings end in each
-    total, kinds = _by(values >> 8, before, np.ones(len(values)))
-    p = np.maximum(before - DISCOUNT, 0) / total + DISCOUNT * kinds / total * shared(values, order - 1)
-    return p[at]
+def spelling(strings_seen: DataFrame) -> DataFrame:
+    """(string, log): the log probability of each string's last byte after the bytes before, from (string, n).
+
+    Kneser-Ney: an order's counts are how many distinct longer strings end in each of its own.
+    """
+    tail = lambda c, order: F.col(c).bitwiseAND(F.lit((1 << 8 * order) - 1))
+    levels = [strings_seen.select(F.col("string").alias("key"), "n")]
+    for order in range(ORDER - 1, 0, -1):
+        levels.append(written(levels[-1].groupBy(tail("key", order).alias("key")).agg(F.count("*").alias("n")), "spelling"))
+    below = None
+    for order, level in enumerate(reversed(levels), 1):
+        level = level.withColumn("context", F.shiftrightunsigned("key", 8))
+        held = level.join(level.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")), "context")
+        if below is None:
+            held = held.withColumn("below", F.lit(1 / 256))
+        else:
+            held = held.withColumn("tail", tail("key", order - 1)).join(below, "tail")
+        p = (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("below")) / F.col("total")
+        below = written(held.select(F.col("key").alias("tail"), p.alias("below")), "spelling")
+    for level in levels[1:]:
+        remove(level)
+    return below.select(F.col("tail").alias("string"), F.log("below").alias("log"))
+
+
+def spelled_out(words: DataFrame, logs: DataFrame) -> DataFrame:
+    """(hash, c0, c1, below): every word with its probability by its spelling."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(0))
+            for lo, hi in slices(offsets):
+                part = data[offsets[lo] : offsets[hi]]
+                starts, ends = offsets[lo:hi] - offsets[lo], offsets[lo + 1 : hi + 1] - offsets[lo]
+                key, owner = strings(part, starts, ends)
+                own = [span_hashes(part, starts, ends).astype(_I), *(np.asarray(batch.column(c), _I)[lo:hi] for c in (1, 2))]
+                yield pa.record_batch([*(pa.array(x[owner]) for x in own), pa.array(key)], names=["hash", "c0", "c1", "string"])
 
-class Spelling:
-    """The spelling model: log probabilities of words by their strings."""
+    each = words.select("word", "c0", "c1").mapInArrow(run, "hash long, c0 long, c1 long, string long")
+    return each.join(logs, "string").groupBy("hash", "c0", "c1").agg(F.exp(F.greatest(F.sum("log"), F.lit(-200.0))).alias("below"))
 
-    def __init__(self, key: np.ndarray, n: np.ndarray):
-        order = np.argsort(key)
-        self.keys, n = key[order], n[order].astype(float)
-        self.log = np.zeros(0)
-        if len(key):
-            total, kinds = _by(self.keys >> 8, n, np.ones(len(n)))
-            self.log = np.log(np.maximum(n - DISCOUNT, 0) / total + DISCOUNT * kinds / total * shared(self.keys, ORDER - 1))
 
-    def of(self, words: pa.Array) -> np.ndarray:
-        data, offsets = text_bytes(words)
-        out = []
-        for lo, hi in slices(offsets, 1 << 20):
-            key, owner = strings(data, offsets[lo:hi], offsets[lo + 1 : hi + 1])
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            # A string that the table was pruned of: as rare as a byte can be.
-            out.append(np.bincount(owner, np.where(self.keys[at] == key, self.log[at], np.log(1 / 256)), hi - lo))
-        return np.concatenate([np.zeros(0), *out])
+class Model:
+    """Every word that the classes have seen, as (hash, difference) of its log probabilities (toxic less ordinary).
 
+    ``keys`` and ``difference`` are the most frequent of them, to be broadcast; ``rest``, None
+    or a written table, holds all the others. No word is in neither.
+    """
 
-class Model:
-    """The words that the classes have seen, as sorted hashes, and the difference of their log probabilities (toxic less ordinary)."""
-
-    def __init__(self, words: pa.Array, c0: np.ndarray, c1: np.ndarray, spelling: Spelling, totals: dict[str, int]):
-        if not len(words):
-            self.keys, self.difference = np.zeros(0, _U), np.zeros(0, np.float32)
-            return
-        below = np.exp(np.maximum(spelling.of(words), -200))
-        logs = []
-        for k, c in enumerate((c0, c1)):
+    def __init__(self, seen: DataFrame, logs: DataFrame, totals: dict[str, int]):
+        p = {}
+        for k in ("0", "1"):
             n, kinds = max(1, totals[f"c{k}"]), max(1, totals[f"w{k}"])
-            logs.append(np.log(np.maximum(c - DISCOUNT, 0) / n + DISCOUNT * kinds / n * below))
+            p[k] = F.log((F.greatest(F.col(f"c{k}") - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * F.col("below")) / n)
         # The shares set free differ between the classes only by how much text each has; a word is not to be judged by that.
-        level = np.log(max(1, totals["w1"]) / max(1, totals["c1"])) - np.log(max(1, totals["w0"]) / max(1, totals["c0"]))
-        data, offsets = text_bytes(words)
-        keys = np.concatenate([span_hashes(data[offsets[lo] : offsets[hi]], offsets[lo:hi] - offsets[lo], offsets[lo + 1 : hi + 1] - offsets[lo]) for lo, hi in slices(offsets)])
+        level = float(np.log(max(1, totals["w1"]) / max(1, totals["c1"])) - np.log(max(1, totals["w0"]) / max(1, totals["c0"])))
+        both = (F.col("c0") > 0) & (F.col("c1") > 0)
+        difference = F.when(both, p["1"] - p["0"]).otherwise(p["1"] - p["0"] - level)
+        every = written(spelled_out(seen, logs).select("hash", (F.col("c0") + F.col("c1")).alias("n"), difference.alias("difference")), "differences")
+        cut = frequency_cut(every, "n", WORDS)
+        common = every.filter(cut).select("hash", "difference").toArrow()
+        keys = np.asarray(common["hash"].combine_chunks(), _I).astype(_U)
         order = np.argsort(keys)
-        self.keys, self.difference = keys[order], np.where((c0 > 0) & (c1 > 0), logs[1] - logs[0], logs[1] - logs[0] - level)[order].astype(np.float32)
+        self.keys, self.difference = keys[order], np.asarray(common["difference"].combine_chunks(), np.float64)[order]
+        rest = every.filter(~cut).select("hash", "difference")
+        self.rest = None if rest.isEmpty() else written(rest, "rare-words")
 
-    def differences(self, keys: np.ndarray) -> np.ndarray:
+    def differences(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words' differences, and which words the broadcast part has."""
         if not len(self.keys):
-            return np.zeros(len(keys))
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.difference[at], 0)
+        found = self.keys[at] == keys
+        return np.where(found, self.difference[at], 0), found
 
 
 def train(labelled: DataFrame) -> Model:
-    """The model of labelled documents (text, toxic 0 or 1): counts over all of them, pruned for the broadcast."""
+    """The model of labelled documents (text, toxic 0 or 1): all words and strings of all of them."""
     seen = written(counts(labelled), "words")
-    n = F.col("c0") + F.col("c1")
     has = lambda c: F.sum(F.when(F.col(c) > 0, 1).otherwise(0))
     totals = seen.agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), has("c0").alias("w0"), has("c1").alias("w1")).first().asDict()
-    numbers = lambda t, *names: [np.asarray(t[c].combine_chunks(), _I) for c in names]
-    spelling = Spelling(*numbers(most_frequent(written(spelled(seen), "strings"), "n", STRINGS).toArrow(), "string", "n"))
-    common = most_frequent(seen.withColumn("n", n).filter("n > 1"), "n", WORDS).toArrow()
-    remove(seen)
-    return Model(common["word"].combine_chunks(), *numbers(common, "c0", "c1"), spelling, {k: v or 0 for k, v in totals.items()})
+    logs = spelling(written(spelled(seen), "strings"))
+    return Model(seen, logs, {k: v or 0 for k, v in totals.items()})
 
 
 def features(n: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> np.ndarray:
@@ -204,25 +211,62 @@ def curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return weights / scale
 
 
-def compared(docs: DataFrame, model: Model, weights: np.ndarray | None, extra: list[str]) -> DataFrame:
-    """Scores each row's text; ``extra`` columns are carried along."""
-    sent = docs.sparkSession.sparkContext.broadcast((model, weights))
-    names = ["score", "n_words", "ahead", "behind", *extra]
+def compared(docs: DataFrame, model: Model, extra: list[str]) -> DataFrame:
+    """n_words, ahead and behind of each row's text; ``extra`` columns are carried along.
+
+    Words of the broadcast part are summed where the text is read. If there are others, each
+    row's distinct other words are joined with the table of all of them, and the sums added.
+    """
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast((model.keys, model.difference))
+    others = model.rest is not None
+    names = ["n_words", "ahead", "behind", *(["hashes", "times"] if others else []), *extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, weights = sent.value
+        own = Model.__new__(Model)
+        own.keys, own.difference = sent.value
         for batch in batches:
             n, ahead, behind = np.zeros(len(batch), _I), np.zeros(len(batch)), np.zeros(len(batch))
+            lengths, hashes, times = [], [], []
             for lo, hi, _, number, first, key, *_ in distinct_words(batch.column(0)):
                 n[lo:hi] = np.diff(first)
-                word, doc = model.differences(key)[number], np.repeat(np.arange(lo, hi), n[lo:hi])
+                value, found = own.differences(key)
+                word, doc = value[number], np.repeat(np.arange(lo, hi), n[lo:hi])
                 ahead += np.bincount(doc, np.maximum(word, 0), len(batch))
                 behind += np.bincount(doc, np.minimum(word, 0), len(batch))
-            score = np.zeros(len(batch)) if weights is None else 1 / (1 + np.exp(-np.clip(features(n, ahead, behind) @ weights, -500, 500)))
-            yield pa.record_batch([pa.array(score), pa.array(n), pa.array(ahead), pa.array(behind), *batch.columns[1:]], names=names)
+                if others:
+                    left = ~found[number]
+                    pair, count = np.unique((doc[left] - lo) * len(key) + number[left], return_counts=True)
+                    lengths.append(np.bincount(pair // max(1, len(key)), minlength=hi - lo))
+                    hashes.append(key[pair % max(1, len(key))].astype(_I))
+                    times.append(count)
+            lists = []
+            if others:
+                to = pa.array(np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, _I), *lengths]))]), pa.int32())
+                lists = [pa.ListArray.from_arrays(to, pa.array(np.concatenate([np.zeros(0, _I), *x]), pa.int64())) for x in (hashes, times)]
+            yield pa.record_batch([pa.array(n), pa.array(ahead), pa.array(behind), *lists, *batch.columns[1:]], names=names)
 
     kinds = dict(docs.dtypes)
-    return docs.select("text", *extra).mapInArrow(run, "score double, n_words long, ahead double, behind double, " + ", ".join(f"{c} {kinds[c]}" for c in extra))
+    schema = "n_words long, ahead double, behind double, " + ("hashes array<long>, times array<long>, " if others else "") + ", ".join(f"{c} {kinds[c]}" for c in extra)
+    made = docs.select("text", *extra).mapInArrow(run, schema)
+    if not others:
+        return made
+    # Rows are told apart by a number of their own; the table fixes it.
+    made = written(made.withColumn("row", F.monotonically_increasing_id()), "scored")
+    each = made.select("row", F.explode(F.arrays_zip("hashes", "times")).alias("x")).select("row", F.col("x.hashes").alias("hash"), F.col("x.times").alias("times"))
+    part = F.col("difference") * F.col("times")
+    sums = each.join(model.rest, "hash").groupBy("row").agg(F.sum(F.greatest(part, F.lit(0.0))).alias("more"), F.sum(F.least(part, F.lit(0.0))).alias("less"))
+    plus = lambda c, d: (F.col(c) + F.coalesce(d, F.lit(0.0))).alias(c)
+    return made.drop("hashes", "times").join(sums, "row", "left").select("n_words", plus("ahead", "more"), plus("behind", "less"), *extra)
+
+
+def scored(found: DataFrame, weights: np.ndarray) -> DataFrame:
+    """compared() rows with their score."""
+    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    ahead, behind = F.col("ahead"), F.col("behind")
+    values = [F.lit(1.0), ahead / n, ahead / F.sqrt(n), F.least(ahead / n, F.lit(0.1)), behind / n, behind / F.sqrt(n), F.log(n)]
+    z = sum((x * float(w) for x, w in zip(values, weights, strict=True)), F.lit(0.0))
+    return found.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z)))))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -230,16 +274,19 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("part", remainder(F.col("doc_id"))).filter("part > 0")
     labelled = docs.join(F.broadcast(marks) if is_small(marks, SMALL_LABELS) else marks, "doc_id")
-    model = train(labelled.filter(F.col("part") != CALIBRATION))
-    apart = labelled.filter(F.col("part") == CALIBRATION)
     total = marks.filter(F.col("part") == CALIBRATION).count()
-    scored = compared(hash_filter(apart, "doc_id", CALIBRATION_ROWS, total), model, None, ["doc_id", "toxic"])
-    rows = hash_sample(scored.select("doc_id", "n_words", "ahead", "behind", "toxic"), "doc_id", CALIBRATION_ROWS, 0).toArrow()
+    # A bounded part of the fold calibrates; the models count the rest of it.
+    apart = F.col("part") == CALIBRATION
+    if total > CALIBRATION_ROWS:
+        apart &= F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < (1 << 40) * CALIBRATION_ROWS // total
+    model = train(labelled.filter(~apart))
+    found = compared(labelled.filter(apart), model, ["doc_id", "toxic"])
+    rows = hash_sample(found, "doc_id", 2 * CALIBRATION_ROWS, 0).toArrow()
     *parts, y = (np.asarray(rows[c].combine_chunks(), np.float64) for c in ("n_words", "ahead", "behind", "toxic"))
     if 0 < y.sum() < len(y):
         weights = curve(features(*parts), y)
     else:
         share = np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9)
         weights = np.array([np.log(share / (1 - share)), *[0.0] * 6])
-    out = compared(docs, model, weights, ["doc_id"])
+    out = scored(compared(docs, model, ["doc_id"]), weights)
     return out.select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", "ahead", "behind")

@@ -276,3 +276,48 @@ def test_pipeline_joins_five_word_shingles(spark, tmp_path):
     assert only_here > 5
     got = corpus_pipeline.ngram_jaccard_join(spark, spark.createDataFrame(texts, "doc_id long, text string"), str(tmp_path))
     assert sorted(r.doc_id for r in got.collect()) == sorted(i for i in sets if root(i) == i)
+
+
+def brute_differences(rows, order=6, d=0.75):
+    """Each word's log probability in toxic less that in ordinary rows, by the definition."""
+    count = [Counter(w for t, y in rows if y == k for w in t.split()) for k in (0, 1)]
+    words = {*count[0], *count[1]}
+    grams = [Counter() for _ in range(order + 1)]
+    for w in words:
+        b = bytes(order - 1) + w.encode() + b" "
+        grams[order].update(b[j - order : j] for j in range(order, len(b) + 1))
+    for o in range(order - 1, 0, -1):
+        grams[o] = Counter(g[1:] for g in grams[o + 1])
+    total, kinds = [Counter() for _ in grams], [Counter() for _ in grams]
+    for o in range(1, order + 1):
+        for g, n in grams[o].items():
+            total[o][g[:-1]] += n
+            kinds[o][g[:-1]] += 1
+
+    def p(g):
+        c = g[:-1]
+        return (max(0, grams[len(g)][g] - d) + d * kinds[len(g)][c] * p(g[1:])) / total[len(g)][c] if g else 1 / 256
+
+    out, n, k = {}, [sum(c.values()) for c in count], [len(c) for c in count]
+    for w in words:
+        b = bytes(order - 1) + w.encode() + b" "
+        below = np.prod([p(b[j - order : j]) for j in range(order, len(b) + 1)])
+        logs = [np.log((max(0, c[w] - d) + d * k[i] * below) / n[i]) for i, c in enumerate(count)]
+        out[w] = logs[1] - logs[0] - (0 if all(c[w] for c in count) else np.log(k[1] / n[1]) - np.log(k[0] / n[0]))
+    return out
+
+
+def test_toxicity_counts_every_word(spark, monkeypatch):
+    """Words seen once count, and are joined if they don't fit the broadcast."""
+    rnd = random.Random(9)
+    texts = [(i, D.prose(rnd, 30), int(i % 3 == 0)) for i in range(60)]
+    part = lambda i: __import__("zlib").crc32(str(i).encode()) % 5
+    want = brute_differences([(t, y) for i, t, y in texts if part(i) > 1])
+    docs, labels = spark.createDataFrame([x[:2] for x in texts], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int")
+    for most in (800_000, 10):
+        monkeypatch.setattr(toxicity, "WORDS", most)
+        got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+        assert len(got) == len(texts)
+        for i, t, _ in texts:
+            own = [want.get(w, 0.0) for w in t.split()]
+            assert (got[i].ahead, got[i].behind) == pytest.approx((sum(x for x in own if x > 0), sum(x for x in own if x < 0)), abs=1e-6)

@@ -26,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without recurring lines; those of which only white space is left go."""
-    out = line_dedup.drop_recurring(docs)
+    """Documents without lines that two documents or more have, short ones too; those of which only white space is left go."""
+    out = line_dedup.drop_recurring(docs, min_docs=2, support=3, short=True)
     left = out.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
     if "n_chars" in docs.columns:
         length = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))

@@ -14,7 +14,7 @@ exact join (what the sketches let through without need changes no result). Count
 share is no large group; joins on lines can be split where they are skewed. Texts are
 shuffled once, for the removal.
 
-Defined results: null has no lines and stays null; lines of fewer than ``min_tokens`` tokens are never dropped;
+Defined results: null has no lines and stays null; lines of fewer than ``min_tokens`` tokens are never dropped, unless ``short`` is set;
 rows without a doc_id are neither counted nor changed; rows of equal doc_id count as one
 document; an empty table gives none; all other columns are handed on unchanged.
 """
@@ -37,8 +37,8 @@ _DIGIT = (np.arange(256) >= 48) & (np.arange(256) < 58)
 _FIELD = _U(0x632BE59BD9B4E019)
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray, min_tokens: int, depth: int) -> tuple[np.ndarray, ...]:
-    """Of each line with enough tokens: its document, number in it, leaf, hash and first token (n + 1), and all tokens' hashes."""
+def tokens(data: np.ndarray, offsets: np.ndarray, min_tokens: int, depth: int, short: bool = False) -> tuple[np.ndarray, ...]:
+    """Of each line with enough tokens, or with any if ``short``: its document, number in it, leaf, hash and first token (n + 1), and all tokens' hashes."""
     place = np.flatnonzero(data == 10)
     # A line begins at a text's start and after each line feed.
     begin = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], place[place + 1 < len(data)] + 1]))
@@ -49,25 +49,28 @@ def tokens(data: np.ndarray, offsets: np.ndarray, min_tokens: int, depth: int) -
     starts, ends, first = word_spans(flat, np.concatenate([begin, [len(data)]]))
     hashes = span_hashes(flat, starts, ends)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[flat])])
-    hashes = np.where(digits[ends] > digits[starts], _FIELD, hashes)
     count = np.diff(first)
-    keep = count >= max(1, min_tokens)
+    few = count < min_tokens
+    # A short line stands for itself, digits and all.
+    hashes = np.where((digits[ends] > digits[starts]) & ~np.repeat(few, count), _FIELD, hashes)
+    keep = count >= (1 if short else max(1, min_tokens))
     at = np.arange(len(hashes)) - np.repeat(first[:-1], count)
     spread = mix(hashes + at.astype(_U) * _U(0xA24BAED4963EE407))
     sums = np.concatenate([np.zeros(1, _U), np.cumsum(spread, dtype=_U)])
     line = mix(sums[first[1:]] - sums[first[:-1]] + count.astype(_U))
     leaf = mix(sums[np.minimum(first[1:], first[:-1] + depth)] - sums[first[:-1]] + count.astype(_U) * _U(0x9E3779B97F4A7C15))
+    leaf = np.where(few, line, leaf)
     order = np.flatnonzero(keep)
     return doc[order], number[order], leaf[order].astype(_I), line[order].astype(_I), first[:-1][order], count[order], hashes
 
 
-def _lines(docs: DataFrame, min_tokens: int, depth: int) -> DataFrame:
+def _lines(docs: DataFrame, min_tokens: int, depth: int, short: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0), _I)
             data, offsets = text_bytes(batch.column(1))
             for lo, hi in slices(offsets):
-                doc, number, leaf, line, *_ = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], min_tokens, depth)
+                doc, number, leaf, line, *_ = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], min_tokens, depth, short)
                 yield pa.record_batch([pa.array(ids[lo:hi][doc]), pa.array(number), pa.array(leaf), pa.array(line)], names=["doc", "at", "leaf", "line"])
 
     return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc long, at long, leaf long, line long")
@@ -151,11 +154,15 @@ def templates(docs: DataFrame, lines: DataFrame, min_docs: int, min_constant: fl
     return made.filter(F.col("constants") >= F.col("n") * min_constant - 1e-9).select("line", F.xxhash64("leaf", "template").alias("template"))
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = 3, min_constant: float = 0.6, min_tokens: int = 3, depth: int = 2) -> DataFrame:
-    """The documents with their text without recurring lines, and n_lines, n_dropped (long)."""
+def drop_recurring(docs: DataFrame, min_docs: int = 3, min_constant: float = 0.6, min_tokens: int = 3, depth: int = 2, support: int | None = None, short: bool = False) -> DataFrame:
+    """The documents with their text without recurring lines, and n_lines, n_dropped (long).
+
+    ``support`` is what a token needs to stay constant, if not ``min_docs``; with ``short``, lines of fewer
+    than ``min_tokens`` tokens are templates of their own.
+    """
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    lines = written(_lines(texts, min_tokens, depth), "lines")
-    named = templates(texts, lines, min_docs, min_constant, min_tokens, depth)
+    lines = written(_lines(texts, min_tokens, depth, short), "lines")
+    named = templates(texts, lines, support or min_docs, min_constant, min_tokens, depth)
     placed = written(lines.join(named, "line", "left").select("doc", "at", "line", F.coalesce("template", "line").alias("template")), "placed")
     # A table of its own, so that the join below has plain shuffles on both sides and a hot template's rows can be split.
     first = written(placed.groupBy("template", "doc").agg(F.min("at").alias("at")).groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "at")).alias("first")).filter(F.col("docs") >= min_docs), "recurring")
@@ -173,7 +180,7 @@ def drop_recurring(docs: DataFrame, min_docs: int = 3, min_constant: float = 0.6
             gone = np.zeros(len(batch), _I)
             for i in touched:
                 own = data[offsets[i] : offsets[i + 1]]
-                _, number, _, line, *_ = tokens(own, np.array([0, len(own)]), min_tokens, depth)
+                _, number, _, line, *_ = tokens(own, np.array([0, len(own)]), min_tokens, depth, short)
                 out = {(x["at"], x["line"]) for x in given[int(i)].as_py()}
                 out = {a for a, b in zip(number.tolist(), line.tolist(), strict=True) if (a, b) in out}
                 new[int(i)] = b"\n".join(x for k, x in enumerate(own.tobytes().split(b"\n")) if k not in out)

@@ -321,3 +321,12 @@ def test_toxicity_counts_every_word(spark, monkeypatch):
         for i, t, _ in texts:
             own = [want.get(w, 0.0) for w in t.split()]
             assert (got[i].ahead, got[i].behind) == pytest.approx((sum(x for x in own if x > 0), sum(x for x in own if x < 0)), abs=1e-6)
+
+
+def test_pipeline_drops_lines_of_two_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    passage = D.prose(random.Random(10), 60)
+    texts = [(1, f"first alone here\n{passage}\nOK bye\nitem 1"), (2, f"second of all\n{passage}\nOK bye\nitem 2"), (3, "OK bye\nthird line stays here"), (4, "of two alone now"), (5, "of two alone now")]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, spark.createDataFrame(texts, "doc_id long, text string"), str(tmp_path)).collect()}
+    assert got == {1: texts[0][1], 2: "second of all\nitem 2", 3: "third line stays here", 4: "of two alone now"}

@@ -6,7 +6,8 @@ graph, scored in turns: a pattern's confidence for a kind is the share of its id
 that are of that kind, weighed by their scores; an identifier's score for a kind is the
 mean confidence of its patterns, and 1 for a seed. Patterns of high confidence and support
 then mark identifiers that no seed pattern matched (numbers written in other ways,
-addresses with other signs). Seeds are never taken away.
+addresses with other signs); these support further patterns like seeds, until no pattern is
+added. Seeds are never taken away.
 
 Main path: DataFrame functions only. Every text is read once; what is written to the shared
 folder and shuffled later is only the matches. The graph's tables hold one row per pattern
@@ -122,28 +123,40 @@ def accepted_patterns(found: DataFrame, turns: int, min_confidence: float, min_s
         edges = named(kind, column) if edges is None else edges.unionByName(named(kind, column))
     edges = edges.filter("pattern is not null").groupBy("pattern", "identifier").agg(F.max("kind").alias("seed"), F.count("*").alias("n"))
     edges = written(edges, "pii-edges")
-    score = edges.filter("seed <> ''").select("identifier", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
-    seeds = edges.filter("seed <> ''").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count_distinct("identifier").alias("seeds"))
+    seeds = edges.filter("seed <> ''").select("identifier", F.col("seed").alias("kind")).distinct()
     size = edges.groupBy("pattern").agg(F.count("*").alias("size"))
-    confidence = None
-    for turn in range(turns):
-        confidence = edges.join(score, "identifier").groupBy("pattern", "kind").agg(F.sum("score").alias("mass")).join(size, "pattern").select("pattern", "kind", (F.col("mass") / F.col("size")).alias("confidence"))
-        confidence = written(confidence, "pii-confidence")
-        if turn + 1 < turns:
-            rest = edges.filter("seed = ''").join(confidence, "pattern").groupBy("identifier", "kind").agg((F.sum(F.col("confidence") * F.col("n")) / F.sum("n")).alias("score"))
-            score = edges.filter("seed <> ''").select("identifier", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct().unionByName(rest)
-    good = confidence.join(seeds, ["pattern", "kind"]).filter((F.col("confidence") >= min_confidence) & (F.col("seeds") >= min_seeds))
-    return good.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"), F.max("confidence").alias("confidence"))
+    instances, n_good = seeds, 0
+    while True:
+        score = known = instances.withColumn("score", F.lit(1.0))
+        confidence = None
+        for turn in range(turns):
+            confidence = edges.join(score, "identifier").groupBy("pattern", "kind").agg(F.sum("score").alias("mass")).join(size, "pattern").select("pattern", "kind", (F.col("mass") / F.col("size")).alias("confidence"))
+            confidence = written(confidence, "pii-confidence")
+            if turn + 1 < turns:
+                rest = edges.filter("seed = ''").join(instances.select("identifier").distinct(), "identifier", "left_anti").join(confidence, "pattern").groupBy("identifier", "kind").agg((F.sum(F.col("confidence") * F.col("n")) / F.sum("n")).alias("score"))
+                score = known.unionByName(rest)
+        support = edges.join(instances, "identifier").groupBy("pattern", "kind").agg(F.count_distinct("identifier").alias("support"))
+        good = confidence.join(support, ["pattern", "kind"]).filter((F.col("confidence") >= min_confidence) & (F.col("support") >= min_seeds))
+        good = written(good.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"), F.max("confidence").alias("confidence")), "pii-good")
+        n_before, n_good = n_good, good.count()
+        if n_good <= n_before:
+            return good
+        # What the patterns mark supports further patterns.
+        marked = edges.filter("seed = ''").join(good, "pattern").filter(fits("identifier")).select("identifier", "kind")
+        instances = written(seeds.unionByName(marked).distinct(), "pii-instances")
+
+
+def fits(value: str) -> Column:
+    """Only kinds that fit: an address can't be a number of any kind, nor the other way round."""
+    return (F.col("kind") == "email") == F.col(value).rlike(r"[@\[(]")
 
 
 def find(docs: DataFrame, turns: int = TURNS, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS, small: int = 20_000) -> DataFrame:
     """One row per document row: counts, the seeds' digest, and all spans as kind:start:end."""
     found = written(scanned(docs), "pii")
-    good = written(accepted_patterns(found, turns, min_confidence, min_seeds), "pii-patterns")
+    good = accepted_patterns(found, turns, min_confidence, min_seeds)
     others = found.filter((F.size("number") > 0) | (F.size("address") > 0)).select("row", F.explode(F.concat("number", "address")).alias("x")).withColumn("pattern", context_of(F.col("x.context")))
-    # Only kinds that fit: an address can't be a number of any kind, nor the other way round.
-    fits = (F.col("kind") == "email") == F.col("x.value").rlike(r"[@\[(]")
-    marked = others.join(F.broadcast(good) if is_small(good, small) else good, "pattern").filter(fits)
+    marked = others.join(F.broadcast(good) if is_small(good, small) else good, "pattern").filter(fits("x.value"))
     extra = marked.groupBy("row").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("kind", F.col("x.start").alias("start"), F.col("x.end").alias("end"))))).alias("extra"))
     spans = lambda kind, column: F.transform(column, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("k"), x["start"].alias("start"), x["end"].alias("end")))
     place = F.array(*[F.lit(k) for k in KINDS])

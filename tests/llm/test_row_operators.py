@@ -52,6 +52,16 @@ def test_personal_data_from_context(spark):
     assert found[3].startswith("email:") and ",phone:" in found[3]
 
 
+def test_personal_data_in_generations(spark):
+    """A phrase that only identifiers found by context stand behind marks others."""
+    texts = [(i, f"please call me on +1 (555) 010-{1000 + i} today.") for i in range(30)]
+    texts += [(100 + i, f"please call me on 555 020 {1000 + i} today, at night my number 555 020 {1000 + i} works") for i in range(8)]
+    texts += [(200, "at noon my number 555 030 9999 works"), (201, "a total amount 555 030 9999 works")]
+    found = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert found[200] == "phone:18:30"
+    assert found[201] == ""
+
+
 def test_personal_data_of_nothing(spark):
     assert pii.find(D.empty(spark)).count() == 0
     assert pii.find(D.frame(spark, D.REPEATED)).count() == len(D.rows()) + len(D.REPEATED)

@@ -1,16 +1,15 @@
 """Operator 2, licence scan: a trained paragraph classifier, confirmed by templates.
 
-Paragraphs are lines. A multinomial logistic regression over hashed word one- to three-grams
+Paragraphs are runs of lines with words; a line that states a known licence by itself is one of its own. A multinomial logistic regression over hashed word one- to three-grams
 tells licence families and "none" apart. It is trained on the driver from TEMPLATES
 (varied by seeded word loss, cutting and surrounding text) and from a bounded sample of the
 corpus's own lines (``NEGATIVES``, chosen by hash) as "none". A temperature fitted on held-out
-examples calibrates the probabilities; what stays below ``certain`` is family "unknown" if
-it looks like a licence at all. A template of the predicted family confirms by the share of
+examples calibrates the probabilities; what stays below ``certain``, or without a template, is family
+"unknown" if it is likelier a licence than none and has a licence word. A template of the predicted family confirms by the share of
 its word pairs that the paragraph has.
 
-Every whole text is scanned: only paragraphs with a two- or three-gram whose weight favours some
-family can be predicted as other than none, and so only the stretches around these are
-classified (``reach`` words at either side; long paragraphs are cut there). The scan is one
+Every whole text is scanned: the stretches around licence words and the templates' two- and
+three-grams that favour some family are classified (``reach`` words at either side; long paragraphs are cut there). The scan is one
 narrow pass; what is broadcast is the model, of fixed size.
 
 Defined results: a null or empty text has no findings; repeated rows give repeated results;
@@ -47,6 +46,8 @@ FAMILIES = ["none", *TEMPLATES]
 BUCKETS, VARIANTS, EPOCHS, NEGATIVES = 1 << 16, 30, 12, 3000
 SCHEMA = "doc_id long, n_findings long, n_confirmed long, n_unknown long, families string, best_family string, best_probability double"
 _WORD = np.array([b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else b + 32 if 65 <= b < 91 else 32 for b in range(256)], np.uint8)
+#: Words and pairs of words from which on a stretch is classified, whatever templates say.
+_SPEAKS = {1: "license licence licensed licenced licenses licences licensing licencing licensee licensor sublicense copyright copyrighted copyrights copyleft rights redistribute redistributed redistributing redistribution redistributions spdx permission permissions".split(), 2: ["public domain"]}
 _LOOKS = re.compile(rb"licen[sc]|copyright|\brights\b|redistribut|spdx|\bpermission\b|public domain")
 
 
@@ -122,6 +123,9 @@ class Classifier:
         favoured = self.weights[:, 1:].max(axis=1) - self.weights[:, 0]
         stated = [{g for texts in TEMPLATES.values() for t in texts for g in grams_of(normal(t), k).tolist()} for k in (2, 3)]
         self.active = [np.array(sorted(g for g in own if favoured[bucket(np.array([g], np.uint64), k)[0]] > 0.1), np.uint64) for k, own in zip((2, 3), stated, strict=True)]
+        self.active.insert(0, np.zeros(0, np.uint64))
+        for k, texts in _SPEAKS.items():
+            self.active[k - 1] = np.union1d(self.active[k - 1], np.concatenate([grams_of(normal(t), k) for t in texts]))
         self.pairs = {f: [frozenset(zip(w, w[1:], strict=False)) for w in map(normal, texts)] for f, texts in TEMPLATES.items()}
 
     @staticmethod
@@ -133,6 +137,10 @@ class Classifier:
         z = np.exp(z - z.max())
         return z / z.sum()
 
+    def licence(self, words: list[bytes]) -> float:
+        """The calibrated probability that a stretch is a licence of any family."""
+        return 1 - float(self._soft(hashed(words), self.temperature)[0])
+
     def predict(self, words: list[bytes]) -> tuple[str, float, float]:
         """The likeliest family, its calibrated probability, and the share of the best template of that family found."""
         p = self._soft(hashed(words), self.temperature)
@@ -174,34 +182,52 @@ def _findings(data: np.ndarray, offsets: np.ndarray, model: Classifier, certain:
     starts, ends, first = word_spans(flat, edges)
     words = span_hashes(flat, starts, ends)
     found = []
-    for k in (2, 3):
+    for k in (1, 2, 3):
         grams, to = gram_hashes(words, first, k)
-        # A paragraph of fewer words than k has one gram, which the training knows as no k-gram.
+        # A line of fewer words than k has one gram, which the training knows as no k-gram.
         whole = np.diff(first) >= k
         line = np.repeat(np.arange(len(whole)), np.diff(to))
-        active = model.active[k - 2]
+        active = model.active[k - 1]
         near = np.minimum(np.searchsorted(active, grams), max(len(active) - 1, 0))
         hit = np.flatnonzero((active[near] == grams) & whole[line]) if len(active) else np.zeros(0, np.int64)
         found.append(np.stack([line[hit], first[line[hit]] + hit - to[line[hit]]]))
     line, place = np.concatenate(found, 1)
     order = np.lexsort((place, line))
     line, place = line[order], place[order]
-    cut = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
-    for a, b in zip(cut, [*cut[1:], len(line)], strict=False):
-        n = int(line[a])
-        for lo, hi in stretches(place[a:b], reach, int(first[n]), int(first[n + 1])):
-            begin, end = int(starts[lo]), int(ends[hi - 1])
-            own = flat[begin:end].tobytes()
-            family, p, share = model.predict(own.split())
-            if family != "none" and (p < certain or share < confirm):
-                # Neither sure nor like a template: a licence that isn't known, if it speaks of one.
-                if p >= certain / 2 and _LOOKS.search(own) and share >= confirm / 2:
-                    family = "unknown"
-                else:
+
+    known: dict[tuple[int, int], tuple[str, float, float]] = {}
+
+    def judged(groups: np.ndarray, places: np.ndarray, bounds) -> Iterator[tuple[int, int, int, str, float, bool]]:
+        cut = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if len(groups) else np.zeros(0, np.int64)
+        for a, b in zip(cut, [*cut[1:], len(groups)], strict=False):
+            for lo, hi in stretches(places[a:b], reach, *bounds(int(groups[a]))):
+                begin, end = int(starts[lo]), int(ends[hi - 1])
+                own = flat[begin:end].tobytes()
+                # A line that is the whole paragraph is judged once.
+                if (lo, hi) not in known:
+                    known[lo, hi] = model.predict(own.split())
+                family, p, share = known[lo, hi]
+                if family == "none" or p < certain or share < confirm:
+                    # Neither sure nor like a template: a licence that isn't known, if it is likelier one than none and speaks of one.
                     family = "none"
-            if family != "none":
-                doc = int(np.searchsorted(offsets, begin, "right")) - 1
-                yield doc, begin - int(offsets[doc]), end - int(offsets[doc]), family, p, share >= confirm
+                    if _LOOKS.search(own) and (p := model.licence(own.split())) >= 0.5:
+                        family = "unknown"
+                if family != "none":
+                    yield int(groups[a]), begin, end, family, p, family != "unknown"
+
+    # Lines that state a known licence by themselves stand alone; the others are read as paragraphs.
+    alone = [x for x in judged(line, place, lambda n: (int(first[n]), int(first[n + 1]))) if x[5]]
+    done = np.zeros(len(edges), bool)
+    done[[x[0] for x in alone]] = True
+    empty = np.diff(first) == 0
+    begins = np.isin(edges[:-1], offsets) | empty | done[:-1]
+    begins[1:] |= (empty | done[:-1])[:-1]
+    run = np.cumsum(begins)
+    left = ~done[line]
+    ends_of = lambda g: (int(first[np.searchsorted(run, g)]), int(first[np.searchsorted(run, g, "right")]))
+    for _, begin, end, family, p, confirmed in sorted([*alone, *judged(run[line[left]], place[left], ends_of)], key=lambda x: x[1]):
+        doc = int(np.searchsorted(offsets, begin, "right")) - 1
+        yield doc, begin - int(offsets[doc]), end - int(offsets[doc]), family, p, confirmed
 
 
 def _pass(docs: DataFrame, model: Classifier, certain: float, confirm: float, reach: int, emit, schema: str) -> DataFrame:

@@ -233,3 +233,16 @@ def test_licences(spark):
     place = licences.findings(spark.createDataFrame(texts[:1], "doc_id long, text string"), model).first()
     assert b"mit license" in texts[0][1].lower().encode()[place.start : place.end] and place.confirmed
     assert licences.scan(D.empty(spark), model).count() == 0
+
+
+def test_licences_unknown_and_wrapped(spark):
+    wrapped = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+    texts = [(1, "some prose here\n\nDistributed under the Boost Software License, Version 1.0."), (2, "abc def\n\n" + wrapped + "\n\nghi"), (3, "Released under the MIT License.\nLicensed under CC BY-NC 4.0.")]
+    model = licences.train(D.frame(spark))
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert (got[1].families, got[1].n_unknown, got[1].n_confirmed) == ("unknown", 1, 0)
+    assert (got[2].families, got[2].n_findings, got[2].n_confirmed) == ("gpl", 1, 1)
+    assert (got[3].families, got[3].n_findings) == ("cc-by-nc,mit", 2)

@@ -1,12 +1,14 @@
 """Settings: a table of keys with their kinds and defaults, read from YAML and checked.
 
-A key's kind is a small predicate; rules over several keys stand in RULES. Settings are
-read-only and give access by attribute: ``load(path).sws.quality.gamma``.
+A key stands with its kind, its default and its bounds; what several keys of a section have
+to keep to stands in the section's Group. Settings are read-only and give access by
+attribute: ``load(path).sws.quality.gamma``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from math import isfinite
 from pathlib import Path
 from typing import Any
@@ -33,27 +35,79 @@ def list_of(kind: Kind) -> Kind:
     return lambda v: type(v) is list and all(map(kind, v))
 
 
-#: Section, key: (kind, default). Nested sections are nested mappings.
+@dataclass(frozen=True)
+class Bound:
+    """What a value keeps to, in words and as a test; ``broken`` is a value of the right kind that doesn't."""
+
+    says: str
+    holds: Callable[[Any], bool]
+    broken: Any
+
+
+def at_least(low: float) -> Bound:
+    return Bound(f"at least {low}", lambda v: v >= low, low - 1)
+
+
+def above(low: float) -> Bound:
+    return Bound(f"above {low}", lambda v: v > low, low)
+
+
+def at_most(high: float) -> Bound:
+    return Bound(f"at most {high}", lambda v: v <= high, high + 1)
+
+
+def one_of(*values: str, folded: bool = False) -> Bound:
+    return Bound("one of " + ", ".join(values), lambda v: (v.upper() if folded else v) in values, "".join(values))
+
+
+@dataclass(frozen=True)
+class Key:
+    """A setting: its kind, its default and its bounds."""
+
+    kind: Kind
+    default: Any
+    bounds: tuple[Bound, ...] = ()
+
+
+@dataclass(frozen=True)
+class Group:
+    """A section whose settings also depend on each other: (which, what holds of their values, in words)."""
+
+    keys: dict[str, Any]
+    together: tuple[tuple[tuple[str, ...], Callable[..., bool], str], ...]
+
+
+#: Each entry of a filter bank is a pair of corner frequencies, the lower one first.
+_BANDS = Bound("pairs of a lower and a higher frequency", lambda bank: all(len(b) == 2 and b[0] < b[1] for b in bank), [[8, 2]])
+_ORDERED = (lambda a, b: a <= b, "must not fall")
+
+#: Section, key: a Key. Nested sections are nested mappings, or a Group of one.
 KEYS: dict[str, Any] = {
-    "seiscomp": {"host": (optional(text), None), "database": (optional(text), None), "wait_time": (whole, 300), "reprocess": (flag, False)},
-    "sds": {"archive": (text, "/data/archive")},
-    "velocity_model": {"path": (text, "velocity_models/local.nd")},
-    "waveform": {"t_before": (number, 10.0), "t_after": (number, 60.0), "target_sampling_rate": (number, 100.0), "decimate": (flag, True), "min_gap": (number, 1.0)},
+    "seiscomp": {"host": Key(optional(text), None), "database": Key(optional(text), None), "wait_time": Key(whole, 300, (at_least(0),)), "reprocess": Key(flag, False)},
+    "sds": {"archive": Key(text, "/data/archive")},
+    "velocity_model": {"path": Key(text, "velocity_models/local.nd")},
+    "waveform": {"t_before": Key(number, 10.0), "t_after": Key(number, 60.0), "target_sampling_rate": Key(number, 100.0, (above(0),)), "decimate": Key(flag, True), "min_gap": Key(number, 1.0, (above(0),))},
     "sws": {
-        "blacklist_stations": (list_of(text), []),
-        "max_ain": (number, 60.0),
-        "min_tkf": (number, 90.0),
-        "max_delay_ms": (number, 400.0),
-        "snr_min": (number, 3.0),
-        "rotation_mode": (text, "ZRT"),
-        "filter_bank": (list_of(list_of(number)), [list(b) for b in FILTER_BANK]),
-        "windows": {"tbeg0": (number, -0.5), "tbeg1": (number, -0.1), "tend0": (number, 0.1), "tend1": (number, 0.4), "dtbeg": (number, 0.05), "dtend": (number, 0.01), "nbeg": (whole, 10), "nend": (whole, 20)},
-        "cluster": {"linkage": (text, "ward"), "k_max": (whole, 20), "n_min": (whole, 10), "ccrit": (number, 3.2)},
-        "consensus": {"enabled": (flag, False), "n_best_filters": (whole, 1), "phi_tolerance": (number, 15.0), "dt_tolerance": (number, 0.02)},
-        "quality": {"gamma": (number, 0.75), "omega1": (number, 1 / 3), "omega2": (number, 2 / 3)},
+        "blacklist_stations": Key(list_of(text), []),
+        "max_ain": Key(number, 60.0),
+        "min_tkf": Key(number, 90.0),
+        "max_delay_ms": Key(number, 400.0, (above(0),)),
+        "snr_min": Key(number, 3.0, (at_least(0),)),
+        "rotation_mode": Key(text, "ZRT", (one_of("ZRT", "LQT"),)),
+        "filter_bank": Key(list_of(list_of(number)), [list(b) for b in FILTER_BANK], (_BANDS,)),
+        "windows": Group(
+            {"tbeg0": Key(number, -0.5), "tbeg1": Key(number, -0.1, (at_most(0),)), "tend0": Key(number, 0.1, (at_least(0),)), "tend1": Key(number, 0.4), "dtbeg": Key(number, 0.05, (above(0),)), "dtend": Key(number, 0.01, (above(0),)), "nbeg": Key(whole, 10, (above(0),)), "nend": Key(whole, 20, (above(0),))},
+            ((("tbeg0", "tbeg1"), *_ORDERED), (("tend0", "tend1"), *_ORDERED)),
+        ),
+        "cluster": {"linkage": Key(text, "ward", (one_of("ward", "single", "complete", "average"),)), "k_max": Key(whole, 20, (at_least(2),)), "n_min": Key(whole, 10, (at_least(1),)), "ccrit": Key(number, 3.2)},
+        "consensus": {"enabled": Key(flag, False), "n_best_filters": Key(whole, 1, (at_least(1),)), "phi_tolerance": Key(number, 15.0), "dt_tolerance": Key(number, 0.02)},
+        "quality": Group(
+            {"gamma": Key(number, 0.75, (above(0), at_most(1))), "omega1": Key(number, 1 / 3), "omega2": Key(number, 2 / 3)},
+            ((("omega1", "omega2"), lambda a, b: abs(a + b - 1) <= 1e-9, "must add up to 1"),),
+        ),
     },
-    "logging": {"level": (text, "DEBUG"), "file": (optional(text), None)},
-    "processing": {"n_cores": (whole, -1)},
+    "logging": {"level": Key(text, "DEBUG", (one_of("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL", folded=True),)), "file": Key(optional(text), None)},
+    "processing": {"n_cores": Key(whole, -1, (Bound("-1 or above 0", lambda v: v == -1 or v > 0, 0),))},
 }
 
 
@@ -73,54 +127,48 @@ class Settings:
         return {k: v.to_dict() if isinstance(v, Settings) else v for k, v in self}
 
 
-#: What must hold over the whole: a condition on the settings, and what to say where it doesn't.
-RULES: list[tuple[Callable[[Settings], bool], str]] = [
-    (lambda c: c.logging.level.upper() in ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL"), "logging.level is no log level"),
-    (lambda c: c.seiscomp.wait_time >= 0, "seiscomp.wait_time is negative"),
-    (lambda c: c.waveform.target_sampling_rate > 0, "waveform.target_sampling_rate is not positive"),
-    (lambda c: c.waveform.min_gap > 0, "waveform.min_gap is not positive"),
-    (lambda c: c.sws.rotation_mode in ("ZRT", "LQT"), "sws.rotation_mode is neither ZRT nor LQT"),
-    (lambda c: c.sws.max_delay_ms > 0, "sws.max_delay_ms is not positive"),
-    (lambda c: c.sws.snr_min >= 0, "sws.snr_min is negative"),
-    (lambda c: all(len(b) == 2 and b[0] < b[1] for b in c.sws.filter_bank), "sws.filter_bank has an entry that is no rising pair"),
-    (lambda c: all(getattr(c.sws.windows, k) > 0 for k in ("dtbeg", "dtend", "nbeg", "nend")), "sws.windows has a step or count that is not positive"),
-    (lambda c: c.sws.windows.tbeg0 <= c.sws.windows.tbeg1 <= 0, "sws.windows: tbeg0 <= tbeg1 <= 0 does not hold"),
-    (lambda c: 0 <= c.sws.windows.tend0 <= c.sws.windows.tend1, "sws.windows: 0 <= tend0 <= tend1 does not hold"),
-    (lambda c: c.sws.cluster.linkage in ("ward", "single", "complete", "average"), "sws.cluster.linkage is unknown"),
-    (lambda c: c.sws.cluster.k_max >= 2 and c.sws.cluster.n_min >= 1, "sws.cluster: k_max is below 2 or n_min below 1"),
-    (lambda c: c.sws.consensus.n_best_filters >= 1, "sws.consensus.n_best_filters is below 1"),
-    (lambda c: 0 < c.sws.quality.gamma <= 1, "sws.quality.gamma is not in (0, 1]"),
-    (lambda c: abs(c.sws.quality.omega1 + c.sws.quality.omega2 - 1) <= 1e-9, "sws.quality: omega1 and omega2 don't add up to 1"),
-    (lambda c: c.processing.n_cores == -1 or c.processing.n_cores > 0, "processing.n_cores is neither -1 nor positive"),
-]
-
-
-def _merged(keys: dict[str, Any], given: Any, where: str) -> Settings:
+def keys(node: Any = None, where: str = "") -> Iterator[tuple[str, Key]]:
+    """Every setting's dotted path and Key."""
+    node = KEYS if node is None else node
+    for name, entry in (node.keys if isinstance(node, Group) else node).items():
+        path = f"{where}.{name}" if where else name
+        if isinstance(entry, Key):
+            yield path, entry
+        else:
+            yield from keys(entry, path)
+
+
+def _checked(key: Key, value: Any, path: str) -> Any:
+    if not key.kind(value):
+        raise ConfigError(f"{path} has a value of the wrong kind")
+    for bound in key.bounds:
+        if not bound.holds(value):
+            raise ConfigError(f"{path} must be {bound.says}")
+    return list(value) if isinstance(value, list) else value
+
+
+def _merged(node: Any, given: Any, where: str) -> Settings:
     if not isinstance(given, dict):
         raise ConfigError(f"{where or 'the configuration'} is no mapping")
-    if unknown := sorted(map(str, set(given) - set(keys))):
+    own = node.keys if isinstance(node, Group) else node
+    if unknown := sorted(map(str, set(given) - set(own))):
         raise ConfigError(f"unknown in {where or 'the configuration'}: {', '.join(unknown)}")
     out: dict[str, Any] = {}
-    for name, entry in keys.items():
+    for name, entry in own.items():
         path = f"{where}.{name}" if where else name
-        if isinstance(entry, dict):
-            out[name] = _merged(entry, given[name] if name in given else {}, path)
-            continue
-        kind, default = entry
-        value = given.get(name, default)
-        if name in given and not kind(value):
-            raise ConfigError(f"{path} has a value of the wrong kind")
-        out[name] = list(value) if isinstance(value, list) else value
+        if isinstance(entry, Key):
+            out[name] = _checked(entry, given.get(name, entry.default), path)
+        else:
+            out[name] = _merged(entry, given.get(name, {}), path)
+    for names, holds, says in node.together if isinstance(node, Group) else ():
+        if not holds(*(out[n] for n in names)):
+            raise ConfigError(f"{where}: {' and '.join(names)} {says}")
     return Settings(out)
 
 
 def build(given: dict[str, Any] | None = None) -> Settings:
     """Settings from a nested mapping; what it lacks has its default."""
-    found = _merged(KEYS, {} if given is None else given, "")
-    for holds, message in RULES:
-        if not holds(found):
-            raise ConfigError(message)
-    return found
+    return _merged(KEYS, {} if given is None else given, "")
 
 
 def load(path: str | Path) -> Settings:

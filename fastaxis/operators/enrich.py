@@ -42,13 +42,14 @@ def as_of(events: DataFrame, epochs: DataFrame, key: str, at: str) -> DataFrame:
 
     Of several epochs the last that began. Equality on the key lets Spark shuffle both sides
     by it (or broadcast the epochs if they are small); the interval is a condition of the
-    same join.
+    same join. Equal events each keep their row.
     """
-    renamed = epochs.select(F.col(key).alias("_key"), *[c for c in epochs.columns if c != key])
-    holds = (events[key] == F.col("_key")) & (F.col("start") <= events[at]) & (F.col("end").isNull() | (F.col("end") >= events[at]))
-    joined = events.join(renamed, holds, "left").drop("_key")
     others = [c for c in epochs.columns if c != key]
-    return joined.groupBy(*events.columns).agg(F.max_by(F.struct(*others), "start").alias("_e")).select(*events.columns, *[F.col(f"_e.{c}").alias(c) for c in others])
+    right = epochs.select(F.col(key).alias("_key"), F.struct(*others).alias("_epoch"))
+    holds = (F.col(key) == F.col("_key")) & (F.col("_epoch.start") <= F.col(at)) & (F.col("_epoch.end").isNull() | (F.col("_epoch.end") >= F.col(at)))
+    # One epoch for each key and time; events are joined to it, so that equal ones stay apart.
+    found = events.select(key, at).distinct().join(right, holds).groupBy(key, at).agg(F.max_by("_epoch", "_epoch.start").alias("_epoch"))
+    return events.join(found, [key, at], "left").select(*events.columns, *[F.col(f"_epoch.{c}").alias(c) for c in others])
 
 
 def orientations(picks: DataFrame, channels: DataFrame) -> DataFrame:

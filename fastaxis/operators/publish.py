@@ -32,9 +32,15 @@ def comments(results: DataFrame, version: str, at: Column) -> DataFrame:
     return rows.select("pick_id", comment_id(F.col("pick_id"), at).alias("comment_id"), payload(rows, version, at).alias("text"))
 
 
-def send(rows: DataFrame, path: str) -> bool:
-    """Appends comments to a folder; without any, nothing is written and the answer is False."""
+def send(rows: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Writes comments below a folder; without any, nothing is written and the answer is False.
+
+    A batch that has a name has a folder of its own, which a repeated batch overwrites; others are added.
+    """
     if rows.isEmpty():
         return False
-    rows.write.mode("append").parquet(path)
+    if batch is None:
+        rows.write.mode("append").parquet(path)
+    else:
+        rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
     return True

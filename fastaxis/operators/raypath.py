@@ -1,4 +1,4 @@
-"""Direct S rays through a layered model: travel time, takeoff and incidence; geodesics on the ellipsoid."""
+"""The earliest S ray through a layered sphere: travel time, takeoff and incidence; geodesics on the ellipsoid."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Semi-major axis in metres and flattening of WGS84.
 AXIS, FLATTENING = 6378137.0, 1 / 298.257223563
+#: Radius of the sphere in which rays are traced.
+EARTH_KM = 6371.0
 
 
 def inverse_geodesic(lat1, lon1, lat2, lon2) -> tuple[np.ndarray, np.ndarray]:
@@ -42,32 +44,162 @@ def inverse_geodesic(lat1, lon1, lat2, lon2) -> tuple[np.ndarray, np.ndarray]:
     return np.where(settled, b * big_a * (sigma - delta), np.nan), np.where(settled, back, np.nan)
 
 
-def slabs(model: np.ndarray, depth: float) -> tuple[np.ndarray, np.ndarray]:
-    """Thickness and S velocity of the model's slabs above a depth; velocity changes are taken at a slab's middle."""
-    top, bottom = model[:-1, 0], np.minimum(model[1:, 0], depth)
-    thick = np.maximum(bottom - top, 0)
-    share = np.divide(thick / 2, model[1:, 0] - top, out=np.zeros_like(thick), where=model[1:, 0] > top)
-    v = model[:-1, 1] + (model[1:, 1] - model[:-1, 1]) * share
-    return thick[thick > 0], v[thick > 0]
+class Rays:
+    """S rays in a sphere of shells, each with a velocity that is a power of the radius.
 
-
-def upgoing(model: np.ndarray, depth: float, distance_km: float) -> tuple[float, float, float]:
-    """(seconds, takeoff, incidence) of the ray that goes straight up from a source; takeoff is from straight down.
-
-    The ray parameter is found by bisection, as the distance grows with it up to the slowest slowness.
+    Within such a shell a ray's angle and time have closed forms in the shell's slowness u =
+    radius / velocity, so that a whole batch of sources is traced by array arithmetic. A layer
+    of the model (depth, velocity at its top and bottom) is a shell; thick layers are cut: those
+    with a gradient as the model is linear between its depths, others to sample turning rays densely.
     """
-    thick, v = slabs(model, depth)
-    if not len(thick):
-        at = float(np.interp(depth, model[:, 0], model[:, 1]))
-        return distance_km / at, 90.0, 90.0
-    low, high = 0.0, 1 / v.max() * (1 - 1e-14)
-    reach = lambda p: float((thick * p * v / np.sqrt(1 - (p * v) ** 2)).sum())
-    for _ in range(100):
-        p = (low + high) / 2
-        low, high = (p, high) if reach(p) < distance_km else (low, p)
-    p = (low + high) / 2
-    time = float((thick / v / np.sqrt(1 - (p * v) ** 2)).sum())
-    return time, 180 - float(np.degrees(np.arcsin(p * v[-1]))), float(np.degrees(np.arcsin(p * v[0])))
+
+    #: Largest thickness in km of a shell with a gradient, at the surface, and of any shell; samples of turning rays in a shell; rows traced at once.
+    THICKNESS, UNIFORM, TURNS, ROWS = 5.0, 200.0, 16, 1000
+
+    def __init__(self, model: np.ndarray, radius: float = EARTH_KM):
+        edges: list[tuple[float, float, float, float]] = []
+        for (z0, v0), (z1, v1) in zip(model[:-1], model[1:], strict=True):
+            n = max(1, int(np.ceil((z1 - z0) / (self.UNIFORM if v0 == v1 else min(self.UNIFORM, self.THICKNESS + z0 / 10)))))
+            cut = np.linspace(0, 1, n + 1)
+            edges += [(z0 + (z1 - z0) * a, z0 + (z1 - z0) * b, v0 + (v1 - v0) * a, v0 + (v1 - v0) * b) for a, b in zip(cut[:-1], cut[1:], strict=True) if z1 > z0]
+        if not edges:
+            raise ValueError("a velocity model has at least one layer")
+        top, bottom, v_top, v_bottom = np.array(edges, float).T
+        self.radius, self.deepest = radius, min(float(bottom[-1]), radius - 1e-3)
+        self.r_top, self.r_bottom = radius - top, np.maximum(radius - bottom, 1e-3)
+        power = np.log(v_top / v_bottom) / np.log(self.r_top / self.r_bottom)
+        # A shell of constant slowness has no closed form of this kind: it is bent a little.
+        self.power = np.where(np.abs(1 - power) < 1e-6, power + 1e-6, power)
+        self.v_top, self.e = v_top, 1 / (1 - self.power)
+        self.u_top, self.u_bottom = self.r_top / v_top, self.slowness(np.arange(len(top)), self.r_bottom)
+        self._tabulate()
+
+    def slowness(self, shell: np.ndarray, r: np.ndarray) -> np.ndarray:
+        return r / (self.v_top[shell] * (r / self.r_top[shell]) ** self.power[shell])
+
+    @staticmethod
+    def _angle(p: np.ndarray, u: np.ndarray) -> np.ndarray:
+        return np.arccos(np.minimum(p / u, 1.0))
+
+    @classmethod
+    def _delay(cls, p: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """Time less p times angle, whose derivative by p is minus the angle."""
+        return np.sqrt(np.maximum(u * u - p * p, 0.0)) - p * cls._angle(p, u)
+
+    def _tabulate(self) -> None:
+        """Ray parameters that turn in each shell, falling; their angles from the surface to each shell and to the turning point."""
+        low = np.minimum(self.u_top, self.u_bottom)
+        above = np.minimum.accumulate(np.concatenate([[np.inf], low[:-1]]))
+        p, shell = [np.zeros(0)], [np.zeros(0, int)]
+        for k in range(len(low)):
+            # A ray turns in a shell whose slowness falls below p on the way down, if it got there.
+            lo, hi = self.u_bottom[k], min(self.u_top[k], above[k])
+            if hi > lo:
+                bend = (1 - np.cos(np.linspace(0, np.pi, self.TURNS))) / 2
+                p.append(hi - (hi - lo) * np.clip(bend, 1e-9, 1 - 1e-9))
+                shell.append(np.full(self.TURNS, k))
+        self.p, self.turns = np.concatenate(p), np.concatenate(shell)
+        q = self.p[:, None]
+        angle = self.e * (self._angle(q, self.u_top) - self._angle(q, self.u_bottom))
+        self.angle_to = np.hstack([np.zeros((len(self.p), 1)), np.cumsum(angle, 1)])
+        self.whole_angle = self.angle_to[np.arange(len(self.p)), self.turns] + self.e[self.turns] * self._angle(self.p, self.u_top[self.turns])
+
+    def _source(self, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shell and the slowness at a source; at a boundary, those of the shell above."""
+        r = self.radius - np.clip(depth, 0.0, self.deepest)
+        shell = np.clip(np.searchsorted(-self.r_bottom, -r), 0, len(self.r_top) - 1)
+        return shell, self.slowness(shell, r)
+
+    def _path(self, shell: np.ndarray, u_source: np.ndarray, turns: np.ndarray | None = None):
+        """The angle and the delay, as functions of p, from sources up to the surface; with ``turns``, after going down to turn in those shells."""
+        deepest = int((shell if turns is None else turns).max(initial=0)) + 1
+        k, u_top, u_bottom, e = np.arange(deepest), self.u_top[:deepest], self.u_bottom[:deepest], self.e[:deepest]
+        own = k == shell[:, None]
+        bottom = np.where(own, u_source[:, None], u_bottom)
+        up = np.where(k <= shell[:, None], e, 0.0)
+        top = np.where(own, u_source[:, None], u_top)
+        down = np.zeros_like(up) if turns is None else np.where((k >= shell[:, None]) & (k <= turns[:, None]), 2 * e, 0.0)
+
+        def summed(part):
+            def of(p: np.ndarray) -> np.ndarray:
+                q = p[:, None]
+                out = (up * (part(q, u_top) - part(q, bottom))).sum(axis=1)
+                # Where a ray turns, the part down to the slowness p is nothing.
+                return out if turns is None else out + (down * (part(q, top) - part(q, u_bottom))).sum(axis=1)
+
+            return of
+
+        limit = np.where(k <= shell[:, None], np.minimum(u_top, bottom), np.inf).min(axis=1)
+        return limit, summed(self._angle), summed(self._delay)
+
+    @staticmethod
+    def _bisected(reach, angle: np.ndarray, short: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """The p at which a path reaches its angle, between a p that falls short of it and one that doesn't."""
+        for _ in range(48):
+            p = (short + far) / 2
+            less = reach(p) < angle
+            short, far = np.where(less, p, short), np.where(less, far, p)
+        return (short + far) / 2
+
+    def upward(self, depth: np.ndarray, angle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(p, seconds) of the rays that leave upward; NaN where none gets so far."""
+        limit, reach, delay = self._path(*self._source(depth))
+        possible = angle <= reach(limit)
+        p = self._bisected(reach, angle, np.zeros(len(depth)), limit)
+        return np.where(possible, p, np.nan), np.where(possible, delay(p) + p * angle, np.nan)
+
+    def downward(self, depth: np.ndarray, angle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(p, seconds) of the earliest rays that leave downward and turn; NaN where there is none.
+
+        Ray parameters are bracketed along each branch of the table, which goes on into the next
+        shell where the slowness does, and begins with the ray that leaves the source level.
+        """
+        found_p, found_t = np.full(len(depth), np.nan), np.full(len(depth), np.nan)
+        if not len(self.p):
+            return found_p, found_t
+        shell, u_source = self._source(depth)
+        q, u = self.p[None, :], u_source[:, None]
+        valid = (q <= u) & (self.turns >= shell[:, None])
+        part = self.angle_to[:, shell].T + self.e[shell][:, None] * (self._angle(q, self.u_top[shell][:, None]) - self._angle(q, u))
+        beyond = np.where(valid, 2 * self.whole_angle - part - angle[:, None], np.nan)
+        joined = (self.turns[1:] == self.turns[:-1]) | (np.abs(self.p[1:] - self.p[:-1]) <= 1e-6 * self.p[1:])
+        row, at = np.nonzero((beyond[:, :-1] * beyond[:, 1:] <= 0) & joined)
+        turns, one, two, rising = self.turns[at + 1], self.p[at], self.p[at + 1], beyond[row, at] < 0
+        limit, reach, _ = self._path(shell, u_source)
+        first = valid.argmax(axis=1)
+        edge = beyond[np.arange(len(depth)), first]
+        level = np.flatnonzero((limit >= u_source * (1 - 1e-12)) & valid.any(axis=1) & (self.turns[first] == shell) & ((reach(limit) - angle) * edge <= 0))
+        row, turns = np.concatenate([row, level]), np.concatenate([turns, shell[level]])
+        one, two = np.concatenate([one, limit[level]]), np.concatenate([two, self.p[first[level]]])
+        rising = np.concatenate([rising, reach(limit)[level] < angle[level]])
+        if not len(row):
+            return found_p, found_t
+        _, reach, delay = self._path(shell[row], u_source[row], turns)
+        p = self._bisected(reach, angle[row], np.where(rising, one, two), np.where(rising, two, one))
+        time = delay(p) + p * angle[row]
+        order = np.lexsort((time, row))
+        best = order[np.concatenate([[True], row[order][1:] != row[order][:-1]])]
+        found_p[row[best]], found_t[row[best]] = p[best], time[best]
+        return found_p, found_t
+
+    def first_arrival(self, depth: np.ndarray, angle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(seconds, takeoff, incidence) of the earliest S arrival at an angle in radians; degrees, takeoff from straight down."""
+        out = np.full((3, len(depth)), np.nan)
+        for lo in range(0, len(depth), self.ROWS):
+            z, a = depth[lo : lo + self.ROWS], angle[lo : lo + self.ROWS]
+            (p_up, t_up), (p_down, t_down) = self.upward(z, a), self.downward(z, a)
+            up = ~(t_down < t_up) & ~np.isnan(t_up)
+            p = np.where(up, p_up, p_down)
+            leaving = np.degrees(np.arcsin(np.minimum(p / self._source(z)[1], 1.0)))
+            out[:, lo : lo + self.ROWS] = np.where(up, t_up, t_down), np.where(up, 180 - leaving, leaving), np.degrees(np.arcsin(np.minimum(p / self.u_top[0], 1.0)))
+        return tuple(out)
+
+
+def great_circle(lat1, lon1, lat2, lon2) -> np.ndarray:
+    """The angle between points on a sphere, in radians."""
+    lat1, lon1, lat2, lon2 = (np.radians(np.asarray(x, float)) for x in (lat1, lon1, lat2, lon2))
+    h = np.sin((lat2 - lat1) / 2) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin((lon2 - lon1) / 2) ** 2
+    return 2 * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
 
 
 OUTPUT = "s_travel_time_s double, takeoff_angle double, incidence_angle double, epi_distance_km double, hypo_distance_km double, backazimuth double, error string"
@@ -81,23 +213,29 @@ def screened(tasks: DataFrame, model: np.ndarray, max_incidence: float = 60.0, m
     """
     needed = ("event_latitude", "event_longitude", "event_depth_km", "station_latitude", "station_longitude")
 
+    rays = Rays(model)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             whole = pdf[list(needed)].notna().all(axis=1).to_numpy()
-            metres, back = np.full(len(pdf), np.nan), np.full(len(pdf), np.nan)
+            made = {c.split()[0]: np.full(len(pdf), np.nan) for c in OUTPUT.split(", ")[:-1]}
+            error = np.where(whole, None, "coordinates are missing").astype(object)
             part = pdf[whole]
             if len(part):
-                metres[whole], back[whole] = inverse_geodesic(*(part[c].to_numpy(float) for c in (needed[0], needed[1], needed[3], needed[4])))
-            rows = []
-            for there, km, azimuth, depth in zip(whole, metres / 1000, back, pdf["event_depth_km"], strict=True):
-                if not there or np.isnan(km):
-                    rows.append((None,) * 6 + ("coordinates are missing" if not there else "no geodesic",))
-                    continue
-                time, takeoff, incidence = upgoing(model, float(depth), km)
-                error = f"incidence {incidence:.1f} is above {max_incidence:.1f}" if incidence > max_incidence else f"takeoff {takeoff:.1f} is below {min_takeoff:.1f}" if takeoff < min_takeoff else None
-                rows.append((time, takeoff, incidence, km, float(np.hypot(km, depth)), azimuth, error))
-            made = pd.DataFrame(rows, columns=[c.split()[0] for c in OUTPUT.split(", ")], index=pdf.index)
-            yield pd.concat([pdf, made], axis=1)
+                place = [part[c].to_numpy(float) for c in (needed[0], needed[1], needed[3], needed[4])]
+                depth = part["event_depth_km"].to_numpy(float)
+                metres, back = inverse_geodesic(*place)
+                time, takeoff, incidence = rays.first_arrival(depth, great_circle(*place))
+                no_path, no_ray = np.isnan(metres), np.isnan(time)
+                reason = np.full(len(part), None, object)
+                for bad, says in ((takeoff < min_takeoff, lambda i: f"takeoff {takeoff[i]:.1f} is below {min_takeoff:.1f}"), (incidence > max_incidence, lambda i: f"incidence {incidence[i]:.1f} is above {max_incidence:.1f}"), (no_ray, lambda i: "no S arrival"), (no_path, lambda i: "no geodesic")):
+                    for i in np.flatnonzero(bad):
+                        reason[i] = says(i)
+                values = (time, takeoff, incidence, metres / 1000, np.hypot(metres / 1000, depth), back)
+                for name, v in zip(made, values, strict=True):
+                    made[name][whole] = np.where(no_path, np.nan, v)
+                error[whole] = reason
+            yield pd.concat([pdf, pd.DataFrame(made | {"error": error}, index=pdf.index).astype(object).where(lambda x: x.notna(), None)], axis=1)
 
     names = [c.split()[0] for c in OUTPUT.split(", ")]
     kept = tasks.drop(*names)

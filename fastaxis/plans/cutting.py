@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
 
+from pyspark.sql import DataFrame, SparkSession
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a checkpoint in the shared folder of spark.checkpoint.dir: computed once, and there after lost executors.
 
-    Where the session names no folder (as in tests), /tmp/checkpoints is used.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which the driver and all executors share.
+
+    Where it is unset, a session that is one process (``local``) gets a temporary folder of its
+    own; on a cluster such a folder would lose rows, so that there the setting is demanded.
     """
-    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` from a checkpoint in the shared folder: computed once, and there after lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -53,19 +53,20 @@ def screened(found: DataFrame, blacklist: list[str]) -> DataFrame:
     return found.withColumn("error", reason)
 
 
-def finish(found: DataFrame, measured: DataFrame, store: Store, run_id: int, version: str, comments_path: str) -> bool:
+def finish(found: DataFrame, measured: DataFrame, store: Store, run_id: int, version: str, comments_path: str, batch: str | None = None) -> bool:
     """Stores one row per event and station, counts it, and publishes what is worth it; whether anything was published.
 
     measured: (pick_id, error and result columns). Tasks without a measurement and results
-    without a task are left out. Written again after a replay, the store is the same.
+    without a task are left out. A batch that has a name leaves store, counters and comments as
+    they are when it is written again.
     """
     kept = [c for c in measured.columns if c != "pick_id"]
     rows = found.drop("error").join(measured, "pick_id").select("pick_id", *KEY, "origin_id", "origin_time", "event_latitude", "event_longitude", "event_depth_km", "magnitude", "magnitude_type", "location", "channel", "station_latitude", "station_longitude", "station_elevation_m", *kept)
     now = F.current_timestamp()
     rows = cut(rows.withColumns({"status": F.when(F.col("error").isNull(), F.lit("ok")).otherwise(F.lit("failed")), "comment": F.col("error"), "run_id": F.lit(run_id).cast("long"), "updated_utc": now}))
     store.upsert(rows.drop("error"))
-    store.count(run_id, rows)
-    return publish.send(publish.comments(rows, version, F.col("updated_utc")), comments_path)
+    store.count(run_id, rows, batch)
+    return publish.send(publish.comments(rows, version, F.col("updated_utc")), comments_path, batch)
 
 
 def processor(catalogue: Callable[[], Catalogue], measure: Callable[[DataFrame], DataFrame], store: Store, run_id: int, version: str, comments_path: str, blacklist: list[str], reprocess: bool = False) -> Callable[[DataFrame, int], None]:
@@ -76,13 +77,13 @@ def processor(catalogue: Callable[[], Catalogue], measure: Callable[[DataFrame],
     batch, which the stream then repeats.
     """
 
-    def run(batch: DataFrame, _: int) -> None:
+    def run(batch: DataFrame, number: int) -> None:
         events = batch.select(F.from_json("payload", "event_id string, origin_id string, magnitude_id string").alias("e")).select("e.*")
         found = cut(screened(tasks(events, catalogue(), reprocess), blacklist))
         if found.isEmpty():
             return
         measured = measure(found.filter("error is null").drop("error"))
         refused = found.filter("error is not null").select("pick_id", "error")
-        finish(found, measured.unionByName(refused, allowMissingColumns=True), store, run_id, version, comments_path)
+        finish(found, measured.unionByName(refused, allowMissingColumns=True), store, run_id, version, comments_path, f"{run_id}-{number}")
 
     return run

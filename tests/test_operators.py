@@ -188,8 +188,44 @@ def test_store(spark, tmp_path):
     s.upsert(row(None, "failed", e="ev2"))
     s.count(run, row(None, "failed", e="ev2"))
     assert s.table("results").count() == 2
+    s.init()
+    s.count(run, row(0.1), "b1")
+    s.count(run, row(0.1), "b1")
     r = query.query_runs(s.table("runs")).first()
-    assert (r.n_ok, r.n_failed, r.finished_utc) == (1, 1, None) and s.begin_run("1", build()) == 2
+    assert (r.n_ok, r.n_failed) == (2, 1)
+    s.count(run, row(0.1).limit(0), "b2")
+    assert (r.n_ok, r.n_failed, r.finished_utc) == (2, 1, None) and s.begin_run("1", build()) == 2
+
+
+def test_store_survives_lost_writers(spark, tmp_path, monkeypatch):
+    """A write that is lost before its manifest stands leaves the version before; of two writers of one version one fails."""
+    make = lambda k, q: spark.createDataFrame([(f"e{k}", "XA", "S", f"p{k}", q)], "event_id string, network string, station string, pick_id string, qfinal double").withColumn("updated_utc", F.current_timestamp())
+    s = store.Store(spark, f"file://{tmp_path}/store")
+    s.init()
+    assert s.table("results") is None
+    for k in range(6):
+        s.upsert(make(k, 0.1))
+    files = {p.name for p in (tmp_path / "store" / "results").rglob("*.parquet")}
+    with monkeypatch.context() as m:
+        m.setattr(store.Store, "_commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            s.upsert(make(2, 0.9))
+    assert {r.event_id: r.qfinal for r in s.table("results").collect()} == {f"e{k}": 0.1 for k in range(6)}
+    before = s._manifest("results")
+    s.upsert(make(2, 0.5))
+    assert {r.event_id: r.qfinal for r in s.table("results").collect()}["e2"] == 0.5
+    # Only the partition of the event was written anew.
+    after = s._manifest("results")[1]
+    assert sum(after[k] != before[1].get(k) for k in after) == 1 and len(after) > 1 and files
+    with pytest.raises(RuntimeError):
+        s._commit("results", before[0] + 1, after)
+    assert s.vacuum(keep=1) > 0 and s.table("results").count() == 6
+
+
+def test_equal_picks_stay_apart(spark):
+    picks = spark.createDataFrame([("XA.S", "2020-06-01"), ("XA.S", "2020-06-01"), (None, "2020-06-01")], "site string, at string")
+    epochs = spark.createDataFrame([("XA.S", "2000-01-01", None, 7)], "site string, start string, end string, n int")
+    assert sorted((r.site or "", r.n) for r in enrich.as_of(picks, epochs, "site", "at").collect()) == [("", None), ("XA.S", 7), ("XA.S", 7)]
 
 
 def catalogue():
@@ -273,14 +309,43 @@ def test_inventory(spark):
     assert spark.range(1).select(enrich.seed_id(F.lit("HL"), F.lit("ATH"), F.lit(None), F.lit("HHZ")).alias("s")).first().s == "HL.ATH..HHZ"
 
 
+def test_rays_in_a_uniform_sphere():
+    """There all rays are chords."""
+    rnd = np.random.default_rng(4)
+    depth, angle = rnd.uniform(0, 700, 500), rnd.uniform(0, 1.2, 500)
+    time, takeoff, incidence = raypath.Rays(np.array([(0, 4.0), (6371, 4.0)])).first_arrival(depth, angle)
+    r = 6371 - depth
+    chord = np.sqrt(6371**2 + r**2 - 2 * 6371 * r * np.cos(angle))
+    assert time == pytest.approx(chord / 4, rel=1e-7)
+    assert incidence == pytest.approx(np.degrees(np.arccos((6371 - r * np.cos(angle)) / chord)), abs=1e-3)
+    assert takeoff == pytest.approx(np.degrees(np.arccos((r - 6371 * np.cos(angle)) / chord)), abs=1e-3)
+
+
+def test_the_earliest_ray_wins():
+    """Over a fast half-space, the ray that turns in it overtakes the direct one."""
+    rays = raypath.Rays(np.array([(0, 2.0), (10, 2.0), (10, 6.0), (6371, 6.0)]))
+    depth, angle = np.full(40, 5.0), np.linspace(0.0, 0.1, 40)
+    (_, up), (_, down) = rays.upward(depth, angle), rays.downward(depth, angle)
+    time, takeoff, _ = rays.first_arrival(depth, angle)
+    both = np.fmin(up, down)
+    assert time == pytest.approx(both) and takeoff[0] == pytest.approx(180)
+    assert (takeoff[up < down] > 90).all() and (takeoff[down < up] < 90).all() and (down < up).any()
+    assert (np.diff(time) > 0).all()
+    # Linear in depth: the time to straight above is the integral of the slowness.
+    linear = raypath.Rays(np.array([(0, 3.0), (100, 5.0)]))
+    assert linear.first_arrival(np.array([80.0]), np.array([0.0]))[0][0] == pytest.approx(math.log(4.6 / 3.0) / 0.02, rel=1e-3)
+
+
 def test_rays(spark, tmp_path):
-    time, takeoff, incidence = raypath.upgoing(np.array([(0, 3.0), (100, 3.0)]), 10.0, 10.0)
-    assert (time, takeoff, incidence) == pytest.approx((math.sqrt(200) / 3, 135, 45), abs=1e-6)
     metres, back = raypath.inverse_geodesic([50.0663222], [-5.71475], [58.6440222], [-3.0700944])
     assert metres[0] == pytest.approx(969954.1, abs=1) and back[0] == pytest.approx(191.295, abs=0.1)
     (tmp_path / "m.nd").write_text("# a crust\n 0.0 4.8 2.7 2.7\n 4.0 4.8 2.7 2.7\nmantle\n 4.0 5.2 2.9 2.75\n 6371.0 7.0 3.9 3.3\n")
     model = velocity.profile(velocity.layers(spark, f"file://{tmp_path}/m.nd"))
     assert model.tolist() == [[0, 2.7], [4, 2.7], [4, 2.9], [6371, 3.9]]
+    (tmp_path / "m.tvel").write_text("a model - P\n1 2 3 4\n 0.0 4.8 2.7 2.7\n 35.0 5.8 3.4 2.7\n")
+    assert velocity.profile(velocity.layers(spark, f"file://{tmp_path}/m.tvel")).tolist() == [[0, 2.7], [35, 3.4]]
+    with pytest.raises(ValueError):
+        velocity.profile(velocity.layers(spark, f"file://{tmp_path}/m.tvel"), most=1)
     tasks = spark.createDataFrame([(1, 38.0, 23.0, 10.0, 38.05, 23.0), (2, 38.0, 23.0, 10.0, 39.5, 23.0), (3, 38.0, 23.0, 10.0, None, 23.0)], "id long, event_latitude double, event_longitude double, event_depth_km double, station_latitude double, station_longitude double")
     near, far, none = raypath.screened(tasks, model).orderBy("id").collect()
     assert near.error is None and near.takeoff_angle > 90 and near.backazimuth == pytest.approx(180, abs=0.1)

@@ -37,5 +37,9 @@ def test_batch(spark, tmp_path):
     counts = store.table("runs").first()
     assert (counts.n_ok, counts.n_failed) == (1, 2)
     assert [r.pick_id for r in spark.read.parquet(f"{tmp_path}/comments").collect()] == ["p1"]
-    process(batch, 1)  # a replay leaves one row per station
-    assert store.table("results").count() == 3
+    process(batch, 0)  # the batch again: nothing counts or appears twice
+    counts = store.table("runs").first()
+    assert store.table("results").count() == 3 and (counts.n_ok, counts.n_failed) == (1, 2)
+    assert spark.read.parquet(f"{tmp_path}/comments").count() == 1
+    process(batch, 1)
+    assert store.table("results").count() == 3 and store.table("runs").first().n_ok == 2

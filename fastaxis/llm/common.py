@@ -6,16 +6,22 @@ not depend on the size of a partition.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fastaxis.plans.cutting import shared_folder
+
 #: Bytes of text that one numpy pass takes at once; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Bytes of a row group of a written table.
+ROW_GROUP = 16 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -25,43 +31,52 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
+    """A new folder below spark.checkpoint.dir, which driver and executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    Where the session names none (as in tests), ``/tmp/checkpoints`` is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/checkpoints"
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+_writing, _writers = threading.Lock(), {"n": 0, "before": "false"}
+
+
+@contextmanager
+def _shuffle_files_removed(spark: SparkSession) -> Iterator[None]:
+    """While anything is written, shuffle files go as soon as their job has ended; the last writer restores the setting."""
+    with _writing:
+        if not _writers["n"]:
+            _writers["before"] = spark.conf.get(_CLEANUP, "false")
+            spark.conf.set(_CLEANUP, "true")
+        _writers["n"] += 1
+    try:
+        yield
+    finally:
+        with _writing:
+            _writers["n"] -= 1
+            if not _writers["n"]:
+                spark.conf.set(_CLEANUP, _writers["before"])
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors.
 
-    The files stay as long as the session's other checkpoint files; remove() deletes them.
+    The files stay as long as the session's other checkpoint files; remove() deletes them. Row
+    groups are small, so that tables of texts take little memory to write and to read.
     """
     spark = df.sparkSession
     path = work_dir(spark, name)
-    # The shuffle files of this one job go when it has ended; the table holds its result.
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
+    with _shuffle_files_removed(spark):
+        df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
 
 
-def remove(df: DataFrame) -> None:
-    """Deletes the files of a table made by written()."""
-    spark, path = df.sparkSession, getattr(df, "_written_path", None)
-    if path:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def remove(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by written(), when their last reader is done."""
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, "_written_path", None)
+        if path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,13 +1,14 @@
 """Operator 7, quality rules under weak supervision.
 
-Each rule votes good or bad on a document, or abstains. Expectation-maximisation over the
-counts of vote patterns estimates each rule's accuracy; a document's verdict is its
-posterior probability of being good. Nothing has to pass every rule.
+Each rule looks at one trait of a document and votes good or bad on it, or abstains.
+Expectation-maximisation over the counts of vote patterns estimates each rule's accuracy on
+good and on bad documents; a document's verdict is its posterior probability of being good.
+Nothing has to pass every rule: votes outweigh each other as the estimates say.
 
 Main path: DataFrame functions only. One pass over the texts writes a narrow table of
-measurements to the shared folder; the vote patterns (2 to the number of rules at most)
+measurements to the shared folder; the vote patterns (3 to the number of rules at most)
 are counted from it over all documents; the fitted model is a sum of literals in the last
-projection. No text is shuffled.
+projection. No text is shuffled, and none is written but in the result.
 
 Defined results: a null or empty text has no words and fails the base rules; repeated rows
 give repeated results; an empty table gives none and the model keeps its prior; further
@@ -21,15 +22,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fastaxis.llm.common import written
+from fastaxis.llm.common import remove, written
 
 #: White space between words: space and the five controls from tab to carriage return.
 _SPACE = " \t\n\x0b\f\r"
 _SPACES = r"[ \t\n\x0B\f\r]+"
-#: Where the estimation begins, and how strongly it holds on (in documents).
-PRIOR_GOOD, PRIOR_RIGHT, PRIOR_WEIGHT, ROUNDS = 0.85, 0.95, 20.0, 200
-#: What the estimates keep to.
-PRIOR_RANGE, BAD_RANGE, GOOD_RANGE = (0.5, 0.8), (0.95, 0.995), (0.6, 0.9)
+#: Where the estimation begins: the share of good documents, a rule's accuracy on good and on bad ones; how strongly that counts, in documents.
+PRIOR_GOOD, RIGHT_ON_GOOD, RIGHT_ON_BAD, PRIOR_WEIGHT, ROUNDS = 0.8, 0.99, 0.3, 10.0, 500
 
 
 def bind(value: Column, body) -> Column:
@@ -43,8 +42,23 @@ def words_of(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, _SPACES))
 
 
-def repeated_words(words: Column, n: int) -> Column:
-    """How many words lie in n-word windows that the array holds twice or more."""
+def window_hashes(hashes: Column, n: int) -> Column:
+    """The hashes of all n-word windows of an array of word hashes; n is a power of two.
+
+    Windows are doubled: the hash of 2k words is that of the two hashes of k words.
+    """
+
+    def longer(h: Column, k: int) -> Column:
+        if k == n:
+            return F.slice(h, F.lit(1), F.size(h) - (n - 1))
+        # At the end there is no second half; those entries are cut off when all windows are made.
+        return bind(F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + k))), lambda y: longer(y, 2 * k))
+
+    return longer(hashes, 1)
+
+
+def repeated_words(hashes: Column, n: int) -> Column:
+    """How many words lie in n-word windows that the array of word hashes holds twice or more."""
 
     def covered(places: Column) -> Column:
         step = lambda a, p: F.struct((p + n).cast("int").alias("end"), (a["n"] + n - F.greatest(a["end"] - p, F.lit(0))).cast("long").alias("n"))
@@ -54,113 +68,151 @@ def repeated_words(words: Column, n: int) -> Column:
         same = lambda x, j: (x["h"] == F.get(ranked, j - 1)["h"]) | (x["h"] == F.get(ranked, j + 1)["h"])
         return covered(F.sort_array(F.transform(F.filter(ranked, lambda x, j: F.coalesce(same(x, j), (F.get(ranked, j + 1)["h"] == x["h"]), F.lit(False))), lambda x: x["i"])))
 
-    def of(hashes: Column) -> Column:
-        ranked = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(bind(ranked, among))
-
-    windows = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n)))
-    return bind(words, lambda w: F.when(F.size(w) <= n, F.lit(0).cast("long")).otherwise(bind(windows(w), of)))
-
-
-def measured(docs: DataFrame, carried: bool = False) -> DataFrame:
-    """What the rules look at: one narrow row per document, with the whole row as ``row`` if carried."""
-    whole = [F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if carried else []
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"), *whole).select(*["row"] * carried, "doc_id", "t", words_of(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda x: F.rtrim(F.translate(x, "\t\x0b\f\r", "    ")) != "").alias("lines"))
-    left = lambda pattern: F.length("t") - F.length(F.regexp_replace("t", pattern, ""))
-    n = lambda c: c.cast("long")
-    return base.select(
-        *["row"] * carried,
-        "doc_id",
-        n(F.size("w")).alias("n_words"),
-        n(F.length(F.array_join("w", ""))).alias("word_chars"),
-        n(left(r"[#*$%&|<>]+")).alias("n_symbols"),
-        n(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        repeated_words(F.col("w"), 8).alias("n_repeat_words"),
-        n(F.size("lines")).alias("n_lines"),
-        n(left(r"[A-Z]+")).alias("n_capitals"),
-        n(left(r"[a-z]+")).alias("n_small"),
-        n(left(r"[!?]+")).alias("n_cries"),
-        n(F.size(F.filter("w", lambda x: F.length(x) <= 3))).alias("n_short"),
-        n(left(r"[.!?;:]+(?=[ \t\n\x0B\f\r]|\z)")).alias("n_stops"),
-    )
-
-
-def rules() -> dict[str, tuple[Column, int]]:
-    """Each rule: when it votes, and its vote (1 good, -1 bad); it abstains otherwise. All are over the columns of measured()."""
-    words = F.greatest(F.col("n_words"), F.lit(1))
-    share = lambda c: F.col(c) / words
-    letters = F.greatest(F.col("n_capitals") + F.col("n_small"), F.lit(1))
-    some = F.col("n_words") >= 20
-    calm = (share("n_symbols") < 0.02) & (share("n_cries") < 0.05) & (F.col("n_capitals") < 0.25 * letters)
+    def of(windows: Column) -> Column:
+        ranked = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(bind(ranked, among))
+
+    return F.when(F.size(hashes) <= n, F.lit(0).cast("long")).otherwise(bind(window_hashes(hashes, n), of))
+
+
+def measured(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """What the rules look at: doc_id and one row of numbers per document; with ``whole``, the document's row as ``row`` too.
+
+    The numbers come out of a generator, so that a filter on them doesn't compute them again.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    docs = docs.select(row.alias("row")) if whole else docs.select(F.struct("doc_id", "text").alias("row"))
+    text = F.coalesce(F.col("row")["text"].cast("string"), F.lit(""))
+    lines = F.filter(F.split("t", "\n"), lambda x: F.rtrim(F.translate(x, "\t\x0b\f\r", "    ")) != "")
+    base = docs.select("row", text.alias("t"), words_of(text).alias("w")).select("row", "t", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("h"), lines.alias("l"))
+    found = lambda pattern: F.regexp_count("t", F.lit(pattern))
+    numbers = {
+        "n_words": F.size("w"),
+        "word_chars": F.length(F.array_join("w", "")),
+        "n_symbols": found(r"[#*$%&|<>]"),
+        "n_dup_lines": F.size("l") - F.size(F.array_distinct("l")),
+        "n_repeat_words": repeated_words(F.col("h"), 8),
+        "n_lines": F.size("l"),
+        "n_distinct": F.size(F.array_distinct("h")),
+        "n_capitals": found(r"[A-Z]"),
+        "n_cries": found(r"[!?]"),
+        "n_single": F.size(F.filter("w", lambda x: F.length(x) == 1)),
+        "n_short": F.size(F.filter("w", lambda x: F.length(x) <= 3)),
+        "n_stops": found(r"[.!?;:](?=[ \t\n\x0B\f\r]|\z)"),
+    }
+    made = base.select("row", F.inline(F.array(F.struct(*[v.cast("long").alias(k) for k, v in numbers.items()]))))
+    doc_id = F.col("row")["doc_id"].cast("long").alias("doc_id")
+    return made.select(*["row"] * whole, doc_id, *numbers)
+
+
+def rules() -> dict[str, tuple[Column, Column]]:
+    """Each rule: when it votes good, and when bad; it abstains otherwise. All are over the columns of measured().
+
+    A rule looks at one trait of a text, whatever the others see.
+    """
+    some = F.col("n_words") > 0
+    share = lambda c, of="n_words": F.col(c) / F.greatest(F.col(of), F.lit(1))
+    vote = lambda good, bad: (some & good, some & bad)
+    length = share("word_chars")
+    # The longer a text, the fewer of its words are new: beyond this length the share says little.
+    short = F.col("n_words") <= 2000
     return {
-        "symbols": (share("n_symbols") > 0.2, -1),
-        "capitals": (some & (F.col("n_capitals") > 0.5 * letters), -1),
-        "cries": (some & (share("n_cries") > 0.25), -1),
-        "repeats": ((F.col("n_repeat_words") >= 24) & (F.col("n_repeat_words") > 0.2 * words), -1),
-        "dup_lines": ((F.col("n_dup_lines") >= 3) & (F.col("n_dup_lines") > 0.3 * F.col("n_lines")), -1),
-        "word_length": (some & ~share("word_chars").between(2.2, 14), -1),
-        "no_stops": (some & (F.col("n_stops") < 0.005 * words) & (share("n_symbols") > 0.05), -1),
-        "prose": (calm & share("n_stops").between(0.03, 0.4) & share("n_short").between(0.1, 0.7) & (F.col("n_repeat_words") <= 0.05 * words), 1),
-        "variety": (calm & (F.col("n_words") >= 60) & (F.col("n_repeat_words") == 0) & (F.col("n_dup_lines") == 0), 1),
+        "symbols": vote(share("n_symbols") < 0.05, share("n_symbols") > 0.1),
+        "capitals": vote(share("n_capitals", "word_chars") < 0.15, share("n_capitals", "word_chars") > 0.3),
+        "cries": vote(share("n_cries") < 0.1, share("n_cries") > 0.25),
+        "repeats": vote(F.col("n_repeat_words") == 0, share("n_repeat_words") >= 0.2),
+        "dup_lines": vote((F.col("n_dup_lines") == 0) & (F.col("n_lines") >= 3), share("n_dup_lines", "n_lines") >= 0.1),
+        "word_length": vote(length.between(3, 6.5), (length < 2.5) | (length > 7)),
+        "stops": vote(share("n_stops").between(0.02, 0.4), (share("n_stops") < 0.01) | (share("n_stops") > 0.5)),
+        "short_words": vote(share("n_short").between(0.15, 0.55), (share("n_short") < 0.08) | (share("n_short") > 0.65)),
+        "single_signs": vote(share("n_single") < 0.1, share("n_single") > 0.2),
+        "variety": vote(short & (share("n_distinct") > 0.5), short & (share("n_distinct") < 0.35)),
     }
 
 
-def fit(patterns: list[tuple[tuple[bool, ...], int]], votes: list[int]) -> tuple[float, list[float]]:
-    """Expectation-maximisation over (which rules voted, documents): the prior's log odds, and the weight of each rule's vote.
+class Fit:
+    """What the estimation found: the prior's log odds, and what a good and a bad vote of each rule add to them."""
+
+    def __init__(self, prior: float, good: list[float], bad: list[float]):
+        self.prior, self.good, self.bad = prior, good, bad
+        self.odds = math.log(prior / (1 - prior))
+        self.for_good = [math.log(g / (1 - b)) for g, b in zip(good, bad, strict=True)]
+        self.for_bad = [math.log((1 - g) / b) for g, b in zip(good, bad, strict=True)]
+
+    def score(self, votes: tuple[int, ...]) -> float:
+        """The log odds of being good after these votes (1, -1, or 0 for none)."""
+        return self.odds + sum(self.for_good[j] if v > 0 else self.for_bad[j] for j, v in enumerate(votes) if v)
+
 
-    A rule's accuracy is the expected share of its votes that agree with the documents'
-    classes. Junk fails one rule or another, seldom several, so rules say little about each
-    other: a bad rule's accuracy stays within BAD_RANGE, a good rule's within GOOD_RANGE.
+def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int) -> Fit:
+    """Expectation-maximisation over (the rules' votes, documents).
+
+    Of each rule that voted, two accuracies: how often it votes good on good documents, and bad
+    on bad ones. The votes count as independent within a class, abstaining as no evidence. The
+    estimates are held by nothing but a start that counts as PRIOR_WEIGHT documents: a rule
+    seldom trips on a good document and misses most bad ones, as texts are bad in one way or another.
     """
-    odds = lambda p: math.log(p / (1 - p))
-    hold = lambda x, lo, hi: min(hi, max(lo, x))
-    ranges = [BAD_RANGE if v < 0 else GOOD_RANGE for v in votes]
-    prior, right = PRIOR_GOOD, [PRIOR_RIGHT] * len(votes)
+    prior, good, bad = PRIOR_GOOD, [RIGHT_ON_GOOD] * n_rules, [RIGHT_ON_BAD] * n_rules
     for _ in range(ROUNDS):
-        good_all = every = 0.0
-        agree, voted = [0.0] * len(votes), [0.0] * len(votes)
-        for fired, count in patterns:
-            score = odds(prior) + sum(votes[j] * odds(right[j]) for j, f in enumerate(fired) if f)
-            good = count / (1 + math.exp(-hold(score, -500.0, 500.0)))
-            good_all, every = good_all + good, every + count
-            for j, f in enumerate(fired):
-                if f:
-                    agree[j] += good if votes[j] > 0 else count - good
-                    voted[j] += count
-        before = [prior, *right]
-        prior = hold((good_all + PRIOR_WEIGHT * PRIOR_GOOD) / (every + PRIOR_WEIGHT), *PRIOR_RANGE)
-        right = [hold((a + PRIOR_WEIGHT * PRIOR_RIGHT) / (n + PRIOR_WEIGHT), *r) for a, n, r in zip(agree, voted, ranges, strict=True)]
-        if max(abs(a - b) for a, b in zip(before, [prior, *right], strict=True)) < 1e-9:
+        now = Fit(prior, good, bad)
+        every = all_good = 0.0
+        seen, hit = [[0.0, 0.0] for _ in range(n_rules)], [[0.0, 0.0] for _ in range(n_rules)]
+        for votes, count in patterns:
+            p = count / (1 + math.exp(-max(-500.0, min(500.0, now.score(votes)))))
+            every, all_good = every + count, all_good + p
+            for j, v in enumerate(votes):
+                if v:
+                    seen[j][0] += p
+                    seen[j][1] += count - p
+                    hit[j][v < 0] += p if v > 0 else count - p
+        before = [prior, *good, *bad]
+        mean = lambda a, n, start: (a + PRIOR_WEIGHT * start) / (n + PRIOR_WEIGHT)
+        prior = mean(all_good, every, PRIOR_GOOD)
+        good = [mean(h[0], n[0], RIGHT_ON_GOOD) for h, n in zip(hit, seen, strict=True)]
+        bad = [mean(h[1], n[1], RIGHT_ON_BAD) for h, n in zip(hit, seen, strict=True)]
+        if max(abs(a - b) for a, b in zip(before, [prior, *good, *bad], strict=True)) < 1e-9:
             break
-    return odds(prior), [v * odds(a) for v, a in zip(votes, right, strict=True)]
+    return Fit(prior, good, bad)
+
+
+def voted() -> list[Column]:
+    """Each rule's vote: 1, -1 or 0."""
+    return [F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0)).alias(k) for k, (good, bad) in rules().items()]
 
 
-def judged(found: DataFrame) -> tuple[Column, Column, Column]:
-    """Fits the model to measured documents: the base rules' failure, the posterior of being good, and the verdict."""
-    fired = {k: F.coalesce(when, F.lit(False)) for k, (when, _) in rules().items()}
-    patterns = found.select(*[f.alias(k) for k, f in fired.items()]).groupBy(*fired).count().collect()
-    z, weights = fit(sorted((tuple(r[:-1]), r[-1]) for r in patterns), [v for _, v in rules().values()])
-    score = F.lit(z)
-    for f, weight in zip(fired.values(), weights, strict=True):
-        score = score + F.when(f, F.lit(weight)).otherwise(F.lit(0.0))
+def estimated(found: DataFrame) -> Fit:
+    """The model fitted to measured documents, all of them; at most 3 to the number of rules patterns of votes are counted."""
+    names = list(rules())
+    patterns = found.select(*voted()).groupBy(*names).count().collect()
+    return fit(sorted((tuple(r[:-1]), r[-1]) for r in patterns), len(names))
+
+
+def judged(model: Fit) -> tuple[Column, Column, Column]:
+    """Over the columns of measured(): the base rules' failure, the posterior of being good, and the verdict."""
+    score = F.lit(model.odds)
+    for (good, bad), up, down in zip(rules().values(), model.for_good, model.for_bad, strict=True):
+        score = score + F.when(bad, F.lit(down)).when(good, F.lit(up)).otherwise(F.lit(0.0))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     posterior = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), score))))
     return failed, posterior, ~failed & (posterior >= 0.5)
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """One row per document: measurements, the base verdict, the posterior of being good, and kept."""
+    """One row per document: measurements, the base verdict, the posterior of being good, how many rules voted bad, and kept."""
     found = written(measured(docs), "quality")
-    failed, posterior, kept = judged(found)
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), posterior.alias("p_good"))
+    failed, posterior, kept = judged(estimated(found))
+    against = sum((F.when(bad, 1).otherwise(0) for _, bad in rules().values()), F.lit(0))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), posterior.alias("p_good"), against.cast("long").alias("n_bad_votes"))
 
 
 def good_rows(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, that quality() keeps.
 
-    The measured rows are written with their texts, which are so read and measured once.
+    Only numbers are written for the estimation. The texts are measured again as they are
+    filtered: that takes the time of a second pass, and no copy of the corpus.
     """
-    found = written(measured(docs, carried=True), "quality")
-    _, _, kept = judged(found)
-    return found.filter(kept).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    found = written(measured(docs), "quality")
+    model = estimated(found)
+    remove(found)
+    _, _, kept = judged(model)
+    return measured(docs, whole=True).filter(kept).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import docs as D
 import pytest
+from pyspark.sql import functions as F
 
 from fastaxis.llm import decontaminate, licences, packing, pii, quality, token_counts
 from fastaxis.llm.registry import tokenizer_file
@@ -101,13 +102,93 @@ def test_quality_measures(spark):
     assert kept.columns == df.columns
 
 
-def test_rules_are_weighed():
-    votes = [-1, -1, 1]
-    patterns = [((False, False, True), 900), ((True, False, False), 60), ((False, True, False), 40), ((False, False, False), 50)]
-    z, w = quality.fit(patterns, votes)
-    assert w[0] < 0 and w[1] < 0 and w[2] > 0
-    assert z + w[0] < 0 < z  # one sure vote against outweighs the prior; no vote leaves it
-    assert quality.fit([], votes)[0] > 0
+def brute_votes(text):
+    """The rules by their definitions, on a text."""
+    w = WORD.findall(text or "")
+    n_words, chars, symbols, dup, repeat = measures(text)
+    if not n_words:
+        return (0,) * 10
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    caps, cries = sum("A" <= c <= "Z" for c in text), sum(c in "!?" for c in text)
+    stops = len(re.findall(r"[.!?;:](?=[ \t\n\x0B\f\r]|\Z)", text))
+    single, short, distinct = (sum(len(x) == 1 for x in w) / n_words, sum(len(x) <= 3 for x in w) / n_words, len(set(w)) / n_words)
+    of = lambda good, bad: -1 if bad else int(good)
+    return (
+        of(symbols / n_words < 0.05, symbols / n_words > 0.1),
+        of(caps / chars < 0.15, caps / chars > 0.3),
+        of(cries / n_words < 0.1, cries / n_words > 0.25),
+        of(repeat == 0, repeat / n_words >= 0.2),
+        of(dup == 0 and len(lines) >= 3, dup / max(1, len(lines)) >= 0.1),
+        of(3 <= chars / n_words <= 6.5, not 2.5 <= chars / n_words <= 7),
+        of(0.02 <= stops / n_words <= 0.4, not 0.01 <= stops / n_words <= 0.5),
+        of(0.15 <= short <= 0.55, not 0.08 <= short <= 0.65),
+        of(single < 0.1, single > 0.2),
+        of(n_words <= 2000 and distinct > 0.5, n_words <= 2000 and distinct < 0.35),
+    )
+
+
+def brute_posteriors(votes, rounds=500, prior=0.8, on_good=0.99, on_bad=0.3, weight=10.0):
+    """Expectation-maximisation document by document, in arrays."""
+    import numpy as np
+
+    v = np.array(votes)
+    up, down = (v > 0).astype(float), (v < 0).astype(float)
+    pi, g, b = prior, np.full(v.shape[1], on_good), np.full(v.shape[1], on_bad)
+    for _ in range(rounds):
+        like = [np.log(pi) + up @ np.log(g) + down @ np.log(1 - g), np.log(1 - pi) + up @ np.log(1 - b) + down @ np.log(b)]
+        post = 1 / (1 + np.exp(like[1] - like[0]))
+        old = np.concatenate([[pi], g, b])
+        pi = (post.sum() + weight * prior) / (len(v) + weight)
+        g = (post @ up + weight * on_good) / (post @ (up + down) + weight)
+        b = ((1 - post) @ down + weight * on_bad) / ((1 - post) @ (up + down) + weight)
+        if np.abs(np.concatenate([[pi], g, b]) - old).max() < 1e-9:
+            break
+    return 1 / (1 + np.exp(np.log(1 - pi) + up @ np.log(1 - b) + down @ np.log(b) - np.log(pi) - up @ np.log(g) - down @ np.log(1 - g)))
+
+
+def quality_corpus(spark):
+    import random
+
+    rnd, rows = random.Random(12), []
+    clean = lambda n: ". ".join(D.prose(rnd, rnd.randint(6, 14)).capitalize() for _ in range(n)) + "."
+    for i in range(300):
+        text = "\n".join(clean(3) for _ in range(4))
+        if i % 9 == 0:
+            line = D.prose(rnd, 7).capitalize() + "."
+            text += f"\n{line}\n{clean(4)}\n{line}"  # one line twice in an otherwise clean text
+        if i % 10 == 1:
+            text = " ".join(x + "###" for x in text.split(" "))
+        if i % 10 == 3:
+            text = " ".join(x.upper() + "!!" for x in text.split(" "))
+        rows.append((i, text))
+    return rows, spark.createDataFrame([*rows, (900, None), (901, ""), (902, "few words")], "doc_id long, text string")
+
+
+def test_posteriors_by_brute_force(spark):
+    rows, df = quality_corpus(spark)
+    texts = dict(rows) | {900: None, 901: "", 902: "few words"}
+    got = {r.doc_id: r for r in quality.quality(df).collect()}
+    votes = {i: brute_votes(t) for i, t in texts.items()}
+    want = dict(zip(votes, brute_posteriors(list(votes.values())), strict=True))
+    for i, r in got.items():
+        assert r.p_good == pytest.approx(want[i], abs=1e-6), i
+        assert r.n_bad_votes == sum(v < 0 for v in votes[i])
+        assert r.kept == (not r.base_failed and want[i] >= 0.5)
+    # A bad vote is overruled where the others speak for the text, and isn't where they don't.
+    overruled = [i for i in range(0, 300, 9) if i % 10 not in (1, 3)]
+    assert all(votes[i][4] < 0 and got[i].kept for i in overruled) and len(overruled) > 20
+    assert not any(got[i].kept for i in range(300) if i % 10 in (1, 3))
+    kept = quality.good_rows(df.withColumns({"n_words": F.lit("mine"), "row": F.lit(1), "t": F.lit(2), "w": F.lit(None).cast("string")}))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in got.items() if r.kept) and {r.n_words for r in kept.collect()} == {"mine"}
+
+
+def test_a_rule_that_misjudges_a_hot_source_is_outvoted():
+    """A third of all documents trips one rule, and is clean by all others."""
+    clean, hot, junk = (1,) * 6, (-1, 1, 1, 1, 1, 1), (1, -1, -1, -1, 1, 1)
+    found = quality.fit([(clean, 600), (hot, 330), (junk, 70)], 6)
+    assert found.score(clean) > found.score(hot) > 0 > found.score(junk)
+    assert found.prior == pytest.approx(0.93, abs=0.01) and abs(found.for_bad[0]) < 1 < abs(found.for_bad[1])
+    assert quality.fit([], 6).score((0,) * 6) > 0
 
 
 def brute_hits(text, items, window=10):

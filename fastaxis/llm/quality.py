@@ -131,13 +131,16 @@ def rules() -> dict[str, tuple[Column, Column]]:
 
 
 class Fit:
-    """What the estimation found: the prior's log odds, and what a good and a bad vote of each rule add to them."""
+    """What the estimation found: the prior's log odds, and what a good and a bad vote of each rule add to them.
+
+    A vote never counts against its own meaning: that of a rule no better than chance adds nothing.
+    """
 
     def __init__(self, prior: float, good: list[float], bad: list[float]):
         self.prior, self.good, self.bad = prior, good, bad
         self.odds = math.log(prior / (1 - prior))
-        self.for_good = [math.log(g / (1 - b)) for g, b in zip(good, bad, strict=True)]
-        self.for_bad = [math.log((1 - g) / b) for g, b in zip(good, bad, strict=True)]
+        self.for_good = [max(0.0, math.log(g / (1 - b))) for g, b in zip(good, bad, strict=True)]
+        self.for_bad = [min(0.0, math.log((1 - g) / b)) for g, b in zip(good, bad, strict=True)]
 
     def score(self, votes: tuple[int, ...]) -> float:
         """The log odds of being good after these votes (1, -1, or 0 for none)."""

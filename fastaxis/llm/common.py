@@ -182,8 +182,19 @@ def gram_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarra
     return mix(h)[keep], to
 
 
-def id_list(column: pa.Array) -> list:
-    return column.to_pylist()
+def sketch(values: DataFrame, hashed: Column, size: int) -> np.ndarray:
+    """A bit for each of ``size`` (a power of two) residues of a column's hashes: a table of fixed size, as 64-bit words."""
+    bit = F.pmod(hashed, F.lit(size))
+    words = values.select(bit.alias("bit")).select(F.floor(F.col("bit") / 64).alias("at"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(size // 64, np.int64)
+    table[np.asarray(words["at"].combine_chunks(), np.int64)] = np.asarray(words["bits"].combine_chunks(), np.int64)
+    return table.view(np.uint64)
+
+
+def may_hold(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes a sketch can't rule out."""
+    at = hashes.astype(np.uint64) & np.uint64(64 * len(table) - 1)
+    return ((table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
 def is_small(df: DataFrame, rows: int) -> bool:

@@ -1,19 +1,25 @@
-"""Operator 5, toxicity by two Kneser-Ney models of words.
+"""Operator 5, toxicity by class-conditional Kneser-Ney models of expressions.
 
-Each class has a model of its words, with an absolute discount; the mass set free goes to
-one spelling model that both classes share, itself Kneser-Ney over the bytes of the
-distinct words (up to ORDER - 1 bytes of context, continuation counts below). A rare word is so
-judged alike by both, whichever class happens to hold it, and a word that neither has says
-nothing. A document's feature is the difference of its log-likelihoods under the two models,
-divided by its words; a logistic curve over it and the length, fitted on labelled
-documents outside the models' training, gives the score.
+Expressions are the words and the runs of two words of a text (up to ORDER). Each class,
+ordinary and toxic, has a Kneser-Ney model of each order: a count less an absolute discount,
+and the mass set free goes to a model that both classes share, whose counts are continuation
+counts: the number of labelled documents of either class that an expression turns up in,
+discounted in turn towards all expressions alike. So a rare expression is smoothed to what
+both classes say about it, whichever happens to hold it.
+
+A toxic text is mostly ordinary words. Its likelihood is therefore that of an ordinary text
+of which a share SHARE of expressions comes from the toxic model. A document's evidence is
+the difference of its log-likelihoods as a toxic and as an ordinary text, normalised by its
+length (per word, and per root of the words, as sums of chance differences grow). A logistic
+curve over these two, fitted on labelled documents outside the models' training, gives the score.
 
 Labels are used only of rows with crc32(doc_id as text) mod 5 other than 0: those of
 remainder CALIBRATION calibrate (a bounded sample of them, CALIBRATION_ROWS), the others
-and what the sample leaves are counted for the models, all of them. Counting and spelling are exact and
-distributed: written tables hold every word and string, those seen once too. The most
-frequent WORDS words are broadcast (10 MB at most) and scored in the pass over the texts;
-the distinct other words of each row are joined with the table of all others.
+and what the sample leaves are counted for the models, all of them. An expression that no class has
+more often than the discount has, by the formula, the probability of an unseen one; it
+counts in all sums and needs no row of its own. All others stand in a written table. The
+BROADCAST most frequent are sent to the tasks (5 MB) and summed in the pass over the texts;
+each row's distinct others, screened by a sketch of fixed size, are joined with the table.
 
 Defined results: null is an empty text; a text without words gets the score of no evidence;
 labels of null, or of documents that are not there, are left out, of several labels of a
@@ -31,10 +37,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fastaxis.llm.common import frequency_cut, hash_sample, is_small, remove, slices, span_hashes, text_bytes, word_spans, written
+from fastaxis.llm.common import frequency_cut, hash_sample, is_small, may_hold, mix, remove, sketch, slices, span_hashes, text_bytes, word_spans, written
 
-#: WORDS only says which words are broadcast and which are joined.
-ORDER, WORDS, CALIBRATION_ROWS, CALIBRATION, DISCOUNT = 6, 800_000, 50_000, 1, 0.75
+#: Words of the longest expressions; discounts of the class models and of the shared one; share of toxic expressions in a toxic text.
+ORDER, DISCOUNT, SHARED_DISCOUNT, SHARE = 2, 1.5, 0.75, 0.01
+#: BROADCAST and SKETCH only say which expressions are broadcast, and how well the others are screened before their join.
+BROADCAST, SKETCH = 400_000, 1 << 24
+CALIBRATION_ROWS, CALIBRATION = 50_000, 1
 #: Labels up to so many are broadcast to the documents; more are joined by a shuffle.
 SMALL_LABELS = 2_000_000
 _WORD = np.array([b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else b + 32 if 65 <= b < 91 else 32 for b in range(256)], np.uint8)
@@ -45,228 +54,169 @@ def remainder(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(-1))
 
 
-def distinct_words(batch_text: pa.Array) -> Iterator[tuple]:
-    """Of slices of a column of texts: first and end row, the bytes, each word's number among the distinct, the words' n + 1 offsets, and the distinct words' hashes, starts and ends."""
-    data, offsets = text_bytes(batch_text)
-    for lo, hi in slices(offsets, 4 << 20):
+def expressions(texts: pa.Array) -> Iterator[tuple]:
+    """Of slices of a column of texts: first and end row, each row's number of words, and for each order the distinct keys, and each expression's number among them and its row in the slice."""
+    data, offsets = text_bytes(texts)
+    for lo, hi in slices(offsets):
         part = _WORD[data[offsets[lo] : offsets[hi]]]
         starts, ends, first = word_spans(part, offsets[lo : hi + 1] - offsets[lo])
-        key, sample, number = np.unique(span_hashes(part, starts, ends), return_index=True, return_inverse=True)
-        yield lo, hi, part, number, first, key, starts[sample], ends[sample]
-
-
-def cut_out(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The bytes of spans, as strings."""
-    n = ends - starts
-    to = np.concatenate([[0], np.cumsum(n)])
-    place = np.arange(int(to[-1])) - np.repeat(to[:-1] - starts, n)
-    return pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(to.astype(_I)), pa.py_buffer(np.ascontiguousarray(data[place]))).cast(pa.string())
-
-
-def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ORDER-byte strings that end at each byte of each word or at the space after it (zeros stand before a word), and whose they are."""
-    n = ends - starts + 1
-    to = np.cumsum(n)
-    owner = np.repeat(np.arange(len(n)), n)
-    inside = np.arange(int(to[-1]) if len(to) else 0) - np.repeat(to - n, n)
-    place = starts[owner] + inside
-    padded = np.concatenate([data, np.full(1, 32, np.uint8)])
-    key = np.zeros(len(owner), _I)
-    for back in range(ORDER - 1, -1, -1):
-        at = inside - back
-        byte = np.where(at >= 0, padded[np.maximum(place - back, 0)], 0)
-        if back == 0:
-            byte = np.where(inside == n[owner] - 1, 32, byte)
-        key = key << 8 | byte
-    return key, owner
+        words, row = span_hashes(part, starts, ends), np.repeat(np.arange(hi - lo), np.diff(first))
+        found, key = [], np.zeros(len(words), _U)
+        for k in range(ORDER):
+            # The first words of the expressions of k + 1 words, their following words, their rows.
+            n = max(0, len(words) - k)
+            key = mix(key[:n] * _U(0xC2B2AE3D27D4EB4F) + words[k:] + _U(k))
+            whole = row[:n] == row[k:]
+            distinct, number = np.unique(key[whole], return_inverse=True)
+            found.append((distinct, number, row[:n][whole]))
+        yield lo, hi, np.diff(first), found
 
 
 def counts(labelled: DataFrame) -> DataFrame:
-    """(word, c0, c1): how often each word occurs in ordinary and in toxic documents."""
+    """(length, key, c0, c1, docs): how often each expression occurs in ordinary and in toxic documents, and in how many of either."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = np.asarray(batch.column(1), _I)
-            for lo, hi, data, number, first, key, starts, ends in distinct_words(batch.column(0)):
-                c1 = np.bincount(number, np.repeat(toxic[lo:hi], np.diff(first)), len(key)).astype(_I)
-                yield pa.record_batch([cut_out(data, starts, ends), pa.array(np.bincount(number, minlength=len(key)) - c1), pa.array(c1)], names=["word", "c0", "c1"])
-
-    local = labelled.select("text", "toxic").mapInArrow(run, "word string, c0 long, c1 long")
-    return local.groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-
-
-def spelled(words: DataFrame) -> DataFrame:
-    """(string, n): in how many distinct words each string of ORDER bytes occurs, with its repetitions."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(0))
-            values, n = np.unique(np.concatenate([np.zeros(0, _I), *(strings(data, offsets[lo:hi], offsets[lo + 1 : hi + 1])[0] for lo, hi in slices(offsets))]), return_counts=True)
-            yield pa.record_batch([pa.array(values), pa.array(n)], names=["string", "n"])
+            for lo, hi, _, found in expressions(batch.column(0)):
+                for k, (keys, number, row) in enumerate(found, 1):
+                    n, c1 = len(keys), np.bincount(number, toxic[lo:hi][row], len(keys)).astype(_I)
+                    in_rows = np.bincount(np.unique(number * (hi - lo) + row) // max(1, hi - lo), minlength=n)
+                    columns = (np.full(n, k, np.int32), keys.astype(_I), np.bincount(number, minlength=n) - c1, c1, in_rows)
+                    yield pa.record_batch([pa.array(c) for c in columns], names=["length", "key", "c0", "c1", "docs"])
 
-    return words.select("word").mapInArrow(run, "string long, n long").groupBy("string").agg(F.sum("n").alias("n"))
+    local = labelled.select("text", "toxic").mapInArrow(run, "length int, key long, c0 long, c1 long, docs long")
+    return local.groupBy("length", "key").agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "docs")])
 
 
-def spelling(strings_seen: DataFrame) -> DataFrame:
-    """(string, log): the log probability of each string's last byte after the bytes before, from (string, n).
+def gathered(seen: DataFrame) -> DataFrame:
+    """The counts of expressions that a class has more often than the discount, one by one, and the sums of all others under a null key.
 
-    Kneser-Ney: an order's counts are how many distinct longer strings end in each of its own.
+    m0 and m1 are what the discount sets free, kinds the number of expressions.
     """
-    tail = lambda c, order: F.col(c).bitwiseAND(F.lit((1 << 8 * order) - 1))
-    levels = [strings_seen.select(F.col("string").alias("key"), "n")]
-    for order in range(ORDER - 1, 0, -1):
-        levels.append(written(levels[-1].groupBy(tail("key", order).alias("key")).agg(F.count("*").alias("n")), "spelling"))
-    below = None
-    for order, level in enumerate(reversed(levels), 1):
-        level = level.withColumn("context", F.shiftrightunsigned("key", 8))
-        held = level.join(level.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")), "context")
-        if below is None:
-            held = held.withColumn("below", F.lit(1 / 256))
-        else:
-            held = held.withColumn("tail", tail("key", order - 1)).join(below, "tail")
-        p = (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("below")) / F.col("total")
-        below = written(held.select(F.col("key").alias("tail"), p.alias("below")), "spelling")
-    for level in levels[1:]:
-        remove(level)
-    return below.select(F.col("tail").alias("string"), F.log("below").alias("log"))
-
-
-def spelled_out(words: DataFrame, logs: DataFrame) -> DataFrame:
-    """(hash, c0, c1, below): every word with its probability by its spelling."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(0))
-            for lo, hi in slices(offsets):
-                part = data[offsets[lo] : offsets[hi]]
-                starts, ends = offsets[lo:hi] - offsets[lo], offsets[lo + 1 : hi + 1] - offsets[lo]
-                key, owner = strings(part, starts, ends)
-                own = [span_hashes(part, starts, ends).astype(_I), *(np.asarray(batch.column(c), _I)[lo:hi] for c in (1, 2))]
-                yield pa.record_batch([*(pa.array(x[owner]) for x in own), pa.array(key)], names=["hash", "c0", "c1", "string"])
-
-    each = words.select("word", "c0", "c1").mapInArrow(run, "hash long, c0 long, c1 long, string long")
-    return each.join(logs, "string").groupBy("hash", "c0", "c1").agg(F.exp(F.greatest(F.sum("log"), F.lit(-200.0))).alias("below"))
+    own = F.greatest("c0", "c1") > DISCOUNT
+    freed = [F.least(F.col(f"c{k}").cast("double"), F.lit(DISCOUNT)).alias(f"m{k}") for k in (0, 1)]
+    rows = seen.select("length", F.when(own, F.col("key")).alias("key"), "c0", "c1", "docs", *freed, F.lit(1).alias("kinds"))
+    return rows.groupBy("length", "key").agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "docs", "m0", "m1", "kinds")])
 
 
 class Model:
-    """Every word that the classes have seen, as (hash, difference) of its log probabilities (toxic less ordinary).
+    """What expressions say: the evidence of an unseen one of each length, and what each one in the table adds to that.
 
-    ``keys`` and ``difference`` are the most frequent of them, to be broadcast; ``rest``, None
-    or a written table, holds all the others. No word is in neither.
+    ``keys`` and ``value`` are the most frequent of the table, to be broadcast; ``rest``, None or
+    a written table, holds all the others, and ``screen`` a sketch of their keys.
     """
 
-    def __init__(self, seen: DataFrame, logs: DataFrame, totals: dict[str, int]):
-        p = {}
-        for k in ("0", "1"):
-            n, kinds = max(1, totals[f"c{k}"]), max(1, totals[f"w{k}"])
-            p[k] = F.log((F.greatest(F.col(f"c{k}") - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * F.col("below")) / n)
-        # The shares set free differ between the classes only by how much text each has; a word is not to be judged by that.
-        level = float(np.log(max(1, totals["w1"]) / max(1, totals["c1"])) - np.log(max(1, totals["w0"]) / max(1, totals["c0"])))
-        both = (F.col("c0") > 0) & (F.col("c1") > 0)
-        difference = F.when(both, p["1"] - p["0"]).otherwise(p["1"] - p["0"] - level)
-        every = written(spelled_out(seen, logs).select("hash", (F.col("c0") + F.col("c1")).alias("n"), difference.alias("difference")), "differences")
-        cut = frequency_cut(every, "n", WORDS)
-        common = every.filter(cut).select("hash", "difference").toArrow()
-        keys = np.asarray(common["hash"].combine_chunks(), _I).astype(_U)
+    def __init__(self, labelled: DataFrame):
+        table = written(gathered(counts(labelled)), "expressions")
+        totals = {r["length"]: r.asDict() for r in table.groupBy("length").agg(*[F.sum(c).cast("double").alias(c) for c in ("c0", "c1", "docs", "m0", "m1", "kinds")]).collect()}
+        self.unseen, value = np.zeros(ORDER), F.lit(None).cast("double")
+        for k, t in totals.items():
+            if not (t["c0"] and t["c1"]):
+                continue
+            left = [t[f"m{c}"] / t[f"c{c}"] for c in (0, 1)]
+            self.unseen[k - 1] = self.evidence(left[1] / left[0])
+            shared = (F.col("docs") - SHARED_DISCOUNT) / t["docs"] + SHARED_DISCOUNT * t["kinds"] / t["docs"] / (t["kinds"] + 1)
+            p = [(F.col(f"c{c}") - F.col(f"m{c}")) / t[f"c{c}"] + left[c] * shared for c in (0, 1)]
+            value = F.when(F.col("length") == k, F.log(1 - SHARE + SHARE * p[1] / p[0]) - float(self.unseen[k - 1])).otherwise(value)
+        every = table.filter("key is not null").select("key", (F.col("c0") + F.col("c1")).alias("n"), value.alias("value")).filter("value is not null")
+        cut = frequency_cut(every, "n", BROADCAST)
+        common = every.filter(cut).select("key", "value").toArrow()
+        keys = np.asarray(common["key"].combine_chunks(), _I).astype(_U)
         order = np.argsort(keys)
-        self.keys, self.difference = keys[order], np.asarray(common["difference"].combine_chunks(), np.float64)[order]
-        rest = every.filter(~cut).select("hash", "difference")
-        self.rest = None if rest.isEmpty() else written(rest, "rare-words")
-
-    def differences(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The words' differences, and which words the broadcast part has."""
-        if not len(self.keys):
-            return np.zeros(len(keys)), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        found = self.keys[at] == keys
-        return np.where(found, self.difference[at], 0), found
+        self.keys, self.value = keys[order], np.asarray(common["value"].combine_chunks(), np.float64)[order].astype(np.float32)
+        rest = every.filter(~cut).select("key", F.col("value").cast("float").cast("double").alias("value"))
+        self.rest = None if rest.isEmpty() else written(rest, "rare-expressions")
+        self.screen = None if self.rest is None else sketch(self.rest, F.col("key"), SKETCH)
+        remove(table)
 
+    @staticmethod
+    def evidence(ratio: float) -> float:
+        """How much likelier an expression is in a toxic text than in an ordinary one, from the models' ratio for it."""
+        return float(np.log(1 - SHARE + SHARE * ratio))
 
-def train(labelled: DataFrame) -> Model:
-    """The model of labelled documents (text, toxic 0 or 1): all words and strings of all of them."""
-    seen = written(counts(labelled), "words")
-    has = lambda c: F.sum(F.when(F.col(c) > 0, 1).otherwise(0))
-    totals = seen.agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), has("c0").alias("w0"), has("c1").alias("w1")).first().asDict()
-    logs = spelling(written(spelled(seen), "strings"))
-    return Model(seen, logs, {k: v or 0 for k, v in totals.items()})
 
-
-def features(n: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> np.ndarray:
-    """Of documents of n words: what favours the toxic and the ordinary model, by word and by the root of the length."""
-    n = np.maximum(n, 1)
-    return np.stack([np.ones(len(n)), ahead / n, ahead / np.sqrt(n), np.minimum(ahead / n, 0.1), behind / n, behind / np.sqrt(n), np.log(n)], 1)
-
-
-def curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton's method with a small penalty; x holds the constant."""
-    weights = np.zeros(x.shape[1])
-    scale = np.maximum(np.abs(x).max(axis=0, initial=0), 1e-9)
-    x = x / scale
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag([1e-6, *[1e-2] * (x.shape[1] - 1)]), x.T @ (y - p) - np.array([1e-6, *[1e-2] * (x.shape[1] - 1)]) * weights)
-        weights += step
-        if np.abs(step).max() < 1e-9:
-            break
-    return weights / scale
+def summed(keys: np.ndarray, own: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The values of keys, and which of them the broadcast part has."""
+    known, value = own
+    if not len(known):
+        return np.zeros(len(keys)), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    found = known[at] == keys
+    return np.where(found, value[at], 0).astype(np.float64), found
 
 
 def compared(docs: DataFrame, model: Model, extra: list[str]) -> DataFrame:
-    """n_words, ahead and behind of each row's text; ``extra`` columns are carried along.
-
-    Words of the broadcast part are summed where the text is read. If there are others, each
-    row's distinct other words are joined with the table of all of them, and the sums added.
-    """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model.keys, model.difference))
+    """n_words of each row's text and ``gap``, the difference of its log-likelihoods; ``extra`` columns are carried along."""
+    sent = docs.sparkSession.sparkContext.broadcast(((model.keys, model.value), model.screen, model.unseen))
     others = model.rest is not None
-    names = ["n_words", "ahead", "behind", *(["hashes", "times"] if others else []), *extra]
+    names = ["n_words", "gap", *(["keys", "times"] if others else []), *extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model.__new__(Model)
-        own.keys, own.difference = sent.value
+        own, screen, unseen = sent.value
         for batch in batches:
-            n, ahead, behind = np.zeros(len(batch), _I), np.zeros(len(batch)), np.zeros(len(batch))
-            lengths, hashes, times = [], [], []
-            for lo, hi, _, number, first, key, *_ in distinct_words(batch.column(0)):
-                n[lo:hi] = np.diff(first)
-                value, found = own.differences(key)
-                word, doc = value[number], np.repeat(np.arange(lo, hi), n[lo:hi])
-                ahead += np.bincount(doc, np.maximum(word, 0), len(batch))
-                behind += np.bincount(doc, np.minimum(word, 0), len(batch))
+            n, gap = np.zeros(len(batch), _I), np.zeros(len(batch))
+            lengths, hashes, times = [np.zeros(0, _I)], [np.zeros(0, _I)], [np.zeros(0, _I)]
+            for lo, hi, words, found in expressions(batch.column(0)):
+                n[lo:hi] = words
+                rows, keys, many = [], [], []
+                for k, (distinct, number, row) in enumerate(found):
+                    value, known = summed(distinct, own)
+                    gap[lo:hi] += np.bincount(row, value[number] + unseen[k], hi - lo)
+                    if others:
+                        left = (~known & may_hold(screen, distinct))[number]
+                        pair, count = np.unique(row[left] * len(distinct) + number[left], return_counts=True)
+                        rows.append(pair // max(1, len(distinct)))
+                        keys.append(distinct[pair % max(1, len(distinct))].astype(_I))
+                        many.append(count)
                 if others:
-                    left = ~found[number]
-                    pair, count = np.unique((doc[left] - lo) * len(key) + number[left], return_counts=True)
-                    lengths.append(np.bincount(pair // max(1, len(key)), minlength=hi - lo))
-                    hashes.append(key[pair % max(1, len(key))].astype(_I))
-                    times.append(count)
+                    rows = np.concatenate(rows)
+                    order = np.argsort(rows, kind="stable")
+                    lengths.append(np.bincount(rows, minlength=hi - lo))
+                    hashes.append(np.concatenate(keys)[order])
+                    times.append(np.concatenate(many)[order])
             lists = []
             if others:
-                to = pa.array(np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, _I), *lengths]))]), pa.int32())
-                lists = [pa.ListArray.from_arrays(to, pa.array(np.concatenate([np.zeros(0, _I), *x]), pa.int64())) for x in (hashes, times)]
-            yield pa.record_batch([pa.array(n), pa.array(ahead), pa.array(behind), *lists, *batch.columns[1:]], names=names)
+                to = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(lengths))]), pa.int32())
+                lists = [pa.ListArray.from_arrays(to, pa.array(np.concatenate(x), pa.int64())) for x in (hashes, times)]
+            yield pa.record_batch([pa.array(n), pa.array(gap), *lists, *batch.columns[1:]], names=names)
 
     kinds = dict(docs.dtypes)
-    schema = "n_words long, ahead double, behind double, " + ("hashes array<long>, times array<long>, " if others else "") + ", ".join(f"{c} {kinds[c]}" for c in extra)
+    schema = "n_words long, gap double, " + ("keys array<long>, times array<long>, " if others else "") + ", ".join(f"{c} {kinds[c]}" for c in extra)
     made = docs.select("text", *extra).mapInArrow(run, schema)
     if not others:
         return made
     # Rows are told apart by a number of their own; the table fixes it.
     made = written(made.withColumn("row", F.monotonically_increasing_id()), "scored")
-    each = made.select("row", F.explode(F.arrays_zip("hashes", "times")).alias("x")).select("row", F.col("x.hashes").alias("hash"), F.col("x.times").alias("times"))
-    part = F.col("difference") * F.col("times")
-    sums = each.join(model.rest, "hash").groupBy("row").agg(F.sum(F.greatest(part, F.lit(0.0))).alias("more"), F.sum(F.least(part, F.lit(0.0))).alias("less"))
-    plus = lambda c, d: (F.col(c) + F.coalesce(d, F.lit(0.0))).alias(c)
-    return made.drop("hashes", "times").join(sums, "row", "left").select("n_words", plus("ahead", "more"), plus("behind", "less"), *extra)
+    each = made.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
+    sums = each.join(model.rest, "key").groupBy("row").agg(F.sum(F.col("value") * F.col("times")).alias("more"))
+    return made.drop("keys", "times").join(sums, "row", "left").select("n_words", (F.col("gap") + F.coalesce("more", F.lit(0.0))).alias("gap"), *extra)
 
 
-def scored(found: DataFrame, weights: np.ndarray) -> DataFrame:
-    """compared() rows with their score."""
-    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    ahead, behind = F.col("ahead"), F.col("behind")
-    values = [F.lit(1.0), ahead / n, ahead / F.sqrt(n), F.least(ahead / n, F.lit(0.1)), behind / n, behind / F.sqrt(n), F.log(n)]
-    z = sum((x * float(w) for x, w in zip(values, weights, strict=True)), F.lit(0.0))
-    return found.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z)))))
+def curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic regression by Newton's method with a small penalty; x holds the constant."""
+    weights = np.zeros(x.shape[1])
+    scale = np.maximum(np.abs(x).max(axis=0, initial=0), 1e-9)
+    x = x / scale
+    penalty = np.array([1e-6, *[1e-2] * (x.shape[1] - 1)])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(penalty), x.T @ (y - p) - penalty * weights)
+        weights += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return weights / scale
+
+
+def calibrated(found: DataFrame) -> np.ndarray:
+    """The logistic curve over compared() rows with their labels, of which a bounded number is read."""
+    rows = hash_sample(found, "doc_id", 2 * CALIBRATION_ROWS, 0).toArrow()
+    n, gap, y = (np.asarray(rows[c].combine_chunks(), np.float64) for c in ("n_words", "gap", "toxic"))
+    if 0 < y.sum() < len(y):
+        n = np.maximum(n, 1)
+        return curve(np.stack([np.ones(len(n)), gap / n, gap / np.sqrt(n)], 1), y)
+    share = np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9)
+    return np.array([np.log(share / (1 - share)), 0.0, 0.0])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -279,14 +229,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     apart = F.col("part") == CALIBRATION
     if total > CALIBRATION_ROWS:
         apart &= F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < (1 << 40) * CALIBRATION_ROWS // total
-    model = train(labelled.filter(~apart))
-    found = compared(labelled.filter(apart), model, ["doc_id", "toxic"])
-    rows = hash_sample(found, "doc_id", 2 * CALIBRATION_ROWS, 0).toArrow()
-    *parts, y = (np.asarray(rows[c].combine_chunks(), np.float64) for c in ("n_words", "ahead", "behind", "toxic"))
-    if 0 < y.sum() < len(y):
-        weights = curve(features(*parts), y)
-    else:
-        share = np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9)
-        weights = np.array([np.log(share / (1 - share)), *[0.0] * 6])
-    out = scored(compared(docs, model, ["doc_id"]), weights)
-    return out.select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", "ahead", "behind")
+    model = Model(labelled.filter(~apart))
+    weights = calibrated(compared(labelled.filter(apart), model, ["doc_id", "toxic"]))
+    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    z = F.lit(float(weights[0])) + F.col("gap") / n * float(weights[1]) + F.col("gap") / F.sqrt(n) * float(weights[2])
+    out = compared(docs, model, ["doc_id"]).withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z)))))
+    return out.select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", "gap")

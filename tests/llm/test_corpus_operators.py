@@ -278,49 +278,50 @@ def test_pipeline_joins_five_word_shingles(spark, tmp_path):
     assert sorted(r.doc_id for r in got.collect()) == sorted(i for i in sets if root(i) == i)
 
 
-def brute_differences(rows, order=6, d=0.75):
-    """Each word's log probability in toxic less that in ordinary rows, by the definition."""
-    count = [Counter(w for t, y in rows if y == k for w in t.split()) for k in (0, 1)]
-    words = {*count[0], *count[1]}
-    grams = [Counter() for _ in range(order + 1)]
-    for w in words:
-        b = bytes(order - 1) + w.encode() + b" "
-        grams[order].update(b[j - order : j] for j in range(order, len(b) + 1))
-    for o in range(order - 1, 0, -1):
-        grams[o] = Counter(g[1:] for g in grams[o + 1])
-    total, kinds = [Counter() for _ in grams], [Counter() for _ in grams]
-    for o in range(1, order + 1):
-        for g, n in grams[o].items():
-            total[o][g[:-1]] += n
-            kinds[o][g[:-1]] += 1
-
-    def p(g):
-        c = g[:-1]
-        return (max(0, grams[len(g)][g] - d) + d * kinds[len(g)][c] * p(g[1:])) / total[len(g)][c] if g else 1 / 256
-
-    out, n, k = {}, [sum(c.values()) for c in count], [len(c) for c in count]
-    for w in words:
-        b = bytes(order - 1) + w.encode() + b" "
-        below = np.prod([p(b[j - order : j]) for j in range(order, len(b) + 1)])
-        logs = [np.log((max(0, c[w] - d) + d * k[i] * below) / n[i]) for i, c in enumerate(count)]
-        out[w] = logs[1] - logs[0] - (0 if all(c[w] for c in count) else np.log(k[1] / n[1]) - np.log(k[0] / n[0]))
+def brute_gaps(rows, texts, order=2, d=1.5, ds=0.75, share=0.01):
+    """Each text's log-likelihood as a toxic less that as an ordinary text, by the definition of the models."""
+    grams = lambda t, k: [tuple(t.split()[i : i + k]) for i in range(len(t.split()) - k + 1)]
+    out = [0.0] * len(texts)
+    for k in range(1, order + 1):
+        count = [Counter(g for t, y in rows if y == c for g in grams(t, k)) for c in (0, 1)]
+        docs = Counter(g for t, _ in rows for g in set(grams(t, k)))
+        n, free = [sum(c.values()) for c in count], [sum(min(r, d) for r in c.values()) for c in count]
+
+        def p(g, c):
+            shared = (max(0, docs[g] - ds) + ds * len(docs) / (len(docs) + 1)) / sum(docs.values())
+            return (max(0, count[c][g] - d) + free[c] * shared) / n[c]
+
+        for i, t in enumerate(texts):
+            out[i] += sum(np.log(1 - share + share * p(g, 1) / p(g, 0)) if g in docs else np.log(1 - share + share * free[1] / n[1] / free[0] * n[0]) for g in grams(t, k))
     return out
 
 
-def test_toxicity_counts_every_word(spark, monkeypatch):
-    """Words seen once count, and are joined if they don't fit the broadcast."""
+def test_toxicity_by_brute_force(spark, monkeypatch):
+    """Word by word and pair by pair, whether expressions are broadcast or joined."""
     rnd = random.Random(9)
-    texts = [(i, D.prose(rnd, 30), int(i % 3 == 0)) for i in range(60)]
+    texts = [(i, D.prose(rnd, rnd.choice([1, 5, 30, 60]), "abc"), int(i % 3 == 0)) for i in range(150)]
     part = lambda i: __import__("zlib").crc32(str(i).encode()) % 5
-    want = brute_differences([(t, y) for i, t, y in texts if part(i) > 1])
+    want = brute_gaps([(t, y) for i, t, y in texts if part(i) > 1], [t for _, t, _ in texts])
     docs, labels = spark.createDataFrame([x[:2] for x in texts], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int")
-    for most in (800_000, 10):
-        monkeypatch.setattr(toxicity, "WORDS", most)
+    for most in (400_000, 10):
+        monkeypatch.setattr(toxicity, "BROADCAST", most)
         got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
         assert len(got) == len(texts)
-        for i, t, _ in texts:
-            own = [want.get(w, 0.0) for w in t.split()]
-            assert (got[i].ahead, got[i].behind) == pytest.approx((sum(x for x in own if x > 0), sum(x for x in own if x < 0)), abs=1e-6)
+        for (i, t, _), gap in zip(texts, want, strict=True):
+            assert (got[i].n_words, got[i].gap) == (len(t.split()), pytest.approx(gap, abs=1e-4))
+
+
+def test_toxicity_hears_phrases(spark):
+    """Toxic texts of ordinary words only: what tells them apart is which stand together."""
+    rnd, texts = random.Random(5), []
+    for i in range(2500):
+        words, bad = D.prose(rnd, rnd.randint(20, 60), "ab").split(" "), int(rnd.random() < 0.3)
+        for _ in range(4):
+            at = rnd.randrange(len(words) - 1)
+            words[at : at + 2] = rnd.choice([["sour", "goat"], ["wet", "dog"]] if bad else [["sour", "dog"], ["wet", "goat"]])
+        texts.append((i, " ".join(words), bad))
+    rows = toxicity.toxicity(spark.createDataFrame([x[:2] for x in texts], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int")).collect()
+    assert np.mean([r.predicted == texts[r.doc_id][2] for r in rows if r.held_out]) > 0.95
 
 
 def test_pipeline_drops_lines_of_two_documents(spark, tmp_path):

@@ -9,7 +9,7 @@ from fastaxis.llm.common import remove, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable, for every node that has a link.
+    """(node, component): the smallest node reachable, for every node that has a link; a written table.
 
     Alternates two steps until nothing changes: each node hands its larger neighbours, then
     its smaller ones, to the smallest. Rounds grow with the logarithm of the number of nodes;
@@ -34,4 +34,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         mark = now
     roots = edges.select(F.col("v").alias("node")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+    out = written(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component"))), "components")
+    remove(edges)
+    return out

@@ -16,7 +16,8 @@ shuffled once, for the removal.
 
 Defined results: null has no lines and stays null; lines of fewer than ``min_tokens`` tokens are never dropped, unless ``short`` is set;
 rows without a doc_id are neither counted nor changed; rows of equal doc_id count as one
-document; an empty table gives none; all other columns are handed on unchanged.
+document; an empty table gives none; all other columns are handed on unchanged, whatever their
+names (drop_recurring() alone replaces columns called n_lines and n_dropped).
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fastaxis.llm.common import mix, slices, span_hashes, text_bytes, white_table, word_spans, written
+from fastaxis.llm.common import may_hold, mix, remove, sketch, slices, span_hashes, text_bytes, white_table, word_spans, written
 
 SKETCH = 1 << 22
 _I, _U = np.int64, np.uint64
@@ -76,34 +77,19 @@ def _lines(docs: DataFrame, min_tokens: int, depth: int, short: bool) -> DataFra
     return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc long, at long, leaf long, line long")
 
 
-def _sketch(values: DataFrame, column: str) -> np.ndarray:
-    """A bit for each of SKETCH residues of a column's hashes: a table of fixed size."""
-    bit = F.pmod(F.xxhash64(column), F.lit(SKETCH))
-    rows = values.select(bit.alias("bit")).select(F.floor(F.col("bit") / 32).alias("at"), F.expr("shiftleft(1L, cast(bit % 32 as int))").alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits")).collect()
-    table = np.zeros(SKETCH // 32, np.uint32)
-    for r in rows:
-        table[r[0]] = r[1]
-    return table
-
-
-def _may_be(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = xxhash64_long(values) % SKETCH
-    return ((table[at // 32] >> (at % 32).astype(np.uint32)) & 1).astype(bool)
-
-
 def _keys_of(docs: DataFrame, leaves: DataFrame, min_tokens: int, depth: int) -> DataFrame:
     """(leaf, line, keys) of a batch's distinct lines that lie in the leaves, or that the sketch can't tell from them.
 
     A key names a token at its place in its leaf; a variable field's is 0.
     """
-    sketch = leaves.sparkSession.sparkContext.broadcast(_sketch(leaves, "leaf"))
+    screen = leaves.sparkSession.sparkContext.broadcast(sketch(leaves, F.col("leaf"), SKETCH))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
             for lo, hi in slices(offsets):
                 _, _, leaf, line, first, count, hashes = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], min_tokens, depth)
-                keep = np.flatnonzero(_may_be(sketch.value, leaf))
+                keep = np.flatnonzero(may_hold(screen.value, leaf))
                 keep = keep[np.unique(line[keep], return_index=True)[1]]
                 n = count[keep]
                 inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -116,85 +102,89 @@ def _keys_of(docs: DataFrame, leaves: DataFrame, min_tokens: int, depth: int) ->
     return docs.filter("doc_id is not null").select("text").mapInArrow(run, "leaf long, line long, keys array<long>")
 
 
-def xxhash64_long(x: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of a long column, as unsigned values reduced to 63 bits' non-negative residues by the caller's modulus."""
-    p1, p2, p3, p4, p5 = (_U(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    rotate = lambda v, r: (v << _U(r)) | (v >> _U(64 - r))
-    with np.errstate(over="ignore"):
-        h = np.full(len(x), (42 + 0x27D4EB2F165667C5 + 8) % 2**64, _U)
-        h = rotate(h ^ (rotate(x.astype(_U) * p2, 31) * p1), 27) * p1 + p4
-        h = (h ^ (h >> _U(33))) * p2
-        h = (h ^ (h >> _U(29))) * p3
-        h ^= h >> _U(32)
-    return h.astype(_I) & _I(0x7FFFFFFFFFFFFFFF)
-
-
-def templates(docs: DataFrame, lines: DataFrame, min_docs: int, min_constant: float, min_tokens: int, depth: int) -> DataFrame:
-    """(line, template) of the lines that are generalised; any other line is its own template."""
+def templates(docs: DataFrame, lines: DataFrame, min_docs: int, min_constant: float, min_tokens: int, depth: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(line, template) of the lines that are generalised, any other line being its own template; and the written tables that it reads."""
     per_line = written(lines.select("leaf", "line", "doc").distinct().groupBy("leaf", "line").agg(F.count("*").alias("docs")), "line-counts")
     leaves = written(per_line.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("docs")).filter((F.col("lines") > 1) & (F.col("docs") >= min_docs)).select("leaf"), "leaves")
     found = _keys_of(docs, leaves, min_tokens, depth).groupBy("leaf", "line").agg(F.first("keys").alias("keys"))
     placed = written(found.join(per_line, ["leaf", "line"]), "line-keys")
+    remove(per_line, leaves)
     each = placed.select("docs", F.explode("keys").alias("key")).filter("key <> 0")
     constant = written(each.groupBy("key").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("key"), "constants")
-    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(constant, "key"))
+    screen = docs.sparkSession.sparkContext.broadcast(sketch(constant, F.col("key"), SKETCH))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(2)
             to = np.asarray(keys.offsets, _I)
             flat = np.asarray(keys.flatten(), _I)
-            sums = np.concatenate([[0], np.cumsum(_may_be(sketch.value, flat) & (flat != 0))])
+            sums = np.concatenate([[0], np.cumsum(may_hold(screen.value, flat) & (flat != 0))])
             to = to - to[0]
             yield batch.filter(pa.array(sums[to[1:]] - sums[to[:-1]] >= min_constant * np.diff(to) - 1e-9))
 
     may = placed.select("leaf", "line", "keys").mapInArrow(run, "leaf long, line long, keys array<long>")
     kept = may.select("leaf", "line", F.size("keys").alias("n"), F.explode("keys").alias("key")).join(constant, "key")
     made = kept.groupBy("leaf", "line", "n").agg(F.count("*").alias("constants"), F.bit_xor("key").alias("template"))
-    return made.filter(F.col("constants") >= F.col("n") * min_constant - 1e-9).select("line", F.xxhash64("leaf", "template").alias("template"))
-
+    return made.filter(F.col("constants") >= F.col("n") * min_constant - 1e-9).select("line", F.xxhash64("leaf", "template").alias("template")), [placed, constant]
 
-def drop_recurring(docs: DataFrame, min_docs: int = 3, min_constant: float = 0.6, min_tokens: int = 3, depth: int = 2, support: int | None = None, short: bool = False) -> DataFrame:
-    """The documents with their text without recurring lines, and n_lines, n_dropped (long).
 
-    ``support`` is what a token needs to stay constant, if not ``min_docs``; with ``short``, lines of fewer
-    than ``min_tokens`` tokens are templates of their own.
-    """
+def recurring(docs: DataFrame, min_docs: int, min_constant: float, min_tokens: int, depth: int, support: int, short: bool) -> DataFrame:
+    """(doc, dropped): the numbers of the lines that each document loses, with their hashes; a written table."""
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     lines = written(_lines(texts, min_tokens, depth, short), "lines")
-    named = templates(texts, lines, support or min_docs, min_constant, min_tokens, depth)
+    named, read = templates(texts, lines, support, min_constant, min_tokens, depth)
     placed = written(lines.join(named, "line", "left").select("doc", "at", "line", F.coalesce("template", "line").alias("template")), "placed")
+    remove(lines, *read)
     # A table of its own, so that the join below has plain shuffles on both sides and a hot template's rows can be split.
-    first = written(placed.groupBy("template", "doc").agg(F.min("at").alias("at")).groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "at")).alias("first")).filter(F.col("docs") >= min_docs), "recurring")
-    dropped = placed.join(first, "template").filter(F.struct("doc", "at") != F.col("first")).groupBy(F.col("doc").alias("_line_doc")).agg(F.collect_list(F.struct("at", "line")).alias("_dropped"))
-    joined = docs.join(dropped, docs["doc_id"].cast("long") == dropped["_line_doc"], "left").drop("_line_doc")
-    names = joined.columns
-    at = names.index("text")
+    first = written(placed.groupBy("template", "doc").agg(F.min("at").alias("at")).groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "at")).alias("first")).filter(F.col("docs") >= min_docs).select("template", "first"), "recurring")
+    gone = placed.join(first, "template").filter(F.struct("doc", "at") != F.col("first"))
+    out = written(gone.groupBy("doc").agg(F.collect_list(F.struct("at", "line")).alias("dropped")), "dropped-lines")
+    remove(placed, first)
+    return out
+
+
+def cleaned(docs: DataFrame, min_docs: int = 3, min_constant: float = 0.6, min_tokens: int = 3, depth: int = 2, support: int | None = None, short: bool = False) -> DataFrame:
+    """Each document as ``row`` (a struct of its columns, the text without recurring lines), with n_lines and n_dropped (long).
+
+    ``support`` is what a token needs to stay constant, if not ``min_docs``; with ``short``, lines of fewer
+    than ``min_tokens`` tokens are templates of their own.
+    """
+    dropped = recurring(docs, min_docs, min_constant, min_tokens, depth, support or min_docs, short)
+    whole = docs.withColumn("text", F.col("text").cast("string"))
+    # The columns stay in a struct of their own: no name of theirs clashes with one that is used here.
+    row = F.struct(*[F.col(f"`{c}`") for c in whole.columns]).alias("row")
+    joined = whole.select(row).select("row", F.col("row")["doc_id"].cast("long").alias("doc")).join(dropped, "doc", "left").select("row", "dropped")
+    at = whole.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(at))
-            given = batch.column(len(names) - 1)
-            touched = np.flatnonzero(np.asarray(given.is_valid()))
-            new: dict[int, bytes] = {}
+            rows, given = batch.column(0), batch.column(1)
+            columns = [rows.field(i) for i in range(rows.type.num_fields)]
+            text = columns[at]
+            data, offsets = text_bytes(text)
+            new: dict[int, str] = {}
             gone = np.zeros(len(batch), _I)
-            for i in touched:
+            for i in np.flatnonzero(np.asarray(given.is_valid())).tolist():
                 own = data[offsets[i] : offsets[i + 1]]
                 _, number, _, line, *_ = tokens(own, np.array([0, len(own)]), min_tokens, depth, short)
-                out = {(x["at"], x["line"]) for x in given[int(i)].as_py()}
+                out = {(x["at"], x["line"]) for x in given[i].as_py()}
                 out = {a for a, b in zip(number.tolist(), line.tolist(), strict=True) if (a, b) in out}
-                new[int(i)] = b"\n".join(x for k, x in enumerate(own.tobytes().split(b"\n")) if k not in out)
+                new[i] = b"\n".join(x for k, x in enumerate(own.tobytes().split(b"\n")) if k not in out).decode()
                 gone[i] = len(out)
             feeds = np.concatenate([[0], np.cumsum(data == 10)])
-            many = np.where(np.asarray(batch.column(at).is_valid()), feeds[offsets[1:]] - feeds[offsets[:-1]] + 1, 0)
-            text = batch.column(at)
+            valid = np.asarray(text.is_valid())
+            many = np.where(valid, feeds[offsets[1:]] - feeds[offsets[:-1]] + 1, 0)
             if new:
-                valid = np.asarray(text.is_valid())
-                text = pa.array([new[i].decode() if i in new else text[i].as_py() if valid[i] else None for i in range(len(batch))], pa.string())
-            yield pa.record_batch([*batch.columns[:at], text, *batch.columns[at + 1 : -1], pa.array(many), pa.array(gone)], names=[*names[:-1], "_n_lines", "_n_dropped"])
+                columns[at] = pa.array([new[i] if i in new else text[i].as_py() if valid[i] else None for i in range(len(batch))], text.type)
+            yield pa.record_batch([pa.StructArray.from_arrays(columns, fields=list(rows.type)), pa.array(many), pa.array(gone)], names=["row", "n_lines", "n_dropped"])
+
+    return joined.mapInArrow(run, joined.select("row").schema.add("n_lines", "long").add("n_dropped", "long"))
+
 
-    schema = docs.withColumn("text", F.col("text").cast("string")).schema
-    schema = schema.add("_n_lines", "long").add("_n_dropped", "long")
-    out = joined.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
+def drop_recurring(docs: DataFrame, **options) -> DataFrame:
+    """The documents with their text without recurring lines, and n_lines, n_dropped (long); the options are those of cleaned().
+
+    Columns of the input that have these two names are replaced; cleaned() keeps them.
+    """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*keep, F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
+    return cleaned(docs, **options).select(*[F.col("row")[c].alias(c) for c in keep], "n_lines", "n_dropped")

@@ -37,16 +37,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fastaxis.llm.common import gram_hashes, mix, remove, slices, span_hashes, text_bytes, white_table, word_spans, written
+from fastaxis.llm.common import gram_hashes, may_hold, mix, remove, sketch, slices, span_hashes, text_bytes, white_table, word_spans, written
 from fastaxis.llm.graph import components
 
 #: Share of all documents from which on an n-gram is left out of the fragments.
 HOT_SHARE = 1 / 500
 #: Vertical parts in which overlaps are counted; bits of the sketch of documents to compare.
 PARTS, SKETCH = 4, 1 << 22
+#: Bits of the sketch of keys that several documents have.
+KEYS = 1 << 26
 _WHITE = white_table(lower=True)
 _SIGNED = np.int64
 
@@ -148,7 +150,9 @@ def _surveyed(docs: DataFrame, n: int, share: float) -> DataFrame:
     return docs.mapInArrow(run, "kind int, x long, n long, a long, b long")
 
 
-def _represented(docs: DataFrame, n: int, percent: int, hot) -> DataFrame:
+def _represented(docs: DataFrame, n: int, percent: int, hot, screen=None) -> DataFrame:
+    """(key, doc, lot) of a batch's distinct sets; of the keys only those that the screen can't rule out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, frequent = Sizes(percent), hot.value
         for batch in batches:
@@ -160,6 +164,7 @@ def _represented(docs: DataFrame, n: int, percent: int, hot) -> DataFrame:
                     continue
                 seen.add(key)
                 for found, lot in representatives(grams, frequent, sizes):
+                    found = found if screen is None else found[may_hold(screen.value, found)]
                     keys.append(found.astype(_SIGNED))
                     owners.append(np.full(len(found), ids[i]))
                     lots.append(np.full(len(found), lot))
@@ -178,19 +183,11 @@ def _parts(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
 
     The documents are first screened by a sketch of fixed size; the joins that follow are exact.
     """
-    bit = F.pmod(F.xxhash64("doc"), F.lit(SKETCH))
-    rows = needed.select(bit.alias("bit")).select(F.floor(F.col("bit") / 32).alias("at"), F.expr("shiftleft(1L, cast(bit % 32 as int))").alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits")).collect()
-    table = np.zeros(SKETCH // 32, np.uint32)
-    for r in rows:
-        table[r[0]] = r[1]
-    sketch = needed.sparkSession.sparkContext.broadcast(table)
+    screen = needed.sparkSession.sparkContext.broadcast(sketch(needed, F.xxhash64("doc"), SKETCH))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = sketch.value
         for batch in batches:
-            at = np.asarray(batch.column(2), np.int64)
-            keep = (mask[at // 32] >> (at % 32).astype(np.uint32)) & 1
-            batch = batch.filter(pa.array(keep.astype(bool)))
+            batch = batch.filter(pa.array(may_hold(screen.value, np.asarray(batch.column(2), np.int64))))
             ids = batch.column(0).to_pylist()
             doc, part, size, grams = [], [], [], []
             for i, own in document_sets(batch, n):
@@ -203,7 +200,7 @@ def _parts(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
                 lengths = np.cumsum([0, *map(len, grams)])
                 yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(part, pa.int32()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(grams)))], names=["doc", "part", "n", "grams"])
 
-    screened = docs.filter("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SKETCH)).alias("bit"))
+    screened = docs.filter("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("bit"))
     return screened.mapInArrow(run, "doc long, part int, n long, grams array<long>")
 
 
@@ -216,8 +213,8 @@ def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return written(summed.filter(F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * percent).select("a", "b").distinct(), "linked")
 
 
-def across(parts: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of the placed documents (doc, c) in different components that may link: prefixes in the order of frequency."""
+def across(parts: DataFrame, placed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of the placed documents (doc, c) in different components that may link: prefixes in the order of frequency, a written table of which is the second result."""
     grams = parts.join(placed, "doc").select("doc", "n", "c", F.explode("grams").alias("gram"))
     often = grams.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
     lists = grams.join(often, "gram").groupBy("doc", "n", "c").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams"))
@@ -230,11 +227,25 @@ def across(parts: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     # A pair that links passes this at its first common n-gram, before which it has none in common.
     most = F.least(left(1), left(2))
     may = (F.col("c1") != F.col("c2")) & (F.col("doc1") < F.col("doc2")) & (most * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent)
-    return x.join(y, (x["gram"] == y["gram"]) & may).select(F.col("doc1").alias("a"), F.col("doc2").alias("b")).distinct()
+    return x.join(y, (x["gram"] == y["gram"]) & may).select(F.col("doc1").alias("a"), F.col("doc2").alias("b")).distinct(), prefixes
+
+
+def _mixed(rows: DataFrame, value: str) -> DataFrame:
+    """(key) of the keys whose rows hold more than one value."""
+    return rows.groupBy("key").agg(F.min(value).alias("low"), F.max(value).alias("high")).filter("low < high").select("key")
+
+
+def _enough(rows: DataFrame) -> DataFrame:
+    """(doc, lot) of the lots of which a document still has as many keys as a link needs."""
+    return rows.groupBy("doc", "lot").count().filter(F.col("count") >= F.col("lot") % (1 << 20)).select("doc", "lot")
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, hot_share: float = HOT_SHARE) -> DataFrame:
-    """One row per document: the size of its n-gram set and the smallest doc_id reachable by links."""
+    """One row per document: the size of its n-gram set and the smallest doc_id reachable by links.
+
+    What concerns a key is aggregated, with partial results, and joined to the key's rows: a
+    key that many documents have is then a skewed join, which adaptive execution splits.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     survey = written(_surveyed(docs, n, hot_share), "survey")
@@ -245,28 +256,59 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, hot_share
     # A table of its own, so that the join has plain shuffles on both sides and the rows of a hot set can be split.
     first = written(sets.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("first")), "firsts")
     sets = written(sets.join(first, ["n_shingles", "a", "b"], "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("first")), "sets")
-
-    group = Window.partitionBy("key")
-    several = lambda df: df.withColumns({"low": F.min("doc").over(group), "high": F.max("doc").over(group)}).filter("low < high").drop("low", "high")
-    enough = lambda df: df.groupBy("doc", "lot").count().filter(F.col("count") >= F.col("lot") % (1 << 20)).select("doc", "lot")
-    looked_up = written(several(_represented(docs, n, percent, hot)), "looked-up")
-    buckets = written(several(looked_up.join(enough(looked_up), ["doc", "lot"])), "buckets")
-    remove(looked_up)
-    sharing = written(buckets.withColumn("size", F.count("*").over(group)).groupBy("doc").agg(F.sum("size").alias("keys")), "sharing")
+    remove(survey, first)
+
+    # Most keys belong to one document: they are counted first, and only the others' rows are made again and kept.
+    shared = written(_mixed(_represented(docs, n, percent, hot), "doc"), "shared-keys")
+    screen = spark.sparkContext.broadcast(sketch(shared, F.col("key"), KEYS))
+    looked_up = written(_represented(docs, n, percent, hot, screen).join(shared, "key"), "looked-up")
+    left = looked_up.join(_enough(looked_up), ["doc", "lot"])
+    again = written(_mixed(left, "doc"), "shared-keys")
+    buckets = written(left.join(again, "key"), "buckets")
+    remove(shared, looked_up, again)
+    sizes = written(buckets.groupBy("key").agg(F.count("*").alias("size")), "sizes")
+    sharing = written(buckets.join(sizes, "key").groupBy("doc").agg(F.sum("size").alias("keys")), "sharing")
     parts = written(_parts(docs, sharing.select("doc"), n).join(sharing.select("doc"), "doc"), "parts")
     # The hub of a bucket is the document whose buckets hold the most documents, as those of an original do; each document meets its most frequent hub.
     rank = F.struct(F.col("keys"), (-F.col("doc")).alias("minus"))
-    hubs = buckets.join(sharing, "doc").withColumn("hub", -F.max(rank).over(group)["minus"]).filter("doc <> hub")
-    stars = hubs.groupBy("doc", "hub").count().groupBy("doc").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
-    links = linked(written(stars.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct(), "stars"), parts, percent)
-
-    found = written(components(links), "components")
-    joined = buckets.join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", "lot", F.coalesce("component", "doc").alias("c"))
-    mixed = written(joined.withColumns({"c0": F.min("c").over(group), "c1": F.max("c").over(group)}).filter("c0 < c1").select("doc", "lot", "c"), "mixed")
-    mixed = written(mixed.join(enough(mixed), ["doc", "lot"]).select("doc", "c").distinct(), "mixed")
-    links = links.unionByName(linked(written(across(parts, mixed, percent), "across"), parts, percent))
+    hubs = written(buckets.join(sharing, "doc").groupBy("key").agg((-F.max(rank)["minus"]).alias("hub")), "hubs")
+    met = buckets.join(hubs, "key").filter("doc <> hub").groupBy("doc", "hub").count()
+    stars = written(met.groupBy("doc").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub")).select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct(), "stars")
+    remove(sizes, sharing, hubs)
+    links = linked(stars, parts, percent)
+
+    found = components(links)
+    joined = written(buckets.join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", "lot", F.coalesce("component", "doc").alias("c")), "joined")
+    apart = written(_mixed(joined, "c"), "shared-keys")
+    mixed = written(joined.join(apart, "key").select("doc", "lot", "c"), "mixed")
+    open_ = written(mixed.join(_enough(mixed), ["doc", "lot"]).select("doc", "c").distinct(), "open")
+    remove(stars, buckets, found, joined, apart, mixed)
+    candidates, prefixes = across(parts, open_, percent)
+    candidates = written(candidates, "across")
+    more = linked(candidates, parts, percent)
+    remove(open_, prefixes, candidates, parts)
 
     owner = sets.select("doc_id", "first").groupBy("doc_id").agg(F.min("first").alias("first"))
     named = lambda df, c: df.join(owner.withColumnsRenamed({"doc_id": c, "first": f"{c}0"}), c).drop(c).withColumnRenamed(f"{c}0", c)
-    whole = written(components(named(named(links, "a"), "b")), "components")
+    whole = components(named(named(links.unionByName(more), "a"), "b"))
+    remove(links, more)
     return sets.join(whole, sets["first"] == whole["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, of which one of each group of linked documents stays: that of the smallest doc_id.
+
+    Rows without a doc_id stay, as nothing can refer to them. Where a doc_id repeats, its rows are documents of their
+    own: they go if their texts link with a row before them (in the order of doc_id, then of their place), and stay if not.
+    """
+    again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").head() is not None
+    if not again:
+        found = written(jaccard_components(docs, n, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias("gone")), "groups")
+        return docs.join(found, docs["doc_id"].cast("long") == found["gone"], "left_anti")
+    numbered = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("id", F.monotonically_increasing_id()), "numbered")
+    named = numbered.filter(F.col("row")["doc_id"].isNotNull())
+    found = written(jaccard_components(named.select(F.col("id").alias("doc_id"), F.col("row")["text"].alias("text")), n, percent), "groups")
+    place = F.struct(F.col("row")["doc_id"].alias("doc_id"), F.col("id"))
+    stays = named.join(found, named["id"] == found["doc_id"]).groupBy("component_id").agg(F.min(place)["id"].alias("id")).select("id")
+    left = named.join(stays, "id").select("row").unionByName(numbered.filter(F.col("row")["doc_id"].isNull()).select("row"))
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -190,11 +190,24 @@ def test_line_templates(spark):
     assert line_dedup.drop_recurring(D.frame(spark, D.REPEATED)).count() == len(D.rows()) + len(D.REPEATED)
 
 
-def test_spark_hash():
-    from fastaxis.llm.line_dedup import xxhash64_long
+def test_sketch(spark):
+    from fastaxis.llm.common import may_hold, sketch
 
-    # Spark's xxhash64 of these longs, without the sign bit.
-    assert xxhash64_long(np.array([1, -5, 10**18])).tolist() == [2221699401151730226, 3963437498460747356, 4032015854893236738]
+    rnd = np.random.default_rng(1)
+    held = rnd.integers(-(2**63), 2**63 - 1, 500)
+    table = sketch(spark.createDataFrame([(int(x),) for x in held], "h long"), F.col("h"), 1 << 14)
+    assert may_hold(table, held).all() and 0.01 < may_hold(table, rnd.integers(-(2**63), 2**63 - 1, 5000)).mean() < 0.06
+    assert not may_hold(sketch(spark.createDataFrame([], "h long"), F.col("h"), 1 << 14), held).any()
+
+
+def test_line_templates_of_clashing_columns(spark):
+    """Columns of the input keep their values, whatever they are called."""
+    texts = [(i, f"a line that all have\n{w} {w}x {w}y") for i, w in enumerate("one two three four".split())]
+    clash = ["row", "doc", "dropped", "_dropped", "_n_lines", "_line_doc", "at", "line", "n_lines", "n_dropped", "a b.c"]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumns({c: F.lit(7) for c in clash})
+    out = line_dedup.cleaned(df).select("row.*", F.col("n_lines").alias("many"), F.col("n_dropped").alias("gone")).collect()
+    assert all(r[c] == 7 for r in out for c in clash) and sorted((r.doc_id, r.many, r.gone) for r in out) == [(0, 2, 0), (1, 2, 1), (2, 2, 1), (3, 2, 1)]
+    assert {(r.n_lines, r.n_dropped) for r in line_dedup.drop_recurring(df).collect()} == {(2, 0), (2, 1)}
 
 
 def test_toxicity_learns(spark):
@@ -226,20 +239,24 @@ def test_toxicity_of_few_labels(spark, labels):
     assert toxicity.toxicity(D.empty(spark), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
 
 
+def stage_input(spark, tmp_path, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "never in the documents at all since these words are not there")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
-    df = D.frame(spark).select("doc_id", "text", "lang", "source", "n_chars")
-    df.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, "never in the documents at all since these words are not there")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs, columns = spark.read.parquet(f"{tmp_path}/documents.parquet"), df.columns
+    docs = stage_input(spark, tmp_path, [r[:5] for r in D.rows()], D.SCHEMA.split(", key")[0])
+    before, columns = docs.count(), docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == columns
         out.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
     left = {r.doc_id: r.text for r in docs.collect()}
-    assert len(left) < df.count()
+    assert len(left) < before
     # No two that are left link, and none is short.
     sets = {i: shingles(t) for i, t in left.items()}
     assert not any(100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) for a in sets for b in sets if a < b)
@@ -247,6 +264,33 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(left)
 
 
+@pytest.mark.parametrize("rows", [[], [(None, None)], [(1, None), (1, ""), (None, "x")]])
+def test_pipeline_of_little(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    stage_input(spark, tmp_path, rows, "doc_id long, text string")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0  # nothing passes the rules
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Ids that are missing or repeat, columns named like the operators' own: each stage keeps what it should, and every column as it was."""
+    import corpus_pipeline
+
+    rnd = random.Random(15)
+    clean = lambda: "\n".join(". ".join(D.prose(rnd, 12).capitalize() for _ in range(4)) + "." for _ in range(4))
+    one, two, three = clean(), clean(), clean()
+    texts = [(1, one), (1, one), (1, two), (2, one + " more"), (None, three), (None, three), (3, three), (4, clean())]
+    clash = ["row", "doc", "key", "lot", "node", "component", "n_words", "n_lines", "n_dropped", "_gone", "a.b", "id"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{c}` int" for c in clash)
+    docs = stage_input(spark, tmp_path, [(*t, *range(len(clash))) for t in texts], schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert all(tuple(r)[2:] == tuple(range(len(clash))) for r in out.collect())
+    joined = corpus_pipeline.ngram_jaccard_join(spark, docs, str(tmp_path))
+    assert sorted(((r.doc_id or 0), r.text) for r in joined.collect()) == sorted([(1, one), (1, two), (0, three), (0, three), (3, three), (4, texts[-1][1])])
+
+
 def test_pipeline_joins_five_word_shingles(spark, tmp_path):
     import corpus_pipeline
 

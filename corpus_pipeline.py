@@ -4,7 +4,10 @@ Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept a
 DataFrame; all but the last return the columns of documents. run() applies them to documents,
 each stage's result written to the shared folder before the next begins.
 
-Rows without a doc_id pass the line and join stages unchanged, as nothing can refer to them.
+Defined results: an empty table gives no pieces; null and empty texts fail the quality rules;
+rows without a doc_id pass the line and join stages unchanged, as nothing can refer to them;
+rows of one doc_id are one document to the line stage, and documents of their own to the join,
+which keeps those whose texts don't link; further columns are handed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fastaxis.llm import decontaminate, line_dedup, ngram_join, packing, quality
-from fastaxis.llm.common import documents, written
+from fastaxis.llm.common import documents, remove, written
 from fastaxis.llm.registry import tokenizer_file
 
 #: Near copies are those whose five-word shingles have a Jaccard similarity of 0.8 or more; op8's four words and 85 % are its SQL's.
@@ -27,23 +30,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that two documents or more have, short ones too; those of which only white space is left go."""
-    out = line_dedup.drop_recurring(docs, min_docs=2, support=3, short=True)
-    left = out.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
-    if "n_chars" in docs.columns:
-        length = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        left = left.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+    out = line_dedup.cleaned(docs, min_docs=2, support=3, short=True)
+    row, changed = F.col("row"), F.col("n_dropped") > 0
+    left = out.filter(~changed | row["text"].rlike(r"[^ \t\n\x0B\f\r]"))
+    value = {c: row[c] for c in docs.columns}
+    if "n_chars" in value:
+        value["n_chars"] = F.when(changed, F.length(row["text"])).otherwise(row["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return left.select(*[v.alias(c) for c, v in value.items()])
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents (sets of WORDS-word shingles, PERCENT alike) the one with the smallest doc_id."""
-    found = written(ngram_join.jaccard_components(docs, n=WORDS, percent=PERCENT), "groups")
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").head()
-    if repeated is not None:
-        left = left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
-    return left
+    return ngram_join.one_of_each(docs, WORDS, PERCENT)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +66,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The pieces of training sequences of all documents that the stages keep; of the stages' tables only the last one stays."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            remove(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

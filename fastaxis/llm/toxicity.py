@@ -2,10 +2,11 @@
 
 Expressions are the words and the runs of two words of a text (up to ORDER). Each class,
 ordinary and toxic, has a Kneser-Ney model of each order: a count less an absolute discount,
-and the mass set free goes to a model that both classes share, whose counts are continuation
-counts: the number of labelled documents of either class that an expression turns up in,
-discounted in turn towards all expressions alike. So a rare expression is smoothed to what
-both classes say about it, whichever happens to hold it.
+and the mass set free goes to a smoother model. That of the ordinary class is one which both
+classes share: its counts are continuation counts, the number of labelled documents of either
+class that an expression turns up in, discounted in turn towards all expressions alike. That
+of the toxic class, which has fewer texts, is the ordinary model. So a rare expression is
+smoothed to what both classes say about it, whichever happens to hold it.
 
 A toxic text is mostly ordinary words. Its likelihood is therefore that of an ordinary text
 of which a share SHARE of expressions comes from the toxic model. A document's evidence is
@@ -15,9 +16,9 @@ curve over these two, fitted on labelled documents outside the models' training,
 
 Labels are used only of rows with crc32(doc_id as text) mod 5 other than 0: those of
 remainder CALIBRATION calibrate (a bounded sample of them, CALIBRATION_ROWS), the others
-and what the sample leaves are counted for the models, all of them. An expression that no class has
-more often than the discount has, by the formula, the probability of an unseen one; it
-counts in all sums and needs no row of its own. All others stand in a written table. The
+and what the sample leaves are counted for the models, all of them. An expression that the toxic class
+doesn't have more often than the discount is, by the formula, as much evidence as an unseen
+one; it counts in all sums and needs no row of its own. All others stand in a written table. The
 BROADCAST most frequent are sent to the tasks (5 MB) and summed in the pass over the texts;
 each row's distinct others, screened by a sketch of fixed size, are joined with the table.
 
@@ -90,11 +91,11 @@ def counts(labelled: DataFrame) -> DataFrame:
 
 
 def gathered(seen: DataFrame) -> DataFrame:
-    """The counts of expressions that a class has more often than the discount, one by one, and the sums of all others under a null key.
+    """The counts of expressions that toxic texts have more often than the discount, one by one, and the sums of all others under a null key.
 
     m0 and m1 are what the discount sets free, kinds the number of expressions.
     """
-    own = F.greatest("c0", "c1") > DISCOUNT
+    own = F.col("c1") > DISCOUNT
     freed = [F.least(F.col(f"c{k}").cast("double"), F.lit(DISCOUNT)).alias(f"m{k}") for k in (0, 1)]
     rows = seen.select("length", F.when(own, F.col("key")).alias("key"), "c0", "c1", "docs", *freed, F.lit(1).alias("kinds"))
     return rows.groupBy("length", "key").agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "docs", "m0", "m1", "kinds")])
@@ -115,10 +116,11 @@ class Model:
             if not (t["c0"] and t["c1"]):
                 continue
             left = [t[f"m{c}"] / t[f"c{c}"] for c in (0, 1)]
-            self.unseen[k - 1] = self.evidence(left[1] / left[0])
+            self.unseen[k - 1] = np.log(1 - SHARE + SHARE * left[1])
             shared = (F.col("docs") - SHARED_DISCOUNT) / t["docs"] + SHARED_DISCOUNT * t["kinds"] / t["docs"] / (t["kinds"] + 1)
-            p = [(F.col(f"c{c}") - F.col(f"m{c}")) / t[f"c{c}"] + left[c] * shared for c in (0, 1)]
-            value = F.when(F.col("length") == k, F.log(1 - SHARE + SHARE * p[1] / p[0]) - float(self.unseen[k - 1])).otherwise(value)
+            ordinary = (F.col("c0") - F.col("m0")) / t["c0"] + left[0] * shared
+            ratio = (F.col("c1") - F.col("m1")) / t["c1"] / ordinary + left[1]
+            value = F.when(F.col("length") == k, F.log(1 - SHARE + SHARE * ratio) - float(self.unseen[k - 1])).otherwise(value)
         every = table.filter("key is not null").select("key", (F.col("c0") + F.col("c1")).alias("n"), value.alias("value")).filter("value is not null")
         cut = frequency_cut(every, "n", BROADCAST)
         common = every.filter(cut).select("key", "value").toArrow()
@@ -130,11 +132,6 @@ class Model:
         self.screen = None if self.rest is None else sketch(self.rest, F.col("key"), SKETCH)
         remove(table)
 
-    @staticmethod
-    def evidence(ratio: float) -> float:
-        """How much likelier an expression is in a toxic text than in an ordinary one, from the models' ratio for it."""
-        return float(np.log(1 - SHARE + SHARE * ratio))
-
 
 def summed(keys: np.ndarray, own: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The values of keys, and which of them the broadcast part has."""

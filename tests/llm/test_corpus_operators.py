@@ -331,12 +331,15 @@ def brute_gaps(rows, texts, order=2, d=1.5, ds=0.75, share=0.01):
         docs = Counter(g for t, _ in rows for g in set(grams(t, k)))
         n, free = [sum(c.values()) for c in count], [sum(min(r, d) for r in c.values()) for c in count]
 
-        def p(g, c):
-            shared = (max(0, docs[g] - ds) + ds * len(docs) / (len(docs) + 1)) / sum(docs.values())
-            return (max(0, count[c][g] - d) + free[c] * shared) / n[c]
+        def ordinary(g):
+            shared = (docs[g] - ds + ds * len(docs) / (len(docs) + 1)) / sum(docs.values())
+            return (max(0, count[0][g] - d) + free[0] * shared) / n[0]
+
+        def toxic(g):
+            return (max(0, count[1][g] - d) + free[1] * ordinary(g)) / n[1]
 
         for i, t in enumerate(texts):
-            out[i] += sum(np.log(1 - share + share * p(g, 1) / p(g, 0)) if g in docs else np.log(1 - share + share * free[1] / n[1] / free[0] * n[0]) for g in grams(t, k))
+            out[i] += sum(np.log(1 - share + share * (toxic(g) / ordinary(g) if g in docs else free[1] / n[1])) for g in grams(t, k))
     return out
 
 

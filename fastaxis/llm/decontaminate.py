@@ -5,9 +5,11 @@ non-ASCII bytes). The windows of all items go into one automaton; each document
 normalised, scanned once, and the matches are mapped to its words and, in
 ``hit_spans``, to character offsets of the original text.
 
-The automaton is built in each Python worker from the items, which are broadcast after
-a check of their size. Items beyond ``shard_bytes`` go to further automata, and the
-documents are scanned once for each of them; so no size of the benchmark is left out.
+The automaton is built in each Python worker from the items. Test sets are small: one
+automaton takes ``shard_bytes`` of their text, which bounds what is broadcast and what a worker
+holds. Items beyond that go to further automata, one of which is read, broadcast and held at a
+time, and the documents are scanned once for each; so no size of the benchmark is left out, but
+a large one takes time in proportion.
 
 Defined results: a null or wordless text has no words and no hits; a null or wordless
 item has no window; repeated rows give repeated results; an empty benchmark hits nothing;
@@ -18,18 +20,20 @@ documents are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fastaxis.llm.common import text_bytes
 
-#: Bytes of normalised item text that one automaton takes (an automaton's node has 32 bytes).
-SHARD_BYTES = 4 << 20
+#: Bytes of item text that one automaton takes. Windows of ten words overlap: each byte makes some ten nodes of 32 bytes.
+SHARD_BYTES = 512 << 10
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 SPANS = "doc_id long, start long, end long"
 
@@ -67,48 +71,51 @@ class Matcher:
             items.update(ids)
 
 
-def shards(items: list[tuple], most: int) -> list[list[tuple]]:
-    out, size = [[]], 0
+def shards(items: Iterable[tuple], most: int) -> Iterator[list[tuple]]:
+    """Lists of items of at most ``most`` bytes of text each, or of one item; only one list is held at a time."""
+    out, size = [], 0
     for x in items:
-        size += len(x[1] or "")
-        if size > most and out[-1]:
-            out.append([])
-            size = len(x[1] or "")
-        out[-1].append(x)
-    return out
+        n = len((x[1] or "").encode())
+        if out and size + n > most:
+            yield out
+            out, size = [], 0
+        out.append(x)
+        size += n
+    if out:
+        yield out
 
 
 _built: dict[str, Matcher] = {}
 
 
-def _matchers(key: str, parts: list[list[tuple]], window: int) -> Iterator[Matcher]:
-    """Matchers of a broadcast's parts; one alone is kept for the worker's next task."""
-    for k, part in enumerate(parts):
-        found = _built.get(f"{key}/{k}")
+def _matchers(key: str, parts: list[Broadcast], window: int) -> Iterator[Matcher]:
+    """The matchers of the shards, one at a time; that of a single shard is kept for the worker's next task."""
+    for part in parts:
+        found = _built.get(key)
         if found is None:
-            found = Matcher(part, window)
+            found = Matcher(part.value, window)
+            part.__dict__.pop("_value", None)  # the items themselves are not needed again
             if len(parts) == 1:
                 _built.clear()
-                _built[f"{key}/{k}"] = found
+                _built[key] = found
         yield found
 
 
-def _scan(docs: DataFrame, benchmark: DataFrame, window: int, shard_bytes: int, emit, schema, at: int = 1) -> DataFrame:
-    """Scans the texts in column ``at``; emit(batch, data, normal, offsets, counts, hits) makes the result of a batch."""
-    spark = docs.sparkSession
-    items = [tuple(r) for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator()]
-    items.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
-    parts = spark.sparkContext.broadcast(shards(items, shard_bytes))
-    key = hashlib.md5(repr((window, items)).encode()).hexdigest()
+def _scan(docs: DataFrame, benchmark: DataFrame, window: int, shard_bytes: int, emit, schema) -> DataFrame:
+    """Scans the texts in the second column; emit(batch, data, normal, offsets, counts, hits) makes the result of a batch."""
+    context = docs.sparkSession.sparkContext
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    parts = [context.broadcast(part) for part in shards(map(tuple, items.toLocalIterator()), shard_bytes)]
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(at))
+            data, offsets = text_bytes(batch.column(1))
             normal = _NORMAL[data].tobytes()
             words = lambda i: normal[offsets[i] : offsets[i + 1]].split()
             hits: dict[int, tuple[np.ndarray, set]] = {}
-            counts = np.zeros(len(batch), np.int64)
-            for matcher in _matchers(key, parts.value, window):
+            counts = np.fromiter((len(words(i)) for i in range(len(batch))), np.int64, len(batch)) if not parts else np.zeros(len(batch), np.int64)
+            for matcher in _matchers(key, parts, window):
                 for i in range(len(batch)):
                     w = words(i)
                     counts[i] = len(w)
@@ -164,10 +171,13 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_byt
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, whose text holds no window of an item."""
+    # The columns stand in a struct, so that none of their names matters here.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
 
     def emit(batch, data, normal, offsets, counts, hits):
         dirty = np.zeros(len(batch), bool)
         dirty[[i for i, (hit, _) in hits.items() if hit.any()]] = True
-        yield batch.filter(pa.array(~dirty))
+        yield batch.filter(pa.array(~dirty)).select(["row"])
 
-    return _scan(docs, benchmark, window, shard_bytes, emit, docs.schema, docs.columns.index("text"))
+    left = _scan(whole, benchmark, window, shard_bytes, emit, whole.select("row").schema)
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])

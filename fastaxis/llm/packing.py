@@ -1,12 +1,14 @@
 """Operator 10, cost-balanced packing of tokenised documents into sequences.
 
 A partition's documents are tokenised and packed in batches of about ``batch_tokens``
-tokens. A batch of T tokens opens T // capacity sequences and, for the rest, sequences of
-powers of two, so that no sequence is padded. Full pieces of long documents take whole
-sequences. What is left of each document is assigned in descending order to the sequence of
-the lowest estimated cost (``linear * tokens + quadratic * sum of squared piece lengths``)
-that has room for it; a remainder for which no sequence has room is cut over those with the
-most room. Nothing is shuffled; a task keeps one batch of ids (or one long document).
+tokens. A batch opens as many sequences as its tokens fill. Full pieces of long documents take
+whole sequences. What is left of each document is assigned in descending order to the sequence
+of the lowest estimated cost (``linear * tokens + quadratic * sum of squared piece lengths``)
+that has room for it. Where none has, a further sequence is opened, as long as no more than
+the share ``padding`` of the batch's tokens is padded; then a document is cut over the sequences
+with the most room. A batch that is too small for a last padded sequence (the end of a small
+partition) has sequences of powers of two for its rest, which need no padding, and its documents are cut to fill
+them. Nothing is shuffled; a task keeps one batch of ids (or one long document).
 
 sequence_id is (task's partition << 33) + a count, so that it is unique over the table and
 the same when a lost task is run again.
@@ -110,14 +112,21 @@ def tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
-def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
+def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float, padding: float = 0.0) -> list[tuple[int, int, int, int, int]]:
     """Packs documents of these lengths: pieces as (document, start, length, sequence, offset).
 
-    Every sequence is filled to its end; ties go to the earlier document or sequence.
+    Without padding every sequence is filled to its end; ties go to the earlier document or sequence.
     """
     total = int(lengths.sum())
-    rooms = [capacity] * (total // capacity) + [1 << b for b in reversed(range(capacity.bit_length())) if total % capacity >> b & 1]
-    room = np.array(rooms, np.int64)
+    full, rest = divmod(total, capacity)
+    spare = int(padding * total) - (capacity - rest) % capacity
+    if spare >= 0:
+        rooms, further = [capacity] * (full + (rest > 0)), spare // capacity
+    else:
+        rooms, further = [capacity] * full + [1 << b for b in reversed(range(capacity.bit_length())) if rest >> b & 1], 0
+    # Sequences that are not open yet have no room.
+    room = np.array(rooms + [0] * further, np.int64)
+    opened = len(rooms)
     used, cost = np.zeros(len(room), np.int64), np.zeros(len(room))
     pieces: list[tuple[int, int, int, int, int]] = []
 
@@ -137,6 +146,8 @@ def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float)
         length, start = int(rest[doc]), int(lengths[doc] - rest[doc])
         while length:
             fits = np.flatnonzero(room >= length)
+            if not len(fits) and opened < len(room):
+                room[opened], fits, opened = capacity, np.array([opened]), opened + 1
             at = int(fits[np.argmin(cost[fits])]) if len(fits) else int(np.argmax(room))
             part = min(length, int(room[at]))
             put(int(doc), start, part, at)
@@ -144,7 +155,7 @@ def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float)
     return pieces
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, linear: float = 1.0, quadratic: float = 1 / 1024, batch_tokens: int = 1 << 19) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, linear: float = 1.0, quadratic: float = 1 / 1024, batch_tokens: int = 1 << 21, padding: float = 0.02) -> DataFrame:
     """One row per piece: its place in its document and in its sequence, and the CRC-32 of its ids."""
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
@@ -159,7 +170,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
         def flush() -> pa.RecordBatch:
             nonlocal count, held
             lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-            pieces = assign(lengths, capacity, linear, quadratic)
+            pieces = assign(lengths, capacity, linear, quadratic, padding)
             crc = [zlib.crc32(parts[d][s : s + n].tobytes()) for d, s, n, _, _ in pieces]
             cols = np.array(pieces, np.int64).reshape(-1, 5).T
             out = pa.record_batch(

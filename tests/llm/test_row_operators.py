@@ -230,7 +230,7 @@ def test_packing(spark):
     texts = {i: t for i, t, *_ in D.rows()} | {-1: "It's he'll 123 ¼ Σίσυφος ΣΑΣ İstanbul ẞ é <|endoftext|>  x y \x1c z ''s", -2: "don't!'s ..x 'TIS É" * 900}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     for capacity in (64, 2048):
-        pieces, at = packing.pack(df, path, capacity=capacity, batch_tokens=3000).collect(), defaultdict(list)
+        pieces, at = packing.pack(df, path, capacity=capacity, batch_tokens=3000, padding=0.0).collect(), defaultdict(list)
         sequences = defaultdict(list)
         for p in pieces:
             at[p.doc_id].append(p)
@@ -252,6 +252,54 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame(D.REPEATED, D.SCHEMA), path).groupBy("doc_id").count().count() == 3
 
 
+def test_packing_with_little_padding():
+    """Documents that fit a sequence stay whole, and hardly anything is padded; where that can't be, nothing is padded."""
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    for n, capacity in ((900, 2048), (3000, 2048), (700, 256)):
+        lengths = np.concatenate([rnd.lognormal(6, 1, n).astype(int) + 1, rnd.integers(1, 40, n // 5)])
+        pieces = packing.assign(lengths, capacity, 1.0, 1 / 1024, 0.02)
+        taken, used = defaultdict(list), Counter()
+        for doc, start, length, sequence, offset in pieces:
+            taken[doc].append((start, length))
+            assert length > 0 and offset == used[sequence]
+            used[sequence] += length
+        for doc, parts in taken.items():
+            assert [s for s, _ in sorted(parts)] == [0, *np.cumsum([x for _, x in sorted(parts)])[:-1]] and sum(x for _, x in parts) == lengths[doc]
+            assert len(parts) == -(-lengths[doc] // capacity)  # no more cuts than its length asks for
+        assert len(taken) == len(lengths) and max(used.values()) <= capacity
+        assert 1 - lengths.sum() / (capacity * len(used)) < 0.02
+    few = packing.assign(np.array([300, 200, 100]), 2048, 1.0, 1 / 1024, 0.02)
+    filled = Counter()
+    for _, _, length, sequence, _ in few:
+        filled[sequence] += length
+    assert all(x & (x - 1) == 0 for x in filled.values()) and sum(filled.values()) == 600
+
+
+def test_packing_by_brute_force_choice():
+    """Each remainder lies in the sequence of the lowest cost that had room, as the rule says, one document after the other."""
+    import numpy as np
+
+    rnd = np.random.default_rng(8)
+    lengths = rnd.integers(1, 1900, 300)
+    pieces = packing.assign(lengths, 2048, 1.0, 1 / 1024, 0.05)
+    count = 1 + max(p[3] for p in pieces)
+    room, cost = [2048] * count, [0.0] * count
+    opened = -(-int(lengths.sum()) // 2048)
+    for doc, start, length, sequence, _ in pieces:
+        if start == 0 and length == lengths[doc]:
+            fits = [k for k in range(opened) if room[k] >= length]
+            if fits:
+                assert sequence == min(fits, key=lambda k: (cost[k], k))
+            else:
+                assert sequence == opened
+                opened += 1
+        room[sequence] -= length
+        cost[sequence] += length + length * length / 1024
+    assert [p[0] for p in pieces] == sorted(range(300), key=lambda d: -lengths[d])
+
+
 def test_packing_balances_cost():
     import numpy as np
 

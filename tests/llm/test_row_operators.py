@@ -63,6 +63,43 @@ def test_personal_data_in_generations(spark):
     assert found[201] == ""
 
 
+def test_personal_data_that_no_seed_matches(spark):
+    """Planted identifiers in forms of their own, behind or before phrases that seeds stand in too; most are found, and what isn't one is left."""
+    import random
+
+    rnd, texts, planted = random.Random(21), [], {}
+    digits = lambda n: "".join(rnd.choice("123456789") for _ in range(n))
+    seeds = {"phone": lambda: f"+44 20 {digits(4)} {digits(4)}", "email": lambda: f"{D.prose(rnd, 1)}{digits(3)}@mail.example.org", "ip": lambda: ".".join(str(rnd.randint(11, 250)) for _ in range(4))}
+    others = {"phone": lambda: f"0{digits(2)}-{digits(4)}-{digits(4)}", "email": lambda: f"{D.prose(rnd, 1)}{digits(3)}[at]mail.example", "ip": lambda: f"{rnd.randint(11, 250)}[.]{rnd.randint(11, 250)}[.]{rnd.randint(111, 250)}[.]{rnd.randint(11, 250)}"}
+    phrases = {"phone": ["ring the office {} before noon", "her new {} mobile number"], "email": ["please write to {} about it", "all mail {} gets read"], "ip": ["requests that came from {} were dropped", "some host {} went silent"]}
+    for i in range(600):
+        kind = rnd.choice(list(seeds))
+        unseen = i % 3 == 0
+        value = (others if unseen else seeds)[kind]()
+        text = f"{D.prose(rnd, 12)} {rnd.choice(phrases[kind]).format(value)} {D.prose(rnd, 12)}"
+        texts.append((i, text))
+        if unseen:
+            planted[i] = f"{kind}:{text.index(value)}:{text.index(value) + len(value)}"
+    texts += [(1000 + i, f"{D.prose(rnd, 10)} the total came to {digits(9)} {D.prose(rnd, 10)}") for i in range(100)]
+    found = {r.doc_id: set(r.spans.split(",")) for r in pii.find(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert sum(span in found[i] for i, span in planted.items()) >= 0.9 * len(planted)
+    assert all(found[i] == {""} for i in range(1000, 1100))
+
+
+def test_personal_data_of_long_texts(spark):
+    """Time grows with the matches, not with their square; offsets hold across the blocks in which they are located."""
+    import time
+
+    many = [(1, " ".join(f"é user{k}@x.org 10.0.{k % 256}.{k % 250} k {k:09d} z" for k in range(25_000))), (2, "x " * 700_000 + "end@of.text")]
+    began = time.time()
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(many, "doc_id long, text string")).collect()}
+    assert time.time() - began < 60
+    assert (got[1].n_email, got[1].n_ip) == (25_000, 25_000) and got[2].spans == "email:1400000:1400011"
+    for i, text in many:
+        base = ",".join(f"{k}:{m.start()}:{m.end()}" for k in KINDS for m in re.finditer(PATTERNS[k], text) if VALID[k](m[0]))
+        assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+
+
 def test_personal_data_of_nothing(spark):
     assert pii.find(D.empty(spark)).count() == 0
     assert pii.find(D.frame(spark, D.REPEATED)).count() == len(D.rows()) + len(D.REPEATED)

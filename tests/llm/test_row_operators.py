@@ -412,3 +412,96 @@ the Free Software Foundation, either version 3 of the License, or
     assert (got[1].families, got[1].n_unknown, got[1].n_confirmed) == ("unknown", 1, 0)
     assert (got[2].families, got[2].n_findings, got[2].n_confirmed) == ("gpl", 1, 1)
     assert (got[3].families, got[3].n_findings) == ("cc-by-nc,mit", 2)
+
+
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+MIT = """Copyright (c) 2021 The Authors. All rights reserved.
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+ZLIB = """Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+
+
+def test_licence_headers_as_they_are_wrapped(spark):
+    """Standard headers over several lines; a licence of which nothing was shown in training; prose."""
+    model = licences.train(D.frame(spark))
+    texts = [(1, f"some prose\n\n{BSD}\n\nmore"), (2, f"a first line\n\n{MIT}\n\nand on"), (3, f"abc\n\n{ZLIB}\n"), (4, "Made available under the terms of the Mulan Permissive Software License, Version 2."), (5, "thus " * 400 + "copyright " * 30), (6, MIT.replace("\n", " "))]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert (got[1].families, got[1].n_confirmed >= 1) == ("bsd", True)
+    assert (got[2].families, got[2].n_confirmed) == ("mit", 1) and got[6].families == "mit"
+    assert got[3].n_findings == got[3].n_unknown == 1 and got[4].families == "unknown"
+    assert got[5].n_findings == 0
+
+
+def brute_findings(text, model, certain=0.6, confirm=0.6):
+    """The statements of a text, window by window, with plain lists."""
+    import numpy as np
+
+    def soft(words, before):
+        one, total = [w for k, w in enumerate(words) if w != ([before, *words])[k]], np.array(model.bias, float)
+        z = sum((model.weights[licences.single(licences.word_hashes([w]))[0]].astype(float) for w in one), np.zeros(len(licences.FAMILIES)))
+        z += sum((model.weights[licences.paired(licences.word_hashes([a, b]))[0]].astype(float) for a, b in zip(words, words[1:], strict=False) if a != b), np.zeros(len(z)))
+        z = (z / np.sqrt(len(words)) + total) / model.temperature
+        z = np.exp(z - z.max())
+        return z / z.sum()
+
+    lines = [licences.normal(x) for x in text.split("\n")]
+    flat = [w for x in lines for w in x]
+    at = np.cumsum([0, *map(len, lines)])
+    prob = lambda a, b: soft(flat[a:b], flat[a - 1] if a else None)
+    found, runs, current, paragraph, number = [], [], None, [], 0
+    for k, words in enumerate(lines):
+        number += not words
+        paragraph.append(number)
+        if words:
+            family, q = licences._judged(prob(at[k], at[k + 1]), certain)
+            if family != "unknown" and model.share(family, words) >= confirm:
+                found.append((at[k], at[k + 1], family, q, True, number))
+                current = None
+                continue
+            if current is None:
+                runs.append(current := [int(at[k]), 0, number])
+            current[1] = int(at[k + 1])
+        else:
+            current = None
+    for a, b, number in runs:
+        groups = []
+        for lo, hi in licences.windows(b - a):
+            if (p := prob(a + lo, a + hi))[0] < 0.5:
+                if not groups or a + lo > groups[-1][-1][1]:
+                    groups.append([])
+                groups[-1].append((a + lo, a + hi, p))
+        for g in groups:
+            sure = [x for x in g if x[2][2:].max() >= certain]
+            best = max(sure, key=lambda x: x[2][2:].max()) if sure else min(g, key=lambda x: x[2][0])
+            family, q = licences._judged(best[2], certain)
+            found.append((g[0][0], g[-1][1], family, q, family != "unknown" and model.share(family, flat[g[0][0] : g[-1][1]]) >= confirm, number))
+    licensed = {x[5] for x in found if x[2] != "proprietary"}
+    return [(x[2], x[3], x[4]) for x in sorted(found) if x[2] != "proprietary" or x[5] not in licensed]
+
+
+def test_licences_by_brute_force(spark):
+    import random
+
+    rnd, model = random.Random(31), licences.train(D.frame(spark))
+    pool = [*BSD.split("\n"), *MIT.split("\n"), *ZLIB.split("\n"), "All rights reserved.", "Licensed under CC BY 4.0.", "", "", "the the the", *[t for texts in licences.TEMPLATES.values() for t in texts]]
+    texts = [(i, "\n".join(rnd.choice(pool) if rnd.random() < 0.5 else D.prose(rnd, rnd.choice([1, 9, 40])) for _ in range(rnd.randint(0, 14)))) for i in range(60)]
+    texts += [(i, t) for i, t in enumerate([BSD, MIT, ZLIB, " ".join([BSD, D.prose(rnd, 60), MIT])], 100)]
+    got = defaultdict(list)
+    for r in licences.findings(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), model).orderBy("doc_id", "start").collect():
+        got[r.doc_id].append((r.family, pytest.approx(r.probability, abs=1e-5), r.confirmed))
+    assert sum(map(len, got.values())) > 60
+    for i, text in texts:
+        assert brute_findings(text, model) == got[i], i

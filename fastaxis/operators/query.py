@@ -92,17 +92,18 @@ def write_csv(results: DataFrame, path: str) -> None:
     csv_rows(results).withColumns({c: F.col(c).cast("string") for c in CSV}).write.csv(path, header=True, nullValue="", emptyValue="")
 
 
-def json_rows(results: DataFrame) -> DataFrame:
-    """One JSON object per row, nulls and all; times as ISO strings."""
+def json_rows(results: DataFrame, include_meta: bool = True) -> DataFrame:
+    """One JSON object per row, nulls and all; times as ISO strings. Without ``include_meta`` the notes on filters stay out."""
+    results = results if include_meta else results.drop("meta_json")
     times = {f.name: iso(F.col(f.name)) for f in results.schema if f.dataType.typeName() in ("timestamp", "timestamp_ntz")}
     shown = [times.get(c, F.col(c)).alias(c) for c in results.columns]
     return results.select(F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def rendered(results: DataFrame, form: str = "csv") -> DataFrame:
+def rendered(results: DataFrame, form: str = "csv", include_meta: bool = True) -> DataFrame:
     if form not in ("csv", "json"):
         raise InvalidQuery("format must be csv or json")
-    return csv_rows(results) if form == "csv" else json_rows(results)
+    return csv_rows(results) if form == "csv" else json_rows(results, include_meta)
 
 
 def query_runs(runs: DataFrame, limit: int = 100) -> DataFrame:

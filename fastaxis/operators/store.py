@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Mapping
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,17 @@ from fastaxis.plans.cutting import cut
 
 KEY = ["event_id", "network", "station"]
 SCHEMAS = ("results", "runs")
+#: The columns of the results table, in order: event, station, path, both methods, quality, processing, bookkeeping.
+RESULTS = (
+    "event_id string, origin_id string, origin_time timestamp, event_latitude double, event_longitude double, event_depth_km double, magnitude double, magnitude_type string, "
+    "network string, station string, location string, channel string, station_latitude double, station_longitude double, station_elevation_m double, "
+    "epi_distance_km double, hypo_distance_km double, backazimuth double, incidence_angle double, takeoff_angle double, s_travel_time_s double, "
+    "ev_phi double, ev_phi_err double, ev_dt_ms double, ev_dt_err_ms double, ev_spol double, ev_cc_fs double, ev_cc_ne double, ev_linearity double, "
+    "rc_phi double, rc_phi_err double, rc_dt_ms double, rc_dt_err_ms double, rc_spol double, rc_cc_fs double, rc_cc_ne double, "
+    "qfinal double, qmean double, qbest double, delta double, omega double, quality_class string, "
+    "n_windows int, n_cluster_windows int, n_clusters int, n_in_cluster int, filter_low double, filter_high double, snr double, dominant_period_s double, "
+    "rotation_mode string, consensus_used boolean, n_filters_used int, pick_id string, run_id long, status string, comment string, meta_json string, updated_utc timestamp"
+)
 #: Hash partitions of the results; batches that a run remembers.
 PARTITIONS, REMEMBERED = 64, 100
 
@@ -159,6 +172,20 @@ class Store:
         self._replace("runs", runs.withColumns({"n_ok": add("n_ok", ok[0]), "n_failed": add("n_failed", ok[1]), "batches": noted}))
 
 
+def canonical(rows: DataFrame) -> DataFrame:
+    """The rows with the columns of the results table, in its order and types; what they lack is null, what is beyond is left out."""
+    types = dict(c.split() for c in RESULTS.split(", "))
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+
+
+def connection(env: Mapping[str, str]) -> dict[str, str]:
+    """The options by which spark.read.jdbc reaches a PostgreSQL store, from POSTGRES_* variables; unset ones have defaults."""
+    get = lambda name, default: env.get(f"POSTGRES_{name}", default)
+    url = f"jdbc:postgresql://{get('HOST', '127.0.0.1')}:{get('PORT', '5432')}/{quote(get('DB', 'fastaxis'), safe='')}"
+    password = {"password": get("PASSWORD", "")} if get("PASSWORD", "") else {}
+    return {"url": url, "user": get("USER", "fastaxis"), "driver": "org.postgresql.Driver"} | password
+
+
 def snapshot(config) -> str:
     """The analysis settings as JSON: no connection, archive or logging settings."""
     kept = {k: v for k, v in config.to_dict().items() if k in ("waveform", "sws", "processing", "velocity_model")}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fastaxis.operators import enrich, publish
-from fastaxis.operators.store import KEY, Store
+from fastaxis.operators.store import Store, canonical
 from fastaxis.plans.cutting import cut
 
+log = logging.getLogger("fastaxis")
+
 
 @dataclass(frozen=True)
 class Catalogue:
@@ -20,7 +23,8 @@ class Catalogue:
     origins (origin_id, origin_time, latitude, longitude, depth_km); magnitudes (magnitude_id,
     magnitude, magnitude_type); arrivals (origin_id, pick_id, phase, idx); picks (pick_id,
     network, station, location, channel, pick_time, hint); stations (network, station, start, end,
-    latitude, longitude, elevation_m); published (pick_id) or None.
+    latitude, longitude, elevation_m); published (pick_id) or None; channels (network, station, code,
+    start, end, azimuth, dip) or None.
     """
 
     origins: DataFrame
@@ -29,6 +33,7 @@ class Catalogue:
     picks: DataFrame
     stations: DataFrame
     published: DataFrame | None = None
+    channels: DataFrame | None = None
 
 
 def tasks(events: DataFrame, c: Catalogue, reprocess: bool = False) -> DataFrame:
@@ -44,15 +49,15 @@ def tasks(events: DataFrame, c: Catalogue, reprocess: bool = False) -> DataFrame
     site = F.concat_ws(".", "network", "station")
     inventory = c.stations.select(site.alias("site"), "start", "end", F.col("latitude").alias("station_latitude"), F.col("longitude").alias("station_longitude"), F.col("elevation_m").alias("station_elevation_m"))
     placed = enrich.as_of(picked.withColumn("site", site), inventory, "site", "pick_time").drop("site", "start", "end")
+    if c.channels is not None:
+        at = placed.select(F.col("pick_id").alias("pick"), site.alias("station"), F.substring("channel", 1, 2).alias("prefix"), F.col("pick_time").alias("at"))
+        directions = enrich.orientations(at, c.channels.withColumn("station", F.concat_ws(".", "network", "station")))
+        placed = placed.join(directions.withColumnRenamed("pick", "pick_id"), "pick_id", "left")
+    else:
+        placed = placed.withColumn("orientations", F.lit(None).cast("map<string,struct<azimuth:double,dip:double>>"))
     return placed.withColumn("seed_id", enrich.seed_id(*[F.col(x) for x in ("network", "station", "location", "channel")]))
 
 
-def screened(found: DataFrame, blacklist: list[str]) -> DataFrame:
-    """Tasks with the first reason against them, before any waveform is read."""
-    reason = enrich.first_reason(station_is_blacklisted=F.col("station").isin(*blacklist) if blacklist else F.lit(False), station_coordinates_are_missing=F.col("station_latitude").isNull() | F.col("station_longitude").isNull())
-    return found.withColumn("error", reason)
-
-
 def finish(found: DataFrame, measured: DataFrame, store: Store, run_id: int, version: str, comments_path: str, batch: str | None = None) -> bool:
     """Stores one row per event and station, counts it, and publishes what is worth it; whether anything was published.
 
@@ -60,30 +65,40 @@ def finish(found: DataFrame, measured: DataFrame, store: Store, run_id: int, ver
     without a task are left out. A batch that has a name leaves store, counters and comments as
     they are when it is written again.
     """
-    kept = [c for c in measured.columns if c != "pick_id"]
-    rows = found.drop("error").join(measured, "pick_id").select("pick_id", *KEY, "origin_id", "origin_time", "event_latitude", "event_longitude", "event_depth_km", "magnitude", "magnitude_type", "location", "channel", "station_latitude", "station_longitude", "station_elevation_m", *kept)
-    now = F.current_timestamp()
-    rows = cut(rows.withColumns({"status": F.when(F.col("error").isNull(), F.lit("ok")).otherwise(F.lit("failed")), "comment": F.col("error"), "run_id": F.lit(run_id).cast("long"), "updated_utc": now}))
-    store.upsert(rows.drop("error"))
+    rows = found.drop("error", *[c for c in measured.columns if c != "pick_id"]).join(measured, "pick_id")
+    status = F.when(F.col("error").isNull(), F.lit("ok")).otherwise(F.lit("failed"))
+    rows = cut(rows.withColumns({"status": status, "comment": F.col("error"), "run_id": F.lit(run_id).cast("long"), "consensus_used": F.coalesce("consensus_used", F.lit(False)) if "consensus_used" in rows.columns else F.lit(False), "updated_utc": F.current_timestamp()}))
+    store.upsert(canonical(rows))
     store.count(run_id, rows, batch)
     return publish.send(publish.comments(rows, version, F.col("updated_utc")), comments_path, batch)
 
 
-def processor(catalogue: Callable[[], Catalogue], measure: Callable[[DataFrame], DataFrame], store: Store, run_id: int, version: str, comments_path: str, blacklist: list[str], reprocess: bool = False) -> Callable[[DataFrame, int], None]:
+def processor(catalogue: Callable[[], Catalogue], measure: Callable[[DataFrame], DataFrame], store: Store, run_id: int, version: str, comments_path: str, reprocess: bool = False) -> Callable[[DataFrame, int], None]:
     """The function that a stream of fired events hands its batches to.
 
     The batch's payloads are JSON of event_id, origin_id and magnitude_id. ``measure`` takes the
-    tasks that nothing is against and returns (pick_id, error, results); a failure of its own fails the
-    batch, which the stream then repeats.
+    tasks and returns (pick_id, error, results), as picks.measurer() makes it; it gives each pick that it
+    can't measure its reason. A batch that can't be processed as a whole is tried event by event, so that
+    one event's failure keeps no other from the store; the stream goes on, and the failed events are returned to the log.
     """
 
+    def process(events: DataFrame, batch: str) -> None:
+        found = cut(tasks(events, catalogue(), reprocess))
+        if not found.isEmpty():
+            finish(found, measure(found), store, run_id, version, comments_path, batch)
+
     def run(batch: DataFrame, number: int) -> None:
-        events = batch.select(F.from_json("payload", "event_id string, origin_id string, magnitude_id string").alias("e")).select("e.*")
-        found = cut(screened(tasks(events, catalogue(), reprocess), blacklist))
-        if found.isEmpty():
+        events = cut(batch.select(F.from_json("payload", "event_id string, origin_id string, magnitude_id string").alias("e")).select("e.*").filter("event_id is not null").dropDuplicates(["event_id"]))
+        try:
+            process(events, f"{run_id}-{number}")
             return
-        measured = measure(found.filter("error is null").drop("error"))
-        refused = found.filter("error is not null").select("pick_id", "error")
-        finish(found, measured.unionByName(refused, allowMissingColumns=True), store, run_id, version, comments_path, f"{run_id}-{number}")
+        except Exception:
+            log.exception("batch %s failed; its events are tried one by one", number)
+        # A micro-batch holds the events of seconds.
+        for event in events.toLocalIterator():
+            try:
+                process(events.filter(F.col("event_id") == event.event_id), f"{run_id}-{number}-{event.event_id}")
+            except Exception:
+                log.exception("event %s failed", event.event_id)
 
     return run

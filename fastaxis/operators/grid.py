@@ -21,14 +21,18 @@ def lagged_sums(records: DataFrame, windows: DataFrame, max_lag: int) -> DataFra
     """(rec, window_idx, lag, n, sums): over each window, x and y (arrays of a record) with their copies lag samples later.
 
     windows: (window_idx, i0, i1), samples from i0 to before i1. A window whose delayed copy
-    leaves the record has no row for that lag.
+    leaves the record has no row for that lag. Of a record only the samples that some window
+    reaches are multiplied by the lags.
     """
-    lags = records.select("rec", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"))
+    bounds = windows.agg(F.min("i0").alias("_from"), (F.max("i1") + max_lag).alias("_to"))
+    cut = lambda c: F.slice(c, F.col("_from") + 1, F.greatest(F.col("_to") - F.col("_from"), F.lit(0))).alias(c)
+    near = records.join(F.broadcast(bounds.filter("_from is not null"))).select("rec", cut("x"), cut("y"), F.col("_from").alias("base"))
+    lags = near.select("rec", "x", "y", "base", F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"))
     rest = F.size("x") - F.col("lag")
-    zipped = lags.filter(rest > 0).select("rec", "lag", F.posexplode(F.arrays_zip(F.slice("x", F.lit(1), rest).alias("x"), F.slice("y", F.lit(1), rest).alias("y"), F.slice("x", F.col("lag") + 1, rest).alias("u"), F.slice("y", F.col("lag") + 1, rest).alias("w"))).alias("i", "s"))
+    zipped = lags.filter(rest > 0).select("rec", "lag", "base", F.posexplode(F.arrays_zip(F.slice("x", F.lit(1), rest).alias("x"), F.slice("y", F.lit(1), rest).alias("y"), F.slice("x", F.col("lag") + 1, rest).alias("u"), F.slice("y", F.col("lag") + 1, rest).alias("w"))).alias("i", "s"))
     product = lambda names: F.col(f"s.{names[0]}") if len(names) == 1 else F.col(f"s.{names[0]}") * F.col(f"s.{names[1]}")
     run = Window.partitionBy("rec", "lag").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    running = zipped.select("rec", "lag", (F.col("i") + 1).alias("i"), *[F.sum(product(v)).over(run).alias(k) for k, v in _SUMS.items()])
+    running = zipped.select("rec", "lag", (F.col("i") + F.col("base") + 1).alias("i"), *[F.sum(product(v)).over(run).alias(k) for k, v in _SUMS.items()])
     ends = windows.select("window_idx", F.col("i0").alias("i"), F.lit(-1).alias("sign"), F.col("i0"), F.col("i1")).unionByName(windows.select("window_idx", F.col("i1").alias("i"), F.lit(1).alias("sign"), F.col("i0"), F.col("i1")))
     at = running.join(F.broadcast(ends), "i")
     summed = at.groupBy("rec", "window_idx", "lag").agg(*[F.sum(F.col("sign") * F.col(k)).alias(k) for k in _SUMS], F.max("i1").alias("i1"), F.min("i0").alias("i0"), F.max("i").alias("_last"))

@@ -146,13 +146,29 @@ def filtered(traces: DataFrame, bands: DataFrame, rate: float) -> DataFrame:
     return wide.mapInPandas(run, wide.schema)
 
 
-def power_spectrum(samples: DataFrame, n: int, keys: tuple[str, ...] = ("rec", "comp")) -> DataFrame:
-    """(keys, k, power): squared amplitudes of the discrete Fourier transform, k from 0 to before n."""
-    spark = samples.sparkSession
-    bins = spark.range(n).select(F.col("id").cast("int").alias("k"))
-    turn = 2 * np.pi * ((F.col("k") * F.col("i")) % n) / n
-    sums = samples.crossJoin(F.broadcast(bins)).groupBy(*keys, "k").agg(F.sum(F.col("v") * F.cos(turn)).alias("re"), F.sum(F.col("v") * F.sin(turn)).alias("im"))
-    return sums.select(*keys, "k", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"))
+def stacked(arrays, work) -> list:
+    """``work`` on arrays of equal length together: it takes a matrix and gives a value or row for each of its rows."""
+    out: list = [None] * len(arrays)
+    sizes = np.array([0 if x is None else len(x) for x in arrays])
+    for n in np.unique(sizes):
+        rows = np.flatnonzero(sizes == n)
+        made = work(np.stack([np.asarray(arrays[i], float) for i in rows]) if n else np.zeros((len(rows), 0)))
+        for i, value in zip(rows, made, strict=True):
+            out[i] = value
+    return out
+
+
+def power_spectrum(traces: DataFrame, n: int, keys: tuple[str, ...] = ("rec", "comp")) -> DataFrame:
+    """(keys, k, power): squared amplitudes of the Fourier transform of traces (keys, data) over n samples, k from 0 to before n."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            power = stacked(pdf["data"].to_list(), lambda x: list(np.abs(np.fft.fft(x, n)) ** 2))
+            yield pdf[list(keys)].assign(power=power)
+
+    kinds = dict(traces.dtypes)
+    spectra = traces.select(*keys, "data").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", power array<double>")
+    return spectra.select(*keys, F.posexplode("power").alias("k", "power"))
 
 
 def degrees_of_freedom(power: DataFrame, points: int, keys: tuple[str, ...] = ("rec", "comp")) -> DataFrame:

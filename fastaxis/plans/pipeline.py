@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fastaxis.functions import geometry as g
-from fastaxis.operators import clustering, grid, quality
+from fastaxis.operators import clustering, grid, quality, waveform
 from fastaxis.plans.cutting import cut
 
 
@@ -33,16 +33,17 @@ class Settings:
 
 
 def _spectral_freedom(signals: pd.Series) -> pd.Series:
-    def one(x) -> float:
-        n = 0 if x is None else len(x)
+    def together(x: np.ndarray) -> np.ndarray:
+        n = x.shape[1]
         if n < 2:
-            return float("nan")
-        p = np.abs(np.fft.fft(np.asarray(x, float), 1 << (n - 1).bit_length())) ** 2
-        f2 = p.sum() - (p[0] - p[-1]) / 2
-        f4 = 4 / 3 * (p**2).sum() - (p[0] ** 2 - p[-1] ** 2) / 3
-        return float(min(round(2 * f2 * f2 / f4 - 1), n)) if f4 > 0 else float("nan")
-
-    return signals.map(one)
+            return np.full(len(x), np.nan)
+        p = np.abs(np.fft.fft(x, 1 << (n - 1).bit_length())) ** 2
+        f2 = p.sum(axis=1) - (p[:, 0] - p[:, -1]) / 2
+        f4 = 4 / 3 * (p**2).sum(axis=1) - (p[:, 0] ** 2 - p[:, -1] ** 2) / 3
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(f4 > 0, np.minimum(np.rint(2 * f2 * f2 / f4 - 1), n), np.nan)
+
+    return pd.Series(waveform.stacked(signals.to_list(), together), index=signals.index, dtype=float)
 
 
 def spectral_freedom(signals: Column) -> Column:

@@ -244,7 +244,7 @@ _POWER = "f AS (SELECT rec, comp, k, sum(v * cos(2 * pi() * ((k * i) % 64) / 64)
 
 
 def q_ndf(spark, sf_dir):
-    return waveform.degrees_of_freedom(waveform.power_spectrum(tables.samples(spark, sf_dir), 64), 64)
+    return waveform.degrees_of_freedom(waveform.power_spectrum(tables.traces(spark, sf_dir), 64), 64)
 
 
 SQL["q_ndf"] = f"""WITH {TRACES}, {_POWER}, m AS (SELECT rec, comp, sum(p) AS p2, sum(p * p) AS p4, arg_min(p, k) AS a, arg_max(p, k) AS b FROM pw GROUP BY rec, comp)
@@ -252,7 +252,7 @@ SQL["q_ndf"] = f"""WITH {TRACES}, {_POWER}, m AS (SELECT rec, comp, sum(p) AS p2
 
 
 def q_dominant_period(spark, sf_dir):
-    d = waveform.dominant_period(waveform.power_spectrum(tables.samples(spark, sf_dir), 64), 64, 100.0)
+    d = waveform.dominant_period(waveform.power_spectrum(tables.traces(spark, sf_dir), 64), 64, 100.0)
     return d.select("rec", "comp", F.round("period", 6).alias("period"))
 
 

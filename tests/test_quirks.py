@@ -1,0 +1,197 @@
+"""Behaviour that looks odd and is meant: one named test for each."""
+
+import json
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fastaxis.config import ConfigError, build
+from fastaxis.functions import geometry as g
+from fastaxis.operators import measure as m
+from fastaxis.operators import query, store, waveform, windows
+
+RATE = 100.0
+
+
+def record(n=1200, axis=20.0, lag=7, at=5.0, seed=3, noise=1e-3):
+    """Three components of a split pulse."""
+    rnd, t = np.random.default_rng(seed), np.arange(n) / RATE
+    spectrum = np.fft.fft(np.exp(-(((t - at) / 0.1) ** 2)) * np.cos(2 * np.pi * 5 * (t - at)))
+    late = np.fft.ifft(spectrum * np.exp(-2j * np.pi * np.fft.fftfreq(n) * lag)).real
+    motion = np.exp(1j * np.radians(axis)) * (np.fft.ifft(spectrum).real + 1j * late) / math.sqrt(2)
+    return np.stack([rnd.normal(0, noise, n), motion.real + rnd.normal(0, noise, n), motion.imag + rnd.normal(0, noise, n)])
+
+
+SPANS = [(4.7 - 0.02 * k, 5.4 + 0.03 * k) for k in range(6)]
+
+
+def answers(zne=None, max_delay=0.15, back_azimuth=0.0, incidence=None, spans=SPANS):
+    zne = record() if zne is None else zne
+    return m.measured(m.in_ray_plane(zne, back_azimuth, incidence), RATE, spans, max_delay, 0.75, back_azimuth)
+
+
+def quality(spark, *values):
+    df = spark.createDataFrame([tuple(map(float, values))], "a double, b double, c double, d double")
+    return df.select(g.quality_index(F.col("a"), F.col("b"), F.col("c"), F.col("d"), 0.75).alias("q")).first().q
+
+
+def test_q1_extents_and_means_of_axes_are_not_circular():
+    inside = np.zeros((181, 3), bool)
+    inside[[1, 179], 0] = True  # two degrees apart across the fold
+    assert m._extent(inside)[0] == 178 / 4
+    assert m.agreed([{"phi": 179.0, "dt": 0.1, "phi_err": 1.0, "dt_err": 0.01}, {"phi": 1.0, "dt": 0.1, "phi_err": 1.0, "dt_err": 0.01}], 15, 0.02)["phi"] == 90
+
+
+def test_q2_omega_is_folded_at_45_only(spark):
+    assert quality(spark, 175, 0.1, 5, 0.1).omega == pytest.approx(80 / 45)
+    assert m.window_quality({"phi": 175.0, "dt": 0.1}, {"phi": 5.0, "dt": 0.1}, 0.75)["omega"] == pytest.approx(80 / 45)
+
+
+def test_q3_delta_is_unbounded_and_distances_are_not(spark):
+    q = quality(spark, 50, 9.0, 10, 0.1)
+    assert q.delta == pytest.approx(90) and q.q == 0
+
+
+def test_q4_a_tie_counts_as_a_split(spark):
+    assert quality(spark, 32.5, 0.05, 10, 0.1).q == pytest.approx(1 - math.hypot(0.5, 0.5))
+
+
+def test_q5_the_correlation_region_lies_below_its_bound():
+    w = next(x for x in answers() if x["rc"])
+    assert w["rc"]["phi_err"] == 45 and w["rc"]["dt_err"] == pytest.approx(0.15 / 4)
+
+
+def test_q6_transverse_points_the_other_way_in_ray_coordinates():
+    zne = record()
+    plain, ray = m.in_ray_plane(zne, 33.0, None), m.in_ray_plane(zne, 33.0, 1e-9)
+    assert ray[1] == pytest.approx(-plain[1])
+    one, two = answers(zne, back_azimuth=33.0)[0]["ev"]["phi"], answers(zne, back_azimuth=33.0, incidence=1e-9)[0]["ev"]["phi"]
+    assert abs((one - 33 + two - 33 + 90) % 180 - 90) <= 1  # mirrored about the back azimuth
+
+
+def test_q7_an_incidence_of_zero_is_none():
+    zne = record()
+    assert np.array_equal(m.in_ray_plane(zne, 50.0, 0.0), m.in_ray_plane(zne, 50.0, None))
+
+
+def test_q8_delays_are_rounded_down_for_one_method_and_up_for_the_other(monkeypatch):
+    seen = []
+    monkeypatch.setattr(m, "_eigenvalue", lambda c, *_: seen.append(("ev", c.shape[1])))
+    monkeypatch.setattr(m, "_correlated", lambda c, *_: seen.append(("rc", c.shape[1])))
+    answers(max_delay=0.105)
+    assert set(seen) == {("ev", 11), ("rc", 12)}
+
+
+def test_q9_bounds_are_cut_off_toward_zero(spark):
+    df = spark.createDataFrame([(1.239999, 123), (-0.5, -50), (0.299, 29)], "t double, want int")
+    assert all(r.i == r.want for r in df.select("want", windows.truncated(F.col("t"), F.lit(100.0)).alias("i")).collect())
+    assert answers(spans=[(4.7, 5.409)])[0]["ev"]["ratio"] == answers(spans=[(4.7, 5.4)])[0]["ev"]["ratio"]
+
+
+def test_q10_a_window_whose_delays_leave_the_record_has_no_answer():
+    zne = record(n=600)
+    last = answers(zne, spans=[(5.2, 5.85), (5.2, 5.86)])
+    assert last[0]["ev"] and last[1]["ev"] is None and last[1]["rc"] is None
+
+
+def test_q11_components_are_cut_to_one_length():
+    parts = [m.Segment(f"HH{c}", 0.0, RATE, np.random.default_rng(k).normal(size=1000 + k)) for k, c in enumerate("ENZ")]
+    assert m.prepared(parts, {}, 1.0, RATE, True)[0].shape == (3, 1000)
+
+
+def test_q12_the_last_bin_stands_for_the_nyquist_bin():
+    x = np.random.default_rng(1).normal(size=64)
+    p = np.abs(np.fft.fft(x)) ** 2
+    f2, f4 = p.sum() - (p[0] - p[63]) / 2, 4 / 3 * (p**2).sum() - (p[0] ** 2 - p[63] ** 2) / 3
+    assert m.spectral_freedom(x) == min(round(2 * f2**2 / f4 - 1), 64)
+
+
+def test_q13_one_band_stands_twice_in_the_bank():
+    assert sorted(b for b in set(windows.FILTER_BANK) if windows.FILTER_BANK.count(b) > 1) == [(1.0, 8.0)]
+
+
+def test_q14_the_adaptive_delay_cannot_be_configured():
+    with pytest.raises(ConfigError):
+        build({"sws": {"max_delay_ms": 0}})
+    w = answers(max_delay=None)[0]  # the measurement itself knows it
+    t = [m.dominant_period(c[470:540], RATE) for c in m.in_ray_plane(record(), 0.0, None)]
+    assert w["period"] == pytest.approx(sum(t) / 2)
+
+
+def test_q15_band_and_snr_are_those_of_the_first_band(monkeypatch):
+    calls = []
+
+    def none_first(*a):
+        calls.append(1)
+        return None if len(calls) == 1 else chosen(*a)
+
+    chosen = m.chosen
+    monkeypatch.setattr(m, "chosen", none_first)
+    config = build({"sws": {"consensus": {"enabled": True, "n_best_filters": 2}, "filter_bank": [[1, 20], [2, 12]], "max_delay_ms": 150, "windows": {"nbeg": 3, "nend": 4}}})
+    out = m.measure(record(n=2000, at=10.0, noise=0.005), 10.0, 0.0, None, config)
+    notes = json.loads(out["meta_json"])["filters"]
+    assert notes[0]["clustering"] is None and notes[1]["clustering"] and f"{out['filter_low']:.1f}-{out['filter_high']:.1f} Hz" == notes[0]["filter"]
+
+
+def test_q16_without_consensus_the_mean_is_of_one():
+    one = {"phi": 12.0, "dt": 0.1, "phi_err": 2.0, "dt_err": 0.004}
+    assert m.agreed([one], 15, 0.02) == one | {"n_filters": 1} and m.agreed([], 15, 0.02) is None
+
+
+def test_q17_the_other_method_counts_only_in_the_same_window(monkeypatch):
+    config = build({"sws": {"filter_bank": [[1, 20]], "max_delay_ms": 150, "windows": {"nbeg": 3, "nend": 4}}})
+    monkeypatch.setattr(m, "_correlated", lambda *_: None)
+    out = m.measure(record(n=2000, at=10.0, noise=0.005), 10.0, 0.0, None, config)
+    assert out["ev_phi"] is not None and "rc_phi" not in out and "quality_class" not in out
+
+
+def test_q18_ties_go_to_the_first_window():
+    zne = record(noise=0.0)
+    twice = answers(zne, spans=[SPANS[0]] * 4)
+    assert m.chosen(twice, "ward", 5, 1, 3.2)["best"]["window"] == 0
+
+
+def test_q19_a_refused_pick_keeps_its_reason_only():
+    def refuse():
+        raise m.Rejected("dead sensor")
+
+    assert m.guarded(refuse) == {"error": "dead sensor"}
+    assert m.guarded(lambda: 1 / 0)["error"].startswith("ZeroDivisionError")
+
+
+def test_q20_one_row_for_an_event_and_a_station():
+    assert store.KEY == ["event_id", "network", "station"]
+
+
+def test_q21_runs_never_end(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    s.begin_run("1", build())
+    assert s.table("runs").first().finished_utc is None
+
+
+def test_q23_nothing_is_filtered_before_samples_are_left_out(spark):
+    x = np.cos(np.pi * np.arange(20)).tolist()  # all of it folds to zero frequency
+    out = waveform.decimated(spark.createDataFrame([(1, x)], "rec int, data array<double>"), 2).first().data
+    assert out == [1.0] * 10
+
+
+def test_q24_short_gaps_are_zero_after_each_segment_lost_its_trend():
+    t = np.arange(500) / RATE
+    parts = [m.Segment("HHZ", 0.0, RATE, 100 + 5 * t), m.Segment("HHZ", 5.5, RATE, 300 - 2 * t + np.where(np.arange(500) == 250, 1.0, 0.0))]
+    whole = m.joined(parts, 1.0).data
+    assert len(whole) == 1050 and np.all(whole[500:550] == 0) and np.abs(whole[:500]).max() < 1e-9
+    with pytest.raises(m.Rejected, match="gaps"):
+        m.joined(parts, 0.4)
+
+
+def test_q25_equal_times_have_an_order(spark):
+    rows = spark.createDataFrame([(f"e{k}", "XA", "S", "ok") for k in (3, 1, 2)], "event_id string, network string, station string, status string").withColumn("origin_time", F.lit("2020-01-01").cast("timestamp"))
+    assert [r.event_id for r in query.query_results(rows, limit=2).collect()] == ["e1", "e2"]
+
+
+def test_q27_windows_without_quality_count_for_the_cluster_only():
+    members = [{"window": k, "q": None if k else {"q": 0.8, "delta": 1.0, "omega": 0.1, "class": "Good Split"}} for k in range(3)]
+    assert m.event_quality({"members": members}, 0.75, 1 / 3, 2 / 3)["n_cluster_windows"] == 1
+    assert m.event_quality({"members": members[1:]}, 0.75, 1 / 3, 2 / 3) is None

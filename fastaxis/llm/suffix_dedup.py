@@ -9,7 +9,9 @@ GRAM bytes). Contexts are dealt by the anchor's hash:
 * an equal context at a smaller place covers all of a context; this is settled within each
   Arrow batch first, so that a passage that many documents share is sent once a batch;
 * where one anchor has different contexts, the bytes of one occurrence of each are fetched,
-  and a suffix array of their windows is sorted. One scan of its common prefixes with a
+  and a suffix array of their windows is sorted (an anchor with more than BLOCK contexts is
+  divided into blocks by the contexts' hash; each block tells the first place of each of its
+  windows, and of those that several blocks have, all but the very first are covered). One scan of its common prefixes with a
   stack yields the intervals of suffixes with a common prefix of at least ``length`` bytes;
   those whose suffixes differ in the byte to their left, or begin a context, are the maximal
   repeats, with all occurrences. All but the first occurrence are covered.
@@ -39,6 +41,8 @@ GRAM = 32
 _I, _U = np.int64, np.uint64
 #: Bytes of contexts for which one suffix array is sorted, if no single anchor has more.
 ARRAY_BYTES = 2 << 20
+#: Different contexts of one anchor that go to one task; those of a hot anchor are divided.
+BLOCK = 1024
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
@@ -133,46 +137,40 @@ def _anchored(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "gram long, context long, doc long, at long, to long, kind byte")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
-    """Sorted batches joined so that none ends inside a run of equal values of the column."""
-    held: list[pa.Table] = []
+def _settled(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Covered ranges of equal contexts; one context of each kind for anchors that have several. Rows come in order; only the last row's state is held."""
+    last: tuple[int, int] | None = None  # the anchor and context of the row before
+    single: tuple | None = None  # the first context of the last anchor, while it is the only one
     for batch in batches:
         if not len(batch):
             continue
-        table = pa.Table.from_batches([batch])
-        key = np.asarray(table[column])
-        cut = int(np.searchsorted(key, key[-1]))
-        if held and cut == 0 and np.asarray(held[0][column])[-1] == key[-1]:
-            held.append(table)
-            continue
-        if held:
-            first = int(np.searchsorted(key, np.asarray(held[-1][column])[-1], "right"))
-            yield pa.concat_tables([*held, table.slice(0, max(first, cut))])
-            held = [table.slice(max(first, cut))] if max(first, cut) < len(table) else []
-        else:
-            if cut:
-                yield table.slice(0, cut)
-            held = [table.slice(cut)]
-    if held:
-        yield pa.concat_tables(held)
-
-
-def _settled(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Covered ranges of equal contexts; one context of each kind for anchors that have several."""
-    for table in _groups(batches, "gram"):
-        gram, context, doc, at, to, kind = (np.asarray(table[c]) for c in _ROWS)
+        gram, context, doc, at, to, kind = (np.asarray(batch.column(i)) for i in range(6))
         done = kind == 0
         yield _batch((gram[done], context[done], doc[done], at[done], to[done]), 0)
-        gram, context, doc, at, to = (c[~done] for c in (gram, context, doc, at, to))
+        gram, context, doc, at, to = (c[~done].astype(_I) for c in (gram, context, doc, at, to))
         if not len(gram):
             continue
-        same_gram = np.concatenate([[False], gram[1:] == gram[:-1]])
-        same = same_gram & np.concatenate([[False], context[1:] == context[:-1]])
+        before = last or (~int(gram[0]), 0)
+        same_gram = gram == np.concatenate([[before[0]], gram[:-1]])
+        same = same_gram & (context == np.concatenate([[before[1]], context[:-1]]))
         yield _batch((gram[same], context[same], doc[same], at[same], at[same] + to[same] // 128 + length - 1), 0)
-        first = ~same
-        owner = np.cumsum(~same_gram)[first]
-        several = np.bincount(owner)[owner] > 1
-        yield _batch([c[first][several] for c in (gram, context, doc, at, to)], 1)
+        new = np.flatnonzero(~same)
+        last = (int(gram[-1]), int(context[-1]))
+        if not len(new):
+            continue
+        # Of the distinct contexts, those whose anchor has another before or after; the last anchor's single one waits.
+        starts = ~same_gram[new]
+        follows = np.concatenate([~starts[1:], [False]])
+        several = ~starts | follows
+        if single is not None:
+            if not starts[0]:
+                yield _batch([[x] for x in single], 1)
+            single = None
+        if starts[-1]:
+            k = new[-1]
+            single = (gram[k], context[k], doc[k], at[k], to[k])
+        keep = new[several]
+        yield _batch([c[keep] for c in (gram, context, doc, at, to)], 1)
 
 
 def maximal_repeats(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, left: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
@@ -252,15 +250,34 @@ def intervals(common: np.ndarray, left: np.ndarray, length: int) -> list[tuple[i
     return found
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted batches joined so that none ends inside a block; a block holds some BLOCK contexts."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        table = pa.Table.from_batches([batch])
+        key = np.asarray(table["block"])
+        cut = int(np.searchsorted(key, key[-1]))
+        if held and (cut > 0 or np.asarray(held[0]["block"])[0] != key[-1]):
+            yield pa.concat_tables([*held, table.slice(0, cut)])
+            held = []
+        elif cut:
+            yield table.slice(0, cut)
+        held.append(table.slice(cut))
+    if held:
+        yield pa.concat_tables(held)
+
+
 def _arrays(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Covered ranges by the suffix arrays of the contexts, for whole anchors."""
+    """Covered ranges by the suffix arrays of the contexts (kind 0: doc, start, end), and of divided anchors each different window's first place (kind 1: doc, start, and 128 bits that name the window)."""
     held: list[pa.Table] = []
     size = 0
 
-    def flush() -> pa.RecordBatch:
+    def flush() -> Iterator[pa.RecordBatch]:
         table = pa.concat_tables(held)
         held.clear()
-        doc, at, count, inside, gram = (np.asarray(table[c]) for c in ("doc", "at", "count", "inside", "gram"))
+        doc, at, count, divided = (np.asarray(table[c]) for c in ("doc", "at", "count", "divided"))
         data, offsets = text_bytes(table["bytes"].combine_chunks().cast(pa.large_binary()).view(pa.large_string()))
         context = np.repeat(np.arange(len(doc)), count)
         window = np.arange(len(context)) - np.repeat(np.cumsum(count) - count, count)
@@ -274,16 +291,35 @@ def _arrays(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             later = (d != d[least]) | (p != p[least])
             for column, x in zip(out, (d[later], p[later], p[later] + depth), strict=True):
                 column.append(x)
-        return pa.record_batch([pa.array(x) for x in _runs(*(np.concatenate([np.zeros(0, _I), *c]) for c in out))], names=["doc", "start", "end"])
-
-    for table in _groups(batches, "gram"):
+        runs = _runs(*(np.concatenate([np.zeros(0, _I), *c]) for c in out))
+        yield _places(0, *runs, np.zeros(len(runs[0]), _I))
+        again = np.flatnonzero(divided[context])
+        if len(again):
+            sums, half, start = prefix_sums(data), length // 2, starts[again]
+            one = between(sums, start, start + length)
+            two = mix(between(sums, start, start + half) * _U(0xC2B2AE3D27D4EB4F) + between(sums, start + half, start + length))
+            d, p = doc[context[again]], place[again]
+            order = np.lexsort((p, d, two, one))
+            first = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
+            keep = order[first]
+            yield _places(1, d[keep], p[keep], one[keep].astype(_I), two[keep].astype(_I))
+
+    for table in _blocks(batches):
         held.append(table)
         size += table["bytes"].nbytes
         if size > ARRAY_BYTES:
-            yield flush()
+            yield from flush()
             size = 0
     if held:
-        yield flush()
+        yield from flush()
+
+
+_PLACES = "doc long, start long, a long, b long, kind byte"
+
+
+def _places(kind: int, doc, start, a, b) -> pa.RecordBatch:
+    columns = [np.asarray(c, _I) for c in (doc, start, a, b)]
+    return pa.record_batch([*map(pa.array, columns), pa.array(np.full(len(columns[0]), kind, np.int8))], names=["doc", "start", "a", "b", "kind"])
 
 
 def _fetched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -294,7 +330,7 @@ def _fetched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         many = np.diff(np.asarray(wanted.offsets))
         row = np.repeat(np.arange(len(batch)), many)
         flat = wanted.flatten()
-        gram, at, to = (np.asarray(flat.field(i)) for i in range(3))
+        block, divided, at, to = (np.asarray(flat.field(i)) for i in range(4))
         doc = np.asarray(batch.column(0))[row]
         for part in np.array_split(np.arange(len(row)), max(1, len(row) >> 15)):
             lo = offsets[row[part]] + at[part]
@@ -302,7 +338,7 @@ def _fetched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             ends = np.cumsum(n)
             place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n - lo, n)
             bytes_ = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(_I)), pa.py_buffer(np.ascontiguousarray(data[place]))])
-            yield pa.record_batch([pa.array(gram[part]), pa.array(doc[part]), pa.array(at[part]), pa.array(to[part] // 128), pa.array(to[part] % 128), bytes_.cast(pa.binary())], names=["gram", "doc", "at", "count", "inside", "bytes"])
+            yield pa.record_batch([pa.array(block[part]), pa.array(divided[part]), pa.array(doc[part]), pa.array(at[part]), pa.array(to[part] // 128), bytes_.cast(pa.binary())], names=["block", "divided", "doc", "at", "count", "bytes"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +362,14 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.binary())], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
+def blocked(contexts: DataFrame, block: int) -> DataFrame:
+    """(doc, block, divided, at, to): an anchor's contexts are one block; those of an anchor with more than ``block`` are divided by their hash."""
+    hot = contexts.groupBy("gram").count().filter(F.col("count") > block).select("gram", F.ceil(F.col("count") / block).alias("parts"))
+    part = F.pmod(F.xxhash64("context"), F.coalesce("parts", F.lit(1)))
+    return contexts.join(hot, "gram", "left").select("doc", F.xxhash64("gram", part).alias("block"), F.col("parts").isNotNull().alias("divided"), "at", "to")
+
+
+def dedup(docs: DataFrame, length: int = 100, block: int = BLOCK) -> DataFrame:
     """One row per document: its bytes, the removed bytes and runs, the digest of the rest, and the rest.
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier.
@@ -343,9 +386,15 @@ def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     texts = docs.select("doc", "text")
     dealt = _anchored(texts, length).repartition("gram").sortWithinPartitions("gram", "context", "doc", "at")
     settled = written(dealt.mapInArrow(lambda b: _settled(b, length), "gram long, context long, doc long, at long, to long, kind byte"), "settled")
-    wanted = settled.filter("kind = 1").groupBy("doc").agg(F.collect_list(F.struct("gram", "at", "to")).alias("wanted"))
-    fetched = texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(lambda b: _fetched(b, length), "gram long, doc long, at long, count long, inside long, bytes binary")
-    covered = fetched.repartition("gram").sortWithinPartitions("gram").mapInArrow(lambda b: _arrays(b, length), "doc long, start long, end long")
+    wanted = blocked(settled.filter("kind = 1"), block).groupBy("doc").agg(F.collect_list(F.struct("block", "divided", "at", "to")).alias("wanted"))
+    fetched = texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(lambda b: _fetched(b, length), "block long, divided boolean, doc long, at long, count long, bytes binary")
+    places = fetched.repartition("block").sortWithinPartitions("block").mapInArrow(lambda b: _arrays(b, length), _PLACES)
+    places = written(places, "repeats")
+    # Windows that stand first in several blocks of one anchor: all but the very first are covered.
+    each = places.filter("kind = 1").select("a", "b", "doc", "start")
+    least = each.groupBy("a", "b").agg(F.min(F.struct("doc", "start")).alias("least"))
+    later = each.join(least, ["a", "b"]).filter(F.struct("doc", "start") != F.col("least")).select("doc", "start", (F.col("start") + length).alias("end"))
+    covered = places.filter("kind = 0").select("doc", "start", F.col("a").alias("end")).unionByName(later)
     ranges = settled.filter("kind = 0").select("doc", F.col("at").alias("start"), F.col("to").alias("end")).unionByName(covered)
     by_doc = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("covers"))
     empty = F.array().cast("array<struct<start:long,end:long>>")

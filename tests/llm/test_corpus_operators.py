@@ -45,10 +45,11 @@ def test_suffix_dedup(spark):
     df = D.frame(spark, more)
     order = sorted((r.doc_id, r.text or "") for r in df.collect())
     want = {i: x for (i, _), x in zip(order, brute_removal([t for _, t in order]), strict=True)}
-    got = suffix_dedup.dedup(df).collect()
-    assert len(got) == len(order) == len(want)
-    assert [(r.doc_id, tuple(r)[1:5]) for r in got if want[r.doc_id] != tuple(r)[1:5]] == []
-    assert sum(r.n_removed for r in got) > 1000
+    for block in (1024, 2):  # whole anchors, and anchors divided into many blocks
+        got = suffix_dedup.dedup(df, block=block).collect()
+        assert len(got) == len(order) == len(want)
+        assert [(r.doc_id, tuple(r)[1:5]) for r in got if want[r.doc_id] != tuple(r)[1:5]] == []
+        assert sum(r.n_removed for r in got) > 1000
     assert suffix_dedup.dedup(D.empty(spark)).count() == 0
 
 
@@ -59,6 +60,25 @@ def test_suffix_dedup_of_rows_without_own_ids(spark):
     assert got == Counter((i, *x) for (i, _), x in zip(order, brute_removal([t or "" for _, t in order]), strict=True))
 
 
+def test_settled_rows_in_batches_of_any_size():
+    """Where a batch ends makes no difference."""
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(4)
+    rows = sorted((int(g), int(c), d, int(rnd.integers(50)), 128 * int(rnd.integers(1, 5)), 1) for d, (g, c) in enumerate(zip(rnd.integers(0, 60, 400), rnd.integers(0, 3, 400), strict=True)))
+    columns = [np.array(c) for c in zip(*rows, strict=True)]
+    whole = pa.record_batch([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.int8())], names=suffix_dedup._ROWS)
+
+    def settled(size):
+        parts = [whole.slice(i, size) for i in range(0, len(whole), size)]
+        return sorted(tuple(r.values()) for b in suffix_dedup._settled(iter(parts), 100) for r in b.to_pylist())
+
+    firsts = {(g, c): (d, at, to) for g, c, d, at, to, _ in reversed(rows)}
+    several = {g for g, _ in firsts if sum(x == g for x, _ in firsts) > 1}
+    want = [(g, c, d, at, at + to // 128 + 99, 0) for g, c, d, at, to, _ in rows if firsts[g, c][0] != d] + [(g, c, *firsts[g, c], 1) for g, c in firsts if g in several]
+    assert all(settled(size) == sorted(want) for size in (1, 2, 7, 400))
+
+
 def test_maximal_repeats_have_all_occurrences():
     text = b"xxABCDEFGHyyABCDEFGHzzBCDEFGHwwABCDEF" + b"-" * 8
     data = np.frombuffer(text, np.uint8)

@@ -42,4 +42,16 @@ g AS (SELECT doc_id, k FROM z JOIN f USING (tem) WHERE struct_pack(d := doc_id,
 r AS (SELECT l.doc_id, count(*) AS n_lines, count(g.k) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY l.k) FILTER (g.k IS NULL), '') AS kept FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.k = g.k GROUP BY l.doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, length(coalesce(kept, '')) AS kept_chars, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id"""
 
-SQL = {"op6_line_templates": OP6, "op8_ngram_jaccard": OP8, "op9_decontamination": OP9}
+#: Bytes are pairs of hexadecimal digits; a window is 100 of them.
+OP4 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM d)),
+f AS (SELECT s, min(struct_pack(d := doc_id, i := i)) AS f FROM w GROUP BY s HAVING count(*) > 1),
+c AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w JOIN f USING (s) WHERE struct_pack(d := doc_id, i := i) <> f),
+g AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM c),
+m AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, k),
+e AS (SELECT doc_id, lag(b, 1, 0::BIGINT) OVER (PARTITION BY doc_id ORDER BY a) AS lo, a AS hi FROM m UNION ALL SELECT d.doc_id, coalesce(max(b), 0), max(n) FROM d LEFT JOIN m ON d.doc_id = m.doc_id GROUP BY d.doc_id),
+k AS (SELECT d.doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS kept FROM d JOIN e ON d.doc_id = e.doc_id GROUP BY d.doc_id),
+r AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM m GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM d JOIN k ON d.doc_id = k.doc_id LEFT JOIN r ON d.doc_id = r.doc_id"""
+
+SQL = {"op4_suffix_dedup": OP4, "op6_line_templates": OP6, "op8_ngram_jaccard": OP8, "op9_decontamination": OP9}

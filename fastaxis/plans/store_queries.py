@@ -207,4 +207,22 @@ def q_ray_screen(spark, sf_dir):
     return out.select("event_id", *[F.round(c, 4).alias(c) for c in ("s_travel_time_s", "takeoff_angle", "incidence_angle", "epi_distance_km", "backazimuth")], "error")
 
 
+def q_ray_uniform(spark, sf_dir):
+    """Rays of every result in a sphere of one velocity, where they are chords."""
+    import numpy as np
+
+    from fastaxis.operators import raypath
+
+    r = tables.results(spark, sf_dir).select("event_id", "event_latitude", "event_longitude", "event_depth_km", (F.col("event_latitude") + F.col("epi_distance_km") / 1000).alias("station_latitude")).withColumn("station_longitude", F.col("event_longitude") + 0.01)
+    out = raypath.screened(r, np.array([(0.0, 3.4), (6371.0, 3.4)]))
+    return out.select("event_id", F.round("s_travel_time_s", 4).alias("s_travel_time_s"), F.round("takeoff_angle", 3).alias("takeoff_angle"), F.round("incidence_angle", 3).alias("incidence_angle"), F.col("error").isNull().alias("inside"))
+
+
+SQL["q_ray_uniform"] = f"""WITH {RESULTS}, p AS (SELECT event_id, radians(event_latitude) AS a, radians(event_latitude + epi_distance_km / 1000) AS b, radians(0.01) AS l, 6371 - event_depth_km AS r FROM v_results),
+ h AS (SELECT event_id, r, 2 * asin(sqrt(sin((b - a) / 2) ** 2 + cos(a) * cos(b) * sin(l / 2) ** 2)) AS t FROM p),
+ c AS (SELECT *, sqrt((6371 - r) ** 2 + 4 * 6371 * r * sin(t / 2) ** 2) AS s FROM h),
+ x AS (SELECT event_id, s / 3.4 AS sec, degrees(atan2(6371 * sin(t), r - 6371 * cos(t))) AS k, degrees(atan2(r * sin(t), 6371 - r * cos(t))) AS i FROM c)
+ SELECT event_id, round(sec, 4) AS s_travel_time_s, round(k, 3) AS takeoff_angle, round(i, 3) AS incidence_angle, i <= 60 AND k >= 90 AS inside FROM x"""
+
+
 Q |= {k: v for k, v in list(globals().items()) if k.startswith("q_")}

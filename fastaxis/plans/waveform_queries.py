@@ -281,11 +281,30 @@ SQL["q_corrected_cc"] = f"""WITH {TRACES}, {_WINDOWS}, {_LAGGED}, {_GRID}, b AS
 
 
 def q_bandpass(spark, sf_dir):
-    """Zero-phase band-passed traces; the recursion has no SQL form."""
+    """Zero-phase band-passed traces: their largest amplitude in each band."""
     made = waveform.filtered(tables.traces(spark, sf_dir), windows.usable(windows.bank(spark), 100.0), 100.0)
     return made.select("rec", "comp", F.col("bank_idx").cast("long").alias("bank_idx"), F.round(waveform.peak(F.col("data")), 6).alias("peak"))
 
 
+def _biquads() -> str:
+    """(bank_idx, g, a1, a2, c1, c2): the gain and both sections' recursions of each usable band."""
+    rows = []
+    for i, (low, high) in enumerate(windows.FILTER_BANK):
+        if high < 45:
+            (b, a), (_, c) = waveform.butterworth(low, high, 100.0)
+            rows.append(f"({i}, {b[0]!r}::DOUBLE, {a[1]!r}::DOUBLE, {a[2]!r}::DOUBLE, {c[1]!r}::DOUBLE, {c[2]!r}::DOUBLE)".replace("np.float64(", "(").replace("))", ")"))
+    return "q AS (SELECT * FROM (VALUES " + ", ".join(rows) + ") t(bank_idx, g, a1, a2, c1, c2))"
+
+
+SQL["q_bandpass"] = f"""WITH RECURSIVE {TRACES}, {_biquads()},
+ fwd AS (SELECT rec, comp, bank_idx, 0 AS i, 0::DOUBLE AS x1, 0::DOUBLE AS x2, 0::DOUBLE AS u1, 0::DOUBLE AS u2, 0::DOUBLE AS w1, 0::DOUBLE AS w2 FROM v_traces, q
+  UNION ALL SELECT rec, comp, bank_idx, i + 1, x, x1, u, u1, (u - u2) - c1 * w1 - c2 * w2, w1 FROM (SELECT f.*, data[i + 1] AS x, c1, c2, g * (data[i + 1] - x2) - a1 * u1 - a2 * u2 AS u FROM fwd f JOIN v_traces USING (rec, comp) JOIN q USING (bank_idx) WHERE i < 64)),
+ half AS (SELECT rec, comp, bank_idx, list(w1 ORDER BY i DESC) AS data FROM fwd WHERE i > 0 GROUP BY ALL),
+ bwd AS (SELECT rec, comp, bank_idx, 0 AS i, 0::DOUBLE AS x1, 0::DOUBLE AS x2, 0::DOUBLE AS u1, 0::DOUBLE AS u2, 0::DOUBLE AS w1, 0::DOUBLE AS w2 FROM v_traces, q
+  UNION ALL SELECT rec, comp, bank_idx, i + 1, x, x1, u, u1, (u - u2) - c1 * w1 - c2 * w2, w1 FROM (SELECT f.*, data[i + 1] AS x, c1, c2, g * (data[i + 1] - x2) - a1 * u1 - a2 * u2 AS u FROM bwd f JOIN half USING (rec, comp, bank_idx) JOIN q USING (bank_idx) WHERE i < 64))
+ SELECT rec, comp, bank_idx::BIGINT AS bank_idx, round(max(abs(w1)), 6) AS peak FROM bwd WHERE i > 0 GROUP BY rec, comp, bank_idx"""
+
+
 def q_pick_pipeline(spark, sf_dir):
     """The whole pipeline over the records as radial and transverse components; the dendrogram and the spectrum have no SQL form."""
     turn = F.pmod(F.col("rec") * 37, F.lit(360)).cast("double")
@@ -294,4 +313,23 @@ def q_pick_pipeline(spark, sf_dir):
     return out.select("rec", *[F.round(c, 6).alias(c) for c in ("ev_phi", "ev_dt_ms", "ev_phi_err", "rc_phi", "rc_dt_ms", "qfinal")], "quality_class", "n_clusters", "n_in_cluster", "error")
 
 
+def q_picks(spark, sf_dir):
+    """Tasks to result rows over all records: rays, bands, both methods in every window, clusters, consensus, quality. Dendrograms and spectra have no SQL form."""
+    import numpy as np
+
+    from fastaxis.config import build
+    from fastaxis.plans import picks
+
+    traces = tables.traces(spark, sf_dir)
+    near = F.pmod(F.col("rec") * 7, F.lit(20)) / 100
+    tasks = traces.select("rec").distinct().select(
+        F.col("rec").cast("string").alias("pick_id"), F.timestamp_seconds(F.lit(1000.24)).alias("pick_time"), F.lit("XA").alias("network"), F.concat(F.lit("S"), (F.col("rec") % 9).cast("string")).alias("station"), F.lit(None).cast("string").alias("location"), F.lit("HHZ").alias("channel"),
+        F.lit(38.0).alias("event_latitude"), F.lit(23.0).alias("event_longitude"), (8 + F.col("rec") % 20).cast("double").alias("event_depth_km"), (38.0 + near).alias("station_latitude"), F.lit(23.01).alias("station_longitude"), F.lit(None).cast("map<string,struct<azimuth:double,dip:double>>").alias("orientations"),
+    )
+    records = traces.select(F.col("rec").cast("string").alias("pick"), F.concat(F.lit("HH"), "comp").alias("channel"), F.lit(1000.0).alias("start"), F.lit(100.0).alias("rate"), "data")
+    config = build({"sws": {"snr_min": 0.5, "max_delay_ms": 120, "blacklist_stations": ["S8"], "consensus": {"enabled": True, "n_best_filters": 2}, "windows": {"tbeg0": -0.12, "tbeg1": -0.04, "dtbeg": 0.02, "nbeg": 5, "tend0": 0.12, "tend1": 0.24, "dtend": 0.04, "nend": 4}, "cluster": {"k_max": 6, "n_min": 3}}})
+    out = picks.results(tasks, lambda wanted: records.join(wanted.select("pick"), "pick"), np.array([(0.0, 2.7), (4.0, 2.7), (4.0, 2.9), (6371.0, 2.9)]), config)
+    return out.select("pick_id", *[F.round(c, 4).alias(c) for c in ("backazimuth", "ev_phi", "ev_dt_ms", "ev_spol", "ev_cc_fs", "rc_phi", "rc_dt_ms", "snr", "qfinal", "delta", "omega")], "quality_class", "n_windows", "n_clusters", "n_in_cluster", "n_filters_used", "error")
+
+
 Q |= {k: v for k, v in list(globals().items()) if k.startswith("q_")}

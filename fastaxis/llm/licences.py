@@ -94,6 +94,8 @@ OTHERS = [
 FAMILIES = ["none", "unknown", *TEMPLATES]
 #: Weights by hash; training; how many lines of the corpus at most stand for "none".
 BUCKETS, VARIANTS, EPOCHS, NEGATIVES = 1 << 16, 30, 12, 3000
+#: Characters of such a line at most that the driver reads: training takes 40 words of each.
+EXAMPLE = 400
 #: Words of a window, and from one window to the next.
 WINDOW, STRIDE = 24, 8
 SCHEMA = "doc_id long, n_findings long, n_confirmed long, n_unknown long, families string, best_family string, best_probability double"
@@ -234,19 +236,15 @@ class Classifier:
 
 
 def train(docs: DataFrame, negatives: int = NEGATIVES) -> Classifier:
-    """A classifier whose "none" is a sample of the corpus's lines without licence words; whole lines, chosen by hash."""
+    """A classifier whose "none" is a sample of the corpus's lines without licence words, chosen by hash; of a long line, a stretch that its hash places."""
     lines = docs.select(F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line"))
     total = docs.agg(F.sum(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
-    # A line of a megabyte is as good an example by the words that training cuts out of it; what is collected stays bounded.
     plain = lines.filter((F.length("line") > 0) & ~F.lower("line").rlike(r"licen[sc]|copyright|rights|spdx|redistribut|permission"))
-    chosen = hash_sample(plain, "line", negatives, total).select(F.substring("line", 1, EXAMPLE))
+    place = F.pmod(F.xxhash64("line"), F.greatest(F.length("line") - EXAMPLE, F.lit(0)) + 1).cast("int")
+    chosen = hash_sample(plain, "line", negatives, total).select(F.substring(F.col("line"), place + 1, F.lit(EXAMPLE)))
     return Classifier([r[0] for r in chosen.collect()])
 
 
-#: Characters of a negative example that the driver reads: training cuts 40 words at most out of each.
-EXAMPLE = 400
-
-
 def _judged(p: np.ndarray, certain: float) -> tuple[str, float]:
     """The family that probabilities speak for, and how surely; "unknown" if it is a licence and no known family is sure."""
     k = 2 + int(np.argmax(p[2:]))

@@ -153,30 +153,35 @@ def cleaned(docs: DataFrame, min_docs: int = 3, min_constant: float = 0.6, min_t
     whole = docs.withColumn("text", F.col("text").cast("string"))
     # The columns stay in a struct of their own: no name of theirs clashes with one that is used here.
     row = F.struct(*[F.col(f"`{c}`") for c in whole.columns]).alias("row")
-    joined = whole.select(row).select("row", F.col("row")["doc_id"].cast("long").alias("doc")).join(dropped, "doc", "left").select("row", "dropped")
+    joined = whole.select(row).select("row", F.col("row")["doc_id"].cast("long").alias("doc")).join(dropped.hint("merge"), "doc", "left").select("row", "dropped")
     at = whole.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, given = batch.column(0), batch.column(1)
-            columns = [rows.field(i) for i in range(rows.type.num_fields)]
-            text = columns[at]
-            data, offsets = text_bytes(text)
-            new: dict[int, str] = {}
-            gone = np.zeros(len(batch), _I)
-            for i in np.flatnonzero(np.asarray(given.is_valid())).tolist():
-                own = data[offsets[i] : offsets[i + 1]]
-                _, number, _, line, *_ = tokens(own, np.array([0, len(own)]), min_tokens, depth, short)
-                out = {(x["at"], x["line"]) for x in given[i].as_py()}
-                out = {a for a, b in zip(number.tolist(), line.tolist(), strict=True) if (a, b) in out}
-                new[i] = b"\n".join(x for k, x in enumerate(own.tobytes().split(b"\n")) if k not in out).decode()
-                gone[i] = len(out)
-            feeds = np.concatenate([[0], np.cumsum(data == 10)])
-            valid = np.asarray(text.is_valid())
-            many = np.where(valid, feeds[offsets[1:]] - feeds[offsets[:-1]] + 1, 0)
-            if new:
-                columns[at] = pa.array([new[i] if i in new else text[i].as_py() if valid[i] else None for i in range(len(batch))], text.type)
-            yield pa.record_batch([pa.StructArray.from_arrays(columns, fields=list(rows.type)), pa.array(many), pa.array(gone)], names=["row", "n_lines", "n_dropped"])
+        for whole_batch in batches:
+            _, bounds = text_bytes(whole_batch.column(0).field(at))
+            for lo, hi in slices(bounds):
+                yield removed(whole_batch.slice(lo, hi - lo))
+
+    def removed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, given = batch.column(0), batch.column(1)
+        columns = rows.flatten()
+        text = columns[at]
+        data, offsets = text_bytes(text)
+        new: dict[int, str] = {}
+        gone = np.zeros(len(batch), _I)
+        for i in np.flatnonzero(np.asarray(given.is_valid())).tolist():
+            own = data[offsets[i] : offsets[i + 1]]
+            _, number, _, line, *_ = tokens(own, np.array([0, len(own)]), min_tokens, depth, short)
+            out = {(x["at"], x["line"]) for x in given[i].as_py()}
+            out = {a for a, b in zip(number.tolist(), line.tolist(), strict=True) if (a, b) in out}
+            new[i] = b"\n".join(x for k, x in enumerate(own.tobytes().split(b"\n")) if k not in out).decode()
+            gone[i] = len(out)
+        feeds = np.concatenate([[0], np.cumsum(data == 10)])
+        valid = np.asarray(text.is_valid())
+        many = np.where(valid, feeds[offsets[1:]] - feeds[offsets[:-1]] + 1, 0)
+        if new:
+            columns[at] = pa.array([new[i] if i in new else text[i].as_py() if valid[i] else None for i in range(len(batch))], text.type)
+        return pa.record_batch([pa.StructArray.from_arrays(columns, fields=list(rows.type)), pa.array(many), pa.array(gone)], names=["row", "n_lines", "n_dropped"])
 
     return joined.mapInArrow(run, joined.select("row").schema.add("n_lines", "long").add("n_dropped", "long"))
 

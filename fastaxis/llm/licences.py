@@ -93,7 +93,7 @@ OTHERS = [
 ]
 FAMILIES = ["none", "unknown", *TEMPLATES]
 #: Weights by hash; training; how many lines of the corpus at most stand for "none".
-BUCKETS, VARIANTS, EPOCHS, NEGATIVES = 1 << 16, 45, 16, 3000
+BUCKETS, VARIANTS, EPOCHS, NEGATIVES = 1 << 18, 45, 16, 3000
 #: Characters of such a line at most that the driver reads: training takes 40 words of each.
 EXAMPLE = 400
 #: Words of a window, and from one window to the next.

@@ -76,6 +76,10 @@ TEMPLATES = {
 #: Licences of no known family, for "unknown".
 OTHERS = [
     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Copying and distribution of this file, with or without modification, are permitted in any medium without royalty provided the copyright notice and this notice are preserved. This file is offered as-is, without any warranty.",
+    "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation.",
+    "Permission to use, copy, modify and distribute this software and its documentation for any purpose and without fee is hereby granted, provided that the above copyright notice appears in all copies.",
+    "You are free to use this software, including for commercial purposes, and to change and redistribute it, subject to these conditions.",
     "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
     "Licensed under the European Union Public Licence, version 1.2.",
     "This font is licensed under the SIL Open Font License, Version 1.1.",
@@ -172,6 +176,9 @@ def _examples(negatives: list[str], rnd: random.Random) -> list[tuple[list[bytes
     every = [w for t in stated for w in t]
     for _ in range(400):
         out.append((rnd.sample(every, rnd.randrange(2, 20)), 0))
+    # Words that were never seen say that there is none.
+    strange = lambda: bytes(rnd.randrange(97, 123) for _ in range(rnd.randrange(1, 9)))
+    out += [([strange() for _ in range(rnd.randrange(3, WINDOW + 1))], 0) for _ in range(400)]
     rnd.shuffle(out)
     return out
 

@@ -9,10 +9,11 @@ of the toxic class, which has fewer texts, is the ordinary model. So a rare expr
 smoothed to what both classes say about it, whichever happens to hold it.
 
 A toxic text is mostly ordinary words. Its likelihood is therefore that of an ordinary text
-of which a share SHARE of expressions comes from the toxic model. A document's evidence is
-the difference of its log-likelihoods as a toxic and as an ordinary text, normalised by its
-length (per word, and per root of the words, as sums of chance differences grow). A logistic
-curve over these two, fitted on labelled documents outside the models' training, gives the score.
+of which a share SHARE of expressions comes from the toxic model. A document's evidence of each
+order is the difference of its log-likelihoods as a toxic and as an ordinary text, beyond that
+of a text of unseen expressions, normalised by its length (by the root of the words, as sums of
+chance differences grow). A logistic curve over the logarithms of the orders' evidence and of
+the length, fitted on labelled documents outside the models' training, gives the score.
 
 Labels are used only of rows with crc32(doc_id as text) mod 5 other than 0: those of
 remainder CALIBRATION calibrate (a bounded sample of them, CALIBRATION_ROWS), the others
@@ -41,7 +42,10 @@ from pyspark.sql import functions as F
 from fastaxis.llm.common import frequency_cut, hash_sample, is_small, may_hold, mix, remove, sketch, slices, span_hashes, text_bytes, word_spans, written
 
 #: Words of the longest expressions; discounts of the class models and of the shared one; share of toxic expressions in a toxic text.
-ORDER, DISCOUNT, SHARED_DISCOUNT, SHARE = 2, 1.5, 0.75, 0.01
+ORDER, DISCOUNT, SHARED_DISCOUNT, SHARE = 2, 1.5, 0.75, 0.003
+#: Evidence below which a text counts as having none, in the logarithms of the curve.
+FLOOR = 0.01
+_GAINS = [f"gain_{k}" for k in range(1, ORDER + 1)]
 #: BROADCAST and SKETCH only say which expressions are broadcast, and how well the others are screened before their join.
 BROADCAST, SKETCH = 400_000, 1 << 24
 CALIBRATION_ROWS, CALIBRATION = 50_000, 1
@@ -121,13 +125,13 @@ class Model:
             ordinary = (F.col("c0") - F.col("m0")) / t["c0"] + left[0] * shared
             ratio = (F.col("c1") - F.col("m1")) / t["c1"] / ordinary + left[1]
             value = F.when(F.col("length") == k, F.log(1 - SHARE + SHARE * ratio) - float(self.unseen[k - 1])).otherwise(value)
-        every = table.filter("key is not null").select("key", (F.col("c0") + F.col("c1")).alias("n"), value.alias("value")).filter("value is not null")
+        every = table.filter("key is not null").select("key", "length", (F.col("c0") + F.col("c1")).alias("n"), value.alias("value")).filter("value is not null")
         cut = frequency_cut(every, "n", BROADCAST)
         common = every.filter(cut).select("key", "value").toArrow()
         keys = np.asarray(common["key"].combine_chunks(), _I).astype(_U)
         order = np.argsort(keys)
         self.keys, self.value = keys[order], np.asarray(common["value"].combine_chunks(), np.float64)[order].astype(np.float32)
-        rest = every.filter(~cut).select("key", F.col("value").cast("float").cast("double").alias("value"))
+        rest = every.filter(~cut).select("key", "length", F.col("value").cast("float").cast("double").alias("value"))
         self.rest = None if rest.isEmpty() else written(rest, "rare-expressions")
         self.screen = None if self.rest is None else sketch(self.rest, F.col("key"), SKETCH)
         remove(table)
@@ -144,22 +148,22 @@ def summed(keys: np.ndarray, own: tuple[np.ndarray, np.ndarray]) -> tuple[np.nda
 
 
 def compared(docs: DataFrame, model: Model, extra: list[str]) -> DataFrame:
-    """n_words of each row's text and ``gap``, the difference of its log-likelihoods; ``extra`` columns are carried along."""
-    sent = docs.sparkSession.sparkContext.broadcast(((model.keys, model.value), model.screen, model.unseen))
+    """n_words of each row's text and of each order ``gain_k``, the difference of its log-likelihoods beyond that of unseen expressions; ``extra`` columns are carried along."""
+    sent = docs.sparkSession.sparkContext.broadcast(((model.keys, model.value), model.screen))
     others = model.rest is not None
-    names = ["n_words", "gap", *(["keys", "times"] if others else []), *extra]
+    names = ["n_words", *_GAINS, *(["keys", "times"] if others else []), *extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, screen, unseen = sent.value
+        own, screen = sent.value
         for batch in batches:
-            n, gap = np.zeros(len(batch), _I), np.zeros(len(batch))
+            n, gains = np.zeros(len(batch), _I), np.zeros((ORDER, len(batch)))
             lengths, hashes, times = [np.zeros(0, _I)], [np.zeros(0, _I)], [np.zeros(0, _I)]
             for lo, hi, words, found in expressions(batch.column(0)):
                 n[lo:hi] = words
                 rows, keys, many = [], [], []
                 for k, (distinct, number, row) in enumerate(found):
                     value, known = summed(distinct, own)
-                    gap[lo:hi] += np.bincount(row, value[number] + unseen[k], hi - lo)
+                    gains[k, lo:hi] = np.bincount(row, value[number], hi - lo)
                     if others:
                         left = (~known & may_hold(screen, distinct))[number]
                         pair, count = np.unique(row[left] * len(distinct) + number[left], return_counts=True)
@@ -176,18 +180,20 @@ def compared(docs: DataFrame, model: Model, extra: list[str]) -> DataFrame:
             if others:
                 to = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(lengths))]), pa.int32())
                 lists = [pa.ListArray.from_arrays(to, pa.array(np.concatenate(x), pa.int64())) for x in (hashes, times)]
-            yield pa.record_batch([pa.array(n), pa.array(gap), *lists, *batch.columns[1:]], names=names)
+            yield pa.record_batch([pa.array(n), *map(pa.array, gains), *lists, *batch.columns[1:]], names=names)
 
     kinds = dict(docs.dtypes)
-    schema = "n_words long, gap double, " + ("keys array<long>, times array<long>, " if others else "") + ", ".join(f"{c} {kinds[c]}" for c in extra)
+    schema = "n_words long, " + "".join(f"{g} double, " for g in _GAINS) + ("keys array<long>, times array<long>, " if others else "") + ", ".join(f"{c} {kinds[c]}" for c in extra)
     made = docs.select("text", *extra).mapInArrow(run, schema)
     if not others:
         return made
     # Rows are told apart by a number of their own; the table fixes it.
     made = written(made.withColumn("row", F.monotonically_increasing_id()), "scored")
     each = made.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
-    sums = each.join(model.rest, "key").groupBy("row").agg(F.sum(F.col("value") * F.col("times")).alias("more"))
-    return made.drop("keys", "times").join(sums, "row", "left").select("n_words", (F.col("gap") + F.coalesce("more", F.lit(0.0))).alias("gap"), *extra)
+    more = [F.sum(F.when(F.col("length") == k, F.col("value") * F.col("times")).otherwise(F.lit(0.0))).alias(f"more_{k}") for k in range(1, ORDER + 1)]
+    sums = each.join(model.rest, "key").groupBy("row").agg(*more)
+    whole = [(F.col(g) + F.coalesce(f"more_{k}", F.lit(0.0))).alias(g) for k, g in enumerate(_GAINS, 1)]
+    return made.drop("keys", "times").join(sums, "row", "left").select("n_words", *whole, *extra)
 
 
 def curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -208,12 +214,12 @@ def curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def calibrated(found: DataFrame) -> np.ndarray:
     """The logistic curve over compared() rows with their labels, of which a bounded number is read."""
     rows = hash_sample(found, "doc_id", 2 * CALIBRATION_ROWS, 0).toArrow()
-    n, gap, y = (np.asarray(rows[c].combine_chunks(), np.float64) for c in ("n_words", "gap", "toxic"))
+    n, y, *gains = (np.asarray(rows[c].combine_chunks(), np.float64) for c in ("n_words", "toxic", *_GAINS))
     if 0 < y.sum() < len(y):
         n = np.maximum(n, 1)
-        return curve(np.stack([np.ones(len(n)), gap / n, gap / np.sqrt(n)], 1), y)
+        return curve(np.stack([np.ones(len(n)), *(np.log(FLOOR + np.maximum(g, 0) / np.sqrt(n)) for g in gains), np.log(n)], 1), y)
     share = np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9)
-    return np.array([np.log(share / (1 - share)), 0.0, 0.0])
+    return np.array([np.log(share / (1 - share)), *[0.0] * (ORDER + 1)])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -229,6 +235,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = Model(labelled.filter(~apart))
     weights = calibrated(compared(labelled.filter(apart), model, ["doc_id", "toxic"]))
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    z = F.lit(float(weights[0])) + F.col("gap") / n * float(weights[1]) + F.col("gap") / F.sqrt(n) * float(weights[2])
+    evidence = [F.log(FLOOR + F.greatest(F.col(g), F.lit(0.0)) / F.sqrt(n)) for g in _GAINS]
+    z = F.lit(float(weights[0])) + sum((x * float(w) for x, w in zip([*evidence, F.log(n)], weights[1:], strict=True)), F.lit(0.0))
     out = compared(docs, model, ["doc_id"]).withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z)))))
-    return out.select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", "gap")
+    counts = [F.greatest(F.col("n_words") - k, F.lit(0)) for k in range(ORDER)]
+    gap = sum((F.col(g) + c * float(u) for g, c, u in zip(_GAINS, counts, model.unseen, strict=True)), F.lit(0.0))
+    return out.select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", gap.alias("gap"))

@@ -342,7 +342,7 @@ def test_pipeline_joins_five_word_shingles(spark, tmp_path):
     assert sorted(r.doc_id for r in got.collect()) == sorted(i for i in sets if root(i) == i)
 
 
-def brute_gaps(rows, texts, order=2, d=1.5, ds=0.75, share=0.01):
+def brute_gaps(rows, texts, order=2, d=1.5, ds=0.75, share=toxicity.SHARE):
     """Each text's log-likelihood as a toxic less that as an ordinary text, by the definition of the models."""
     grams = lambda t, k: [tuple(t.split()[i : i + k]) for i in range(len(t.split()) - k + 1)]
     out = [0.0] * len(texts)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fastaxis.functions import geometry as g
-from fastaxis.operators import clustering, enrich, grid, publish, quality, query, raypath, store, waveform, windows
+from fastaxis.operators import clustering, enrich, grid, measure, publish, quality, query, raypath, store, waveform, windows
 from fastaxis.plans import pipeline
 from fastaxis.sources import velocity
 
@@ -90,19 +90,25 @@ def test_lattice(spark):
 
 
 def test_snr_and_bank(spark):
-    rnd, rows = np.random.default_rng(1), []
-    for rec, amplitude in ((1, 20.0), (2, 0.1)):
-        for comp in "ZNE":
-            t = np.arange(2000) / RATE
-            rows.append((rec, comp, (rnd.normal(0, 1, 2000) + np.where(t >= 9.9, amplitude * np.sin(2 * np.pi * 5 * t), 0)).tolist()))
-    traces = spark.createDataFrame(rows, "rec long, comp string, data array<double>")
-    s = {r.rec: r.snr for r in waveform.snr(traces.select("rec", "comp", F.posexplode("data").alias("i", "v")), (900, 990), (990, 1100)).collect()}
-    assert s[1] > 5 and s[2] < 3
+    """Steps of known height: noise of root mean square 0.5 on every component, then 4, 1 and 0.25 times as much."""
+    n, rate_of = 1600, {1: 4.0, 2: 1.0, 3: 0.25}
+    rows = []
+    for rec, times in rate_of.items():
+        for k, comp in enumerate("ZNE"):
+            sign = np.where(np.arange(n) % 2 == 0, 1.0, -1.0) * (1 if k < 2 else -1)
+            rows.append((rec, comp, (0.5 * sign * np.where(np.arange(n) >= 800, times, 1.0)).tolist()))
+    flat = [(4, c, [0.0] * n) for c in "ZNE"]
+    traces = spark.createDataFrame(rows + flat, "rec long, comp string, data array<double>")
+    found = {r.rec: r.snr for r in waveform.snr(traces.select("rec", "comp", F.posexplode("data").alias("i", "v")), (700, 789), (800, 909)).collect()}
+    assert found == pytest.approx(rate_of | {4: 0.0})
+    assert waveform.snr(traces.select("rec", "comp", F.posexplode("data").alias("i", "v")), (700, 708), (800, 909)).agg(F.max("snr")).first()[0] == 0  # nine samples are too few
     edges = [(2.0, h) for h in (5.0, 44.9, 45.0, 45.1, 60.0)]  # nine tenths of the Nyquist frequency is 45 Hz, and is out
     assert [r.high for r in windows.usable(windows.bank(spark, edges), RATE).orderBy("high").collect()] == [5.0, 44.9]
-    passed = waveform.filtered(traces.filter("rec = 1"), windows.bank(spark, [(3, 8), (20, 30)]), RATE)
+    t = np.arange(2000) / RATE
+    tone = spark.createDataFrame([(9, c, np.sin(2 * np.pi * f * t).tolist()) for c, f in zip("ZNE", (4.0, 7.0, 18.0), strict=True)], "rec long, comp string, data array<double>")
+    passed = waveform.filtered(tone, windows.bank(spark, [(3, 9), (15, 22)]), RATE)
     peaks = {(r.comp, r.bank_idx): r.p for r in passed.select("comp", "bank_idx", waveform.peak(F.col("data")).alias("p")).collect()}
-    assert all(peaks[c, 0] > 4 * peaks[c, 1] for c in "ZNE")
+    assert all(peaks[c, 0] > 5 * peaks[c, 1] for c in "ZN") and peaks["E", 1] > 5 * peaks["E", 0]
 
 
 def test_bandpass_response():
@@ -113,10 +119,12 @@ def test_bandpass_response():
         assert np.abs(y[1000:3000]).max() == pytest.approx(want, abs=0.06)
 
 
-def test_dominant_period(spark):
-    x = np.sin(2 * np.pi * 2 * np.arange(1000) / RATE)
-    s = spark.createDataFrame([(1, "N", x.tolist())], "rec long, comp string, data array<double>")
-    assert waveform.dominant_period(waveform.power_spectrum(s, 1000), 1000, RATE).first().period == pytest.approx(0.5, abs=0.05)
+@pytest.mark.parametrize("cycles", [3, 17, 100])
+def test_dominant_period(spark, cycles):
+    n = 640
+    x = 7 + np.cos(2 * np.pi * cycles * np.arange(n) / n) + 0.3 * np.cos(2 * np.pi * 50 * np.arange(n) / n)
+    s = spark.createDataFrame([(1, "N", x.tolist()), (2, "N", None)], "rec long, comp string, data array<double>").filter("data is not null")
+    assert waveform.dominant_period(waveform.power_spectrum(s, n), n, RATE).first().period == pytest.approx(n / RATE / cycles)
 
 
 def test_flags_and_orientation(spark):
@@ -165,12 +173,17 @@ def test_dendrogram(linkage):
 
 
 def test_clusters_of_measurements(spark):
-    rnd = np.random.default_rng(1)
-    rows = [(7, k, *x) for k, x in enumerate([(40 + rnd.normal(0, 1), 0.12 + rnd.normal(0, 0.002), abs(rnd.normal(2, 0.5)), abs(rnd.normal(0.005, 0.001))) for _ in range(30)] + [(-60 + rnd.normal(0, 20), 0.3 + rnd.normal(0, 0.05), 2.0, 0.005) for _ in range(5)])]
-    m = spark.createDataFrame([(r, int(k), float(p), float(t), float(e), float(f)) for r, k, p, t, e, f in rows], "rec long, window_idx long, phi double, dt double, phi_err double, dt_err double")
-    c = pipeline.clustered(m, pipeline.Settings(k_max=10, n_min=5)).collect()
-    best = next(r for r in rows if r[1] == c[0].best_window)
-    assert abs(best[2] - 40) < 5 and abs(best[3] - 0.12) < 0.01 and c[0].n_in_cluster >= 5
+    """A tight group among scattered ones: the answer lies in the group, whichever comes first."""
+    rnd = np.random.default_rng(77)
+    tight = [(131 + rnd.uniform(-1, 1), 0.21 + rnd.uniform(-0.003, 0.003), rnd.uniform(1, 3), rnd.uniform(0.003, 0.006)) for _ in range(24)]
+    loose = [(rnd.uniform(5, 60), rnd.uniform(0.02, 0.10), rnd.uniform(4, 9), rnd.uniform(0.01, 0.02)) for _ in range(9)]
+    for rec, rows in ((3, loose + tight), (4, tight + loose)):
+        m = spark.createDataFrame([(rec, k, *map(float, x)) for k, x in enumerate(rows)], "rec long, window_idx long, phi double, dt double, phi_err double, dt_err double")
+        found = pipeline.clustered(m, pipeline.Settings(k_max=8, n_min=6)).collect()
+        best = rows[found[0].best_window]
+        assert best in tight and found[0].n_in_cluster >= 6 and all(rows[r.window_idx] in tight for r in found)
+        in_arrays = measure.chosen([{"window": k, "ev": dict(zip(("phi", "dt", "phi_err", "dt_err"), x, strict=True))} for k, x in enumerate(rows)], "ward", 8, 6, 3.2)
+        assert (in_arrays["best"]["window"], in_arrays["n_clusters"], in_arrays["n_in_cluster"]) == (found[0].best_window, found[0].n_clusters, found[0].n_in_cluster)
     assert pipeline.clustered(m.limit(2)).count() == 0
 
 

@@ -364,7 +364,8 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def blocked(contexts: DataFrame, block: int) -> DataFrame:
     """(doc, block, divided, at, to): an anchor's contexts are one block; those of an anchor with more than ``block`` are divided by their hash."""
-    hot = contexts.groupBy("gram").count().filter(F.col("count") > block).select("gram", F.ceil(F.col("count") / block).alias("parts"))
+    # A table of its own: the join then has no aggregate on either side, is a broadcast where the table is small, and can be split where it is not.
+    hot = written(contexts.groupBy("gram").count().filter(F.col("count") > block).select("gram", F.ceil(F.col("count") / block).alias("parts")), "hot-anchors")
     part = F.pmod(F.xxhash64("context"), F.coalesce("parts", F.lit(1)))
     return contexts.join(hot, "gram", "left").select("doc", F.xxhash64("gram", part).alias("block"), F.col("parts").isNotNull().alias("divided"), "at", "to")
 

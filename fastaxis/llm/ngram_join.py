@@ -59,69 +59,105 @@ class Sizes:
     def __init__(self, percent: int):
         self.percent, self.upper = percent, [0]
 
-    def class_of(self, n: int) -> int:
-        while self.upper[-1] < n:
+    def class_of(self, n: int | np.ndarray) -> np.ndarray:
+        most = np.max(n, initial=0)
+        while self.upper[-1] < most:
             low = self.upper[-1] + 1
             self.upper.append(max(low, low * 100 // self.percent))
-        return int(np.searchsorted(self.upper, n))
+        return np.searchsorted(self.upper, n)
 
-    def differences(self, k: int) -> int:
+    def differences(self, k: int | np.ndarray) -> np.ndarray:
         """The most n-grams in one set only, for linked sets of class k, or of k and k + 1."""
-        u = self.upper[k]
+        u = np.asarray(self.upper)[k]
         return (100 - self.percent) * (u + u * 100 // self.percent) // (100 + self.percent)
 
 
-def document_sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct n-gram hashes) of a batch's documents (text in column 1)."""
+def places(marks: np.ndarray) -> np.ndarray:
+    """How many marks stand before each place, the end included."""
+    return np.concatenate([[0], np.cumsum(marks, dtype=np.int64)])
+
+
+def document_sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, grams, to) of each slice of a batch (text in column 1): the sorted distinct n-gram hashes of the documents from that row on, and their offsets."""
     data, offsets = text_bytes(batch.column(1))
     for lo, hi in slices(offsets):
         part = _WHITE[data[offsets[lo] : offsets[hi]]]
         starts, ends, first = word_spans(part, offsets[lo : hi + 1] - offsets[lo])
         grams, to = gram_hashes(span_hashes(part, starts, ends), first, n)
-        for i in range(hi - lo):
-            yield lo + i, np.unique(grams[to[i] : to[i + 1]])
-
-
-def set_key(grams: np.ndarray) -> tuple[int, int]:
-    """128 bits that name a set."""
-    return int(mix(grams ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(_SIGNED)), int(mix(grams + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64).astype(_SIGNED))
-
-
-def fragments(grams: np.ndarray, count: int, salt: int) -> np.ndarray:
-    """The hashes of the non-empty of so many fragments of a sorted set."""
-    at = ((grams >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+        for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True):
+            grams[a:b].sort()
+        fresh = np.ones(len(grams), bool)
+        fresh[1:] = grams[1:] != grams[:-1]
+        fresh[to[:-1][to[:-1] < to[1:]]] = True
+        yield lo, grams[fresh], places(fresh)[to]
+
+
+def set_keys(grams: np.ndarray, to: np.ndarray) -> list[tuple[int, int]]:
+    """128 bits that name each set."""
+    halves = []
+    for values in (mix(grams ^ np.uint64(0x5851F42D4C957F2D)), mix(grams + np.uint64(0x14057B7EF767814F))):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+        halves.append((sums[to[1:]] - sums[to[:-1]]).astype(_SIGNED).tolist())
+    return list(zip(*halves, strict=True))
+
+
+def gathered(grams: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of the grams one after another, and their offsets."""
+    to = places(lengths)
+    return grams[np.arange(to[-1]) + np.repeat(starts - to[:-1], lengths)], to
+
+
+def fragments(grams: np.ndarray, to: np.ndarray, count: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the non-empty of so many fragments of each sorted set, and their offsets."""
+    owner = np.repeat(np.arange(len(count)), np.diff(to))
+    at = ((grams >> np.uint64(32)) * count.astype(np.uint64)[owner]) >> np.uint64(32)
+    new = np.ones(len(grams), bool)
+    new[1:] = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
+    starts = np.flatnonzero(new)
     sums = np.add.reduceat(mix(grams ^ np.uint64(0xA0761D6478BD642F)), starts) if len(starts) else np.zeros(0, np.uint64)
-    return mix(sums + at[starts] * np.uint64(0xE7037ED1A0B428DB) + np.uint64(salt * 0x8EBC6AF09C88C6E3 % 2**64))
+    salted = (salt.astype(np.uint64) * np.uint64(0x8EBC6AF09C88C6E3))[owner[starts]]
+    return mix(sums + at[starts] * np.uint64(0xE7037ED1A0B428DB) + salted), np.searchsorted(starts, to)
 
 
-def representatives(grams: np.ndarray, hot: np.ndarray, sizes: Sizes) -> list[tuple[np.ndarray, int]]:
-    """The hashes under which a set is looked up, in lots: two linked sets that aren't equal share, in one lot, as many as it needs.
+def lookups(grams: np.ndarray, to: np.ndarray, hot: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, set, lot): the hashes under which sets are looked up; two linked sets that aren't equal share, in one lot, as many as it needs.
 
     A lot is numbered by its size class and kind, times 2^20, plus that need: the fragments
     that can't all differ.
     """
-    n, out = len(grams), []
-    k = sizes.class_of(n)
-    rare = grams
+    n = np.diff(to)
+    rare, rare_to = grams, to
     if len(hot):
-        at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
-        rare = grams[hot[at] != grams]
+        keep = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] != grams
+        rare, rare_to = grams[keep], places(keep)[to]
+    k, out = sizes.class_of(n), []
+
+    def divided(own: np.ndarray, own_to: np.ndarray, sets: np.ndarray, c: np.ndarray, d: np.ndarray, kind: int) -> np.ndarray:
+        """Adds the fragments of some sets; says for which of them they are too few."""
+        part, part_to = gathered(own, own_to[sets], np.diff(own_to)[sets])
+        found, found_to = fragments(part, part_to, d + 3 + d // 8, 3 * c + kind)
+        size = np.diff(found_to)
+        out.append((found, np.repeat(sets, size), np.repeat((3 * c + kind << 20) + np.maximum(1, size - d), size)))
+        return size <= d
+
     for c in (k, k - 1):
         d = sizes.differences(c)
-        if d == 0:
-            continue
-        count = d + 3 + d // 8
-        found = fragments(rare, count, 3 * c)
-        out.append((found, (3 * c << 20) + max(1, len(found) - d)))
-        if len(found) <= d:
-            if len(rare) < n:
-                found = fragments(grams, count, 3 * c + 1)
-                out.append((found, (3 * c + 1 << 20) + max(1, len(found) - d)))
-            if len(found) <= d:
-                prefix = n - -(-sizes.percent * n // 100) + 1
-                out.append((mix(grams[:prefix] + np.uint64(0x589965CC75374CC3)), (3 * c + 2 << 20) + 1))
-    return out
+        sets = np.flatnonzero(d > 0)
+        few = sets[divided(rare, rare_to, sets, c[sets], d[sets], 0)]
+        whole = np.diff(rare_to)[few] == n[few]
+        again = few[~whole]
+        left = np.concatenate([few[whole], again[divided(grams, to, again, c[again], d[again], 1)]])
+        prefix = n[left] - -(-sizes.percent * n[left] // 100) + 1
+        found, _ = gathered(grams, to[left], prefix)
+        out.append((mix(found + np.uint64(0x589965CC75374CC3)), np.repeat(left, prefix), np.repeat((3 * c[left] + 2 << 20) + 1, prefix)))
+    hashes, owners, lots = (np.concatenate(x) for x in zip(*out, strict=True))
+    return hashes, owners, lots
+
+
+def representatives(grams: np.ndarray, hot: np.ndarray, sizes: Sizes) -> list[tuple[np.ndarray, int]]:
+    """The hashes under which one set is looked up, in lots."""
+    hashes, _, lots = lookups(grams, np.array([0, len(grams)]), hot, sizes)
+    return [(hashes[lots == lot], int(lot)) for lot in np.unique(lots)]
 
 
 def _surveyed(docs: DataFrame, n: int, share: float) -> DataFrame:
@@ -131,13 +167,12 @@ def _surveyed(docs: DataFrame, n: int, share: float) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rows, seen, own = [], set(), []
-            for i, grams in document_sets(batch, n):
-                a, b = set_key(grams)
-                rows.append((0, ids[i], len(grams), a, b))
-                if (a, b) not in seen:
-                    seen.add((a, b))
-                    own.append(grams)
-            least = max(4, int(len(own) * share / 2))
+            for row, grams, to in document_sets(batch, n):
+                keys, size = set_keys(grams, to), np.diff(to)
+                rows += [(0, ids[row + i], m, a, b) for i, (m, (a, b)) in enumerate(zip(size.tolist(), keys, strict=True))]
+                fresh = np.array([key not in seen and not seen.add(key) for key in keys], bool)
+                own.append(np.sort(grams[np.repeat(fresh, size)]))
+            least = max(4, int(len(seen) * share / 2))
             # In ranges of the hash, so that the counts take bounded memory.
             shares = max(1, sum(map(len, own)) // (1 << 20))
             edges = [np.uint64(min(2**64 - 1, (2**64 * j) // shares)) for j in range(shares + 1)]
@@ -158,22 +193,17 @@ def _represented(docs: DataFrame, n: int, percent: int, hot, screen=None) -> Dat
         for batch in batches:
             ids = np.asarray(batch.column(0).fill_null(0), np.int64)
             valid = np.asarray(batch.column(0).is_valid())
-            seen, keys, owners, lots, held = set(), [], [], [], 0
-            for i, grams in document_sets(batch, n):
-                if not valid[i] or len(grams) < 2 or (key := set_key(grams)) in seen:
-                    continue
-                seen.add(key)
-                for found, lot in representatives(grams, frequent, sizes):
-                    found = found if screen is None else found[may_hold(screen.value, found)]
-                    keys.append(found.astype(_SIGNED))
-                    owners.append(np.full(len(found), ids[i]))
-                    lots.append(np.full(len(found), lot))
-                    held += len(found)
-                if held > 1 << 18:
-                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in (keys, owners, lots)], names=["key", "doc", "lot"])
-                    keys, owners, lots, held = [], [], [], 0
-            if held:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in (keys, owners, lots)], names=["key", "doc", "lot"])
+            seen = set()
+            for row, grams, to in document_sets(batch, n):
+                size = np.diff(to)
+                usable = (valid[row : row + len(size)] & (size > 1)).tolist()
+                fresh = np.flatnonzero([ok and key not in seen and not seen.add(key) for ok, key in zip(usable, set_keys(grams, to), strict=True)])
+                hashes, owners, lots = lookups(*gathered(grams, to[fresh], size[fresh]), frequent, sizes)
+                if screen is not None:
+                    held = may_hold(screen.value, hashes)
+                    hashes, owners, lots = hashes[held], owners[held], lots[held]
+                if len(hashes):
+                    yield pa.record_batch([pa.array(hashes.astype(_SIGNED)), pa.array(ids[row + fresh[owners]]), pa.array(lots)], names=["key", "doc", "lot"])
 
     return docs.mapInArrow(run, "key long, doc long, lot long")
 
@@ -188,17 +218,16 @@ def _parts(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(may_hold(screen.value, np.asarray(batch.column(2), np.int64))))
-            ids = batch.column(0).to_pylist()
-            doc, part, size, grams = [], [], [], []
-            for i, own in document_sets(batch, n):
-                at = own >> np.uint64(62)
-                for p in range(PARTS):
-                    piece = own[np.searchsorted(at, p) : np.searchsorted(at, p, "right")]
-                    if len(piece):
-                        doc.append(ids[i]), part.append(p), size.append(len(own)), grams.append(piece.astype(_SIGNED))
-            if doc:
-                lengths = np.cumsum([0, *map(len, grams)])
-                yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(part, pa.int32()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(grams)))], names=["doc", "part", "n", "grams"])
+            ids = np.asarray(batch.column(0), np.int64)
+            for row, grams, to in document_sets(batch, n):
+                size = np.diff(to)
+                owner, part = np.repeat(np.arange(len(size)), size), (grams >> np.uint64(62)).astype(np.int32)
+                new = np.ones(len(grams), bool)
+                new[1:] = (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])
+                at = np.flatnonzero(new)
+                if len(at):
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(grams)), pa.int32()), pa.array(grams.astype(_SIGNED)))
+                    yield pa.record_batch([pa.array(ids[row + owner[at]]), pa.array(part[at]), pa.array(size[owner[at]]), lists], names=["doc", "part", "n", "grams"])
 
     screened = docs.filter("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("bit"))
     return screened.mapInArrow(run, "doc long, part int, n long, grams array<long>")

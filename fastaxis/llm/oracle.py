@@ -54,4 +54,21 @@ k AS (SELECT d.doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER
 r AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM m GROUP BY doc_id)
 SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM d JOIN k ON d.doc_id = k.doc_id LEFT JOIN r ON d.doc_id = r.doc_id"""
 
-SQL = {"op4_suffix_dedup": OP4, "op6_line_templates": OP6, "op8_ngram_jaccard": OP8, "op9_decontamination": OP9}
+
+def _round(r: int) -> str:
+    """The centroids after round r, from those before it."""
+    return f"""a{r} AS MATERIALIZED (SELECT rn, v, arg_min(k, d * 64 + k) AS k FROM (SELECT rn, kept.v, c.k, list_sum(list_transform(list_zip(kept.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT AS d FROM kept, c{r - 1} c) GROUP BY rn, v),
+s{r} AS (SELECT k, i, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(v) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY k, i),
+m{r} AS (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{r} GROUP BY k),
+c{r} AS MATERIALIZED (SELECT b.k, coalesce(m.v, b.v) AS v FROM c{r - 1} b LEFT JOIN m{r} m ON b.k = m.k)"""
+
+
+OP11 = f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS k, v FROM kept ORDER BY k LIMIT 40),
+{", ".join(_round(r) for r in range(1, 6))},
+f AS MATERIALIZED (SELECT rn, vec_id, min(d * 64 + k) AS dk FROM (SELECT rn, vec_id, c.k, list_sum(list_transform(list_zip(kept.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT AS d FROM kept, c5 c) GROUP BY rn, vec_id),
+g AS (SELECT vec_id, (dk % 64)::INTEGER AS cluster, (dk // 64)::BIGINT AS distance FROM f)
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c5.v, ',')) AS centroid_sha256 FROM g JOIN c5 ON c5.k = g.cluster"""
+
+SQL = {"op4_suffix_dedup": OP4, "op6_line_templates": OP6, "op8_ngram_jaccard": OP8, "op9_decontamination": OP9, "op11_centroids": OP11}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fastaxis.llm import decontaminate, licences, line_dedup, ngram_join, oracle, packing, pii, quality, suffix_dedup, token_counts, toxicity
+from fastaxis.llm import centroids, decontaminate, licences, line_dedup, ngram_join, oracle, packing, pii, quality, suffix_dedup, token_counts, toxicity, url_filter
 from fastaxis.llm.common import documents
 
 
@@ -62,6 +62,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all pages; the labelled URLs are the table's own, those whose host has an unwanted word against the others."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filter.judge(pages, url_filter.labelled_by_words(pages, F.col("url"))).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_licence_scan": op2_licence_scan,
@@ -73,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
+    "op11_centroids": op11_centroids,
+    "op12_url_filter": op12_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = oracle.SQL

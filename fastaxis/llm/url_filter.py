@@ -139,9 +139,9 @@ def _features(parts: DataFrame, statistics: DataFrame) -> DataFrame:
     for length in (1, 2):
         mine = statistics.filter(F.col("length") == length)
         table = F.broadcast(mine.filter("suffix is not null").select(F.col("suffix").alias(f"_suffix{length}"), F.struct("share", "rate").alias("_own")))
-        rest = F.broadcast(mine.filter("suffix is null").agg(F.struct(F.coalesce(F.max("share"), F.lit(0.0)).alias("share"), F.coalesce(F.max("rate"), F.lit(0.0)).alias("rate")).alias("_rest")))
-        out = out.join(table, f"_suffix{length}", "left").join(rest)
-        out = out.withColumns({f"suffix{length}_{c}": F.coalesce(F.col(f"_own.{c}"), F.col(f"_rest.{c}")) for c in ("share", "rate")}).drop("_own", "_rest")
+        rest = mine.filter("suffix is null").first()
+        out = out.join(table, f"_suffix{length}", "left")
+        out = out.withColumns({f"suffix{length}_{c}": F.coalesce(F.col(f"_own.{c}"), F.lit(rest[c] if rest else 0.0)) for c in ("share", "rate")}).drop("_own")
     return out
 
 

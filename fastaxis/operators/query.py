@@ -29,15 +29,13 @@ class InvalidQuery(ValueError):
     """A parameter that the interface does not know or accept."""
 
 
-def query_results(results: DataFrame, limit: int = DEFAULT_ROWS, status: str | None = "ok", start_time: datetime | str | None = None, end_time: datetime | str | None = None, **given) -> DataFrame:
-    """Rows that meet all given parameters, newest first.
+def matching(results: DataFrame, status: str | None = "ok", start_time: datetime | str | None = None, end_time: datetime | str | None = None, **given) -> DataFrame:
+    """All rows that meet all given parameters.
 
     Equality by EQUAL, inclusive bounds min_ and max_ of RANGES and of the origin time. A row
     without a value never meets a bound on it. status None or "all" takes every row. The
     filters are plain comparisons, so they reach the scan.
     """
-    if not isinstance(limit, int) or not 1 <= limit <= MAX_ROWS:
-        raise InvalidQuery(f"limit must be 1 to {MAX_ROWS}")
     if status not in (None, "all", "ok", "failed"):
         raise InvalidQuery("status must be ok, failed or all")
     bounds = {f"{side}_{c}": (c, side) for c in RANGES for side in ("min", "max")}
@@ -58,8 +56,15 @@ def query_results(results: DataFrame, limit: int = DEFAULT_ROWS, status: str | N
         df = df.filter(F.col("origin_time") >= F.lit(start_time).cast("timestamp"))
     if end_time is not None:
         df = df.filter(F.col("origin_time") <= F.lit(end_time).cast("timestamp"))
+    return df
+
+
+def query_results(results: DataFrame, limit: int = DEFAULT_ROWS, **given) -> DataFrame:
+    """Rows that meet all given parameters, as matching() takes them, newest first."""
+    if not isinstance(limit, int) or not 1 <= limit <= MAX_ROWS:
+        raise InvalidQuery(f"limit must be 1 to {MAX_ROWS}")
     tie = [c for c in ("event_id", "network", "station") if c in results.columns]
-    return df.orderBy(F.desc_nulls_first("origin_time"), *tie).limit(limit)
+    return matching(results, **given).orderBy(F.desc_nulls_first("origin_time"), *tie).limit(limit)
 
 
 def linearity(ratio: Column) -> Column:

@@ -64,11 +64,19 @@ def debounced(stream: DataFrame, wait_s: float, kind: str = "Event") -> DataFram
     return rows.groupBy("key").transformWithStateInPandas(Debounce(int(wait_s * 1000)), OUTPUT, "Append", "ProcessingTime")
 
 
-def debounced_batch(rows: DataFrame, wait_s: float) -> DataFrame:
-    """The same over a table (event_id, ts, key, payload) in event time: the first window of each key, and what came too late."""
+def debounced_batch(rows: DataFrame, wait_s: float, salts: int = 1) -> DataFrame:
+    """The same over a table (event_id, ts, key, payload) in event time: the first window of each key, and what came too late.
+
+    With several salts the rows of one key meet its first time in so many tasks, and are
+    combined there before they come together: a key may hold any share of the rows.
+    """
     first = rows.groupBy("key").agg(F.min("ts").alias("first_seen"))
+    on = ["key"]
+    if salts > 1:
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("ts", "event_id"), F.lit(salts)))
+        first, on = first.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["key", "_salt"]
     inside = F.unix_micros(F.col("ts").cast("timestamp")) < F.unix_micros(F.col("first_seen").cast("timestamp")) + int(wait_s * 1e6)
-    marked = rows.join(first, "key").withColumn("inside", inside)
+    marked = rows.join(first, on).withColumn("inside", inside)
     order = F.when(F.col("inside"), F.struct("ts", "event_id"))
     return marked.groupBy("key", "first_seen").agg(F.max_by("payload", order).alias("payload"), F.count_if("inside").alias("n_updates"), F.count_if(~F.col("inside")).alias("late"))
 

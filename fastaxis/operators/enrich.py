@@ -55,13 +55,16 @@ def as_of(events: DataFrame, epochs: DataFrame, key: str, at: str) -> DataFrame:
 def orientations(picks: DataFrame, channels: DataFrame) -> DataFrame:
     """(pick, orientations): a map from channel code to (azimuth, dip) of the epochs that hold at the pick.
 
-    picks: (pick, station, prefix, at); channels: (station, code, start, end, azimuth, dip). The code
-    begins with the prefix; channels without a start or an orientation don't count; of one code
-    the last epoch does.
+    picks: (pick, station, prefix, at); channels: (station, code, start, end, azimuth, dip); both
+    with the sensor's location, of which none and a blank are the same. The location is equal and the
+    code begins with the prefix; channels without a start or an orientation don't count; of one
+    code the last epoch does.
     """
-    c = channels.filter("start is not null and azimuth is not null and dip is not null")
-    holds = (picks["station"] == c["station"]) & c["code"].startswith(picks["prefix"]) & (c["start"] <= picks["at"]) & (c["end"].isNull() | (c["end"] >= picks["at"]))
-    one = picks.join(c, holds).groupBy(picks["pick"], c["code"]).agg(F.max_by(F.struct("azimuth", "dip"), c["start"]).alias("o"))
+    place = lambda df: F.trim(F.coalesce(df["location"], F.lit(""))) if "location" in df.columns else F.lit("")
+    c = channels.filter("start is not null and azimuth is not null and dip is not null").withColumn("_place", place(channels))
+    p = picks.withColumn("_place", place(picks))
+    holds = (p["station"] == c["station"]) & (p["_place"] == c["_place"]) & c["code"].startswith(p["prefix"]) & (c["start"] <= p["at"]) & (c["end"].isNull() | (c["end"] >= p["at"]))
+    one = p.join(c, holds).groupBy(p["pick"], c["code"]).agg(F.max_by(F.struct("azimuth", "dip"), c["start"]).alias("o"))
     maps = one.groupBy("pick").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("code", "o")))).alias("orientations"))
     return picks.select("pick").distinct().join(maps, "pick", "left")
 

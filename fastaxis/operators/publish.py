@@ -32,6 +32,16 @@ def comments(results: DataFrame, version: str, at: Column) -> DataFrame:
     return rows.select("pick_id", comment_id(F.col("pick_id"), at).alias("comment_id"), payload(rows, version, at).alias("text"))
 
 
+def as_messages(rows: DataFrame) -> DataFrame:
+    """Comments as messages of the bus: the key is the pick, the object's id the comment's."""
+    return rows.select(F.lit("Comment").alias("kind"), F.col("pick_id").alias("key"), F.col("comment_id").alias("object_id"), F.current_timestamp().alias("sent_at"), F.col("text").alias("payload"))
+
+
+def commented(messages: DataFrame) -> DataFrame:
+    """(pick_id): picks that this software's comments were published for, of messages of the bus."""
+    return messages.filter((F.col("kind") == "Comment") & F.col("object_id").contains(MARKER)).select(F.col("key").alias("pick_id")).distinct()
+
+
 def send(rows: DataFrame, path: str, batch: str | None = None) -> bool:
     """Writes comments below a folder; without any, nothing is written and the answer is False.
 

@@ -19,8 +19,9 @@ def comment_id(pick_id: Column, at: Column) -> Column:
 
 
 def payload(results: DataFrame, version: str, at: Column) -> Column:
-    """The comment's text: provenance and rounded values, nulls kept."""
-    value = lambda c, n: F.round(F.col(c), n) if c in results.columns else F.lit(None).cast("double")
+    """The comment's text: provenance and rounded values, nulls kept; what is no finite number is null too."""
+    finite = lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    value = lambda c, n: F.round(finite(F.col(c)), n) if c in results.columns else F.lit(None).cast("double")
     provenance = F.struct(F.lit("fastaxis").alias("software"), F.lit(version).alias("version"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("stored_at"))
     splitting = F.struct(*[value(c, n).alias(name) for name, (c, n) in FIELDS.items()], F.col("quality_class").alias("class"))
     return F.to_json(F.struct(provenance.alias("provenance"), splitting.alias("splitting")), {"ignoreNullFields": "false"})

@@ -114,16 +114,24 @@ def processor(catalogue: Callable[[], Catalogue], measure: Callable[[DataFrame],
     outbox = outbox or Outbox(store.spark, f"{store.path}/outcomes")
     none = store.spark.createDataFrame([], RESULTS)
 
-    def measured(events: DataFrame) -> DataFrame:
+    def measured(events: DataFrame) -> DataFrame | None:
+        """The events' outcomes; None if two of them have a pick in common, as a measurement is known by its pick."""
         found = cut(tasks(events, catalogue(), reprocess))
-        return none if found.isEmpty() else cut(outcomes(found, measure(found), run_id))
+        if found.isEmpty():
+            return none
+        if not found.groupBy("pick_id").count().filter("count > 1").isEmpty():
+            return None
+        return cut(outcomes(found, measure(found), run_id))
 
     def one_by_one(events: DataFrame) -> DataFrame:
         # A micro-batch holds the events of seconds.
         out = none
         for event in events.select("event_id").toLocalIterator():
             try:
-                out = out.unionByName(measured(events.filter(F.col("event_id") == event.event_id)))
+                alone = measured(events.filter(F.col("event_id") == event.event_id))
+                if alone is None:
+                    raise ValueError("a pick occurs twice in the event")
+                out = out.unionByName(alone)
             except Exception:
                 log.exception("event %s failed", event.event_id)
         return out
@@ -140,8 +148,8 @@ def processor(catalogue: Callable[[], Catalogue], measure: Callable[[DataFrame],
                 found = measured(events)
             except Exception:
                 log.exception("batch %s failed; its events are tried one by one", number)
-                found = one_by_one(events)
-            rows = outbox.commit(name, found)
+                found = None
+            rows = outbox.commit(name, one_by_one(events) if found is None else found)
         if not rows.isEmpty():
             derive(rows, store, version, lambda worth: bus.send(publish.as_messages(worth), comments_path, bus.COMMENTS, name))
 

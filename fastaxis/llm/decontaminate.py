@@ -34,6 +34,8 @@ from fastaxis.llm.common import text_bytes
 
 #: Bytes of item text that one automaton takes. Windows of ten words overlap: each byte makes some ten nodes of 32 bytes.
 SHARD_BYTES = 512 << 10
+#: Bytes of documents that are held while the automata of several shards scan them in turn.
+GROUP_BYTES = 32 << 20
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 SPANS = "doc_id long, start long, end long"
 
@@ -94,37 +96,57 @@ def _matchers(key: str, parts: list[Broadcast], window: int) -> Iterator[Matcher
         found = _built.get(key)
         if found is None:
             found = Matcher(part.value, window)
-            part.__dict__.pop("_value", None)  # the items themselves are not needed again
             if len(parts) == 1:
                 _built.clear()
                 _built[key] = found
         yield found
 
 
-def _scan(docs: DataFrame, benchmark: DataFrame, window: int, shard_bytes: int, emit, schema) -> DataFrame:
-    """Scans the texts in the second column; emit(batch, data, normal, offsets, counts, hits) makes the result of a batch."""
+def grouped(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Lists of batches that reach ``most`` bytes each, but for the last."""
+    out, size = [], 0
+    for batch in batches:
+        out.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
+
+
+def _scan(docs: DataFrame, benchmark: DataFrame, window: int, shard_bytes: int, emit, schema, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Scans the texts in the second column; emit(batch, data, normal, offsets, counts, hits) makes the result of a batch.
+
+    The automaton of a single shard is built once a worker. Of several, one is held at a time and scans
+    group_bytes of texts before the next is built: as often as a task has groups, however small its batches are.
+    """
     context = docs.sparkSession.sparkContext
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     parts = [context.broadcast(part) for part in shards(map(tuple, items.toLocalIterator()), shard_bytes)]
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            normal = _NORMAL[data].tobytes()
-            words = lambda i: normal[offsets[i] : offsets[i + 1]].split()
-            hits: dict[int, tuple[np.ndarray, set]] = {}
-            counts = np.fromiter((len(words(i)) for i in range(len(batch))), np.int64, len(batch)) if not parts else np.zeros(len(batch), np.int64)
+        for group in grouped(batches, group_bytes if len(parts) > 1 else 1):
+            texts = []
+            for batch in group:
+                data, offsets = text_bytes(batch.column(1))
+                normal = _NORMAL[data].tobytes()
+                texts.append((batch, data, normal, offsets, np.zeros(len(batch), np.int64), {}))
+                if not parts:
+                    texts[-1][4][:] = np.fromiter((len(normal[lo:hi].split()) for lo, hi in zip(offsets[:-1], offsets[1:], strict=True)), np.int64, len(batch))
             for matcher in _matchers(key, parts, window):
-                for i in range(len(batch)):
-                    w = words(i)
-                    counts[i] = len(w)
-                    hit, found = hits.get(i) or (np.zeros(len(w), bool), set())
-                    before = len(found)
-                    matcher.scan(w, hit, found)
-                    if len(found) > before or hit.any():
-                        hits[i] = hit, found
-            yield from emit(batch, data, normal, offsets, counts, hits)
+                for batch, _, normal, offsets, counts, hits in texts:
+                    for i in range(len(batch)):
+                        w = normal[offsets[i] : offsets[i + 1]].split()
+                        counts[i] = len(w)
+                        hit, found = hits.get(i) or (np.zeros(len(w), bool), set())
+                        before = len(found)
+                        matcher.scan(w, hit, found)
+                        if len(found) > before or hit.any():
+                            hits[i] = hit, found
+            for one in texts:
+                yield from emit(*one)
 
     return docs.mapInArrow(run, schema)
 
@@ -133,7 +155,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = SHARD_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One row per document: its words, its words inside windows of items, the items found."""
     none = hashlib.sha256(b"").hexdigest()
 
@@ -145,7 +167,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard
             n_hit[i], n_items[i], sha[i] = hit.sum(), len(named), hashlib.sha256(",".join(named).encode()).hexdigest()
         yield pa.record_batch([ids, pa.array(counts), pa.array(n_hit), pa.array(n_items), pa.array(sha), pa.array(n_hit > 0)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return _scan(_texts(docs), benchmark, window, shard_bytes, emit, SCHEMA)
+    return _scan(_texts(docs), benchmark, window, shard_bytes, emit, SCHEMA, group_bytes)
 
 
 def hit_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = SHARD_BYTES) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import docs as D
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,6 +245,27 @@ def brute_hits(text, items, window=10):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)
 
 
+@pytest.mark.parametrize("group", [1, 4000, 1 << 20])
+def test_several_automata_scan_several_batches(spark, group):
+    """However texts are grouped, all shards see all of them, each built once a group."""
+    docs, texts = D.frame(spark, D.REPEATED), [t for _, t, *_ in D.rows() if t]
+    items = spark.createDataFrame([(k, " ".join(t.split()[3:16])) for k, t in enumerate(texts) if len(t.split()) > 16], "item_id long, text string")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = sorted(map(tuple, decontaminate.decontaminate(docs, items).collect()), key=repr)
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+        got = sorted(map(tuple, decontaminate.decontaminate(docs, items, shard_bytes=300, group_bytes=group).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert got == want and any(r[5] for r in want) and not all(r[5] for r in want)
+
+
+def test_batches_are_grouped_by_their_bytes():
+    batches = [pa.record_batch([pa.array(["x" * n])], names=["t"]) for n in (10, 10, 100, 10, 500, 1)]
+    groups = [[len(b.column(0)[0].as_py()) for b in g] for g in decontaminate.grouped(batches, 120)]
+    assert groups == [[10, 10, 100], [10, 500], [1]] and list(decontaminate.grouped([], 5)) == []
+
+
 @pytest.mark.parametrize("shard", [1 << 20, 40])
 def test_decontamination(spark, shard):
     items = [(10, "The quick brown fox jumps over the lazy dog and runs away."), (2, "Short one"), (3, None), (4, "..."), (5, "élan VITAL of été"), (2, "Short one")]

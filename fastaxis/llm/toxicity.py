@@ -6,20 +6,22 @@ and the mass set free goes to a smoother model. That of the ordinary class is on
 classes share: its counts are continuation counts, the number of labelled documents of either
 class that an expression turns up in, discounted in turn towards all expressions alike. That
 of the toxic class, which has fewer texts, is the ordinary model. So a rare expression is
-smoothed to what both classes say about it, whichever happens to hold it.
+smoothed to what both classes say about it, whichever happens to hold it. Every discount is
+estimated from the counts of counts, n1 / (n1 + 2 n2) with one added to n1 and two to the
+divisor, so it lies between 0 and 1 and an expression seen once keeps evidence of its own.
 
 A toxic text is mostly ordinary words. Its likelihood is therefore that of an ordinary text
 of which a share SHARE of expressions comes from the toxic model. A document's evidence of each
-order is the difference of its log-likelihoods as a toxic and as an ordinary text, beyond that
-of a text of unseen expressions, normalised by its length (by the root of the words, as sums of
-chance differences grow). A logistic curve over the logarithms of the orders' evidence and of
-the length, fitted on labelled documents outside the models' training, gives the score.
+order is the difference of its log-likelihoods as a toxic and as an ordinary text, with its
+sign, normalised by its length (by the root of the words, as sums of chance differences grow).
+A logistic curve over the orders' evidence on a scale logarithmic at both ends and the length,
+fitted on labelled documents outside the models' training, gives the score.
 
 Labels are used only of rows with crc32(doc_id as text) mod 5 other than 0: those of
 remainder CALIBRATION calibrate (a bounded sample of them, CALIBRATION_ROWS), the others
-and what the sample leaves are counted for the models, all of them. An expression that the toxic class
-doesn't have more often than the discount is, by the formula, as much evidence as an unseen
-one; it counts in all sums and needs no row of its own. All others stand in a written table. The
+and what the sample leaves are counted for the models, all of them. An expression that no toxic
+text has is, by the formula, as much evidence as an unseen one; it counts in all sums and
+needs no row of its own. All others stand in a written table. The
 BROADCAST most frequent are sent to the tasks (5 MB) and summed in the pass over the texts;
 each row's distinct others, screened by a sketch of fixed size, are joined with the table.
 
@@ -41,10 +43,10 @@ from pyspark.sql import functions as F
 
 from fastaxis.llm.common import frequency_cut, hash_sample, is_small, may_hold, mix, remove, sketch, slices, span_hashes, text_bytes, word_spans, written
 
-#: Words of the longest expressions; discounts of the class models and of the shared one; share of toxic expressions in a toxic text.
-ORDER, DISCOUNT, SHARED_DISCOUNT, SHARE = 2, 1.5, 0.75, 0.003
-#: Evidence below which a text counts as having none, in the logarithms of the curve.
-FLOOR = 0.01
+#: Words of the longest expressions; share of toxic expressions in a toxic text.
+ORDER, SHARE = 2, 0.003
+#: Evidence about which the curve's scale turns from linear to logarithmic.
+SCALE = 0.01
 _GAINS = [f"gain_{k}" for k in range(1, ORDER + 1)]
 #: BROADCAST and SKETCH only say which expressions are broadcast, and how well the others are screened before their join.
 BROADCAST, SKETCH = 400_000, 1 << 24
@@ -94,15 +96,21 @@ def counts(labelled: DataFrame) -> DataFrame:
     return local.groupBy("length", "key").agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "docs")])
 
 
+#: Counts of a kind of expression, and how many of them there are: at all, once, twice.
+_COUNTED = ("c0", "c1", "docs")
+_SUMS = [*_COUNTED, *[f"{n}_{c}" for c in _COUNTED for n in ("some", "once", "twice")]]
+
+
 def gathered(seen: DataFrame) -> DataFrame:
-    """The counts of expressions that toxic texts have more often than the discount, one by one, and the sums of all others under a null key.
+    """The counts of expressions that toxic texts have, one by one, and the sums of all others under a null key."""
+    has = lambda test: F.when(test, F.lit(1)).otherwise(F.lit(0))
+    of_counts = [x for c in _COUNTED for x in (has(F.col(c) > 0).alias(f"some_{c}"), has(F.col(c) == 1).alias(f"once_{c}"), has(F.col(c) == 2).alias(f"twice_{c}"))]
+    rows = seen.select("length", F.when(F.col("c1") > 0, F.col("key")).alias("key"), *_COUNTED, *of_counts)
+    return rows.groupBy("length", "key").agg(*[F.sum(c).alias(c) for c in _SUMS])
 
-    m0 and m1 are what the discount sets free, kinds the number of expressions.
-    """
-    own = F.col("c1") > DISCOUNT
-    freed = [F.least(F.col(f"c{k}").cast("double"), F.lit(DISCOUNT)).alias(f"m{k}") for k in (0, 1)]
-    rows = seen.select("length", F.when(own, F.col("key")).alias("key"), "c0", "c1", "docs", *freed, F.lit(1).alias("kinds"))
-    return rows.groupBy("length", "key").agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "docs", "m0", "m1", "kinds")])
+
+def discount(once: float, twice: float) -> float:
+    return (once + 1) / (once + 2 * twice + 2)
 
 
 class Model:
@@ -114,16 +122,18 @@ class Model:
 
     def __init__(self, labelled: DataFrame):
         table = written(gathered(counts(labelled)), "expressions")
-        totals = {r["length"]: r.asDict() for r in table.groupBy("length").agg(*[F.sum(c).cast("double").alias(c) for c in ("c0", "c1", "docs", "m0", "m1", "kinds")]).collect()}
+        totals = {r["length"]: r.asDict() for r in table.groupBy("length").agg(*[F.sum(c).cast("double").alias(c) for c in _SUMS]).collect()}
         self.unseen, value = np.zeros(ORDER), F.lit(None).cast("double")
         for k, t in totals.items():
             if not (t["c0"] and t["c1"]):
                 continue
-            left = [t[f"m{c}"] / t[f"c{c}"] for c in (0, 1)]
-            self.unseen[k - 1] = np.log(1 - SHARE + SHARE * left[1])
-            shared = (F.col("docs") - SHARED_DISCOUNT) / t["docs"] + SHARED_DISCOUNT * t["kinds"] / t["docs"] / (t["kinds"] + 1)
-            ordinary = (F.col("c0") - F.col("m0")) / t["c0"] + left[0] * shared
-            ratio = (F.col("c1") - F.col("m1")) / t["c1"] / ordinary + left[1]
+            less = {c: discount(t[f"once_{c}"], t[f"twice_{c}"]) for c in _COUNTED}
+            left = {c: less[c] * t[f"some_{c}"] / t[c] for c in _COUNTED}
+            kept = lambda c: F.greatest(F.col(c) - F.lit(less[c]), F.lit(0.0)) / t[c]  # noqa: B023, E731
+            self.unseen[k - 1] = np.log(1 - SHARE + SHARE * left["c1"])
+            shared = kept("docs") + left["docs"] / (t["some_docs"] + 1)
+            ordinary = kept("c0") + left["c0"] * shared
+            ratio = kept("c1") / ordinary + left["c1"]
             value = F.when(F.col("length") == k, F.log(1 - SHARE + SHARE * ratio) - float(self.unseen[k - 1])).otherwise(value)
         every = table.filter("key is not null").select("key", "length", (F.col("c0") + F.col("c1")).alias("n"), value.alias("value")).filter("value is not null")
         cut = frequency_cut(every, "n", BROADCAST)
@@ -211,13 +221,24 @@ def curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return weights / scale
 
 
-def calibrated(found: DataFrame) -> np.ndarray:
+def evidence(model: Model) -> list[Column]:
+    """Of compared() rows each order's whole difference of log-likelihoods by the root of the words, scaled."""
+    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    return [F.asinh(difference(model, k) / F.sqrt(n) / SCALE) for k in range(ORDER)]
+
+
+def difference(model: Model, k: int) -> Column:
+    return F.col(_GAINS[k]) + F.greatest(F.col("n_words") - k, F.lit(0)) * float(model.unseen[k])
+
+
+def calibrated(found: DataFrame, model: Model) -> np.ndarray:
     """The logistic curve over compared() rows with their labels, of which a bounded number is read."""
+    found = found.select("doc_id", "toxic", "n_words", *[x.alias(g) for x, g in zip(evidence(model), _GAINS, strict=True)])
     rows = hash_sample(found, "doc_id", 2 * CALIBRATION_ROWS, 0).toArrow()
     n, y, *gains = (np.asarray(rows[c].combine_chunks(), np.float64) for c in ("n_words", "toxic", *_GAINS))
     if 0 < y.sum() < len(y):
         n = np.maximum(n, 1)
-        return curve(np.stack([np.ones(len(n)), *(np.log(FLOOR + np.maximum(g, 0) / np.sqrt(n)) for g in gains), np.log(n)], 1), y)
+        return curve(np.stack([np.ones(len(n)), *gains, np.log(n)], 1), y)
     share = np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9)
     return np.array([np.log(share / (1 - share)), *[0.0] * (ORDER + 1)])
 
@@ -233,11 +254,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if total > CALIBRATION_ROWS:
         apart &= F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < (1 << 40) * CALIBRATION_ROWS // total
     model = Model(labelled.filter(~apart))
-    weights = calibrated(compared(labelled.filter(apart), model, ["doc_id", "toxic"]))
+    weights = calibrated(compared(labelled.filter(apart), model, ["doc_id", "toxic"]), model)
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    evidence = [F.log(FLOOR + F.greatest(F.col(g), F.lit(0.0)) / F.sqrt(n)) for g in _GAINS]
-    z = F.lit(float(weights[0])) + sum((x * float(w) for x, w in zip([*evidence, F.log(n)], weights[1:], strict=True)), F.lit(0.0))
+    z = F.lit(float(weights[0])) + sum((x * float(w) for x, w in zip([*evidence(model), F.log(n)], weights[1:], strict=True)), F.lit(0.0))
     out = compared(docs, model, ["doc_id"]).withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z)))))
-    counts = [F.greatest(F.col("n_words") - k, F.lit(0)) for k in range(ORDER)]
-    gap = sum((F.col(g) + c * float(u) for g, c, u in zip(_GAINS, counts, model.unseen, strict=True)), F.lit(0.0))
+    gap = sum((difference(model, k) for k in range(ORDER)), F.lit(0.0))
     return out.select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", gap.alias("gap"))

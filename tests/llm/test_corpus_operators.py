@@ -342,24 +342,30 @@ def test_pipeline_joins_five_word_shingles(spark, tmp_path):
     assert sorted(r.doc_id for r in got.collect()) == sorted(i for i in sets if root(i) == i)
 
 
-def brute_gaps(rows, texts, order=2, d=1.5, ds=0.75, share=toxicity.SHARE):
+def brute_gaps(rows, texts, order=2, share=toxicity.SHARE):
     """Each text's log-likelihood as a toxic less that as an ordinary text, by the definition of the models."""
     grams = lambda t, k: [tuple(t.split()[i : i + k]) for i in range(len(t.split()) - k + 1)]
+
+    def discount(counts):
+        once, twice = (sum(v == m for v in counts.values()) for m in (1, 2))
+        return (once + 1) / (once + 2 * twice + 2)
+
     out = [0.0] * len(texts)
     for k in range(1, order + 1):
         count = [Counter(g for t, y in rows if y == c for g in grams(t, k)) for c in (0, 1)]
         docs = Counter(g for t, _ in rows for g in set(grams(t, k)))
-        n, free = [sum(c.values()) for c in count], [sum(min(r, d) for r in c.values()) for c in count]
+        n, d, ds = [sum(c.values()) for c in count], [discount(c) for c in count], discount(docs)
+        assert all(0 < x < 1 for x in (*d, ds))
 
         def ordinary(g):
             shared = (docs[g] - ds + ds * len(docs) / (len(docs) + 1)) / sum(docs.values())
-            return (max(0, count[0][g] - d) + free[0] * shared) / n[0]
+            return (max(0, count[0][g] - d[0]) + d[0] * len(count[0]) * shared) / n[0]
 
         def toxic(g):
-            return (max(0, count[1][g] - d) + free[1] * ordinary(g)) / n[1]
+            return (max(0, count[1][g] - d[1]) + d[1] * len(count[1]) * ordinary(g)) / n[1]
 
         for i, t in enumerate(texts):
-            out[i] += sum(np.log(1 - share + share * (toxic(g) / ordinary(g) if g in docs else free[1] / n[1])) for g in grams(t, k))
+            out[i] += sum(np.log(1 - share + share * (toxic(g) / ordinary(g) if g in docs else d[1] * len(count[1]) / n[1])) for g in grams(t, k))
     return out
 
 
@@ -378,6 +384,15 @@ def test_toxicity_by_brute_force(spark, monkeypatch):
             assert (got[i].n_words, got[i].gap) == (len(t.split()), pytest.approx(gap, abs=1e-4))
 
 
+def test_expressions_of_one_toxic_text_have_their_rows(spark):
+    """No count is cut: every expression that a toxic text of the models' folds holds stands in the table with a value of its own."""
+    rnd = random.Random(11)
+    rows = [(D.prose(rnd, 40), int(i % 4 == 0)) for i in range(60)]
+    model = toxicity.Model(spark.createDataFrame(rows, "text string, toxic int"))
+    held = {tuple(t.split()[i : i + k]) for t, y in rows if y for k in (1, 2) for i in range(41 - k)}
+    assert len(model.keys) == len(held) and model.rest is None and (model.value > 0).mean() > 0.9
+
+
 def test_toxicity_hears_phrases(spark):
     """Toxic texts of ordinary words only: what tells them apart is which stand together."""
     rnd, texts = random.Random(5), []

@@ -38,8 +38,10 @@ _SEEDS = {
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What may turn out as an identifier: a number of 8 digits or more however grouped; a name and a domain around an at sign or its paraphrase.
-_NUMBER = r"(?<![0-9])[0-9](?:[\x20()\[\]./_-]{0,3}[0-9]){7,}+"
+#: What may turn out as an identifier: a number of 8 to 19 digits however grouped, or one of four parts as addresses have
+#: (these may have four digits only); a name and a domain around an at sign or its paraphrase.
+_NUMBER = r"(?<![0-9])[0-9](?:[\x20()\[\]./_-]{0,3}[0-9]){3,}+"
+_FOUR_PARTS = r"^[0-9]{1,3}(?:[^0-9]+[0-9]{1,3}){3}\z"
 _ADDRESS = r"(?<![^\s@\[(])[^\s@\[(]++(?:@|\x20?[\[(]at[\])]\x20?)[^\s@]++"
 _MARK = "\x01"
 _FOUND = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
@@ -137,8 +139,8 @@ def scanned(docs: DataFrame) -> DataFrame:
         seeds.append((found if _VALID[kind] is None else F.filter(found, _VALID[kind])).alias(kind))
     df = df.select("doc_id", *seeds, matches(F.col("t"), _NUMBER, numeric).alias("number"), matches(F.col("t"), _ADDRESS, F.contains("t", F.lit("@")) | F.contains("t", F.lit("at]")) | F.contains("t", F.lit("at)"))).alias("address"))
     apart = lambda c, *kinds: F.filter(c, lambda x: ~functools.reduce(lambda a, b: a | b, [overlaps(F.col(k), x) for k in kinds]))
-    fits = F.filter(F.col("number"), lambda x: F.length(digits(x["value"])).between(8, 19))
-    return df.select(F.monotonically_increasing_id().alias("row"), "doc_id", *KINDS, apart(fits, *KINDS).alias("number"), apart(F.col("address"), *KINDS, "number").alias("address"))
+    able = F.filter(F.col("number"), lambda x: F.length(digits(x["value"])).between(8, 19) | x["value"].rlike(_FOUR_PARTS))
+    return df.select(F.monotonically_increasing_id().alias("row"), "doc_id", *KINDS, apart(able, *KINDS).alias("number"), apart(F.col("address"), *KINDS, "number").alias("address"))
 
 
 def patterns_of(x: Column) -> Column:
@@ -203,8 +205,9 @@ def _confidence(graph: DataFrame, turns: int) -> DataFrame:
 
 
 def fits(value: str) -> Column:
-    """Only kinds that fit: an address can't be a number of any kind, nor the other way round."""
-    return (F.col("kind") == "email") == F.col(value).rlike(r"@|at[\])]")
+    """Only kinds that fit: an address can't be a number of any kind, nor the other way round; a number of fewer than 8 digits can only be an ip."""
+    short = F.length(digits(F.col(value))) < 8
+    return F.when(F.col(value).rlike(r"@|at[\])]"), F.col("kind") == "email").otherwise((F.col("kind") != "email") & ((F.col("kind") == "ip") | ~short))
 
 
 def find(docs: DataFrame, turns: int = TURNS, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS, small: int = 20_000) -> DataFrame:

@@ -87,6 +87,23 @@ def test_personal_data_that_no_seed_matches(spark):
     assert all(found[i] == {""} for i in range(1000, 1100))
 
 
+def test_personal_data_of_few_digits(spark):
+    """Addresses of four short parts are found as others are; a short number of another shape or in another place is none."""
+    import random
+
+    rnd = random.Random(22)
+    line = lambda value, tail="were dropped": f"{D.prose(rnd, 9)} requests that came from {value} {tail} {D.prose(rnd, 9)}"
+    texts = [(i, line(".".join(str(rnd.randint(1, 250)) for _ in range(4)))) for i in range(60)]
+    unseen = [f"{rnd.randint(1, 9)}[.]{rnd.choice([0, 7, 31])}[.]0[.]{rnd.randint(1, 40)}" for _ in range(20)] + ["10[.]0[.]0[.]1", "1 - 2 - 3 - 4"]
+    texts += [(100 + i, line(v)) for i, v in enumerate(unseen)]
+    others = ["2024", "12 34", "1[.]2[.]3", "1[.]2[.]3[.]4[.]5", "1234[.]1[.]1[.]1"]
+    texts += [(200 + i, line(v)) for i, v in enumerate(others)] + [(300, f"{D.prose(rnd, 9)} version 10[.]0[.]0[.]1 is out {D.prose(rnd, 9)}")]
+    found = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    of = dict(texts)
+    assert sum(found[100 + i] == f"ip:{of[100 + i].index(v)}:{of[100 + i].index(v) + len(v)}" for i, v in enumerate(unseen)) >= 0.9 * len(unseen)
+    assert all(found[200 + i] == "" for i in range(len(others))) and found[300] == ""
+
+
 def test_personal_data_of_long_texts(spark):
     """Time grows with the matches, not with their square; offsets hold across the blocks in which they are located."""
     import time

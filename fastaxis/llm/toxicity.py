@@ -22,7 +22,7 @@ remainder CALIBRATION calibrate (a bounded sample of them, CALIBRATION_ROWS), th
 and what the sample leaves are counted for the models, all of them. An expression that no toxic
 text has is, by the formula, as much evidence as an unseen one; it counts in all sums and
 needs no row of its own. All others stand in a written table. The
-BROADCAST most frequent are sent to the tasks (5 MB) and summed in the pass over the texts;
+frequent ones, BROADCAST at most, are sent to the tasks (5 MB) and summed in the pass over the texts;
 each row's distinct others, screened by a sketch of fixed size, are joined with the table.
 
 Defined results: null is an empty text; a text without words gets the score of no evidence;
@@ -48,8 +48,9 @@ ORDER, SHARE = 2, 0.003
 #: Evidence about which the curve's scale turns from linear to logarithmic.
 SCALE = 0.01
 _GAINS = [f"gain_{k}" for k in range(1, ORDER + 1)]
-#: BROADCAST and SKETCH only say which expressions are broadcast, and how well the others are screened before their join.
-BROADCAST, SKETCH = 400_000, 1 << 24
+#: COMMON, BROADCAST and SKETCH only say which expressions are broadcast (those seen COMMON times or more, so that rarer ones
+#: are joined at every size, and at most so many), and how well the others are screened before their join.
+COMMON, BROADCAST, SKETCH = 3, 400_000, 1 << 26
 CALIBRATION_ROWS, CALIBRATION = 50_000, 1
 #: Labels up to so many are broadcast to the documents; more are joined by a shuffle.
 SMALL_LABELS = 2_000_000
@@ -136,7 +137,7 @@ class Model:
             ratio = kept("c1") / ordinary + left["c1"]
             value = F.when(F.col("length") == k, F.log(1 - SHARE + SHARE * ratio) - float(self.unseen[k - 1])).otherwise(value)
         every = table.filter("key is not null").select("key", "length", (F.col("c0") + F.col("c1")).alias("n"), value.alias("value")).filter("value is not null")
-        cut = frequency_cut(every, "n", BROADCAST)
+        cut = (F.col("n") >= COMMON) & frequency_cut(every, "n", BROADCAST)
         common = every.filter(cut).select("key", "value").toArrow()
         keys = np.asarray(common["key"].combine_chunks(), _I).astype(_U)
         order = np.argsort(keys)

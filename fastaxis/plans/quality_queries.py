@@ -122,7 +122,7 @@ SQL["q_calinski"] = f"""WITH {_MOMENTS}, t AS (SELECT grp, count(*) AS k, sum(n)
 
 
 def q_agglomerative(spark, sf_dir):
-    """Cuts of one Ward dendrogram per station and order month of measurements; no SQL form."""
+    """Cuts of a Ward dendrogram for each run of 60 windows of a group of measurements, as a pick's windows are; no SQL form."""
     m = tables.measures(spark, sf_dir).withColumn("grp", F.col("grp") * 100 + F.floor(F.col("window_idx") / 60))
     labels = clustering.cuts(clustering.scaled(m, {"dt": "x", "phi": "y"}), "x", "y", k_max=6)
     return labels.groupBy("grp", "k", "cluster").agg(F.count("*").alias("n"), F.min("window_idx").alias("first"))

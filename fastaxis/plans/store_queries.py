@@ -88,7 +88,7 @@ SQL["q_s_phase_filter"] = """WITH a AS (SELECT o_custkey AS key, arg_max(CASE o_
 
 
 def q_anti_processed(spark, sf_dir):
-    """Orders that no line published, of one month's lines."""
+    """Orders of which no returned line stands for a published result; all orders, all lines."""
     picks = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pick"), F.col("o_custkey").alias("station"))
     done = tables.table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == "R").select(F.col("l_orderkey").alias("pick"))
     return enrich.unprocessed(picks, done, "pick")

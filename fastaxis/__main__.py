@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import argparse
 import logging.config
+import os
 import sys
 from collections.abc import Sequence
 
@@ -91,6 +92,7 @@ def run(spark, args: argparse.Namespace, config: Settings) -> None:
 
     from fastaxis.operators import publish
     from fastaxis.operators.outbox import Outbox
+    from fastaxis.operators.relational import Database
     from fastaxis.operators.store import Store
     from fastaxis.plans import picks, service
     from fastaxis.sources import archive, bus, velocity
@@ -110,7 +112,9 @@ def run(spark, args: argparse.Namespace, config: Settings) -> None:
         published = own if others is None else own.unionByName(others.select("pick_id"))
         return service.Catalogue(*[table(n) for n in ("origins", "magnitudes", "arrivals", "picks", "stations")], published, table("channels", False))
 
-    store, outbox = Store(spark, args.store), Outbox(spark, f"{args.store.rstrip('/')}/outcomes")
+    # Results go to a database where the environment names one; the outbox is a folder in any case.
+    store = Database.of(spark, os.environ) if "POSTGRES_HOST" in os.environ else Store(spark, args.store)
+    outbox = Outbox(spark, f"{args.store.rstrip('/')}/outcomes")
     store.init()
     number = store.begin_run(VERSION, config)
     model = velocity.profile(velocity.layers(spark, config.velocity_model.path))

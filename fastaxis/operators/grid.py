@@ -62,8 +62,8 @@ def rotated(m: DataFrame, prefix: str, angles: DataFrame) -> DataFrame:
     return m.crossJoin(F.broadcast(angles)).withColumns({"ff": ff, "ss": ss, "fs": fs})
 
 
-def angles(spark, first: int = -90, last: int = 89) -> DataFrame:
-    """The trial axes, a degree apart: a table of fixed size."""
+def angles(spark, first: int = -90, last: int = 90) -> DataFrame:
+    """The trial axes, a degree apart: a table of fixed size. Both ends are the same axis, so that extents reach from one to the other."""
     phi = spark.range(first, last + 1).select(F.col("id").cast("int").alias("phi"))
     return phi.select("phi", F.cos(F.radians("phi")).alias("c"), F.sin(F.radians("phi")).alias("s"))
 

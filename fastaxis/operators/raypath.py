@@ -121,11 +121,11 @@ class Rays:
         down = np.zeros_like(up) if turns is None else np.where((k >= shell[:, None]) & (k <= turns[:, None]), 2 * e, 0.0)
 
         def summed(part):
-            def of(p: np.ndarray) -> np.ndarray:
+            def of(p: np.ndarray, rows=slice(None)) -> np.ndarray:
                 q = p[:, None]
-                out = (up * (part(q, u_top) - part(q, bottom))).sum(axis=1)
+                out = (up[rows] * (part(q, u_top) - part(q, bottom[rows]))).sum(axis=1)
                 # Where a ray turns, the part down to the slowness p is nothing.
-                return out if turns is None else out + (down * (part(q, top) - part(q, u_bottom))).sum(axis=1)
+                return out if turns is None else out + (down[rows] * (part(q, top[rows]) - part(q, u_bottom))).sum(axis=1)
 
             return of
 
@@ -133,19 +133,46 @@ class Rays:
         return limit, summed(self._angle), summed(self._delay)
 
     @staticmethod
-    def _bisected(reach, angle: np.ndarray, short: np.ndarray, far: np.ndarray) -> np.ndarray:
-        """The p at which a path reaches its angle, between a p that falls short of it and one that doesn't."""
-        for _ in range(48):
-            p = (short + far) / 2
-            less = reach(p) < angle
-            short, far = np.where(less, p, short), np.where(less, far, p)
-        return (short + far) / 2
+    def _solved(reach, angle: np.ndarray, short: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """The p at which a path reaches its angle, between a p that falls short of it and one that doesn't.
+
+        Chandrupatla's method: inverse quadratic interpolation where three points lie well for
+        it, else a bisection. Only rows that are not settled are traced again.
+        """
+        row = np.arange(len(angle))
+        out = (short + far) / 2
+        tiny = np.finfo(float).tiny
+        x1, x2 = far.astype(float), short.astype(float)
+        # The ends have the signs they stand for: where rounding says otherwise, the search closes in on that end.
+        f1, f2 = np.maximum(reach(x1) - angle, tiny), np.minimum(reach(x2) - angle, -tiny)
+        width, t = np.abs(far - short) * 2.0**-48, np.full(len(angle), 0.5)
+        for _ in range(100):
+            if not len(row):
+                break
+            x = x1 + t * (x2 - x1)
+            f = reach(x, row) - angle[row]
+            same = (f < 0) == (f1 < 0)
+            x3, f3 = np.where(same, x1, x2), np.where(same, f1, f2)
+            x2, f2 = np.where(same, x2, x1), np.where(same, f2, f1)
+            x1, f1 = x, f
+            out[row] = np.where(np.abs(f1) <= np.abs(f2), x1, x2)
+            span = np.abs(x2 - x1)
+            least = np.maximum(width[row], 4e-16 * np.abs(x1))
+            go = (span > 2 * least) & (f1 != 0)
+            row, x1, x2, x3, f1, f2, f3, span, least = (v[go] for v in (row, x1, x2, x3, f1, f2, f3, span, least))
+            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                xi, phi = (x1 - x2) / (x3 - x2), (f1 - f2) / (f3 - f2)
+                bent = f1 / (f2 - f1) * f3 / (f2 - f3) + (x3 - x1) / (x2 - x1) * f1 / (f3 - f1) * f2 / (f3 - f2)
+                t = np.where((phi * phi < xi) & ((1 - phi) ** 2 < 1 - xi) & np.isfinite(bent), bent, 0.5)
+            t = np.clip(t, least / span, 1 - least / span)
+        return out
 
     def upward(self, depth: np.ndarray, angle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(p, seconds) of the rays that leave upward; NaN where none gets so far."""
         limit, reach, delay = self._path(*self._source(depth))
         possible = angle <= reach(limit)
-        p = self._bisected(reach, angle, np.zeros(len(depth)), limit)
+        # Straight up every path is of no angle at a source on the surface: the ray is the vertical one.
+        p = np.where(angle > 0, self._solved(reach, angle, np.zeros(len(depth)), limit), 0.0)
         return np.where(possible, p, np.nan), np.where(possible, delay(p) + p * angle, np.nan)
 
     def downward(self, depth: np.ndarray, angle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +202,7 @@ class Rays:
         if not len(row):
             return found_p, found_t
         _, reach, delay = self._path(shell[row], u_source[row], turns)
-        p = self._bisected(reach, angle[row], np.where(rising, one, two), np.where(rising, two, one))
+        p = self._solved(reach, angle[row], np.where(rising, one, two), np.where(rising, two, one))
         time = delay(p) + p * angle[row]
         order = np.lexsort((time, row))
         best = order[np.concatenate([[True], row[order][1:] != row[order][:-1]])]

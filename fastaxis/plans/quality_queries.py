@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fastaxis.functions import geometry as g
+from fastaxis.functions import surface
 from fastaxis.operators import clustering, quality
 from fastaxis.plans.views import MEASURES
 from fastaxis.sources import tables
@@ -24,6 +25,16 @@ _QUALITY = f"""{MEASURES}, d AS (SELECT *, CASE WHEN dt = 0 THEN 0 ELSE rc_dt /
 SQL["q_quality_index"] = f"WITH {_QUALITY} SELECT grp, window_idx, round(qwin, 6) AS qwin, round(delta, 6) AS delta, round(omega, 6) AS omega, CASE WHEN round(qwin, 9) >= 0.75 THEN 'Good Split' WHEN round(qwin, 9) <= -0.75 THEN 'Good Null' ELSE 'Poor/Noise' END AS class FROM x"
 
 
+def q_sql_quality(spark, sf_dir):
+    """The quality index from SQL text."""
+    surface.register(spark)
+    text = "SELECT grp, window_idx, quality_index(rc_phi, rc_dt, phi, dt) AS q, delay_ratio(rc_dt, dt) AS d, axis_difference(rc_phi, phi) AS o FROM {m}"
+    return spark.sql(f"SELECT grp, window_idx, round(q, 6) AS qwin, round(d, 6) AS delta, round(o, 6) AS omega, quality_class(round(q, 9), {GAMMA}) AS class FROM ({text})", m=tables.measures(spark, sf_dir))
+
+
+SQL["q_sql_quality"] = SQL["q_quality_index"]
+
+
 def q_event_quality(spark, sf_dir):
     m = tables.measures(spark, sf_dir)
     w = quality.window_quality(m.filter("cluster = 1"), GAMMA)

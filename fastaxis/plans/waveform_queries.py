@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fastaxis.functions import geometry as g
+from fastaxis.functions import surface
 from fastaxis.operators import grid, waveform, windows
 from fastaxis.plans import pipeline
 from fastaxis.plans.views import MEASURES, RESULTS, TRACES
@@ -33,6 +34,17 @@ SQL["q_qc_flags"] = f"""WITH {TRACES}, p AS (SELECT rec, comp, max(abs(v)) AS m
  SELECT rec, n_channels, CASE WHEN n_channels < 3 THEN 'fewer than three channels' WHEN lowest <= 1e-6 THEN 'dead sensor' WHEN 100 - 100 * h0 / h1 > 30 THEN 'horizontal amplitudes differ' END AS reason FROM r"""
 
 
+def q_sql_lattice(spark, sf_dir):
+    """Every record's analysis windows, from SQL text: a lateral join with the lattice."""
+    surface.register(spark)
+    picks = tables.traces(spark, sf_dir).filter("comp = 'Z'").select("rec", (F.col("rec") % 50 / 10).alias("at"))
+    return spark.sql("SELECT rec, window_idx, round(t0, 6) AS t0, round(t1, 6) AS t1 FROM {p}, LATERAL window_lattice(at, max_delay => 0.4)", p=picks)
+
+
+SQL["q_sql_lattice"] = f"""WITH {TRACES}, w AS (SELECT a, b, -0.1::DOUBLE - a * 0.05::DOUBLE AS t0, 0.1::DOUBLE + b * 0.01::DOUBLE AS t1 FROM range(10) x(a), range(20) y(b)), k AS (SELECT t0, t1, (row_number() OVER (ORDER BY round(t1 - t0, 9), a, b) - 1)::INTEGER AS window_idx FROM w WHERE t0 >= -0.5 - 1e-9 AND t1 <= 0.4 + 1e-9 AND t1 - t0 > 0.4 + 1e-6)
+ SELECT rec, window_idx, round(t0 + rec % 50 / 10.0::DOUBLE, 6) AS t0, round(t1 + rec % 50 / 10.0::DOUBLE, 6) AS t1 FROM v_traces, k WHERE comp = 'Z'"""
+
+
 def q_horizontal_spread(spark, sf_dir):
     return waveform.quality_flags(tables.traces(spark, sf_dir), F.col("comp") != "Z").select("rec", F.round("spread", 6).alias("spread"))
 
@@ -154,7 +166,7 @@ _WINDOWS = "w AS (SELECT a * 4 + b AS window_idx, 24 - (4 + 2 * a) AS i0, 24 + 1
 _ONE = f"w AS (SELECT 0 AS window_idx, {I0} AS i0, {I1} AS i1)"
 _LAGGED = f"""l AS (SELECT h.rec, w.window_idx, td, h.n AS x, h.e AS y, d.n AS u, d.e AS w FROM v_hor h, range({MAX_LAG + 1}) t(td), w, v_hor d WHERE h.i >= i0 AND h.i < i1 AND d.rec = h.rec AND d.i = h.i + td),
 m AS (SELECT rec, window_idx, td, count(*) AS n, var_samp(x) AS xx, var_samp(y) AS yy, covar_samp(x, y) AS xy, var_samp(u) AS uu, var_samp(w) AS ww, covar_samp(u, w) AS uw, covar_samp(x, u) AS xu, covar_samp(x, w) AS xw, covar_samp(y, u) AS yu, covar_samp(y, w) AS yw FROM l GROUP BY rec, window_idx, td)"""
-_ANGLES = "ang AS (SELECT phi, cos(radians(phi)) AS c, sin(radians(phi)) AS s FROM range(-90, 90) t(phi))"
+_ANGLES = "ang AS (SELECT phi, cos(radians(phi)) AS c, sin(radians(phi)) AS s FROM range(-90, 91) t(phi))"
 _GRID = f"""{_ANGLES}, g AS (SELECT rec, window_idx, n, td, phi, c * c * xx + 2 * c * s * xy + s * s * yy AS ff, s * s * uu - 2 * c * s * uw + c * c * ww AS ss, -c * s * xu + c * c * xw - s * s * yu + c * s * yw AS fs FROM m, ang),
 o AS (SELECT *, greatest((ff + ss - sqrt((ff - ss) ** 2 + 4 * fs * fs)) / (ff + ss + sqrt((ff - ss) ** 2 + 4 * fs * fs)), 0.0) AS ev, abs(fs) / sqrt(ff * ss) AS rc FROM g)"""
 
@@ -216,12 +228,12 @@ def q_rc_extent(spark, sf_dir):
     moments = grid.moments(_sums(spark, sf_dir, _one(spark)))
     cells = grid.rotated(moments, "c_", grid.angles(spark))
     top = cells.groupBy("rec", "window_idx").agg(F.max(F.round(grid.rc_objective(), 9)).alias("c"))
-    level = top.select("rec", "window_idx", g.fisher_lower(F.col("c"), F.lit(180 * (MAX_LAG + 1) - 1)).alias("level"))
+    level = top.select("rec", "window_idx", g.fisher_lower(F.col("c"), F.lit(181 * (MAX_LAG + 1) - 1)).alias("level"))
     e = grid.extents(grid.rotated(moments.join(level, ["rec", "window_idx"]), "c_", grid.angles(spark)), rc=(grid.rc_objective(), "level"))
     return e.select("rec", F.round("rc_phi_err", 6).alias("phi_err"), F.round("rc_lag_err", 6).alias("lag_err"))
 
 
-SQL["q_rc_extent"] = f"""WITH {TRACES}, {_ONE}, {_LAGGED}, {_GRID}, lv AS (SELECT rec, tanh(atanh(max(round(rc, 9))) - 1.6448536269514722 / sqrt({180 * (MAX_LAG + 1) - 1 - 3}.0)) AS level FROM o GROUP BY rec)
+SQL["q_rc_extent"] = f"""WITH {TRACES}, {_ONE}, {_LAGGED}, {_GRID}, lv AS (SELECT rec, tanh(atanh(max(round(rc, 9))) - 1.6448536269514722 / sqrt({181 * (MAX_LAG + 1) - 1 - 3}.0)) AS level FROM o GROUP BY rec)
  SELECT o.rec, round((max(phi) - min(phi)) / 4.0::DOUBLE, 6) AS phi_err, round((max(td) - min(td)) / 4.0::DOUBLE, 6) AS lag_err FROM o JOIN lv ON o.rec = lv.rec WHERE round(rc, 9) <= round(level, 9) GROUP BY o.rec"""
 
 

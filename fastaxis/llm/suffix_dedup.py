@@ -4,7 +4,8 @@ A global suffix array needs all texts in one place. This one is built in pieces
 together what can repeat: of the ``GRAM``-byte grams in each ``length``-byte window, the one
 with the least hash is the window's anchor, so equal windows have equal anchors at equal
 places. An anchor's context is the text of the windows that it anchors (at most 2 * length -
-GRAM bytes). Contexts are dealt by the anchor's hash:
+GRAM bytes). Contexts are dealt by the anchor's hash, those of an anchor that occurs more
+than BLOCK times by their own hash too, so that no task holds all of a frequent one's:
 
 * an equal context at a smaller place covers all of a context; this is settled within each
   Arrow batch first, so that a passage that many documents share is sent once a batch;
@@ -65,8 +66,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     sums = prefix_sums(data)
     at = np.arange(n - GRAM + 1)
     grams = between(sums, at, at + GRAM)
-    # The order is by 34 bits of the hash, then by place.
-    least = (mix(grams) >> _U(30) << _U(30)) | at.astype(_U)
+    # The order is by 33 bits of the hash, then by place: a text of Spark's has less than 2^31 bytes.
+    least = (mix(grams) >> _U(31) << _U(31)) | at.astype(_U)
     width = 1
     while 2 * width <= span:
         least = np.minimum(least[:-width], least[width:])
@@ -78,7 +79,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     if not len(doc):
         return nothing
     window = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(offsets[:-1], sizes)
-    anchor = (least[window] & _U((1 << 30) - 1)).astype(_I)
+    anchor = (least[window] & _U((1 << 31) - 1)).astype(_I)
     cut = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
     count = np.diff(np.concatenate([cut, [len(doc)]]))
     first = window[cut]
@@ -138,16 +139,19 @@ def _anchored(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _settled(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Covered ranges of equal contexts; one context of each kind for anchors that have several. Rows come in order; only the last row's state is held."""
+    """Covered ranges of equal contexts; one context of each kind for anchors that have several. Rows come in order; only the last row's state is held.
+
+    A divided anchor's other contexts can be elsewhere: each of its kinds gives one.
+    """
     last: tuple[int, int] | None = None  # the anchor and context of the row before
     single: tuple | None = None  # the first context of the last anchor, while it is the only one
     for batch in batches:
         if not len(batch):
             continue
-        gram, context, doc, at, to, kind = (np.asarray(batch.column(i)) for i in range(6))
+        gram, context, doc, at, to, kind, divided = (np.asarray(batch.column(i)) for i in range(7))
         done = kind == 0
         yield _batch((gram[done], context[done], doc[done], at[done], to[done]), 0)
-        gram, context, doc, at, to = (c[~done].astype(_I) for c in (gram, context, doc, at, to))
+        gram, context, doc, at, to, divided = (c[~done].astype(_I) for c in (gram, context, doc, at, to, divided))
         if not len(gram):
             continue
         before = last or (~int(gram[0]), 0)
@@ -161,13 +165,13 @@ def _settled(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         # Of the distinct contexts, those whose anchor has another before or after; the last anchor's single one waits.
         starts = ~same_gram[new]
         follows = np.concatenate([~starts[1:], [False]])
-        several = ~starts | follows
+        several = ~starts | follows | (divided[new] == 1)
         if single is not None:
             if not starts[0]:
                 yield _batch([[x] for x in single], 1)
             single = None
-        if starts[-1]:
-            k = new[-1]
+        k = new[-1]
+        if starts[-1] and not divided[k]:
             single = (gram[k], context[k], doc[k], at[k], to[k])
         keep = new[several]
         yield _batch([c[keep] for c in (gram, context, doc, at, to)], 1)
@@ -362,6 +366,19 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.binary())], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def dealt(texts: DataFrame, length: int, block: int) -> DataFrame:
+    """Anchors with their contexts, in order, dealt by the anchor; those of an anchor that occurs more than ``block`` times also by the context.
+
+    Anchors are counted over all texts first, which reads the texts twice: a count is smaller
+    than the rows that it keeps out of one task. Equal contexts stay together in any case.
+    """
+    anchored = _anchored(texts, length)
+    hot = written(anchored.filter("kind = 1").groupBy("gram").count().filter(F.col("count") > block).select("gram", F.ceil(F.col("count") / block).alias("parts")), "frequent-anchors")
+    part = F.pmod(F.xxhash64("context"), F.coalesce("parts", F.lit(1)))
+    placed = anchored.join(hot, "gram", "left").select(*_ROWS, F.col("parts").isNotNull().alias("divided"), part.alias("part"))
+    return placed.repartition("gram", "part").drop("part").sortWithinPartitions("gram", "context", "doc", "at")
+
+
 def blocked(contexts: DataFrame, block: int) -> DataFrame:
     """(doc, block, divided, at, to): an anchor's contexts are one block; those of an anchor with more than ``block`` are divided by their hash."""
     # A table of its own: the join then has no aggregate on either side, is a broadcast where the table is small, and can be split where it is not.
@@ -385,8 +402,7 @@ def dedup(docs: DataFrame, length: int = 100, block: int = BLOCK) -> DataFrame:
     else:
         docs = docs.withColumn("doc", F.col("doc_id"))
     texts = docs.select("doc", "text")
-    dealt = _anchored(texts, length).repartition("gram").sortWithinPartitions("gram", "context", "doc", "at")
-    settled = written(dealt.mapInArrow(lambda b: _settled(b, length), "gram long, context long, doc long, at long, to long, kind byte"), "settled")
+    settled = written(dealt(texts, length, block).mapInArrow(lambda b: _settled(b, length), "gram long, context long, doc long, at long, to long, kind byte"), "settled")
     wanted = blocked(settled.filter("kind = 1"), block).groupBy("doc").agg(F.collect_list(F.struct("block", "divided", "at", "to")).alias("wanted"))
     fetched = texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(lambda b: _fetched(b, length), "block long, divided boolean, doc long, at long, count long, bytes binary")
     places = fetched.repartition("block").sortWithinPartitions("block").mapInArrow(lambda b: _arrays(b, length), _PLACES)

@@ -67,9 +67,10 @@ def test_settled_rows_in_batches_of_any_size():
     rnd = np.random.default_rng(4)
     rows = sorted((int(g), int(c), d, int(rnd.integers(50)), 128 * int(rnd.integers(1, 5)), 1) for d, (g, c) in enumerate(zip(rnd.integers(0, 60, 400), rnd.integers(0, 3, 400), strict=True)))
     columns = [np.array(c) for c in zip(*rows, strict=True)]
-    whole = pa.record_batch([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.int8())], names=suffix_dedup._ROWS)
 
-    def settled(size):
+    def settled(size, hot=()):
+        divided = pa.array([int(g) in hot for g in columns[0]])
+        whole = pa.record_batch([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.int8()), divided], names=[*suffix_dedup._ROWS, "divided"])
         parts = [whole.slice(i, size) for i in range(0, len(whole), size)]
         return sorted(tuple(r.values()) for b in suffix_dedup._settled(iter(parts), 100) for r in b.to_pylist())
 
@@ -77,6 +78,33 @@ def test_settled_rows_in_batches_of_any_size():
     several = {g for g, _ in firsts if sum(x == g for x, _ in firsts) > 1}
     want = [(g, c, d, at, at + to // 128 + 99, 0) for g, c, d, at, to, _ in rows if firsts[g, c][0] != d] + [(g, c, *firsts[g, c], 1) for g, c in firsts if g in several]
     assert all(settled(size) == sorted(want) for size in (1, 2, 7, 400))
+    # Of a divided anchor each context counts as one of several.
+    alone = {g for g, _ in firsts} - several
+    assert alone
+    more = [(g, c, *firsts[g, c], 1) for g, c in firsts if g in alone]
+    assert all(settled(size, alone) == sorted(want + more) for size in (1, 2, 7, 400))
+
+
+def test_a_frequent_anchor_with_different_contexts_is_divided(spark):
+    """A separator between texts that differ is the anchor of thousands of contexts; no partition holds them all."""
+    rnd = random.Random(8)
+    # Of some separators the one of the least hash, so that it is the anchor of most windows that hold it.
+    tried = ["=" * 5 + "".join(rnd.choice("xyz") for _ in range(22)) + "=" * 5 for _ in range(500)]
+    rank = lambda t: int(suffix_dedup.mix(suffix_dedup.between(suffix_dedup.prefix_sums(np.frombuffer(t.encode(), np.uint8)), np.array([0]), np.array([32])))[0])
+    separator = min(tried, key=rank)
+    noise = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    texts = spark.createDataFrame([(i, noise(70) + separator + noise(70)) for i in range(3000)], "doc long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        rows = suffix_dedup.dealt(texts, 100, 64).selectExpr("gram", "spark_partition_id() as p").groupBy("gram", "p").count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    total = Counter()
+    for r in rows:
+        total[r.gram] += r["count"]
+    gram, n = total.most_common(1)[0]
+    assert n > 500 and max(r["count"] for r in rows if r.gram == gram) < n / 4
 
 
 def test_maximal_repeats_have_all_occurrences():

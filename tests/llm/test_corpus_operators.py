@@ -94,12 +94,16 @@ def test_a_frequent_anchor_with_different_contexts_is_divided(spark):
     separator = min(tried, key=rank)
     noise = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
     texts = spark.createDataFrame([(i, noise(70) + separator + noise(70)) for i in range(3000)], "doc long, text string")
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    # Partitions of small tables would be joined.
+    names = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
     try:
         rows = suffix_dedup.dealt(texts, 100, 64).selectExpr("gram", "spark_partition_id() as p").groupBy("gram", "p").count().collect()
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     total = Counter()
     for r in rows:
         total[r.gram] += r["count"]

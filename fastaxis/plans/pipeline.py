@@ -69,7 +69,7 @@ def measured(records: DataFrame, windows: DataFrame, use: Settings = Settings())
     """
     spark = records.sparkSession
     moments = cut(grid.moments(grid.lagged_sums(records, windows, use.max_lag)))
-    best = cut(grid.bests(grid.rotated(moments, "c_", grid.angles(spark))))
+    best = cut(grid.bests(moments, "c_"))
     freedom = corrected_transverse(records, best.select("rec", "window_idx", F.col("ev_phi").alias("phi"), F.col("ev_lag").alias("lag")), windows).select("rec", "window_idx", spectral_freedom(F.col("t")).alias("ndf"))
     n_cells = 181 * (use.max_lag + 1)
     levels = best.join(freedom, ["rec", "window_idx"]).select("rec", "window_idx", g.confidence_level(F.col("ev_c"), g.nan_to_null(F.col("ndf"))).alias("ev_level"), g.fisher_lower(F.col("rc_c"), F.lit(n_cells - 1)).alias("rc_level"))

@@ -82,6 +82,43 @@ def test_a_delayed_window_beyond_the_record_has_no_row(spark):
     assert lags == set(range(6))
 
 
+def test_cells_are_ordered_numbers(spark):
+    """Least value, then first axis, then first lag, whatever the sign; a value that is no number comes last and stays one."""
+    cells = [(0.25, 3, 7), (0.25, 3, 6), (0.25, -90, 40), (-0.999999999, 90, 0), (1.0000000004, 90, 262143), (0.0, -90, 0), (float("nan"), 5, 1)]
+    made = spark.createDataFrame(cells, "v double, phi int, lag int").select("v", "phi", "lag", grid.cell(F.col("v")).alias("b"))
+    back = made.select("b", "v", *[c.alias(n) for c, n in zip(grid.opened(F.col("b")), ("phi", "lag", "c"), strict=True)]).orderBy("b").collect()
+    assert [(r.phi, r.lag) for r in back] == [c[1:] for c in sorted(cells[:-1], key=lambda c: (round(c[0], 9), *c[1:]))] + [(5, 1)]
+    assert all(r.c == round(r.v, 9) for r in back[:-1]) and math.isnan(back[-1].c)
+
+
+@pytest.mark.parametrize("search", ["ev", "rc", "both", "energy", "corrected"])
+def test_no_sort_or_shuffle_sees_the_grid(spark, search):
+    """What multiplies windows and delays by 181 axes is aggregated in hash maps, and is made once (twice for energies of any size)."""
+    r, w = record(spark, 1, *birefringent(10, 5, 50), 0), spark.createDataFrame(SPANS, "window_idx int, i0 int, i1 int")
+    sums = grid.lagged_sums(r, w, 12)
+    m = grid.moments(sums)
+    found = {
+        "ev": lambda: grid.best(m, "c_", grid.ev_objective()),
+        "rc": lambda: grid.best(m, "c_", grid.rc_objective(), largest=True),
+        "both": lambda: grid.bests(m, "c_"),
+        "energy": lambda: grid.least(sums, "", F.col("ss") * 1e12),
+        "corrected": lambda: grid.at_best(m, "c_", grid.best(m, "c_", grid.ev_objective())),
+    }[search]()
+    assert found.count() == len(SPANS)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" not in plan
+    assert plan.count("Range (-90, 91") == (2 if search == "energy" else 1)
+
+
+def test_energies_of_any_size_and_no_numbers(spark):
+    m = [(1, 0, lag, *[1e9 * (lag + 1)] * 2, 0.0) for lag in (2, 1, 3)] + [(2, 0, 0, float("nan"), 1.0, 0.0)]
+    sums = spark.createDataFrame([(rec, w, lag, xx, 0.0, yy, xx, xy, yy, 0.0, xy, xy, 0.0) for rec, w, lag, xx, yy, xy in m], "rec long, window_idx int, lag int, xx double, xy double, yy double, uu double, uw double, ww double, xu double, xw double, yu double, yw double")
+    a, b = grid.least(sums, "", F.col("ff") * 1e6 + F.abs("phi")).orderBy("rec").collect()
+    assert (a.phi, a.lag, a.c) == (min(range(-90, 91), key=lambda p: (2e15 * 1.0 + abs(p))), 1, 2e15) and math.isnan(b.c)
+    e = grid.best(sums, "", grid.ev_objective()).orderBy("rec").collect()
+    assert (e[0].phi, e[0].lag, e[0].c) == (-90, 1, 1.0) and math.isnan(e[1].c)
+
+
 def test_lattice(spark):
     w = windows.lattice(spark, pick=5.0).orderBy("window_idx").collect()
     spans = [r.t1 - r.t0 for r in w]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -136,6 +137,77 @@ def dendrogram(points: np.ndarray, linkage: str = "ward") -> list[tuple[int, int
     return out
 
 
+def dendrograms(points: np.ndarray, linkage: str = "ward") -> tuple[np.ndarray, np.ndarray]:
+    """dendrogram() of many groups of n points each, (groups, n, 2): their chains take a step at a time together.
+
+    (pairs, distances) in order of distance: pairs (groups, n - 1, 2) are a point of either cluster, distances (groups, n - 1).
+    """
+    if linkage not in LINKAGES:
+        raise ValueError(f"linkage must be one of {', '.join(LINKAGES)}")
+    g, n = points.shape[:2]
+    d = ((points[:, :, None] - points[:, None]) ** 2).sum(-1)
+    if linkage != "ward":
+        d = np.sqrt(d)
+    # The diagonal is infinite, and so are the distances to what is merged away, once ``gone`` is added.
+    d[:, np.arange(n), np.arange(n)] = np.inf
+    flat, rows, down = d.reshape(-1), d.reshape(g * n, n), np.arange(n) * n
+    size, gone = np.ones((g, n)), np.zeros((g, n))
+    chain, length, made = np.zeros((g, n + 1), int), np.zeros(g, int), np.zeros(g, int)
+    pairs, heights = np.zeros((g, max(n - 1, 0), 2), int), np.zeros((g, max(n - 1, 0)))
+    busy = np.arange(g) if n > 1 else np.arange(0)
+    while len(busy):
+        empty = busy[length[busy] == 0]
+        chain[empty, 0], length[empty] = gone[empty].argmin(1), 1
+        last = chain[busy, length[busy] - 1]
+        row = rows.take(busy * n + last, axis=0)
+        row += gone.take(busy, axis=0)
+        near = row.argmin(1)
+        before = chain[busy, np.maximum(length[busy] - 2, 0)]
+        at = np.arange(len(busy))
+        back = (length[busy] > 1) & (row[at, before] <= row[at, near])
+        on = busy[~back]
+        chain[on, length[on]] = near[~back]
+        length[on] += 1
+        q = busy[back]
+        if len(q):
+            a, b = np.minimum(last[back], before[back]), np.maximum(last[back], before[back])
+            da, db, own = rows.take(q * n + a, axis=0), rows.take(q * n + b, axis=0), size.take(q, axis=0)
+            dab, sa, sb = d[q, a, b][:, None], size[q, a][:, None], size[q, b][:, None]
+            if linkage == "ward":
+                new = ((sa + own) * da + (sb + own) * db - own * dab) / (sa + sb + own)
+            elif linkage == "single":
+                new = np.minimum(da, db)
+            elif linkage == "complete":
+                new = np.maximum(da, db)
+            else:
+                new = (sa * da + sb * db) / (sa + sb)
+            gone[q, b] = np.inf
+            new[np.arange(len(q)), a] = np.inf
+            rows[q * n + a] = new
+            flat[(q * (n * n) + a)[:, None] + down] = new
+            pairs[q, made[q]], heights[q, made[q]] = np.stack([a, b], 1), dab[:, 0]
+            size[q, a] += size[q, b]
+            length[q] -= 2
+            made[q] += 1
+            busy = busy[made[busy] < n - 1]
+    order = np.argsort(heights, axis=1, kind="stable")
+    return np.take_along_axis(pairs, order[..., None], 1), np.take_along_axis(heights, order, 1)
+
+
+def labels_of_cuts(pairs: np.ndarray, k_max: int) -> dict[int, np.ndarray]:
+    """For each k from 2 to k_max, or to n: labels (groups, n) of the cut into k clusters of dendrograms(), numbered by their first point."""
+    g, n = pairs.shape[0], pairs.shape[1] + 1
+    root, at, out = np.tile(np.arange(n), (g, 1)), np.arange(g), {}
+    for k in range(n, 1, -1):
+        if k <= k_max:
+            # A cluster's root is its first point: the roots that came before are its number.
+            first = root == np.arange(n)
+            out[k] = np.take_along_axis(np.cumsum(first, axis=1) - 1, root, 1)
+        one, two = root[at, pairs[:, n - k, 0]], root[at, pairs[:, n - k, 1]]
+        root = np.where(root == np.maximum(one, two)[:, None], np.minimum(one, two)[:, None], root)
+    return dict(sorted(out.items()))
+
+
 def cut_labels(n: int, merges: list[tuple[int, int, float, int]], k: int) -> np.ndarray:
     """Labels 0 to k - 1 of the cut into k clusters, numbered by their first point."""
     parent = list(range(2 * n - 1))
@@ -153,19 +225,39 @@ def cut_labels(n: int, merges: list[tuple[int, int, float, int]], k: int) -> np.
     return rank[label]
 
 
+#: Matrix elements of the distances of the groups that are merged at once.
+TOGETHER = 1_000_000
+
+
 def cuts(df: DataFrame, x: str, y: str, k_max: int, linkage: str = "ward", by: str = "grp") -> DataFrame:
     """(by, k, window_idx, cluster): the cuts of each group's one dendrogram into 2 to k_max clusters.
 
     A dendrogram is quadratic in a group's rows and can't be shared out; groups are the windows of
-    one pick and filter, whose number the window lattice bounds.
+    one pick and filter, whose number the window lattice bounds. A task takes its groups as they come in batches, many at a
+    time; a window function puts the rows of a group together and numbers them.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("window_idx")
-        n = len(pdf)
-        merges = dendrogram(pdf[[x, y]].to_numpy(float), linkage) if n > 1 else []
-        parts = [pd.DataFrame({by: pdf[by].to_numpy(), "k": k, "window_idx": pdf["window_idx"].to_numpy(), "cluster": cut_labels(n, merges, k)}) for k in range(2, min(k_max, n) + 1)]
-        return pd.concat(parts) if parts else pd.DataFrame({by: [], "k": [], "window_idx": [], "cluster": []})
+    def placed(keys: np.ndarray, index: np.ndarray, xy: np.ndarray, begins: np.ndarray) -> Iterator[pd.DataFrame]:
+        sizes = np.diff(begins)
+        for n in np.unique(sizes[sizes > 1]):
+            starts = begins[:-1][sizes == n]
+            step = max(1, TOGETHER // int(n * n))
+            for some in (starts[i : i + step] for i in range(0, len(starts), step)):
+                rows = some[:, None] + np.arange(n)
+                for k, label in labels_of_cuts(dendrograms(xy[rows], linkage)[0], k_max).items():
+                    yield pd.DataFrame({by: keys[rows.ravel()], "k": k, "window_idx": index[rows.ravel()], "cluster": label.ravel()})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            starts = np.flatnonzero(pdf["_place"].to_numpy() == 1)
+            # The last group of a batch may go on in the next one.
+            rest = pdf.iloc[starts[-1] :]
+            yield from placed(pdf[by].to_numpy(), pdf["window_idx"].to_numpy(), pdf[[x, y]].to_numpy(float), starts)
+        if rest is not None:
+            yield from placed(rest[by].to_numpy(), rest["window_idx"].to_numpy(), rest[[x, y]].to_numpy(float), np.array([0, len(rest)]))
 
     kind = dict(df.dtypes)[by]
-    return df.select(by, "window_idx", x, y).groupBy(by).applyInPandas(run, f"{by} {kind}, k long, window_idx long, cluster long")
+    together = df.select(by, "window_idx", x, y).withColumn("_place", F.row_number().over(Window.partitionBy(by).orderBy("window_idx")))
+    return together.mapInPandas(run, f"{by} {kind}, k long, window_idx long, cluster long")

@@ -411,3 +411,40 @@ def test_closed_forms(spark):
     assert df.select(g.eigenvalue_ratio(F.col("a"), F.col("b"), F.col("c")).alias("r")).first().r == pytest.approx(v[0] / v[1])
     r = spark.createDataFrame([(0.9, 20.0), (1.0, 20.0), (0.5, 2.0)], "r double, n double").select(g.fisher_lower(F.col("r"), F.col("n")).alias("l"), g.confidence_level(F.col("r"), F.col("n")).alias("c")).collect()
     assert r[0].l == pytest.approx(math.tanh(math.atanh(0.9) - 1.6448536269514722 / math.sqrt(17))) and r[1].l is None and r[2].l is None and r[2].c is None
+
+
+@pytest.mark.parametrize("linkage", clustering.LINKAGES)
+def test_many_dendrograms_at_once(linkage):
+    """Groups merged together have the dendrograms and cuts of each alone, with points that coincide and distances that tie."""
+    rnd = np.random.default_rng(8)
+    for n in (1, 2, 3, 9, 30):
+        points = np.concatenate([rnd.integers(0, 6, (12, n, 2)) / 5, rnd.normal(size=(12, n, 2))])
+        pairs, heights = clustering.dendrograms(points, linkage)
+        labels = clustering.labels_of_cuts(pairs, 6)
+        assert sorted(labels) == list(range(2, min(6, n) + 1))
+        for g, own in enumerate(points):
+            merges = clustering.dendrogram(own, linkage)
+            assert [m[2] for m in merges] == heights[g].tolist()
+            assert all(clustering.cut_labels(n, merges, k).tolist() == label[g].tolist() for k, label in labels.items())
+
+
+def test_cuts_of_groups_that_batches_divide(spark):
+    """Groups of 1 to 9 rows, batches of four: a group's rows meet again, and none sees another's."""
+    rnd = np.random.default_rng(2)
+    groups = {g: rnd.integers(0, 5, (1 + g % 9, 2)) / 4 for g in range(25)}
+    rows = [(g, k, *map(float, p)) for g, own in groups.items() for k, p in enumerate(own)]
+    rnd.shuffle(rows)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        made = clustering.cuts(spark.createDataFrame([(int(g), int(w), x, y) for g, w, x, y in rows], "grp long, window_idx long, x double, y double"), "x", "y", 4)
+        assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().executedPlan().toString()
+        found = {(r.grp, r.k, r.window_idx): r.cluster for r in made.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = {}
+    for g, own in groups.items():
+        merges = clustering.dendrogram(own) if len(own) > 1 else []
+        for k in range(2, min(4, len(own)) + 1):
+            want |= {(g, k, w): int(c) for w, c in enumerate(clustering.cut_labels(len(own), merges, k))}
+    assert found == want

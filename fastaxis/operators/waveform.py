@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -112,35 +113,62 @@ def response(sections: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarra
     return out
 
 
+#: Up to so many samples a record is filtered by one product with a matrix; elements of the transforms that are held at once.
+SHORT, HELD = 256, 1 << 20
+
+
+@lru_cache(maxsize=128)
+def _transform(low: float, high: float, rate: float, n: int) -> tuple[int, np.ndarray]:
+    """The length of a transform that holds n samples and the recursion's coming to rest, and the response over it."""
+    sections = butterworth(low, high, rate)
+    slowest = max(np.abs(np.roots(a)).max() for _, a in sections)
+    rest = int(np.ceil(np.log(1e-15) / np.log(slowest))) if slowest < 1 else n
+    m = 1 << int(n + rest).bit_length()
+    return m, response(sections, m)
+
+
+@lru_cache(maxsize=128)
+def _both_ways(low: float, high: float, rate: float, n: int) -> np.ndarray:
+    """The matrix of the band-pass over n samples, forward and then backward."""
+    m, h = _transform(low, high, rate, n)
+    impulse = np.fft.irfft(h, m)[:n]
+    at = np.arange(n)[:, None] - np.arange(n)
+    forward = np.where(at >= 0, impulse[at], 0.0)
+    return forward.T @ forward
+
+
 def bandpass(x: np.ndarray, low: float, high: float, rate: float) -> np.ndarray:
     """Zero-phase band-pass of the rows of x: forward, then backward, from rest and without padding.
 
-    Each direction is the recursion's convolution, made by a transform that is longer than the
-    record by as many samples as the recursion takes to come to rest.
+    Each direction is the recursion's convolution: of short records a matrix, else made by a transform that is longer than the
+    record by as many samples as the recursion takes to come to rest, over a few rows at a time.
     """
     y = np.array(x, float, ndmin=2)
-    sections = butterworth(low, high, rate)
-    slowest = max(np.abs(np.roots(a)).max() for _, a in sections)
-    rest = int(np.ceil(np.log(1e-15) / np.log(slowest))) if slowest < 1 else y.shape[1]
-    m = 1 << int(y.shape[1] + rest).bit_length()
-    h = response(sections, m)
-    for _ in range(2):
-        y = np.fft.irfft(np.fft.rfft(y, m) * h, m)[:, : y.shape[1]][:, ::-1]
+    n = y.shape[1]
+    if n <= SHORT:
+        y = y @ _both_ways(low, high, rate, n)
+    else:
+        m, h = _transform(low, high, rate, n)
+        step = max(1, HELD // m)
+        for i in range(0, len(y), step):
+            part = y[i : i + step]
+            for _ in range(2):
+                part = np.fft.irfft(np.fft.rfft(part, m) * h, m)[:, :n][:, ::-1]
+            y[i : i + step] = part
     return y if np.ndim(x) > 1 else y[0]
 
 
 def filtered(traces: DataFrame, bands: DataFrame, rate: float) -> DataFrame:
-    """(rec, comp, bank_idx, low, high, data): every trace in every band; an IIR recursion, so in Arrow batches."""
+    """(rec, comp, bank_idx, low, high, data): every trace in every band; an IIR recursion, so in Arrow batches, whose rows leave in pieces of HELD samples."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = pdf.copy()
             sizes = pdf["data"].map(len)
-            for _, rows in pdf.groupby(["low", "high", sizes], sort=False).groups.items():
-                part = pdf.loc[rows]
-                made = bandpass(np.stack(part["data"].to_numpy()), float(part["low"].iloc[0]), float(part["high"].iloc[0]), rate)
-                out.loc[rows, "data"] = pd.Series(list(made), index=rows)
-            yield out
+            for (low, high, n), rows in pdf.groupby(["low", "high", sizes], sort=False).indices.items():
+                step = max(1, HELD // max(n, 1))
+                for i in range(0, len(rows), step):
+                    part = pdf.iloc[rows[i : i + step]]
+                    yield part.assign(data=list(bandpass(np.stack(part["data"].to_numpy()), float(low), float(high), rate)))
 
     wide = traces.select("rec", "comp", "data").crossJoin(F.broadcast(bands)).select("rec", "comp", "bank_idx", "low", "high", "data")
     return wide.mapInPandas(run, wide.schema)

@@ -448,3 +448,25 @@ def test_cuts_of_groups_that_batches_divide(spark):
         for k in range(2, min(4, len(own)) + 1):
             want |= {(g, k, w): int(c) for w, c in enumerate(clustering.cut_labels(len(own), merges, k))}
     assert found == want
+
+
+def test_short_records_are_filtered_as_long_ones(monkeypatch):
+    """The product with a matrix is the transform's answer, of few rows at a time too."""
+    x = np.random.default_rng(5).normal(size=(7, 64))
+    for low, high in windows.FILTER_BANK[:4] + [(4.0, 10.0), (1.0, 20.0)]:
+        made = waveform.bandpass(x, low, high, RATE)
+        with monkeypatch.context() as patch:
+            patch.setattr(waveform, "SHORT", 0)
+            patch.setattr(waveform, "HELD", 1 << 14)
+            assert np.allclose(waveform.bandpass(x, low, high, RATE), made, rtol=0, atol=1e-12)
+
+
+def test_filtered_pieces_are_whole(spark):
+    """Traces of several lengths leave in pieces: each row once, with its own band and answer."""
+    rnd = np.random.default_rng(6)
+    data = {(r, "N"): rnd.normal(size=n).tolist() for r, n in enumerate((64, 300, 64, 1, 64, 300))}
+    traces = spark.createDataFrame([(r, c, v) for (r, c), v in data.items()], "rec long, comp string, data array<double>")
+    found = waveform.filtered(traces, windows.bank(spark, [(1.0, 8.0), (2.0, 6.0)]), RATE).collect()
+    assert len(found) == 12 and {(r.rec, r.bank_idx) for r in found} == {(r, b) for r in range(6) for b in range(2)}
+    for r in found:
+        assert np.allclose(r.data, waveform.bandpass(np.array(data[r.rec, r.comp]), r.low, r.high, RATE), rtol=0, atol=1e-12)

@@ -7,11 +7,12 @@ is refused or fails keeps its id and the reason only; it never fails its batch.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,14 @@ MEASURED = (
 )
 
 
+#: Arrow's types of the answers' numbers.
+_ARROW = {"double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}
+
+
+def _samples(data: pa.ListScalar) -> np.ndarray:
+    return np.asarray(data.values.to_numpy(zero_copy_only=False) if data.is_valid else None, float)
+
+
 def _names(ddl: str) -> list[str]:
     return [c.split()[0] for c in ddl.split(", ")]
 
@@ -63,23 +72,29 @@ def results(tasks: DataFrame, fetch: Callable[[DataFrame], DataFrame], model: np
     tasked = inside.select("pick_id", (F.unix_micros(F.col("pick_time").cast("timestamp")) / 1e6).alias("_at"), directions.alias("_directions"), *path)
     wave = config.waveform
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        one = rows.iloc[0]
+    def run(rows: pa.Table) -> pa.Table:
+        one = rows.select(["pick_id", "_at", "_directions", *path]).slice(0, 1).to_pylist()[0]
 
         def work() -> dict[str, Any]:
-            segments = [Segment(r["_channel"], r["_start"], r["_rate"], np.asarray(r["_data"], float)) for _, r in rows.iterrows() if r["_channel"] is not None]
+            numbers = [rows[c].to_numpy().tolist() for c in ("_start", "_rate")]
+            segments = [Segment(channel, start, rate, _samples(data)) for channel, start, rate, data in zip(rows["_channel"].to_pylist(), *numbers, rows["_data"], strict=True) if channel is not None]
             if not segments:
                 raise Rejected("no waveform data")
-            known = {d["code"]: (d["azimuth"], d["dip"]) for d in (one["_directions"] if one["_directions"] is not None else []) if d["azimuth"] is not None and d["dip"] is not None}
+            known = {d["code"]: (d["azimuth"], d["dip"]) for d in (one["_directions"] or []) if d["azimuth"] is not None and d["dip"] is not None}
             zne, start = prepared(segments, known, wave.min_gap, wave.target_sampling_rate, wave.decimate)
-            return {c: one[c] for c in path} | measure(zne, float(one["_at"]) - start, float(one["backazimuth"]), float(one["incidence_angle"]), config)
+            at, back_azimuth, incidence = (math.nan if one[c] is None else one[c] for c in ("_at", "backazimuth", "incidence_angle"))
+            return {c: one[c] for c in path} | measure(zne, at - start, back_azimuth, incidence, config)
 
         made = {"pick_id": one["pick_id"]} | guarded(work)
-        return pd.DataFrame([{c: made.get(c) for c in ["pick_id", *path, *_names(MEASURED), "error"]}]).astype(object)
+        own = {"key": rows.schema.field("pick_id").type, "string": rows.schema.field("_channel").type} | _ARROW
+        return pa.table({c: pa.array([made.get(c)], own[name], from_pandas=True) for c, name in [("pick_id", "key"), *answers]})
 
     kind = dict(tasks.dtypes)["pick_id"]
     schema = f"pick_id {kind}, {PATH}, {MEASURED}, error string"
-    measured = tasked.join(records, "pick_id", "left").groupBy("pick_id").applyInPandas(run, schema)
+    answers = [c.split() for c in f"{PATH}, {MEASURED}, error string".split(", ")]
+    # So many tasks as there are shuffle partitions, however few bytes the records have: a pick's measurement is long.
+    parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    measured = tasked.repartition(parts, "pick_id").join(records.repartition(parts, "pick_id"), "pick_id", "left").groupBy("pick_id").applyInArrow(run, schema)
     refused = found.filter("error is not null").select("pick_id", "error")
     return measured.unionByName(refused, allowMissingColumns=True)
 

@@ -470,3 +470,36 @@ def test_filtered_pieces_are_whole(spark):
     assert len(found) == 12 and {(r.rec, r.bank_idx) for r in found} == {(r, b) for r in range(6) for b in range(2)}
     for r in found:
         assert np.allclose(r.data, waveform.bandpass(np.array(data[r.rec, r.comp]), r.low, r.high, RATE), rtol=0, atol=1e-12)
+
+
+def test_windows_are_measured_together(monkeypatch):
+    """A window's answer doesn't depend on the others, one without motion has none, and spectra are made for many windows at once."""
+    xy = np.random.default_rng(3).normal(size=(2, 80))
+    xy[:, :24] = 0
+    spans = [(0.0, 0.2)] + [(0.2 + a / 50, 0.48 + b / 50) for a in range(5) for b in range(4)] + [(0.3, 0.9)]
+    ask = lambda spans: measure.measured(xy, 100.0, spans, 0.03, 0.75, 30.0)
+    monkeypatch.setattr(measure, "CELLS", 3 * 181 * 4, raising=False)
+    alone = [ask([span])[0] for span in spans]
+    pieces = ask(spans)
+    monkeypatch.undo()
+    calls, fft = [], np.fft.fft
+    monkeypatch.setattr(np.fft, "fft", lambda *a, **k: calls.append(1) or fft(*a, **k))
+    found = ask(spans)
+    assert len(calls) <= 3
+    assert found[0]["ev"] is found[0]["rc"] is found[-1]["ev"] is None and all(w["ev"] and w["rc"] for w in found[1:-1])
+    for w, *others in zip(found, alone, pieces, strict=True):
+        for other in others:
+            for method in ("ev", "rc", "q"):
+                assert (w[method] is None) == (other[method] is None)
+                if w[method]:
+                    assert {k: v for k, v in w[method].items() if isinstance(v, str)} == {k: v for k, v in other[method].items() if isinstance(v, str)}
+                    assert {k: v for k, v in w[method].items() if not isinstance(v, str)} == pytest.approx({k: v for k, v in other[method].items() if not isinstance(v, str)}, abs=1e-9, nan_ok=True)
+
+
+def test_picks_are_dealt_however_small(spark):
+    """Measurements are spread over all shuffle partitions: they are long, and few bytes are no reason to do them in one task."""
+    from fastaxis.plans import catalog
+
+    plan = catalog.QUERIES["q_picks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    measured = plan[plan.index("FlatMapGroupsInArrow") :] if "FlatMapGroupsInArrow" in plan else plan
+    assert measured.count("REPARTITION_BY_NUM") >= 1

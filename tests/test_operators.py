@@ -82,6 +82,46 @@ def test_a_delayed_window_beyond_the_record_has_no_row(spark):
     assert lags == set(range(6))
 
 
+@pytest.fixture(scope="module")
+def ragged(spark):
+    """Records of many lengths, some with missing samples and some whose components differ in length or are missing."""
+    rnd, made = np.random.default_rng(3), []
+    for rec in range(300):
+        n = int(rnd.integers(0, 60))
+        x, y = rnd.normal(0, 1, n).tolist(), rnd.normal(0, 1, n + int(rec % 5 == 0) * int(rnd.integers(-5, 6)) if n > 5 else n).tolist()
+        if rec % 7 == 0 and n > 20:
+            x[18:22] = [None] * len(x[18:22])
+        made.append((rec, None if rec % 41 == 40 else x, None if rec % 43 == 42 else y, [float(rec), None, rec + 0.5]))
+    return made, spark.createDataFrame(made, "rec long, x array<double>, y array<double>, level array<double>").repartition(3)
+
+
+def test_lagged_sums_of_ragged_records(spark, ragged):
+    """Against plain sums over each window: what lacks a factor is left out, and a sum of nothing is null."""
+    spans, max_lag = [(4, 12, 40), (7, 10, 31), (9, 18, 21)], 6
+    w = spark.createDataFrame(spans, "window_idx int, i0 int, i1 int")
+    found = {(r.rec, r.window_idx, r.lag): r for r in grid.lagged_sums(ragged[1], w, max_lag, ("level",)).collect()}
+    want = {(rec, k, lag): (x, y, level[spans.index((k, a, b))], a, b) for rec, x, y, level in ragged[0] if x is not None and y is not None for k, a, b in spans for lag in range(max_lag + 1) if b + lag <= len(x)}
+    assert set(found) == set(want) and len(want) > 2000
+    empty = 0
+    for (rec, k, lag), (x, y, level, a, b) in want.items():
+        r, y = found[rec, k, lag], y + [None] * 60
+        at = {"x": x[a:b], "y": y[a:b], "u": x[a + lag : b + lag], "w": y[a + lag : b + lag]}
+        assert r.n == b - a and r.level == level
+        for name, names in grid._SUMS.items():
+            terms = [math.prod(v) for v in zip(*[at[c] for c in names], strict=True) if None not in v]
+            empty += not terms
+            assert r[name] is None if not terms else r[name] == pytest.approx(math.fsum(terms), abs=1e-9)
+    assert empty
+
+
+def test_sums_take_no_memory_that_grows_with_the_records(spark):
+    """Records are dealt out as single rows; what multiplies them is neither sorted nor held in hash maps, which spill."""
+    r, w = record(spark, 1, *birefringent(10, 5, 50), 0), spark.createDataFrame(SPANS, "window_idx int, i0 int, i1 int")
+    plan = grid.lagged_sums(r, w, 12)._jdf.queryExecution().sparkPlan().toString()
+    after = plan[: plan.index("Exchange")] if "Exchange" in plan else plan
+    assert "Sort " not in plan and "Window " not in plan and "keys=[rec" not in after
+
+
 def test_cells_are_ordered_numbers(spark):
     """Least value, then first axis, then first lag, whatever the sign; a value that is no number comes last and stays one."""
     cells = [(0.25, 3, 7), (0.25, 3, 6), (0.25, -90, 40), (-0.999999999, 90, 0), (1.0000000004, 90, 262143), (0.0, -90, 0), (float("nan"), 5, 1)]

@@ -62,18 +62,27 @@ def corrected_transverse(records: DataFrame, best: DataFrame, windows: DataFrame
     return at.select("rec", "window_idx", t.alias("t"))
 
 
+def by_window(values: DataFrame, windows: DataFrame, *columns: str) -> DataFrame:
+    """(rec, columns): each column of (rec, window_idx, columns) as an array in the order of all window_idx, null where a window has no row."""
+    order = F.broadcast(windows.agg(F.sort_array(F.collect_list("window_idx")).alias("_order")))
+    held = values.groupBy("rec").agg(*[F.map_from_entries(F.collect_list(F.struct("window_idx", c))).alias(c) for c in columns])
+    placed = lambda c: F.transform("_order", lambda i: F.element_at(c, i)).alias(c)
+    return held.join(order).select("rec", *[placed(c) for c in columns])
+
+
 def measured(records: DataFrame, windows: DataFrame, use: Settings = Settings()) -> DataFrame:
     """One row per record and window with both methods' axis, delay and errors, and the window's quality.
 
     records: (rec, x, y, back_azimuth), radial and transverse arrays; windows: (window_idx, i0, i1).
     """
     spark = records.sparkSession
-    moments = cut(grid.moments(grid.lagged_sums(records, windows, use.max_lag)))
-    best = cut(grid.bests(moments, "c_"))
+    best = cut(grid.bests(grid.moments(grid.lagged_sums(records, windows, use.max_lag)), "c_"))
     freedom = corrected_transverse(records, best.select("rec", "window_idx", F.col("ev_phi").alias("phi"), F.col("ev_lag").alias("lag")), windows).select("rec", "window_idx", spectral_freedom(F.col("t")).alias("ndf"))
     n_cells = 181 * (use.max_lag + 1)
     levels = best.join(freedom, ["rec", "window_idx"]).select("rec", "window_idx", g.confidence_level(F.col("ev_c"), g.nan_to_null(F.col("ndf"))).alias("ev_level"), g.fisher_lower(F.col("rc_c"), F.lit(n_cells - 1)).alias("rc_level"))
-    cells = grid.rotated(moments.join(levels, ["rec", "window_idx"]), "c_", grid.angles(spark))
+    # A record's levels go with it into its sums: made again, these take less than to be kept and joined with the levels.
+    marked = records.select("rec", "x", "y").join(by_window(levels, windows, "ev_level", "rc_level"), "rec")
+    cells = grid.rotated(grid.moments(grid.lagged_sums(marked, windows, use.max_lag, ("ev_level", "rc_level"))), "c_", grid.angles(spark))
     both = best.join(grid.extents(cells, ev=(grid.ev_objective(), "ev_level"), rc=(grid.rc_objective(), "rc_level")), ["rec", "window_idx"], "left")
     both = both.join(records.select("rec", "back_azimuth"), "rec")
     seconds = lambda c: F.col(c) / use.rate
@@ -112,6 +121,7 @@ def clustered(measures: DataFrame, use: Settings = Settings()) -> DataFrame:
 
 def results(records: DataFrame, windows: DataFrame, use: Settings = Settings()) -> DataFrame:
     """One row per record: the best window's measurement, the quality, and an error where there is none."""
+    records = cut(records)
     m = cut(measured(records, windows, use))
     c = cut(clustered(m, use))
     graded = quality.event_quality(m.join(c.select("rec", "window_idx"), ["rec", "window_idx"], "left_semi"), use.gamma, use.omega1, use.omega2, by="rec")

@@ -64,6 +64,29 @@ def test_both_methods_undo_a_layer(spark, seed):
         assert between_axes(r.rc_phi, axis) <= 6 and abs(r.rc_dt * RATE - lag) <= 2 and r.cc > 0.97
 
 
+def test_what_is_kept_has_no_rows_for_delays(spark, monkeypatch):
+    """Checkpoints hold a row for each record or window, not for each delay."""
+    rows, real = [], pipeline.cut
+
+    def counted(df):
+        out = real(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(pipeline, "cut", counted)
+    windows_ = spark.createDataFrame(SPANS, "window_idx int, i0 int, i1 int")
+    found = pipeline.measured(record(spark, 1, *birefringent(10, 5, 50), 0), windows_, pipeline.Settings(max_lag=20))
+    assert found.count() == len(SPANS) and rows and max(rows) <= len(SPANS)
+
+
+def test_values_by_window(spark):
+    """In the order of all windows, null where a record has none."""
+    windows_ = spark.createDataFrame([(9, 0, 5), (4, 0, 6), (7, 1, 5)], "window_idx int, i0 int, i1 int")
+    values = spark.createDataFrame([(1, 7, 0.5, 1.0), (1, 4, None, 2.0), (2, 9, 0.25, None)], "rec long, window_idx int, a double, b double")
+    found = {r.rec: (r.a, r.b) for r in pipeline.by_window(values, windows_, "a", "b").collect()}
+    assert found == {1: ([None, 0.5, None], [2.0, 1.0, None]), 2: ([None, None, 0.25], [None, None, None])}
+
+
 def test_records_are_graded(spark):
     bounds = spark.createDataFrame([(3 * a + b, 436 + 3 * a, 584 + 4 * b) for a in range(4) for b in range(3)], "window_idx int, i0 int, i1 int")
     rnd = np.random.default_rng(9)

@@ -3,12 +3,15 @@
 import math
 
 import numpy as np
+import oracle
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from fastaxis.functions import geometry as g
 from fastaxis.operators import clustering, enrich, grid, measure, publish, quality, query, raypath, store, waveform, windows
-from fastaxis.plans import pipeline
+from fastaxis.plans import catalog, pipeline
 from fastaxis.sources import velocity
 
 RATE = 100.0
@@ -173,6 +176,28 @@ def test_no_sort_or_shuffle_sees_the_grid(spark, search):
     assert plan.count("Range (-90, 91") == (2 if search == "energy" else 1)
 
 
+@pytest.mark.parametrize("name", ["q_ev_grid", "q_rc_grid"])
+def test_windows_without_motion_meet_the_sql(spark, tmp_path, name):
+    """Still or constant components, wholly or up to the last samples: no ratio is made up where SQL has no number."""
+    noise = lambda: rnd.normal(0, 1, 64).tolist()
+    rnd, late = np.random.default_rng(4), [0.0] * 60 + [1.0, -1.0, 2.0, 0.5]
+    records = [(noise(), noise()), ([0.0] * 64, [0.0] * 64), ([0.1] * 64, [0.1] * 64), (late, late), (noise(), [0.0] * 64), ([0.5] * 64, noise())]
+    rows = [(3 * rec + k, v) for rec, pair in enumerate(records) for k, v in enumerate((noise(), *pair))]
+    ids, vectors = zip(*rows, strict=True)
+    pq.write_table(pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32()))}), f"{tmp_path}/embeddings.parquet")
+    found = catalog.QUERIES[name](spark, str(tmp_path))
+    assert oracle.difference(found, catalog.ORACLE_SQL[name], oracle.connect(str(tmp_path))) == ""
+    assert {r.rec for r in found.filter("isnan(c)").collect()} == {1, 2, 3}
+
+
+@pytest.mark.parametrize("name", ["q_ev_grid", "q_rc_grid"])
+def test_a_search_shuffles_one_row_for_each_window(spark, name):
+    """From the sums on there is one shuffle, behind the partial hash aggregate of the grid, and no sort."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    lines = [x for x in plan[: plan.index("MapInArrow")].splitlines() if "Exchange" in x or "Aggregate" in x or "Sort" in x]
+    assert ["Exchange" in x for x in lines] == [False, True, False] and all("HashAggregate" in x for x in lines[::2]) and "partial_min" in lines[2]
+
+
 def test_energies_of_any_size_and_no_numbers(spark):
     m = [(1, 0, lag, *[1e9 * (lag + 1)] * 2, 0.0) for lag in (2, 1, 3)] + [(2, 0, 0, float("nan"), 1.0, 0.0)]
     sums = spark.createDataFrame([(rec, w, lag, xx, 0.0, yy, xx, xy, yy, 0.0, xy, xy, 0.0) for rec, w, lag, xx, yy, xy in m], "rec long, window_idx int, lag int, xx double, xy double, yy double, uu double, uw double, ww double, xu double, xw double, yu double, yw double")
